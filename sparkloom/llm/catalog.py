@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, tokens
+from . import chat, language, mixing, packing, quality, simhash, tokens
 from .runtime import ship
 
 
@@ -24,10 +24,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_table(spark, sf_dir, "documents"), **tokens.public_paths(), fields=["source", "lang", "text"], rule="first")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3).select("doc_id", "fingerprint", "component_id")
 
@@ -37,4 +53,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": chat.SQL}
