@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, packing, pii, quality, simhash, tokens
+from . import chat, language, mixing, packing, pii, quality, repeats, simhash, tokens
 from .runtime import ship
 
 
@@ -40,6 +40,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_table(spark, sf_dir, "documents"))
 
