@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, packing, pii, quality, repeats, simhash, tokens
+from . import ann, chat, language, mixing, packing, pii, quality, repeats, simhash, tokens
 from .runtime import ship
 
 
@@ -44,6 +44,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_table(spark, sf_dir, "documents"))
 
