@@ -29,14 +29,15 @@ def fingerprint(text: str | None, words_in: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_in: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of each row; a null text has no words."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a long) of each row; a null text has no words."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words_in, seed) for t in batch.column(1)), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words_in, seed) for t in batch.column(2)), "<u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("th"), own.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _half(fp: Column, k: int) -> Column:
@@ -63,7 +64,8 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", words_in: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), group (the group's smallest fingerprint as a long) and component_id of each row.
+    """doc_id, fingerprint (16 hex digits), group (the group's smallest fingerprint as a long), component_id and text_hash of
+    each row.
 
     Rows link where fingerprints differ in at most `radius` bits, and groups are what links reach; component_id is the
     group's smallest doc_id. Equal fingerprints are one node, so copies make no pairs. Null and empty texts share
@@ -76,21 +78,20 @@ def near_duplicates(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", te
     grouped = cut(nodes.join(reach, nodes["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("group")))
     least = cut(grouped.groupBy("group").agg(F.min("least").alias("component_id")))
     of = grouped.select("fp", "group").join(least, "group")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "group", "component_id")
+    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "group", "component_id", F.col("th").alias("text_hash"))
 
 
 def keep_one(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest doc_id; all columns stay.
+    """docs with one row of each group of near duplicates, one with the smallest doc_id; all columns stay.
 
-    Of rows that share that doc_id, the one with the least text stays. A null doc_id stands for its group only if it has
-    no other.
+    Of texts that share that doc_id, the one of the smallest hash stays, and one row of rows alike in both. A null doc_id
+    stands for its group only if it has no other.
     """
-    groups = near_duplicates(docs, radius, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    picks = groups.groupBy("group").agg(F.min("doc_id").alias("_pick"), F.min("fingerprint").alias("_fp"))
-    kept = picks.groupBy("_pick").agg(F.count("*").alias("_groups"))
-    rows = docs.join(kept, F.col(f"`{doc_id}`").cast("long").eqNullSafe(kept["_pick"]), "left_semi")
-    key = F.col(f"`{doc_id}`")
-    whole = rows.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    one = whole.where(key.isNotNull()).groupBy(key.cast("long").alias("_k")).agg(F.min_by("_row", F.struct(F.col(f"`{text}`"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c][:3] != "map"]))).alias("_row"))
-    nulls = whole.where(key.isNull()).groupBy(F.col(f"`{text}`").alias("_k")).agg(F.first("_row").alias("_row"))
-    return one.select("_row").unionByName(nulls.select("_row")).select("_row.*")
+    rows = near_duplicates(docs, radius, doc_id, text).groupBy("group", "doc_id", "component_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("p"))
+    picks = cut(first.select(F.col("p.doc_id").alias("_pick"), F.col("p.text_hash").alias("_pick_hash"), F.col("p.n").alias("_rows")))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_pick")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_pick_hash"))
+    once = docs.join(picks.where("_rows = 1"), same, "left_semi")
+    again = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).join(picks.where("_rows > 1"), same)
+    one = again.groupBy("_pick", "_pick_hash").agg(F.min_by("_row", F.xxhash64(F.to_json(F.struct("_row")))).alias("_row"))
+    return once.unionByName(one.select("_row.*"))
