@@ -80,7 +80,7 @@ def cell_ranks(df: DataFrame, cell: Sequence[str], order: Column, out: str) -> D
     """
     cell = list(cell)
     buckets = cut(df.groupBy(*cell).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("_buckets")))
-    dealt = df.join(buckets, cell).withColumn("_order", order).withColumn("_bucket", F.pmod(F.xxhash64("_order"), F.col("_buckets")))
+    dealt = df.join(buckets, cell).withColumn("_order", order).withColumn("_bucket", F.pmod(F.xxhash64("_order"), F.col("_buckets"))).repartition(*cell, "_bucket")  # else the join's partitions of whole cells would do for the window
     counts = dealt.groupBy(*cell, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*cell).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*cell, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_first"))
