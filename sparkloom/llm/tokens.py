@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 _PLAIN = re.compile("[\\t\\n\\r -~¡-ɏ]*")
 #: A space beside white space: such texts aren't cut at spaces.
 _RUNS = re.compile(r" \s|\s ")
-#: Words kept by a worker's cache.
-CACHE = 400_000
+#: Words kept by a worker's cache, and characters whose words are held at once.
+CACHE, PART = 400_000, 4_000_000
 
 
 class Encoder:
@@ -59,6 +59,16 @@ class Encoder:
         return {w: raw[2 * a : 2 * b] for w, a, b in zip(words, [0, *stops[:-1].tolist()], stops.tolist())}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; words are held for about PART characters at a time."""
+        out, at, size = [], 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text or "") > PART:
+                out += self._part(texts[at:i])
+                at, size = i, 0
+            size += len(text or "")
+        return out + self._part(texts[at:])
+
+    def _part(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         cut = {}
         for i, text in enumerate(texts):
