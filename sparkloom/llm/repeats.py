@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, release
 
 #: Bytes of a rolling hash; bits of a place in a chunk; bytes of a chunk, which small numbers of cache lines favour.
 GRAM, PLACE, CHUNK = 24, 24, 1 << 19
@@ -101,9 +102,10 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _picked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc (the doc_id, the greatest long for null), th (31 bits of a hash of the text), raw."""
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(key.alias("doc"), F.xxhash64(raw).alias("th"), raw.alias("raw"))
+    return docs.select(key.alias("doc"), F.xxhash64(raw).bitwiseAND(F.lit(0x7FFFFFFF)).alias("th"), raw.alias("raw"))
 
 
 def _shared(docs: DataFrame, length: int) -> DataFrame:
@@ -119,125 +121,158 @@ def _shared(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("raw").mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
 
 
-def _bits(shared: DataFrame) -> np.ndarray:
+def _bits(hashes: DataFrame, column: str) -> np.ndarray:
     """A filter of 2^FILTER bits by the hashes' first bits; as words, of which it has a fixed number at most."""
-    place = F.shiftrightunsigned("trigger", 64 - FILTER)
-    words = shared.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(trigger, {64 - FILTER}) & 63 as int))")).alias("bits")).toArrow()
+    place = F.shiftrightunsigned(column, 64 - FILTER)
+    words = hashes.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - FILTER}) & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER - 6), np.int64)
     bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
-def _occurrences(docs: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
-    """trigger, context (a 128-bit hash of the bytes of all windows of the trigger), doc, th, x (the trigger's place), lo,
-    hi (the windows' first and last start) and, once for each context of a batch, the bytes; of what the filter lets pass."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - FILTER)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _place_hash(doc: int, pos: int) -> int:
+    """What xxhash64(doc, pos) is for two longs."""
+    return xxhash.xxh64_intdigest(pos.to_bytes(8, "little"), xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42))
+
+
+def _occurrences(docs: DataFrame, length: int, bits: np.ndarray, firsts: np.ndarray | None = None) -> DataFrame:
+    """Of what the filter of triggers lets pass: trigger, context (a hash of the bytes of all windows of the trigger), doc,
+    pos (th and the trigger's place), reach (how far before it the first and the last window start, 8 bits each).
+
+    With `firsts`, a filter of places, only what it lets pass too, with the bytes.
+    """
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((bits, firsts))
+    names = ["trigger", "context", "doc", "pos", "reach", *["bytes"] * (firsts is not None)]
 
     def run(batches):
-        names = ["trigger", "context", "doc", "th", "x", "lo", "hi", "bytes"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        filt = held.value
+        filt, places = held.value
         for batch in batches:
             docs_, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cols, seen, texts = [[] for _ in names], set(), _texts(batch.column(2))
-            for numbers, raw, ends, shift in _chunks(texts, length):
+            for numbers, raw, ends, shift in _chunks(_texts(batch.column(2)), length):
                 h, x, lo, hi = triggers(raw, ends, length)
-                place = h >> np.uint64(64 - FILTER)
-                hit = (filt[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                hit = _passes(filt, h)
+                if not hit.any():
+                    continue
                 h, x, lo, hi = h[hit], x[hit], lo[hit], hi[hit]
                 of = np.searchsorted(ends, lo, "right")
-                move = shift[of] - np.concatenate([[0], ends[:-1]])[of]
-                whole = raw.tobytes() if len(h) else b""
-                for t, a, b, c, k, m in zip(h.view(np.int64).tolist(), x.tolist(), lo.tolist(), hi.tolist(), of.tolist(), move.tolist()):
-                    part = whole[b : c + length]
-                    cid = xxhash.xxh3_128_digest(part)
-                    values = (t, cid, docs_[numbers[k]], ths[numbers[k]], a + m, b + m, c + m, None if cid in seen else part)
-                    seen.add(cid)
-                    for col, v in zip(cols, values):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-    return docs.mapInArrow(run, "trigger long, context binary, doc long, th long, x long, lo long, hi long, bytes binary")
-
-
-def _later(dictionary: DataFrame, length: int) -> DataFrame:
-    """doc, th, start, end of windows of first contexts that an earlier context of their trigger holds too.
-
-    A trigger's contexts are the dictionary's entries; their windows, by distance from the trigger, are its suffixes cut to
-    `length`. Sorted, equal strings stand side by side, in the order of the corpus, and all but the first are repeats.
+                at = x + (shift - np.concatenate([[0], ends[:-1]]))[of]
+                whole, number = raw.tobytes(), np.asarray(numbers)[of]
+                doc = np.asarray(docs_, np.int64)[number]
+                pos = (np.asarray(ths, np.int64)[number] << 32) | at
+                if places is not None:
+                    first = _passes(places, np.fromiter(map(_place_hash, doc.tolist(), pos.tolist()), np.uint64, len(pos)))
+                    h, x, lo, hi, doc, pos = h[first], x[first], lo[first], hi[first], doc[first], pos[first]
+                parts = [whole[a : b + length] for a, b in zip(lo.tolist(), hi.tolist())]
+                context = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+                cols = [pa.array(v) for v in (h.view(np.int64), context.view(np.int64), doc, pos, (x - lo << 8) | (x - hi))]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(parts, pa.binary())] if places is not None else []), names=names)
+
+    return docs.mapInArrow(run, "trigger long, context long, doc long, pos long, reach long" + ", bytes binary" * (firsts is not None))
+
+
+def _windows(rows) -> Iterator[tuple]:
+    """distance, string, doc, pos of each window of (trigger, doc, pos, reach, bytes); pos is the window's start, with th."""
+    for _, doc, pos, reach, raw in rows:
+        first, last = reach >> 8, reach & 255
+        length = len(raw) - (first - last)
+        for k in range(first - last + 1):
+            yield first - k, raw[k : k + length], doc, pos - first + k
+
+
+def _later(entries: DataFrame, many: DataFrame, length: int) -> DataFrame:
+    """doc, th, start, end of windows of the dictionary's entries that an earlier entry of their trigger holds too.
+
+    A trigger's entries are phrases with what stands around them; their windows, by distance from the trigger, are its
+    suffixes cut to `length`. Sorted, equal strings stand side by side, in the order of the corpus, and all but the first
+    are repeats.
     """
 
-    def windows(items):
-        for raw, doc, th, x, lo, hi in items:
-            for p in range(lo, hi + 1):
-                yield x - p, raw[p - lo : p - lo + length], doc, th, p
+    def spans_of(rows) -> pa.RecordBatch:
+        last, later, spans = None, [], []
+        for r in sorted(_windows(rows)):
+            if last == r[:2]:
+                later.append(r[2:])
+            last = r[:2]
+        for doc, pos in sorted(later):
+            if spans and spans[-1][0] == doc and spans[-1][1] <= pos <= spans[-1][2]:
+                spans[-1][2] = pos + length
+            else:
+                spans.append([doc, pos, pos + length])
+        low = (1 << 32) - 1
+        cols = zip(*[(d, a >> 32, a & low, (a & low) + b - a) for d, a, b in spans]) if spans else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "th", "start", "end"])
 
     def run(batches):
-        now, items = None, []
-
-        def flush():
-            rows, last, out = sorted(windows(items)), None, []
-            for r in rows:
-                if last is not None and r[:2] == last:
-                    out.append((r[2], r[3], r[4]))
-                last = r[:2]
-            out.sort()
-            spans: list[list[int]] = []
-            for doc, th, p in out:
-                if spans and spans[-1][:2] == [doc, th] and p <= spans[-1][3]:
-                    spans[-1][3] = p + length
-                else:
-                    spans.append([doc, th, p, p + length])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*spans) if spans else [[]] * 4)], names=["doc", "th", "start", "end"])
-
+        now, rows = None, []
         for batch in batches:
-            for t, *item in zip(*[c.to_pylist() for c in batch.columns]):
-                if t != now and items:
-                    yield flush()
-                    items = []
-                now = t
-                items.append(item)
-        if items:
-            yield flush()
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[0] != now and rows:
+                    if len(rows) > 1:
+                        yield spans_of(rows)
+                    rows = []
+                now = row[0]
+                rows.append(row)
+        if len(rows) > 1:
+            yield spans_of(rows)
 
-    rows = dictionary.select("trigger", "bytes", "doc", "th", "x", "lo", "hi")
-    few = rows.join(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where(F.col("k").between(2, SORTED)).select("trigger"), "trigger")
-    parts = int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = few.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(run, "doc long, th long, start long, end long")
-    return near.unionByName(_later_of_many(dictionary, rows, length))
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = entries.join(many, "trigger", "left_anti").select("trigger", "doc", "pos", "reach", "bytes").repartition(parts, "trigger").sortWithinPartitions("trigger")
+    return few.mapInArrow(run, "doc long, th long, start long, end long")
 
 
-def _later_of_many(dictionary: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """The same for triggers of more than SORTED contexts: their windows are dealt out by a hash of distance and bytes."""
+def _later_of_many(entries: DataFrame, many: DataFrame, length: int) -> DataFrame:
+    """The same for triggers of more than SORTED entries: their windows are dealt out by a hash of distance and bytes."""
 
     def run(batches):
         for batch in batches:
-            keys, cols = [], [[] for _ in range(3)]
-            for t, raw, doc, th, x, lo, hi in zip(*[c.to_pylist() for c in batch.columns]):
-                head = t.to_bytes(8, "little", signed=True)
-                for p in range(lo, hi + 1):
-                    keys.append(xxhash.xxh3_128_digest(head + bytes([x - p]) + raw[p - lo : p - lo + length]))
-                    for col, v in zip(cols, (doc, th, p)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in cols]], names=["key", "doc", "th", "p"])
-
-    many = cut(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where(F.col("k") > SORTED).select("trigger"))
-    dealt = cut(rows.join(many, "trigger").mapInArrow(run, "key binary, doc long, th long, p long"))
-    first = cut(dealt.groupBy("key").agg(F.min(F.struct("doc", "th", "p")).alias("first")))
-    again = dealt.join(first, "key").where(F.struct("doc", "th", "p") != F.col("first"))
-    return again.select("doc", "th", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
+            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+            keys, cols = [], [[] for _ in range(2)]
+            for row in rows:
+                head = row[0].to_bytes(8, "little", signed=True)
+                for far, raw, doc, pos in _windows([row]):
+                    keys.append(xxhash.xxh3_128_digest(head + bytes([far]) + raw))
+                    cols[0].append(doc)
+                    cols[1].append(pos)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in cols]], names=["key", "doc", "pos"])
+
+    dealt = cut(entries.join(many, "trigger").select("trigger", "doc", "pos", "reach", "bytes").mapInArrow(run, "key binary, doc long, pos long"))
+    first = cut(dealt.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first")))
+    again = dealt.join(first, "key").where(F.struct("doc", "pos") != F.col("first"))
+    return again.select("doc", *_apart(F.col("pos"), length))
+
+
+def _apart(pos, end) -> list:
+    at = pos.bitwiseAND(F.lit((1 << 32) - 1))
+    return [F.shiftright(pos, 32).alias("th"), at.alias("start"), (at + end).alias("end")]
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc, th, spans (start, end; unordered, they may overlap) of what repeats in docs (doc, th, raw)."""
-    shared = cut(_shared(docs, length))
-    seen = cut(_occurrences(docs, length, _bits(shared)).join(shared, "trigger"))
-    order = F.struct("doc", "th", "x", "lo", "hi")
-    dictionary = cut(seen.groupBy("context").agg(F.min("trigger").alias("trigger"), F.min(order).alias("f"), F.min("bytes").alias("bytes")).select("context", "trigger", "bytes", "f.*"))
-    first = dictionary.select("context", F.struct("doc", "th", "x", "lo", "hi").alias("f"))
-    copies = seen.select("context", "doc", "th", "x", "lo", "hi").join(first, "context").where(order != F.col("f"))
-    spans = copies.select("doc", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")).unionByName(_later(dictionary, length))
-    return cut(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spark = docs.sparkSession
+    seen = cut(_occurrences(docs, length, _bits(_shared(docs, length), "trigger")))
+    release(spark)
+    order = F.struct("doc", "pos", "reach")
+    dictionary = cut(seen.groupBy("trigger", "context").agg(F.min(order).alias("f"), F.count("*").alias("n")).select("trigger", "context", "n", "f.*"))
+    release(spark)
+    first = dictionary.where("n > 1").select("trigger", "context", F.struct("doc", "pos", "reach").alias("f"))
+    copies = seen.join(first, ["trigger", "context"]).where(F.struct("doc", "pos") != F.struct("f.doc", "f.pos"))
+    start, width = F.col("pos") - F.shiftright("reach", 8), F.shiftright("reach", 8) - F.col("reach").bitwiseAND(F.lit(255)) + length
+    whole = cut(copies.select("doc", *_apart(start, width)))
+    release(spark)
+    several = cut(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1"))
+    reps = dictionary.join(several.select("trigger"), "trigger", "left_semi").select(F.xxhash64("doc", "pos").alias("h"))
+    entries = cut(_occurrences(docs, length, _bits(several, "trigger"), _bits(reps, "h")))
+    many = cut(several.where(F.col("k") > SORTED).select("trigger"))
+    spans = whole.unionByName(_later(entries, many, length)).unionByName(_later_of_many(entries, many, length))
+    marks = cut(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    release(spark)
+    return marks
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -265,9 +300,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     trigger are compared in suffix order.
     """
     picked = _picked(docs, doc_id, text)
-    spans = repeated_spans(picked, length)
-    marks = spans.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    rows = picked.join(marks, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", "raw", "_spans")
+    marks = repeated_spans(picked, length)
+    held = docs.sparkSession.sparkContext.broadcast(_bits(marks.select(F.xxhash64("doc", "th").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        return pd.Series(_passes(held.value, h.to_numpy(np.int64).view(np.uint64)))
+
+    keyed = picked.withColumn("_hit", marked(F.xxhash64("doc", "th")))  # documents without marks stay where they are
+    found = marks.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    rows = keyed.where("_hit").join(found, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", "raw", "_spans")
+    none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans")
+    rows = rows.unionByName(keyed.where("NOT _hit").select("doc", "raw", none))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * with_text]
     pair = pa.list_(pa.list_(pa.int64()))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pair]

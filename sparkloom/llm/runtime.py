@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import sys
 import tempfile
@@ -27,6 +28,8 @@ def ship(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10000):  # the default; whole texts are long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +62,12 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to, now rather than at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there and lost executors cost nothing before it."""
     spark, folder = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
