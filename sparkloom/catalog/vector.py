@@ -220,7 +220,7 @@ def strategy_metrics(t):
 
 
 @query("AGG2 AGG5 AGG23", f"""WITH {RANKED}, {_POST}, {_STRAT}, d AS (SELECT m.*, CASE WHEN query_id % 3 = 0 THEN 'weak' WHEN query_id % 3 = 1 THEN 'medium' ELSE 'strong' END AS difficulty FROM met m)
-SELECT strategy, coalesce(difficulty, 'all') AS difficulty, count(*) AS n, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS rr, round(avg(ndcg), 9) AS ndcg FROM d GROUP BY GROUPING SETS ((strategy, difficulty), (strategy))""")
+SELECT strategy, coalesce(difficulty, 'all') AS difficulty, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM d GROUP BY GROUPING SETS ((strategy, difficulty), (strategy))""")
 def strategy_summary(t):
     per = M.evaluate(lanes(t), strict(t), K, by=("strategy",))
     level = F.when(F.col("query_id") % 3 == 0, "weak").when(F.col("query_id") % 3 == 1, "medium").otherwise("strong")
@@ -229,14 +229,14 @@ def strategy_summary(t):
 
 _LANES = """c AS (SELECT query_id, item_id // 4 AS item_id, max(score) AS score FROM pairs GROUP BY ALL),
 text AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM c),
-v AS (SELECT query_id, item_id // 4 AS item_id, round(avg(score), 6) AS score FROM pairs GROUP BY ALL),
+v AS (SELECT query_id, item_id // 4 AS item_id, round(avg(score), 8) AS score FROM pairs GROUP BY ALL),
 vis AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM v)"""
 
 
 def two_lanes(t, k=20):
     s = R.exact_scores(items(t), asked(t), None).withColumn("item_id", F.floor(F.col("item_id") / 4))
     best = s.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    mean = s.groupBy("query_id", "item_id").agg(F.round(F.avg("score"), 6).alias("score"))
+    mean = s.groupBy("query_id", "item_id").agg(F.round(F.avg("score"), 8).alias("score"))
     return R.top_items(best, k), R.top_items(mean, k)
 
 

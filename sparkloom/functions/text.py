@@ -22,7 +22,7 @@ def safe_slug(c: Column | str, cap: int = 180) -> Column:
 def options(c: Column | str) -> Column:
     """"A. x, B. y" as a map from letter to text."""
     at = lambda g: F.regexp_extract_all(_c(c), F.lit(r"([A-Z])\. *([^,]*)"), F.lit(g))
-    return F.map_from_arrays(at(1), F.transform(at(2), F.trim))
+    return F.map_from_arrays(at(1), F.transform(at(2), lambda x: F.trim(x)))
 
 
 def path_name(c: Column | str) -> Column:
@@ -114,7 +114,7 @@ def hash_unit(hexed: Column) -> Column:
 def hash_mod(hexed: Column, n: int) -> Column:
     """All 256 bits modulo n, digit by digit."""
     digit = lambda c: F.conv(c, 16, 10).cast("bigint")
-    return F.aggregate(F.split(hexed, "(?!^)"), F.lit(0).cast("bigint"), lambda a, c: F.pmod(a * 16 + digit(c), F.lit(n)))
+    return F.aggregate(F.sequence(F.lit(1), F.length(hexed)), F.lit(0).cast("bigint"), lambda a, i: F.pmod(a * 16 + digit(F.substring(hexed, i, F.lit(1))), F.lit(n)))
 
 
 def words(c: Column | str) -> Column:
@@ -195,7 +195,7 @@ def chunk_paragraphs(c: Column | str, least: int = 40, most: int = 800) -> Colum
 
     A fold over the paragraphs; merging needs the state of what is held, so no window does it.
     """
-    paragraphs = F.filter(F.transform(F.split(_c(c), r"\n+"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(_c(c), r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
     def step(a: Column, p: Column) -> Column:

@@ -73,5 +73,5 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def summary(per_query: DataFrame, by: str, sub: str, values: list[str]) -> DataFrame:
     """Means by (by, sub), and by `by` alone with sub "all", as grouping sets of one pass."""
     sets = per_query.groupingSets([[F.col(by), F.col(sub)], [F.col(by)]], F.col(by), F.col(sub))
-    out = sets.agg(F.count("*").alias("n"), F.grouping(sub).alias("_g"), *[F.round(F.avg(v), 9).alias(v) for v in values])
+    out = sets.agg(F.count("*").alias("n"), F.grouping(sub).alias("_g"), *[F.round(F.avg(v), 6).alias(v) for v in values])
     return out.select(by, F.when(F.col("_g") == 1, "all").otherwise(F.col(sub).cast("string")).alias(sub), "n", *values)
