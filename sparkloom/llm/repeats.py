@@ -18,6 +18,8 @@ from .runtime import cut, release
 GRAM, PLACE, CHUNK = 24, 24, 1 << 19
 #: Bits of the filter of shared triggers: a fixed size, so a larger corpus only lets more through.
 FILTER = 26
+#: Contexts of one trigger that are compared two by two.
+PAIRED = 12
 #: Contexts of one trigger that are sorted in one task; those of others are dealt out by their strings.
 SORTED = 256
 
@@ -97,6 +99,48 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], np.nda
         yield out()
 
 
+def _blocks(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where blocks of phrases begin: at a text's first phrase and at triggers whose hash says so, one in eight."""
+    return np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | ((h[1:] >> np.uint64(40)) & np.uint64(7) == 0)])) if len(h) else np.zeros(0, np.int64)
+
+
+def _parsed(batches, length: int, firsts: np.ndarray | None = None) -> Iterator[tuple]:
+    """Of each chunk of (doc, th, raw) rows: h, x, lo, hi, doc, pos (th, and the trigger's place in its text) of its phrases,
+    the chunk's bytes and where its blocks begin; with `firsts`, a filter of places, of the blocks that it lets pass."""
+    for batch in batches:
+        docs_, ths = np.asarray(batch.column(0).to_pylist(), np.int64), np.asarray(batch.column(1).to_pylist(), np.int64)
+        for numbers, raw, ends, shift in _chunks(_texts(batch.column(2)), length):
+            h, x, lo, hi = triggers(raw, ends, length)
+            if not len(h):
+                continue
+            of = np.searchsorted(ends, lo, "right")
+            number = np.asarray(numbers)[of]
+            doc, pos = docs_[number], (ths[number] << 32) | (x + (shift - np.concatenate([[0], ends[:-1]]))[of])
+            begin = _blocks(h, of)
+            if firsts is not None:
+                ok = _passes(firsts, np.fromiter(map(_place_hash, doc[begin].tolist(), pos[begin].tolist()), np.uint64, len(begin)))
+                keep = np.repeat(ok, np.diff(np.append(begin, len(h))))
+                h, x, lo, hi, doc, pos, begin = h[keep], x[keep], lo[keep], hi[keep], doc[keep], pos[keep], None
+            if len(h):
+                yield h, x, lo, hi, doc, pos, raw, begin
+
+
+def _parse(docs: DataFrame, length: int) -> DataFrame:
+    """b1, b2 (128 bits of a hash of all windows' bytes), doc, pos (of the first trigger), back (how far before it the first
+    window starts), size (bytes) of each block of phrases."""
+    names = ["b1", "b2", "doc", "pos", "back", "size"]
+
+    def run(batches):
+        for h, x, lo, hi, doc, pos, raw, begin in _parsed(batches, length):
+            whole, last = raw.tobytes(), hi[np.append(begin[1:], len(h)) - 1] + length
+            first = lo[begin]
+            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(first.tolist(), last.tolist())]), np.int64).reshape(-1, 2)
+            cols = (digests[:, 0], digests[:, 1], doc[begin], pos[begin], x[begin] - first, last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.to_pylist()]
 
@@ -108,17 +152,18 @@ def _picked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(key.alias("doc"), F.xxhash64(raw).bitwiseAND(F.lit(0x7FFFFFFF)).alias("th"), raw.alias("raw"))
 
 
-def _shared(docs: DataFrame, length: int) -> DataFrame:
-    """trigger: hashes of the triggers that stand twice or more; each batch is summed before it is dealt out."""
+def _shared(docs: DataFrame, length: int, firsts: np.ndarray) -> DataFrame:
+    """trigger: hashes of the triggers that stand twice or more in first blocks; sums are taken before rows are dealt out."""
+    held = docs.sparkSession.sparkContext.broadcast(firsts)
 
     def run(batches):
         for batch in batches:
-            got = [triggers(raw, ends, length)[0] for _, raw, ends, _ in _chunks(_texts(batch.column(0)), length)]
+            got = [h for h, *_ in _parsed([batch], length, held.value)]
             if got:
                 hashes, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["trigger", "n"])
 
-    return docs.select("raw").mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
+    return docs.mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
 
 
 def _bits(hashes: DataFrame, column: str) -> np.ndarray:
@@ -140,40 +185,64 @@ def _place_hash(doc: int, pos: int) -> int:
     return xxhash.xxh64_intdigest(pos.to_bytes(8, "little"), xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42))
 
 
-def _occurrences(docs: DataFrame, length: int, bits: np.ndarray, firsts: np.ndarray | None = None) -> DataFrame:
-    """Of what the filter of triggers lets pass: trigger, context (a hash of the bytes of all windows of the trigger), doc,
-    pos (th and the trigger's place), reach (how far before it the first and the last window start, 8 bits each).
+def _occurrences(docs: DataFrame, length: int, firsts: np.ndarray, bits: np.ndarray, places: np.ndarray | None = None) -> DataFrame:
+    """Of first blocks, and of what the filter of triggers lets pass: trigger, context (a hash of the bytes of all windows of
+    the trigger), doc, pos, reach (how far before it the first and the last window start, 8 bits each).
 
-    With `firsts`, a filter of places, only what it lets pass too, with the bytes.
+    With `places`, a filter of places, only what it lets pass too, with the bytes.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((bits, firsts))
-    names = ["trigger", "context", "doc", "pos", "reach", *["bytes"] * (firsts is not None)]
+    held = docs.sparkSession.sparkContext.broadcast((firsts, bits, places))
+    names = ["trigger", "context", "doc", "pos", "reach", *["bytes"] * (places is not None)]
 
     def run(batches):
-        filt, places = held.value
-        for batch in batches:
-            docs_, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for numbers, raw, ends, shift in _chunks(_texts(batch.column(2)), length):
-                h, x, lo, hi = triggers(raw, ends, length)
-                hit = _passes(filt, h)
-                if not hit.any():
-                    continue
-                h, x, lo, hi = h[hit], x[hit], lo[hit], hi[hit]
-                of = np.searchsorted(ends, lo, "right")
-                at = x + (shift - np.concatenate([[0], ends[:-1]]))[of]
-                whole, number = raw.tobytes(), np.asarray(numbers)[of]
-                doc = np.asarray(docs_, np.int64)[number]
-                pos = (np.asarray(ths, np.int64)[number] << 32) | at
-                if places is not None:
-                    first = _passes(places, np.fromiter(map(_place_hash, doc.tolist(), pos.tolist()), np.uint64, len(pos)))
-                    h, x, lo, hi, doc, pos = h[first], x[first], lo[first], hi[first], doc[first], pos[first]
-                parts = [whole[a : b + length] for a, b in zip(lo.tolist(), hi.tolist())]
-                context = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-                cols = [pa.array(v) for v in (h.view(np.int64), context.view(np.int64), doc, pos, (x - lo << 8) | (x - hi))]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(parts, pa.binary())] if places is not None else []), names=names)
-
-    return docs.mapInArrow(run, "trigger long, context long, doc long, pos long, reach long" + ", bytes binary" * (firsts is not None))
+        firsts, bits, places = held.value
+        for h, x, lo, hi, doc, pos, raw, _ in _parsed(batches, length, firsts):
+            hit = _passes(bits, h)
+            if places is not None and hit.any():
+                own = np.flatnonzero(hit)
+                hit[own] = _passes(places, np.fromiter(map(_place_hash, doc[own].tolist(), pos[own].tolist()), np.uint64, len(own)))
+            if not hit.any():
+                continue
+            h, x, lo, hi, doc, pos, whole = h[hit], x[hit], lo[hit], hi[hit], doc[hit], pos[hit], raw.tobytes()
+            parts = [whole[a : b + length] for a, b in zip(lo.tolist(), hi.tolist())]
+            context = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+            cols = [pa.array(v) for v in (h.view(np.int64), context.view(np.int64), doc, pos, (x - lo << 8) | (x - hi))]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(parts, pa.binary())] if places is not None else []), names=names)
+
+    return docs.mapInArrow(run, "trigger long, context long, doc long, pos long, reach long" + ", bytes binary" * (places is not None))
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        mid = (low + n) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            n = mid
+    return low
+
+
+def _later_of_few(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
+    """doc, first and last later window of entries of one trigger that an earlier entry holds too: by how far two entries
+    agree before and after the trigger, all distances at which they have one string are known at once."""
+    rows = sorted(rows, key=lambda r: r[1:3])
+    sides = [(raw[: reach >> 8][::-1], raw[reach >> 8 :]) for _, _, _, reach, raw in rows]
+    out = []
+    for j in range(1, len(rows)):
+        _, doc, pos, reach, _ = rows[j]
+        for i in range(j):
+            if rows[i][1:3] == (doc, pos):
+                continue
+            far = min(_common(sides[i][0], sides[j][0]), reach >> 8, rows[i][3] >> 8)
+            near = max(length - _common(sides[i][1], sides[j][1]), reach & 255, rows[i][3] & 255)
+            if near <= far:
+                out.append((doc, pos - far, pos - near))
+    return out
 
 
 def _windows(rows) -> Iterator[tuple]:
@@ -194,16 +263,22 @@ def _later(entries: DataFrame, many: DataFrame, length: int) -> DataFrame:
     """
 
     def spans_of(rows) -> pa.RecordBatch:
-        last, later, spans = None, [], []
-        for r in sorted(_windows(rows)):
-            if last == r[:2]:
-                later.append(r[2:])
-            last = r[:2]
-        for doc, pos in sorted(later):
-            if spans and spans[-1][0] == doc and spans[-1][1] <= pos <= spans[-1][2]:
-                spans[-1][2] = pos + length
+        later = []
+        if len(rows) <= PAIRED:
+            later = _later_of_few(rows, length)
+        else:
+            first = None
+            for r in sorted(_windows(rows)):
+                if first is None or first[:2] != r[:2]:
+                    first = r
+                elif first[2:] != r[2:]:
+                    later.append((r[2], r[3], r[3]))
+        spans = []
+        for doc, a, b in sorted(later):
+            if spans and spans[-1][0] == doc and spans[-1][1] <= a <= spans[-1][2]:
+                spans[-1][2] = max(spans[-1][2], b + length)
             else:
-                spans.append([doc, pos, pos + length])
+                spans.append([doc, a, b + length])
         low = (1 << 32) - 1
         cols = zip(*[(d, a >> 32, a & low, (a & low) + b - a) for d, a, b in spans]) if spans else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "th", "start", "end"])
@@ -255,21 +330,30 @@ def _apart(pos, end) -> list:
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc, th, spans (start, end; unordered, they may overlap) of what repeats in docs (doc, th, raw)."""
     spark = docs.sparkSession
-    seen = cut(_occurrences(docs, length, _bits(_shared(docs, length), "trigger")))
+    blocks = cut(_parse(docs, length))
+    first = cut(blocks.groupBy("b1", "b2").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("n")))
+    release(spark)
+    firsts = _bits(first.select(F.xxhash64("f.doc", "f.pos").alias("h")), "h")
+    again = blocks.join(first.where("n > 1").select("b1", "b2", "f"), ["b1", "b2"]).where(F.struct("doc", "pos") != F.col("f"))
+    copied = cut(again.select("doc", *_apart(F.col("pos") - F.col("back"), F.col("size"))))
     release(spark)
-    order = F.struct("doc", "pos", "reach")
-    dictionary = cut(seen.groupBy("trigger", "context").agg(F.min(order).alias("f"), F.count("*").alias("n")).select("trigger", "context", "n", "f.*"))
+    seen = cut(_occurrences(docs, length, firsts, _bits(_shared(docs, length, firsts), "trigger")))
     release(spark)
-    first = dictionary.where("n > 1").select("trigger", "context", F.struct("doc", "pos", "reach").alias("f"))
-    copies = seen.join(first, ["trigger", "context"]).where(F.struct("doc", "pos") != F.struct("f.doc", "f.pos"))
+    dictionary = cut(seen.groupBy("trigger", "context").agg(F.min(F.struct("doc", "pos", "reach")).alias("f"), F.count("*").alias("n")).select("trigger", "context", "n", "f.*"))
+    release(spark)
+    one = dictionary.where("n > 1").select("trigger", "context", F.struct("doc", "pos").alias("f"))
+    copies = seen.join(one, ["trigger", "context"]).where(F.struct("doc", "pos") != F.col("f"))
     start, width = F.col("pos") - F.shiftright("reach", 8), F.shiftright("reach", 8) - F.col("reach").bitwiseAND(F.lit(255)) + length
     whole = cut(copies.select("doc", *_apart(start, width)))
     release(spark)
     several = cut(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1"))
     reps = dictionary.join(several.select("trigger"), "trigger", "left_semi").select(F.xxhash64("doc", "pos").alias("h"))
-    entries = cut(_occurrences(docs, length, _bits(several, "trigger"), _bits(reps, "h")))
+    entries = cut(_occurrences(docs, length, firsts, _bits(several, "trigger"), _bits(reps, "h")))
     many = cut(several.where(F.col("k") > SORTED).select("trigger"))
-    spans = whole.unionByName(_later(entries, many, length)).unionByName(_later_of_many(entries, many, length))
+    release(spark)
+    later = cut(_later(entries, many, length).unionByName(_later_of_many(entries, many, length)))
+    release(spark)
+    spans = copied.unionByName(whole).unionByName(later)
     marks = cut(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     release(spark)
     return marks
@@ -294,8 +378,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     hash. An empty table gives none; other columns are left out.
 
     Prefix-free parsing, cut to the depth that is asked: a trigger is a place whose rolling hash is the least of a window of
-    `length` bytes; triggers part texts into phrases, and every window belongs to one trigger. Triggers that stand once hold
-    no repeat. Of the others, equal contexts (a phrase and what stands around it, as far as windows reach) are one entry of
+    `length` bytes; triggers part texts into phrases, and every window belongs to one trigger. The parse of a text, in blocks
+    of about eight phrases, is looked at first: of equal blocks all but the first in the corpus are repeats as a whole, and
+    hold no first window. In first blocks, triggers that stand once hold no repeat. Of the others, equal contexts (a phrase and what stands around it, as far as windows reach) are one entry of
     the dictionary, of whose occurrences all but the first in the corpus are repeats as a whole; different contexts of one
     trigger are compared in suffix order.
     """
