@@ -33,8 +33,8 @@ def test_held_out_accuracy_and_fusion(spark):
 
 
 def test_a_host_decides_where_the_text_is_silent(spark):
-    """One word that all languages share: the declared language and the host's prior remain."""
-    rows = corpus() + [(5000, "mmm", "de", "de.example.org"), (5001, "mmm", None, "fr.example.org")]
+    """A word that no language knows: the host's prior remains."""
+    rows = corpus() + [(5000, "mmm", None, "de.example.org"), (5001, "mmm", None, "fr.example.org")]
     got = {r.doc_id: r for r in language.identify_documents(docs(spark, rows)).collect()}
     assert got[5000].language == "de" and got[5001].language == "fr"
 
