@@ -84,3 +84,15 @@ def paragraph_chunks(t):
     """Chunks of documents without front matter; a fold that SQL lacks, held against a plain loop in tests."""
     d = t("documents").where("text IS NOT NULL").select("doc_id", X.chunk_paragraphs(X.front_matter_stripped("text")).alias("c"))
     return d.select("doc_id", F.size("c").alias("n_chunks"), F.array_max(F.transform("c", F.length)).alias("longest"), F.sha2(F.array_join("c", "\n"), 256).alias("sha256"))
+
+
+@query("SF7", """SELECT p_partkey, CASE WHEN regexp_matches(lower(replace(p_name, ' ', '_')), '(^|_)(indoor|inside|store)(_|$)') THEN 'inside' ELSE 'outside' END AS place, coalesce(nullif(regexp_extract(lower(replace(p_name, ' ', '_')), '(rain|snow|fog|clear)', 1), ''), 'unknown') AS weather, try_cast(nullif(regexp_extract(lower(replace(p_name, ' ', '_')), '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) AS count FROM part""")
+def slug_structs(t):
+    return t("part").select("p_partkey", X.slug_attributes(F.lower(F.replace("p_name", F.lit(" "), F.lit("_")))).alias("s")).select("p_partkey", "s.*")
+
+
+@query("SF37")
+def revision_facts(t):
+    """Changed runs between an event's two renderings; a diff that SQL lacks, held against fixed cases in tests."""
+    e = t("events").select("event_id", F.concat(F.lit("user "), "user_id", F.lit(" did a thing")).alias("old"), F.concat(F.lit("user "), "user_id", F.lit(" did "), "event_type").alias("new"))
+    return e.select("event_id", F.explode(X.changed_facts("old", "new")).alias("f")).select("event_id", "f.old", "f.new", "f.cloze")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,3 +209,31 @@ def chunk_paragraphs(c: Column | str, least: int = 40, most: int = 800) -> Colum
 
     end = lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"])))
     return F.aggregate(paragraphs, start, step, end)
+
+
+def slug_attributes(c: Column | str) -> Column:
+    """place, weather, count of a slug: whether it names the inside, a weather word, and its last number (null if none)."""
+    place = F.when(_c(c).rlike("(^|_)(indoor|inside|store)(_|$)"), "inside").otherwise("outside")
+    weather = F.coalesce(F.nullif(F.regexp_extract(_c(c), "(rain|snow|fog|clear)", 1), F.lit("")), F.lit("unknown"))
+    return F.struct(place.alias("place"), weather.alias("weather"), F.nullif(F.regexp_extract(_c(c), "([0-9]+)[^0-9]*$", 1), F.lit("")).try_cast("bigint").alias("count"))
+
+
+def changed_facts(old: Column | str, new: Column | str) -> Column:
+    """Runs of words that a revision replaced, with the new text's eight words around each and the changed run blanked.
+
+    A diff of two token lists is a sequence alignment, which no built-in function makes.
+    """
+
+    @F.pandas_udf("array<struct<old:string,new:string,cloze:string>>")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_changes(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return diff(_c(old), _c(new))
+
+
+def _changes(a: str | None, b: str | None) -> list[dict] | None:
+    if a is None or b is None:
+        return None
+    x, y = a.split(), b.split()
+    ops = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+    return [{"old": " ".join(x[i:j]), "new": " ".join(y[k:m]), "cloze": " ".join([*y[max(0, k - 4) : k], "____", *y[m : m + 4]])} for op, i, j, k, m in ops if op == "replace"]
