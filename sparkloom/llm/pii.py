@@ -201,8 +201,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: s
     the new length where the text changed. Overlapping spans are replaced as one, by the kind of the first. A null text
     stays null."""
     keyed = _keyed(docs, doc_id, text)
-    narrow = cut(find(keyed.select("_id", "_hash", F.col(f"`{text}`").cast("string").alias("_own"))
-                      .where("_own IS NOT NULL"), "_own").drop("_own").where("size(_base) > 0 OR size(_maybe) > 0"))
+    own = keyed.select("_id", "_hash", F.col(f"`{text}`").cast("string").alias("_own")).where("_own IS NOT NULL")
+    narrow = cut(find(own, "_own").drop("_own")).where("size(_base) > 0 OR size(_maybe) > 0")  # a filter before the cut would repeat the search
     new = added_spans(narrow, docs, text)
     whole = _with_added(narrow, new).select(F.col("_id").alias("_d"), F.col("_hash").alias("_t"), F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_s"))
     one = cut(whole.where("size(_s) > 0").groupBy("_d", "_t").agg(F.min("_s").alias("_s")))
