@@ -196,6 +196,21 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *of, F.sha2(_listed(plain), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def _reach(spans_: Column) -> Column:
+    """For each span the greatest end of all spans before it, 0 if there is none; in blocks of about sqrt(spans), as in
+    _located. The blocks' greatest ends are bound by a lambda: as a column they would be formed again for each span."""
+    ends = F.transform(spans_, lambda s: s["end"])
+    b = F.greatest(F.ceil(F.sqrt(F.size(spans_))).cast("int"), F.lit(1))
+    tops = lambda e: F.transform(F.sequence(F.lit(0), F.ceil(F.size(e) / b).cast("int") - 1), lambda k: F.array_max(F.slice(e, k * b + 1, b)))
+
+    def before(e: Column, top: Column, i: Column) -> Column:
+        k = F.floor(i / b).cast("int")
+        return F.greatest(F.lit(0).cast("bigint"), F.array_max(F.slice(top, F.lit(1), k)), F.array_max(F.slice(e, k * b + 1, i - k * b)))
+
+    bound = F.transform(F.array(ends), lambda e: F.struct(e.alias("e"), tops(e).alias("top")))
+    return F.when(F.size(spans_) > 0, F.get(F.transform(bound, lambda x: F.transform(x["e"], lambda _, i: before(x["e"], x["top"], i))), F.lit(0)))
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets; all columns stay, `chars` (if there) is set to
     the new length where the text changed. Overlapping spans are replaced as one, by the kind of the first. A null text
@@ -208,9 +223,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: s
     one = cut(whole.where("size(_s) > 0").groupBy("_d", "_t").agg(F.min("_s").alias("_s")))
     joined = keyed.join(one, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left")
     own = F.col(f"`{text}`").cast("string")
-    reach = F.transform("_s", lambda s, i: F.greatest(F.lit(0).cast("bigint"), F.array_max(F.transform(F.slice("_s", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(4))), lambda x: x["end"]))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    joined = joined.withColumn("_reach", reach)
+    joined = joined.withColumn("_reach", _reach(F.col("_s")))
     piece = lambda s, i: F.when(s["start"] < F.coalesce(F.get("_reach", i), F.lit(0)), F.lit("")).otherwise(F.concat(F.substring(own, (F.coalesce(F.get("_reach", i), F.lit(0)) + 1).cast("int"), (s["start"] - F.coalesce(F.get("_reach", i), F.lit(0))).cast("int")), F.get(names, s["kind"])))
     last = F.coalesce(F.array_max(F.transform("_s", lambda s: s["end"])), F.lit(0))
     clean = F.concat(F.array_join(F.transform("_s", piece), ""), F.substring(own, (last + 1).cast("int"), F.length(own)))

@@ -83,3 +83,33 @@ def test_many_matches_in_one_text(spark):
     text = " ".join(f"u{i}@h{i}.org" for i in range(3000))
     r = pii.digest(pii.spans(docs(spark, [(1, text)]))).first()
     assert r.n_email == 3000 and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(text)).encode()).hexdigest()
+
+
+def plain_redaction(text, spans):
+    out, reach = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= reach:
+            out.append(text[reach:a] + f"[{kind.upper()}]")
+        reach = max(reach, b)
+    return "".join(out) + text[reach:]
+
+
+def test_redaction_of_many_spans_keeps_all_text_between_them(spark):
+    rng = random.Random(8)
+    makes = [lambda i: f"u{i}@h{i}.org", lambda i: f"10.{i % 256}.3.4", lambda i: "4111 1111 1111 1111", lambda i: f"+44 20 7946 {i:04d}", lambda i: f"+1.2.3.4.5.6.7.{i:04d}"]
+    made = lambda n: " ".join(f"{prose(2, i)} {rng.choice(makes)(i)} é" for i in range(n)) + " the end"
+    texts = [made(n) for n in (1, 2, 3, 4, 5, 6, 9, 40)] + [made(4000)]
+    df = docs(spark, list(enumerate(texts)))
+    found = {r.doc_id: [(s["start"], s["end"], list(pii.KINDS)[s["kind"]]) for s in r.spans] for r in pii.spans(df).collect()}
+    assert len(found[8]) >= 4000 and all(b > a for a, b, _ in found[8])
+    for r in pii.redact(df).collect():
+        assert r.text == plain_redaction(texts[r.doc_id], found[r.doc_id]) and r.n_chars == len(r.text)
+
+
+def test_reach_is_the_greatest_end_of_all_earlier_spans(spark):
+    rng = random.Random(9)
+    lists = [[], [(0, 5)], [(0, 10000)] + [(i, i + 2) for i in range(1, 3000)]] + [sorted((a := rng.randrange(500), a + 1 + rng.randrange(90)) for _ in range(n)) for n in range(1, 60)]
+    rows = [(i, [{"start": a, "end": b} for a, b in x]) for i, x in enumerate(lists)]
+    got = spark.createDataFrame(rows, "i int, s array<struct<start:bigint,end:bigint>>").select("i", pii._reach(pii.F.col("s")).alias("r")).collect()
+    for r in got:
+        assert (r.r or []) == [max([0, *(b for _, b in lists[r.i][:k])]) for k in range(len(lists[r.i]))]
