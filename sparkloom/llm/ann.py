@@ -12,7 +12,7 @@ from .runtime import cut
 
 #: Most vectors that the fit reads; most lists; candidates and queries that meet in one task.
 SAMPLE, LISTS, BLOCK, ASKS = 16384, 4096, 8192, 2048
-#: Entries that every query is compared with first: their distances bound what lists may give, and they count as found.
+#: Entries that every query is compared with first: the distances of those in its lists bound what the lists may give.
 PILOT = 4096
 #: Share of the sample's own neighbours that the probed lists must hold, which sets their number.
 COVER = 0.97
@@ -42,7 +42,7 @@ class Index:
     query a zero there.
     """
 
-    def __init__(self, sample: np.ndarray, ids: list[list[int]], bound: float, rows: int, k: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, bound: float, rows: int, k: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.bound, self.k = bound, k
         dims = sample.shape[1] + 1
@@ -64,7 +64,7 @@ class Index:
         order = _nearest(queries, centres, lists)
         place = np.argsort(order, axis=1)
         self.probes = int(np.clip(np.quantile(np.take_along_axis(place, of[exact], 1) + 1, COVER, method="higher"), 1, lists))
-        self.pilot, self.plain, self.ids = points[:PILOT], sample[:PILOT], ids[:PILOT]
+        self.pilot, self.pilot_list = points[:PILOT], of[:PILOT]
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.bound**2 - (vectors**2).sum(1), 0))
@@ -73,11 +73,13 @@ class Index:
     def queries(self, vectors: np.ndarray) -> np.ndarray:
         return np.column_stack([vectors, np.zeros(len(vectors))]) @ self.rotation
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Squared distances within which the pilot alone gives each query k others; infinite if it has too few."""
+    def bounds(self, queries: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """Squared distances within which the pilot's entries in each query's probed lists (query x list) give it k others;
+        infinite if they are too few."""
         if len(self.pilot) <= self.k:
             return np.full(len(queries), np.inf)
         d = (queries**2).sum(1)[:, None] + (self.pilot**2).sum(1) - 2 * queries @ self.pilot.T
+        d = np.where(probed[:, self.pilot_list], d, np.inf)
         return np.partition(d, self.k, axis=1)[:, self.k] * (1 + 1e-9) + 1e-12
 
 
@@ -122,7 +124,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
 
     Equal vectors are one entry of the index. A sample of at most SAMPLE entries fits centres, as many as the root of the
     entries, and the number of lists to probe; every entry is put in its centre's list. Lists and their queries meet in
-    blocks of at most BLOCK and ASKS, so neither a large list nor a popular one lands in one task.
+    blocks of at most BLOCK and ASKS, so neither a large list nor a popular one lands in one task. Only probed lists give
+    results; queries to which the scan leaves too few scan their lists again without a bound.
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL").where(_valid(F.col("v")))
     rows = cut(rows.distinct())
@@ -135,9 +138,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     entries = cut(_distinct(rows, k + 1))
     n, bound = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     share = F.lit(min(1.0, SAMPLE / n) * (1 << 30))
-    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v", "ids").toArrow()
-    sample = sample if sample.num_rows > 1 else entries.orderBy("rep").limit(SAMPLE).select("v", "ids").toArrow()
-    index = Index(_matrix(sample.column(0)), sample.column(1).to_pylist(), float(np.sqrt(bound)), n, k)
+    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v").toArrow()
+    sample = sample if sample.num_rows > 1 else entries.orderBy("rep").limit(SAMPLE).select("v").toArrow()
+    index = Index(_matrix(sample.column(0)), float(np.sqrt(bound)), n, k)
     held = spark.sparkContext.broadcast(index)
 
     def to_list(batches):
@@ -160,18 +163,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             enough = np.maximum(ix.probes, (np.cumsum(filled[order], axis=1) <= ix.k).sum(1) + 1) if len(q) else []
             a = np.repeat(np.arange(len(q)), np.minimum(enough, len(ix.centres))) if len(q) else np.zeros(0, np.int64)
             lists = np.concatenate([o[:e] for o, e in zip(order, enough)]) if len(q) else np.zeros(0, np.int64)
-            within = np.where(np.minimum(enough, len(ix.centres)) > ix.probes, np.inf, ix.bounds(q)) if len(q) else np.zeros(0)
+            probed = np.zeros((len(q), len(ix.centres)), bool)
+            probed[a, lists] = True
+            parts = [ix.bounds(q[s : s + 256], probed[s : s + 256]) for s in range(0, len(q), 256)]
+            within = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a)), batch.column(1).take(pa.array(a)), pa.array(lists.astype(np.int32)), pa.array(within[a])], names=["q", "qv", "list", "within"])
 
     distinct_asks = cut(known.select("rep").distinct().join(entries.select("rep", "v"), "rep").select(F.col("rep").alias("q"), F.col("v").alias("qv")))
     probes = cut(distinct_asks.mapInArrow(probe, "q long, qv array<double>, list int, within double"))
-    asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    blocks = np.array([max(1, -(-held_by.get(i, (0, 0))[0] // BLOCK)) for i in range(len(filled))])
-    turns = np.array([max(1, -(-asked.get(i, 0) // ASKS)) for i in range(len(filled))])
-    at = lambda x: F.element_at(F.array(*[F.lit(int(v)) for v in x]), F.col("list") + 1) if len(set(x.tolist())) > 1 else F.lit(int(x[0]))
-    each = lambda x: F.explode(F.sequence(F.lit(0), at(x) - 1))
-    left = probes.withColumn("turn", F.pmod(F.xxhash64("q"), at(turns)).cast("int")).withColumn("block", each(blocks))
-    right = listed.withColumn("block", F.pmod(F.xxhash64("rep"), at(blocks)).cast("int")).withColumn("turn", each(turns))
 
     def listing(names: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
         """The k + 1 best entries of each query i, as rows for all their ids."""
@@ -194,20 +193,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 parts.append(listing(names, i + s, j, np.einsum("ij,ij->i", qv[i + s], pv[j]), ids))
         return pa.Table.from_batches(parts, schema=pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
 
-    def pilot(batches):
-        for batch in batches:
-            ix, qv = held.value, _matrix(batch.column(1))
-            for s in range(0, len(qv), 256):
-                part = qv[s : s + 256]
-                near = _nearest(ix.queries(part), ix.pilot, k + 1)
-                i, j = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
-                yield listing(batch.column(0).to_numpy()[s:], i, j, np.einsum("ij,ij->i", part[i], ix.plain[j]), ix.ids)
-
-    keys = ["list", "block", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "q long, id long, score double")
-    found = found.unionByName(distinct_asks.mapInArrow(pilot, "q long, id long, score double")).groupBy("q", "id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = cut(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
+    def best(probes: DataFrame) -> DataFrame:
+        """q, id, score: what the probed lists give each query, k + 1 at most."""
+        asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        blocks = np.array([max(1, -(-held_by.get(i, (0, 0))[0] // BLOCK)) for i in range(len(filled))])
+        turns = np.array([max(1, -(-asked.get(i, 0) // ASKS)) for i in range(len(filled))])
+        at = lambda x: F.element_at(F.array(*[F.lit(int(v)) for v in x]), F.col("list") + 1) if len(set(x.tolist())) > 1 else F.lit(int(x[0]))
+        each = lambda x: F.explode(F.sequence(F.lit(0), at(x) - 1))
+        left = probes.withColumn("turn", F.pmod(F.xxhash64("q"), at(turns)).cast("int")).withColumn("block", each(blocks))
+        right = listed.withColumn("block", F.pmod(F.xxhash64("rep"), at(blocks)).cast("int")).withColumn("turn", each(turns))
+        keys = ["list", "block", "turn"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
+        first = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        return cut(found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r"))
+
+    top = best(probes)
+    short = distinct_asks.join(top.groupBy("q").agg(F.count("*").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) <= k).select("q")
+    again = cut(probes.where("within < double('infinity')").join(short, "q").withColumn("within", F.lit(float("inf"))))
+    if again.limit(1).count():
+        top = cut(top.join(again.select("q").distinct(), "q", "left_anti").unionByName(best(again)))
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     pairs = known.join(top, known["rep"] == top["q"]).where(F.col("query_id") != F.col("id")).select("query_id", F.col("id").alias("vec_id"), "score")
     return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -79,3 +79,35 @@ def test_scan_gives_up_far_pairs_early_and_keeps_near_ones():
     kept = set(zip(i.tolist(), j.tolist()))
     near = {(a, b) for a in range(20) for b in np.argsort(d[a])[:20].tolist()}
     assert len(kept) <= 21 * 20 and len(near & kept) >= 0.97 * len(near)
+
+
+def recall(spark, rows, want, k):
+    got = ann.search(frame(spark, rows), F.col("id") % 20 == 0, k=k).collect()
+    assert len(got) == k * len(want)
+    return sum(r.vec_id in {j for j, _ in want[r.query_id]} for r in got) / len(got)
+
+
+def test_recall_is_that_of_probed_lists_whatever_the_pilot(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 24)))]
+    want = exact(rows, 20)
+    monkeypatch.setattr(ann, "PILOT", 200)
+    assert recall(spark, rows, want, 20) >= 0.9
+    monkeypatch.setattr(ann, "COVER", 0.3)  # few lists: a pilot that is the whole table may not make up for them
+    few = recall(spark, rows, want, 20)
+    monkeypatch.setattr(ann, "PILOT", 4096)
+    assert few < 0.8 and abs(recall(spark, rows, want, 20) - few) < 0.03
+
+
+class Tight(ann.Index):
+    """Bounds so narrow that the scan gives up all."""
+
+    def bounds(self, queries, probed):
+        return np.zeros(len(queries))
+
+
+def test_queries_left_with_too_few_scan_again_without_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(ann, "Index", Tight)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 40)))]
+    assert recall(spark, rows, exact(rows, 20), 20) >= 0.9
