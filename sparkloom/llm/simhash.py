@@ -81,13 +81,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", te
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "group", "component_id", F.col("th").alias("text_hash"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", grouped: DataFrame | None = None) -> DataFrame:
     """docs with one row of each group of near duplicates, one with the smallest doc_id; all columns stay.
 
     Of texts that share that doc_id, the one of the smallest hash stays, and one row of rows alike in both. A null doc_id
-    stands for its group only if it has no other.
+    stands for its group only if it has no other. `grouped`: near duplicates of another kind than these.
     """
-    rows = near_duplicates(docs, radius, doc_id, text).groupBy("group", "doc_id", "component_id", "text_hash").agg(F.count("*").alias("n"))
+    found = near_duplicates(docs, radius, doc_id, text) if grouped is None else grouped
+    rows = found.groupBy("group", "doc_id", "component_id", "text_hash").agg(F.count("*").alias("n"))
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("p"))
     picks = cut(first.select(F.col("p.doc_id").alias("_pick"), F.col("p.text_hash").alias("_pick_hash"), F.col("p.n").alias("_rows")))
     same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_pick")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_pick_hash"))
