@@ -48,7 +48,7 @@ def bm25_filtered(t):
     return R.top_items(L.bm25(docs(t), asked(t)).join(docs(t).where("lang = 'en'").select("item_id"), "item_id", "left_semi"), 10)
 
 
-@query("LEX4 LEX5", f"""WITH {_TOKENS}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), met AS (SELECT query_id, item_id, count(*) AS have, sum(tf)::DOUBLE AS score FROM post JOIN qt USING (term) GROUP BY ALL)
+@query("LEX4", f"""WITH {_TOKENS}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), met AS (SELECT query_id, item_id, count(*) AS have, sum(tf)::DOUBLE AS score FROM post JOIN qt USING (term) GROUP BY ALL)
 SELECT query_id, item_id, score FROM met JOIN need USING (query_id) WHERE have = need""")
 def match_all(t):
     return L.match_all(docs(t), asked(t))

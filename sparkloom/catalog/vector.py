@@ -151,7 +151,7 @@ def prototype_class(t):
     return prototypes(items(t))
 
 
-@query("VEC9 VEC7 VEC27", f"""WITH {_PROTO}, {PAIRS}, near AS (SELECT e.vec_id, p.label AS list, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.pv), 6) DESC, p.label) AS k FROM embeddings e, proto p),
+@query("VEC27", f"""WITH {_PROTO}, {PAIRS}, near AS (SELECT e.vec_id, p.label AS list, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.pv), 6) DESC, p.label) AS k FROM embeddings e, proto p),
 f AS (SELECT p.query_id, p.item_id, p.score FROM pairs p JOIN near i ON i.vec_id = p.item_id AND i.k = 1 JOIN near a ON a.vec_id = p.query_id AND a.k <= 3 AND a.list = i.list)
 SELECT {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""")
 def ivf_lists(t):

@@ -68,7 +68,7 @@ def injected_doses(t):
     return out
 
 
-@query("AUD5 AUD8 AUD12 AUD7", """SELECT gate, failures, failures = 0 AS passed FROM (SELECT unnest(['not_null', 'not_empty', 'positive', 'known_language', 'no_fence']) AS gate, unnest([count(*) FILTER (text IS NULL), count(*) FILTER (NOT coalesce(length(trim(text)) > 0, false)), count(*) FILTER (NOT coalesce(n_chars > 100, false)), count(*) FILTER (NOT coalesce(lang IN ('en', 'de', 'fr', 'es'), false)), count(*) FILTER (NOT coalesce(NOT contains(text, '```'), false))]) AS failures FROM documents)""")
+@query("AUD5 AUD8 AUD12", """SELECT gate, failures, failures = 0 AS passed FROM (SELECT unnest(['not_null', 'not_empty', 'positive', 'known_language', 'no_fence']) AS gate, unnest([count(*) FILTER (text IS NULL), count(*) FILTER (NOT coalesce(length(trim(text)) > 0, false)), count(*) FILTER (NOT coalesce(n_chars > 100, false)), count(*) FILTER (NOT coalesce(lang IN ('en', 'de', 'fr', 'es'), false)), count(*) FILTER (NOT coalesce(NOT contains(text, '```'), false))]) AS failures FROM documents)""")
 def corpus_gates(t):
     c = F.col
     return K.gate(t("documents"), not_null=c("text").isNotNull(), not_empty=F.length(F.trim("text")) > 0, positive=c("n_chars") > 100, known_language=c("lang").isin("en", "de", "fr", "es"), no_fence=~F.contains("text", F.lit("```")))

@@ -55,6 +55,27 @@ def bootstrap(values: DataFrame, ident: str, value: str, by: list[str], n: int =
     return values.groupBy(*by).agg(F.round(stat(value, F.lit(1.0)), 6).alias("mean")).join(ends, by)
 
 
+def bootstrap_quantiles(values: DataFrame, ident: str, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95), n: int = 200, seed: str = "7", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """by, quantile, own, lo, hi: the interval of each quantile of the values; a draw's quantile counts a value by its weight."""
+    each = lambda of: F.posexplode(of).alias("_k", "m")
+    level = F.get(F.array(*[F.lit(float(a)) for a in at]), F.col("_k")).alias("quantile")
+    of = lambda df, keys, *weight: df.groupBy(*keys).agg(F.percentile(value, list(map(float, at)), *weight).alias("q")).select(*keys, each("q")).select(*keys, level, "m")
+    drawn = of(draws(values, ident, n, seed, by), [*by, "draw"], F.col("weight"))
+    ends = drawn.groupBy(*by, "quantile").agg(F.round(F.percentile("m", F.lit(low)), 6).alias("lo"), F.round(F.percentile("m", F.lit(high)), 6).alias("hi"))
+    return of(values, by).withColumn("own", F.round("m", 6)).drop("m").join(ends, [*by, "quantile"])
+
+
+def equivalence(values: DataFrame, ident: str, value: str, by: list[str], sesoi: float, n: int = 200, seed: str = "7") -> DataFrame:
+    """by, mean, lo, hi, equivalent: two one-sided tests, that is whether the mean's 90 % interval lies within +-sesoi."""
+    b = bootstrap(values, ident, value, by, n, seed, 0.05, 0.95)
+    return b.withColumn("equivalent", (F.col("lo") > -sesoi) & (F.col("hi") < sesoi))
+
+
+def cluster_sign_flip(values: DataFrame, cluster: str, value: str, by: list[str], n: int = 200, seed: str = "11") -> DataFrame:
+    """by, p: sign_flip of clusters' means, each mean whole and of one weight."""
+    return sign_flip(values.groupBy(*by, cluster).agg(F.avg(value).alias(value)), cluster, value, by, n, seed)
+
+
 def sign_flip(values: DataFrame, ident: str, value: str, by: list[str], n: int = 200, seed: str = "11") -> DataFrame:
     """by, p: (draws whose flipped mean is at least as far from 0, plus 1) / (n + 1)."""
     rows = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import math
 
 import pytest
@@ -176,3 +177,42 @@ def test_changed_facts(spark):
     df = spark.createDataFrame([("the limit is 10 items now", "the limit is 20 items now"), ("same", "same"), (None, "x")], "a string, b string")
     got = [r.f for r in df.select(X.changed_facts("a", "b").alias("f")).collect()]
     assert [(x.old, x.new, x.cloze) for x in got[0]] == [("10", "20", "the limit is ____ items now")] and got[1] == [] and got[2] is None
+
+
+def plain_draws(n, of):
+    """Places that each of `of` draws picks of n."""
+    return [[int(hashlib.sha256(f"7:{d}:{i}".encode()).hexdigest()[:15], 16) % n for i in range(n)] for d in range(of)]
+
+
+def plain_quantile(x, q):
+    x = sorted(x)
+    at = q * (len(x) - 1)
+    k = int(at)
+    return x[k] + (at - k) * (x[min(k + 1, len(x) - 1)] - x[k])
+
+
+def test_bootstrap_of_quantiles_and_equivalence_against_a_loop(spark):
+    values = [(g, i, float((i * 37) % 23) / (10 if g == "b" else 1) - (1 if g == "b" else 0)) for g in "ab" for i in range(30)]
+    df = spark.createDataFrame(values, "g string, i int, x double")
+    quantiles = {(r.g, r.quantile): (r.own, r.lo, r.hi) for r in S.bootstrap_quantiles(df, "i", "x", ["g"]).collect()}
+    same = {r.g: r for r in S.equivalence(df, "i", "x", ["g"], 0.5).collect()}
+    for g in "ab":
+        x = [v for k, _, v in values if k == g]
+        picks = [[x[i] for i in d] for d in plain_draws(30, 200)]
+        for q in (0.5, 0.95):
+            m = [plain_quantile(d, q) for d in picks]
+            assert quantiles[g, q] == pytest.approx((plain_quantile(x, q), plain_quantile(m, 0.025), plain_quantile(m, 0.975)), abs=2e-6)
+        m = [sum(d) / 30 for d in picks]
+        lo, hi = plain_quantile(m, 0.05), plain_quantile(m, 0.95)
+        assert (same[g].lo, same[g].hi) == pytest.approx((lo, hi), abs=2e-6) and same[g].equivalent == (lo > -0.5 and hi < 0.5)
+    assert same["b"].equivalent and not same["a"].equivalent
+
+
+def test_sign_flips_of_clusters_against_a_loop(spark):
+    values = [("g", c, float(c % 5 - 1 + k)) for c in range(12) for k in range(1 + c % 3)]
+    means = {c: sum(x for _, d, x in values if d == c) / sum(d == c for _, d, _ in values) for c in range(12)}
+    sign = lambda d, c: 1 if int(hashlib.sha256(f"11:{d}:{c}".encode()).hexdigest()[0], 16) < 8 else -1
+    own = round(abs(sum(means.values()) / 12), 9)
+    hits = sum(round(abs(sum(sign(d, c) * m for c, m in means.items()) / 12), 9) >= own for d in range(200))
+    got = S.cluster_sign_flip(spark.createDataFrame(values, "g string, c int, x double"), "c", "x", ["g"]).first()
+    assert got.p == pytest.approx((hits + 1) / 201, abs=1e-9)
