@@ -30,14 +30,14 @@ def _grams(text: str) -> np.ndarray:
     return h >> np.uint32(16)
 
 
-def train(docs: DataFrame, text: Column, lang: Column, per_language: int = 2000, max_languages: int = 64, alpha: float = 0.2) -> tuple[list[str], np.ndarray]:
-    """Languages (the `max_languages` most declared, in order of name) and the logs of their n-gram shares, CELLS x languages.
+def train(docs: DataFrame, text: Column, lang: Column, per_language: int = 2000, alpha: float = 0.2) -> tuple[list[str], np.ndarray]:
+    """All declared languages, in order of name, and the logs of their n-gram shares, CELLS x languages.
 
     Of each language about `per_language` rows are read, by a hash of their texts, so the fit is bounded; executors count
     n-grams, and one row of counts for each language comes to the driver.
     """
     rows = docs.select(text.cast("string").alias("text"), lang.cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return [], np.zeros((CELLS, 0), np.float32)
     names = sorted(r["lang"] for r in counts)
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, evidence: DataFrame, names: list[str], declared: C
         share = (told.get((d, x), 0) + trust * belief) / (totals[x] + trust)
         return math.log(min(1.0, max(share, 1e-6)))
 
-    likelihood = F.create_map(*[v for d in [*names, none] for v in (F.lit(d), F.array(*[F.lit(says(d, x)) for x in names]))])
+    likelihood = evidence.sparkSession.createDataFrame([(d, [says(d, x) for x in names]) for d in [*names, none]], "_d string, _told array<double>")
     sums = [F.sum(F.when(F.col("l") == x, F.col("c")).otherwise(0)).cast("double").alias(f"n{k}") for k, x in enumerate(names)]
     level = lambda by, key: counts.groupBy(*by).agg(F.array(*sums).alias(key))
 
@@ -146,14 +146,14 @@ def identify(docs: DataFrame, evidence: DataFrame, names: list[str], declared: C
     hosts = cut(hosts.select(F.col("h").alias("_h"), F.transform("ph", lambda p: F.log(p)).alias("_prior")))
     joined = evidence.withColumn("_host", name).join(hosts, F.col("_host") == F.col("_h"), "left")
     start = F.coalesce("_prior", F.array(*[F.lit(b) for b in base]))
-    joined = joined.withColumn("_told", likelihood[known]).withColumn("_start", start)
+    joined = joined.withColumn("_known", known).join(F.broadcast(likelihood), F.col("_known") == F.col("_d"), "left").withColumn("_start", start)  # languages and one more, as rows
     post = F.transform(F.arrays_zip(F.col("_start").alias("a"), F.col("_told").alias("b"), F.coalesce(F.slice("_ll", 1, n), F.array_repeat(F.lit(0.0), n)).alias("c")), lambda x: x["a"] + x["b"] + x["c"])
     joined = joined.withColumn("_post", post).withColumn("_top", F.array_max("_post"))
     share = 1.0 / F.aggregate(F.transform("_post", lambda p: F.exp(p - F.col("_top"))), F.lit(0.0), lambda a, b: a + b)
     noise = F.element_at("_ll", n + 1) > F.array_max(F.slice("_ll", 1, n))
     out = joined.withColumn("language", _best(F.col("_post"), names)).withColumn("confidence", share)
     out = out.withColumn("rejected", F.col("_ll").isNull() | F.coalesce(noise, F.lit(True)) | (F.col("confidence") < least))
-    return out.drop("_ll", "_host", "_h", "_prior", "_told", "_start", "_post", "_top")
+    return out.drop("_ll", "_host", "_h", "_prior", "_known", "_d", "_told", "_start", "_post", "_top")
 
 
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:

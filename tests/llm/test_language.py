@@ -57,3 +57,17 @@ def test_parts_of_addresses(spark):
     row = spark.createDataFrame([("https://u@Blog.Example.co.uk:80/x?y",)], "u string").select(language.url_host(F.col("u")).alias("h"))
     got = row.select(*[c.alias(n) for n, c in zip("sdh", language.address_parts(F.col("h")))]).first()
     assert (got.s, got.d, got.h) == ("uk", "co.uk", "blog.example.co.uk")
+
+
+def test_every_declared_language_is_fitted(spark):
+    """80 languages of their own syllables; the rarest would be past any 64 most declared."""
+    rng = random.Random(21)
+    parts = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(80)}
+    made = lambda l, n: " ".join("".join(rng.choice(parts[l]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    langs = [l for k, l in enumerate(parts) for _ in range(12 if k < 70 else 6)]
+    rows = [(i, made(l, 60), l, "h.example.org") for i, l in enumerate(langs)]
+    rows += [(5000 + k, made(f"l{k:02d}", 60), None, "h.example.org") for k in range(70, 80)]
+    got = {r.doc_id: r for r in language.identify_documents(docs(spark, rows)).collect()}
+    assert all(got[i].language == l and not got[i].rejected for i, l in enumerate(langs))
+    assert all(got[5000 + k].language == f"l{k:02d}" and not got[5000 + k].rejected for k in range(70, 80))
+    assert language.keep_identified(docs(spark, rows)).count() == len(rows)
