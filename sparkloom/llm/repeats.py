@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix-free parsing: phrases from rolling-hash triggers, and truncated suffix orders."""
+"""Removal of repeated byte strings by prefix-free parsing: a dictionary of phrases, and suffix orders of its phrases and of the parse."""
 
 from __future__ import annotations
 
@@ -6,31 +6,29 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, release
+from .runtime import cut, drop, global_places, lean, release
 
-#: Bytes of a rolling hash; bits of a place in a chunk; bytes of a chunk, which small numbers of cache lines favour.
-GRAM, PLACE, CHUNK = 24, 24, 1 << 19
-#: Bits of the filter of shared triggers: a fixed size, so a larger corpus only lets more through.
-FILTER = 26
-#: Contexts of one trigger that are compared two by two.
-PAIRED = 12
-#: Contexts of one trigger that are sorted in one task; those of others are dealt out by their strings.
-SORTED = 256
+#: Bits of a place in a piece of text; a longer text is cut into pieces that overlap.
+PLACE = 17
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
 
+def gram(length: int) -> int:
+    """Bytes of a rolling hash: so many that the depths from there to `length` are bits of one long."""
+    return max(1, length - 60, 2 * length // 5)
+
+
 def _tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, 2 << PLACE)
         _powers.clear()
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
@@ -45,316 +43,331 @@ def triggers(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 
     A window's trigger hangs on the window's bytes alone, so equal windows have equal triggers at equal distances.
     """
-    n, span = len(raw), length - GRAM + 1
+    n, wide = len(raw), gram(length)
     none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    if n < length:
+    starts = np.concatenate([[0], ends[:-1]])
+    fits = ends - starts >= length
+    if n < length or not fits.any():
         return none
     up, down = _tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
+    h = (sums[wide:] - sums[:-wide]) * down[: n - wide + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    mask = np.uint64((1 << PLACE) - 1)
-    least = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
-    wide = 1
-    while wide < span:
-        step = min(wide, span - wide)
+    least = ((h >> np.uint64(32 + PLACE)) << np.uint64(PLACE)).astype(np.uint32) | np.arange(len(h), dtype=np.uint32)
+    span, have = length - wide + 1, 1
+    while have < span:
+        step = min(have, span - have)
         least = np.minimum(least[:-step], least[step:])
-        wide += step
-    starts = np.concatenate([[0], ends[:-1]])
-    valid = np.zeros(n + 1, np.int64)
-    fits = ends - starts >= length
-    np.add.at(valid, starts[fits], 1)
-    np.add.at(valid, ends[fits] - length + 1, -1)
-    at = np.flatnonzero(np.cumsum(valid)[: len(least)] > 0)
-    if not len(at):
-        return none
-    x = (least[at] & mask).astype(np.int64)
+        have += step
+    valid = np.zeros(n + 1, np.int8)
+    valid[starts[fits]] = 1  # texts that fit are at least `length` apart, so these places are all different
+    valid[ends[fits] - length + 1] -= 1
+    at = np.flatnonzero(np.cumsum(valid, dtype=np.int8)[: len(least)] > 0)
+    x = (least[at] & np.uint32((1 << PLACE) - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (at[1:] != at[:-1] + 1)]))
     return h[x[new]], x[new], at[new], at[np.append(new[1:], len(at)) - 1]
 
 
-def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts in chunks: their numbers, bytes, ends in the chunk, and what to add for a place in the text. A text beyond
-    a chunk's places is cut, with pieces that overlap so that each window lies in one."""
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], np.ndarray, ...]]:
+    """Texts in pieces side by side: their numbers, bytes and ends, what to add for a place in the text, and the first and
+    the end place of the triggers that a piece answers for. Pieces of a long text overlap, so each holds all windows of those."""
     most = (1 << PLACE) - 1
+    step = most - 3 * length
     held, size = [], 0
 
     def out():
         parts = [texts[i][s:e] for i, s, e in held]
-        ends = np.cumsum([len(p) for p in parts])
-        return [i for i, _, _ in held], np.frombuffer(b"".join(parts), np.uint8), ends, np.array([s for _, s, _ in held])
+        s, e = (np.array(x) for x in list(zip(*held))[1:])
+        full = np.array([len(texts[i]) for i, _, _ in held])
+        numbers = np.array([i for i, _, _ in held])
+        return numbers, np.frombuffer(b"".join(parts), np.uint8), np.cumsum(e - s), s, np.where(s > 0, s + length, 0), np.where(e < full, s + step + length, full)
 
     for i, t in enumerate(texts):
-        for s in range(0, max(1, len(t) - length + 1), most - length + 1):
+        for s in range(0, max(1, len(t) - 3 * length), step) if len(t) >= length else ():
             e = min(len(t), s + most)
-            if held and size + e - s > CHUNK:
+            if held and size + e - s > most:
                 yield out()
                 held, size = [], 0
             held.append((i, s, e))
             size += e - s
+            if e == len(t):
+                break
     if held:
         yield out()
 
 
-def _blocks(h: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Where blocks of phrases begin: at a text's first phrase and at triggers whose hash says so, one in eight."""
-    return np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | ((h[1:] >> np.uint64(40)) & np.uint64(7) == 0)])) if len(h) else np.zeros(0, np.int64)
-
-
-def _parsed(batches, length: int, firsts: np.ndarray | None = None) -> Iterator[tuple]:
-    """Of each chunk of (doc, th, raw) rows: h, x, lo, hi, doc, pos (th, and the trigger's place in its text) of its phrases,
-    the chunk's bytes and where its blocks begin; with `firsts`, a filter of places, of the blocks that it lets pass."""
-    for batch in batches:
-        docs_, ths = np.asarray(batch.column(0).to_pylist(), np.int64), np.asarray(batch.column(1).to_pylist(), np.int64)
-        for numbers, raw, ends, shift in _chunks(_texts(batch.column(2)), length):
-            h, x, lo, hi = triggers(raw, ends, length)
-            if not len(h):
-                continue
-            of = np.searchsorted(ends, lo, "right")
-            number = np.asarray(numbers)[of]
-            doc, pos = docs_[number], (ths[number] << 32) | (x + (shift - np.concatenate([[0], ends[:-1]]))[of])
-            begin = _blocks(h, of)
-            if firsts is not None:
-                ok = _passes(firsts, np.fromiter(map(_place_hash, doc[begin].tolist(), pos[begin].tolist()), np.uint64, len(begin)))
-                keep = np.repeat(ok, np.diff(np.append(begin, len(h))))
-                h, x, lo, hi, doc, pos, begin = h[keep], x[keep], lo[keep], hi[keep], doc[keep], pos[keep], None
-            if len(h):
-                yield h, x, lo, hi, doc, pos, raw, begin
-
-
 def _parse(docs: DataFrame, length: int) -> DataFrame:
-    """b1, b2 (128 bits of a hash of all windows' bytes), doc, pos (of the first trigger), back (how far before it the first
-    window starts), size (bytes) of each block of phrases."""
-    names = ["b1", "b2", "doc", "pos", "back", "size"]
+    """h, k, place of each trigger of docs (k, raw): its hash, the row's key, and place: its byte << 16, the distance to the
+    first start of its windows << 8, the distance to the last."""
 
     def run(batches):
-        for h, x, lo, hi, doc, pos, raw, begin in _parsed(batches, length):
-            whole, last = raw.tobytes(), hi[np.append(begin[1:], len(h)) - 1] + length
-            first = lo[begin]
-            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(first.tolist(), last.tolist())]), np.int64).reshape(-1, 2)
-            cols = (digests[:, 0], digests[:, 1], doc[begin], pos[begin], x[begin] - first, last - first)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for numbers, raw, ends, shift, low, end in _pieces(batch.column(1).to_pylist(), length):
+                h, x, lo, hi = triggers(raw, ends, length)
+                of = np.searchsorted(ends, lo, "right")
+                at = x + (shift - np.concatenate([[0], ends[:-1]]))[of]
+                own = (at >= low[of]) & (at < end[of])
+                place = (at << 16 | (x - lo << 8) | (x - hi))[own]
+                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(keys[numbers[of[own]]]), pa.array(place)], names=["h", "k", "place"])
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [v or b"" for v in column.to_pylist()]
+    return docs.mapInArrow(lean(run), "h long, k long, place long")
 
 
-def _picked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (the doc_id, the greatest long for null), th (31 bits of a hash of the text), raw."""
-    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(key.alias("doc"), F.xxhash64(raw).bitwiseAND(F.lit(0x7FFFFFFF)).alias("th"), raw.alias("raw"))
+def _bounds(place: int, size: int, length: int) -> tuple[int, int, int]:
+    """The trigger's byte, and the first and the end byte of its windows."""
+    at = place >> 16
+    return at, max(0, at - (place >> 8 & 255)), min(size, at - (place & 255) + length)
 
 
-def _shared(docs: DataFrame, length: int, firsts: np.ndarray) -> DataFrame:
-    """trigger: hashes of the triggers that stand twice or more in first blocks; sums are taken before rows are dealt out."""
-    held = docs.sparkSession.sparkContext.broadcast(firsts)
+def _contexts(rows: DataFrame, length: int) -> DataFrame:
+    """h, c1, c2, g, place, again of each place of rows (g, raw, places): hashes of the trigger and of its context, which is
+    the bytes of all its windows and where the trigger stands in them; again: the document held that context before."""
+    names = ["h", "c1", "c2", "g", "place", "again"]
+    wide = gram(length)
 
     def run(batches):
+        done: set[int] = set()
         for batch in batches:
-            got = [h for h, *_ in _parsed([batch], length, held.value)]
-            if got:
-                hashes, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["trigger", "n"])
+            hs, cs, gs, ps, old = [], [], [], [], []
+            for g, raw, places in zip(*[c.to_pylist() for c in batch.columns]):
+                if g in done:  # rows alike in doc_id and text
+                    continue
+                done.add(g)
+                own: set[bytes] = set()
+                for place in sorted(places):
+                    at, a, b = _bounds(place, len(raw), length)
+                    if b - a >= length:
+                        c = xxhash.xxh3_128_digest(raw[a:b], at - a)
+                        hs.append(xxhash.xxh3_64_intdigest(raw[at : at + wide]))
+                        cs.append(c)
+                        gs.append(g)
+                        ps.append(place)
+                        old.append(c in own)
+                        own.add(c)
+            c = np.frombuffer(b"".join(cs), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(gs, pa.int64()), pa.array(ps, pa.int64()), pa.array(old, pa.bool_())], names=names)
+
+    return rows.mapInArrow(lean(run), "h long, c1 long, c2 long, g long, place long, again boolean")
+
+
+def _sides(rows: DataFrame, length: int) -> DataFrame:
+    """left, right, g, place of each place of rows (g, raw, places): the phrase that ends with the trigger, from back to
+    front, and the parse from the trigger on, each as far as the trigger's windows reach."""
+    wide = gram(length)
 
-    return docs.mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
-
-
-def _bits(hashes: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2^FILTER bits by the hashes' first bits; as words, of which it has a fixed number at most."""
-    place = F.shiftrightunsigned(column, 64 - FILTER)
-    words = hashes.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - FILTER}) & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER - 6), np.int64)
-    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    return bits.view(np.uint64)
+    def run(batches):
+        done: set[int] = set()
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for g, raw, places in zip(*[c.to_pylist() for c in batch.columns]):
+                if g in done:
+                    continue
+                done.add(g)
+                for place in places:
+                    at, a, b = _bounds(place, len(raw), length)
+                    for c, v in zip(cols, (raw[a : at + wide][::-1], raw[at:b], g, place)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["left", "right", "g", "place"])
+
+    return rows.mapInArrow(lean(run), "left binary, right binary, g long, place long")
+
+
+def common(strings: list[bytes], width: int) -> np.ndarray:
+    """The common prefix of each string of at most `width` bytes with the one before it; 0 for the first."""
+    out, size = np.zeros(len(strings), np.int64), np.fromiter(map(len, strings), np.int64, len(strings))
+    for at in range(1, len(strings), 1 << 13):
+        part = strings[at - 1 : at + (1 << 13)]
+        grid = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in part), np.uint8).reshape(-1, width)
+        differ = grid[1:] != grid[:-1]
+        first = np.where(differ.any(1), differ.argmax(1), width)
+        out[at : at + len(first)] = np.minimum(first, np.minimum(size[at - 1 : at - 1 + len(first)], size[at : at + len(first)]))
+    return out
 
 
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - FILTER)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+def met(mask: int, depth: int) -> int:
+    """Depths of the nodes above a string, as bits, once the next string shares `depth` with the last; -1: nothing."""
+    return 0 if depth < 0 else (mask & ((1 << depth) - 1)) | (1 << depth)
 
 
-def _place_hash(doc: int, pos: int) -> int:
-    """What xxhash64(doc, pos) is for two longs."""
-    return xxhash.xxh64_intdigest(pos.to_bytes(8, "little"), xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42))
+def clipped(mask: int, depth: int) -> int:
+    """Depths, none above `depth`: those above it come down to it."""
+    return 0 if depth < 0 else (mask & ((1 << depth) - 1)) | ((1 << depth) if mask >> depth else 0)
 
 
-def _occurrences(docs: DataFrame, length: int, firsts: np.ndarray, bits: np.ndarray, places: np.ndarray | None = None) -> DataFrame:
-    """Of first blocks, and of what the filter of triggers lets pass: trigger, context (a hash of the bytes of all windows of
-    the trigger), doc, pos, reach (how far before it the first and the last window start, 8 bits each).
+def _ordered(rows: DataFrame, by: str, then: str, out: str, length: int) -> DataFrame:
+    """rows with `out`: in the order of all rows' strings `by`, the depths (as bits from gram(length) on) of the nodes that a
+    string lies in with others, which are the running minima of the common prefixes on both sides.
 
-    With `places`, a filter of places, only what it lets pass too, with the bytes.
+    Rows are sorted over range partitions, equal strings by `then`, so that no string is bound to one task. Within a
+    partition minima run forth and back; the masks at its two ends, two rows of each partition, come to the driver, which
+    carries them from partition to partition.
     """
-    held = docs.sparkSession.sparkContext.broadcast((firsts, bits, places))
-    names = ["trigger", "context", "doc", "pos", "reach", *["bytes"] * (places is not None)]
+    wide, top = gram(length), length - gram(length) + 1
+    fields = [f.name for f in rows.schema]
+    more = ["part", "edge", "fore", "back", "low", "high"]
 
     def run(batches):
-        firsts, bits, places = held.value
-        for h, x, lo, hi, doc, pos, raw, _ in _parsed(batches, length, firsts):
-            hit = _passes(bits, h)
-            if places is not None and hit.any():
-                own = np.flatnonzero(hit)
-                hit[own] = _passes(places, np.fromiter(map(_place_hash, doc[own].tolist(), pos[own].tolist()), np.uint64, len(own)))
-            if not hit.any():
-                continue
-            h, x, lo, hi, doc, pos, whole = h[hit], x[hit], lo[hit], hi[hit], doc[hit], pos[hit], raw.tobytes()
-            parts = [whole[a : b + length] for a, b in zip(lo.tolist(), hi.tolist())]
-            context = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-            cols = [pa.array(v) for v in (h.view(np.int64), context.view(np.int64), doc, pos, (x - lo << 8) | (x - hi))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(parts, pa.binary())] if places is not None else []), names=names)
-
-    return docs.mapInArrow(run, "trigger long, context long, doc long, pos long, reach long" + ", bytes binary" * (places is not None))
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low = 0
-    while n - low > 1:
-        mid = (low + n) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            n = mid
-    return low
-
-
-def _later_of_few(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """doc, first and last later window of entries of one trigger that an earlier entry holds too: by how far two entries
-    agree before and after the trigger, all distances at which they have one string are known at once."""
-    rows = sorted(rows, key=lambda r: r[1:3])
-    sides = [(raw[: reach >> 8][::-1], raw[reach >> 8 :]) for _, _, _, reach, raw in rows]
-    out = []
-    for j in range(1, len(rows)):
-        _, doc, pos, reach, _ = rows[j]
-        for i in range(j):
-            if rows[i][1:3] == (doc, pos):
-                continue
-            far = min(_common(sides[i][0], sides[j][0]), reach >> 8, rows[i][3] >> 8)
-            near = max(length - _common(sides[i][1], sides[j][1]), reach & 255, rows[i][3] & 255)
-            if near <= far:
-                out.append((doc, pos - far, pos - near))
-    return out
+        batches = list(batches)
+        n = sum(b.num_rows for b in batches)
+        if not n:
+            return
+        table = pa.Table.from_batches(batches)
+        shared = (common(table.column(by).to_pylist(), length) - wide).tolist()
+        fore, back, low, high = [0] * n, [0] * n, [top] * n, [top] * n
+        for i in range(1, n):
+            p = max(-1, shared[i])
+            fore[i], low[i] = met(fore[i - 1], p), min(low[i - 1], p)
+        for i in range(n - 2, -1, -1):
+            p = max(-1, shared[i + 1])
+            back[i], high[i] = met(back[i + 1], p), min(high[i + 1], p)
+        edge = [0] * n
+        edge[0] |= 1
+        edge[-1] |= 2
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for name, values in zip(more, ([part] * n, edge, fore, back, low, high)):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        yield from table.to_batches(max_chunksize=10_000)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", " + ", ".join(f"{m} long" for m in more)
+    local = cut(rows.orderBy(by, then, "g", "place").mapInArrow(lean(run), schema))
+    ends: dict[int, dict] = {}
+    for r in local.where("edge > 0").select(by, *more).collect():  # two rows of each partition at most
+        for side in (1, 2):
+            if r["edge"] & side:
+                ends.setdefault(r["part"], {})[side] = r
+    parts = sorted(ends)
+    left, right = {p: 0 for p in parts}, {p: 0 for p in parts}
+    gaps = [int(common([ends[p][2][by], ends[q][1][by]], length)[1]) - wide for p, q in zip(parts, parts[1:])]
+    for p, q, gap in zip(parts, parts[1:], gaps):
+        last = ends[p][2]
+        left[q] = met(last["fore"] | clipped(left[p], last["low"]), max(-1, gap))
+    for p, q, gap in zip(reversed(parts), reversed(parts[:-1]), reversed(gaps)):
+        first = ends[p][1]
+        right[q] = met(first["back"] | clipped(right[p], first["high"]), max(-1, gap))
+    carried = {p: (left[p], right[p]) for p in parts if left[p] or right[p]}
+
+    def mend(batches):
+        for batch in batches:
+            col = {m: batch.column(batch.schema.get_field_index(m)).to_pylist() for m in more}
+            masks = [
+                f | b if p not in carried else f | b | clipped(carried[p][0], lo) | clipped(carried[p][1], hi)
+                for p, f, b, lo, hi in zip(col["part"], col["fore"], col["back"], col["low"], col["high"])
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in fields], pa.array(masks, pa.int64())], names=[*fields, out])
+
+    return local.mapInArrow(mend, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {out} long")
+
+
+def runs(near: int, far: int, lefts: int, rights: int, top: int) -> Iterator[tuple[int, int, int, int]]:
+    """first and last distance, from near to far, at which a window lies in one node of the phrases' order and one of the
+    parse's order, and the depths of the two: a window at distance l has l bytes before the trigger, top - l behind it."""
+    l = near
+    while l <= far:
+        above = lefts >> l
+        if not above:
+            return
+        i = l + (above & -above).bit_length() - 1
+        above = rights >> (top - l)
+        if not above:
+            l = max(l + 1, top - rights.bit_length() + 1)
+            continue
+        j = top - l + (above & -above).bit_length() - 1
+        lower = (rights & ((1 << j) - 1)).bit_length() - 1  # the next node up, which takes over from there
+        last = min(i, far, top - lower - 1)
+        yield l, last, i, j
+        l = last + 1
+
+
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """w1, w2, g, s1, s2: for each run of windows of an entry whose phrase side and parse side lie in nodes with others, a
+    hash of the two nodes' bytes, and the first and last start. Entries have a hash in common if they share those windows."""
+    wide, top = gram(length), length - gram(length)
 
+    def run(batches):
+        for batch in batches:
+            cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("left", "right", "g", "place", "lefts", "rights")}
+            keys, gs, lo, hi = [], [], [], []
+            for left, right, g, place, lefts, rights in zip(*cols.values()):
+                at, far, near = place >> 16, place >> 8 & 255, place & 255
+                for first, last, i, j in runs(near, far, lefts, rights, top):
+                    keys.append(xxhash.xxh3_128_digest(left[: i + wide] + right[wide : j + wide], i << 16 | first << 8 | last))
+                    gs.append(g)
+                    lo.append(at - last)
+                    hi.append(at - first)
+            w = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *[pa.array(c, pa.int64()) for c in (gs, lo, hi)]], names=["w1", "w2", "g", "s1", "s2"])
 
-def _windows(rows) -> Iterator[tuple]:
-    """distance, string, doc, pos of each window of (trigger, doc, pos, reach, bytes); pos is the window's start, with th."""
-    for _, doc, pos, reach, raw in rows:
-        first, last = reach >> 8, reach & 255
-        length = len(raw) - (first - last)
-        for k in range(first - last + 1):
-            yield first - k, raw[k : k + length], doc, pos - first + k
+    return rows.mapInArrow(lean(run), "w1 long, w2 long, g long, s1 long, s2 long")
 
 
-def _later(entries: DataFrame, many: DataFrame, length: int) -> DataFrame:
-    """doc, th, start, end of windows of the dictionary's entries that an earlier entry of their trigger holds too.
+def _later(rows: DataFrame, key: list[str], first: list[str]) -> DataFrame:
+    """rows (cut) that aren't the first of their key in the order of `first`; equal ones of the first aren't either."""
+    firsts = cut(rows.groupBy(*key).agg(F.min(F.struct(*first)).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return rows.join(firsts, key).where(F.struct(*first) != F.col("f"))
 
-    A trigger's entries are phrases with what stands around them; their windows, by distance from the trigger, are its
-    suffixes cut to `length`. Sorted, equal strings stand side by side, in the order of the corpus, and all but the first
-    are repeats.
-    """
 
-    def spans_of(rows) -> pa.RecordBatch:
-        later = []
-        if len(rows) <= PAIRED:
-            later = _later_of_few(rows, length)
-        else:
-            first = None
-            for r in sorted(_windows(rows)):
-                if first is None or first[:2] != r[:2]:
-                    first = r
-                elif first[2:] != r[2:]:
-                    later.append((r[2], r[3], r[3]))
-        spans = []
-        for doc, a, b in sorted(later):
-            if spans and spans[-1][0] == doc and spans[-1][1] <= a <= spans[-1][2]:
-                spans[-1][2] = max(spans[-1][2], b + length)
-            else:
-                spans.append([doc, a, b + length])
-        low = (1 << 32) - 1
-        cols = zip(*[(d, a >> 32, a & low, (a & low) + b - a) for d, a, b in spans]) if spans else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "th", "start", "end"])
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, t1, t2 (128 bits of a hash of the text), k (a hash of the three), raw."""
+    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), raw.alias("raw"), F.xxhash64(raw).alias("t1"), F.xxhash64(F.lit(1), raw).alias("t2"))
+    return rows.withColumn("k", F.xxhash64("doc", "t1", "t2"))
 
-    def run(batches):
-        now, rows = None, []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != now and rows:
-                    if len(rows) > 1:
-                        yield spans_of(rows)
-                    rows = []
-                now = row[0]
-                rows.append(row)
-        if len(rows) > 1:
-            yield spans_of(rows)
 
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = entries.join(many, "trigger", "left_anti").select("trigger", "doc", "pos", "reach", "bytes").repartition(parts, "trigger").sortWithinPartitions("trigger")
-    return few.mapInArrow(run, "doc long, th long, start long, end long")
+def _with_texts(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """g, raw, places of places (k, t2, g, places); a text without places is dealt out, but goes no further."""
+    return keyed.select("k", "t2", "raw").join(places, ["k", "t2"]).select("g", "raw", "places")
 
 
-def _later_of_many(entries: DataFrame, many: DataFrame, length: int) -> DataFrame:
-    """The same for triggers of more than SORTED entries: their windows are dealt out by a hash of distance and bytes."""
+def repeated_spans(keyed: DataFrame, length: int = 100) -> DataFrame:
+    """k, t2, spans (start, end; unordered, they may overlap) of what repeats in keyed (doc, t1, t2, k, raw)."""
+    spark = keyed.sparkSession
+    ids = cut(keyed.select("doc", "t1", "t2", "k", F.length("raw").cast("long").alias("n")).distinct())
+    ids = cut(global_places(ids, [F.col("doc").isNull().asc(), F.col("doc").asc(), F.col("t1").asc(), F.col("t2").asc()], "g"))
+    copies = cut(_later(ids.select("t1", "t2", "g", "k", "n"), ["t1", "t2"], ["g"]).select("g", "n"))
+    new = cut(ids.join(copies.select("g"), "g", "left_anti").select("k", "t2", "g"))
+    release(spark)
 
-    def run(batches):
-        for batch in batches:
-            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
-            keys, cols = [], [[] for _ in range(2)]
-            for row in rows:
-                head = row[0].to_bytes(8, "little", signed=True)
-                for far, raw, doc, pos in _windows([row]):
-                    keys.append(xxhash.xxh3_128_digest(head + bytes([far]) + raw))
-                    cols[0].append(doc)
-                    cols[1].append(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in cols]], names=["key", "doc", "pos"])
-
-    dealt = cut(entries.join(many, "trigger").select("trigger", "doc", "pos", "reach", "bytes").mapInArrow(run, "key binary, doc long, pos long"))
-    first = cut(dealt.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first")))
-    again = dealt.join(first, "key").where(F.struct("doc", "pos") != F.col("first"))
-    return again.select("doc", *_apart(F.col("pos"), length))
-
-
-def _apart(pos, end) -> list:
-    at = pos.bitwiseAND(F.lit((1 << 32) - 1))
-    return [F.shiftright(pos, 32).alias("th"), at.alias("start"), (at + end).alias("end")]
-
-
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc, th, spans (start, end; unordered, they may overlap) of what repeats in docs (doc, th, raw)."""
-    spark = docs.sparkSession
-    blocks = cut(_parse(docs, length))
-    first = cut(blocks.groupBy("b1", "b2").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("n")))
+    seen = cut(_parse(keyed.select("k", "raw"), length))
+    shared = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    release(spark)
+    places = cut(seen.join(shared.hint("shuffle_hash"), "h").groupBy("k").agg(F.collect_set("place").alias("places")))
+    drop(seen, shared)
     release(spark)
-    firsts = _bits(first.select(F.xxhash64("f.doc", "f.pos").alias("h")), "h")
-    again = blocks.join(first.where("n > 1").select("b1", "b2", "f"), ["b1", "b2"]).where(F.struct("doc", "pos") != F.col("f"))
-    copied = cut(again.select("doc", *_apart(F.col("pos") - F.col("back"), F.col("size"))))
+
+    found = cut(_contexts(_with_texts(keyed, cut(new.join(places, "k"))), length))
+    drop(places)
     release(spark)
-    seen = cut(_occurrences(docs, length, firsts, _bits(_shared(docs, length, firsts), "trigger")))
+    once = found.where("NOT again").drop("again")
+    words = cut(once.groupBy("c1", "c2").agg(F.min(F.struct("g", "place")).alias("f"), F.count("*").alias("n"), F.min("h").alias("h")))
+    again = once.join(words.where("n > 1").select("c1", "c2", "f"), ["c1", "c2"]).where(F.struct("g", "place") != F.col("f"))
+    at = F.shiftright("place", 16)
+    whole = [(at - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("start"), (at - F.col("place").bitwiseAND(F.lit(255)) + length).alias("end")]
+    copied = cut(again.select("g", *whole).unionByName(found.where("again").select("g", *whole)))
+    drop(found)
     release(spark)
-    dictionary = cut(seen.groupBy("trigger", "context").agg(F.min(F.struct("doc", "pos", "reach")).alias("f"), F.count("*").alias("n")).select("trigger", "context", "n", "f.*"))
+
+    several = cut(words.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    entries = cut(words.join(several, "h").select("f.g", "f.place").groupBy("g").agg(F.collect_list("place").alias("places")).join(new, "g"))
     release(spark)
-    one = dictionary.where("n > 1").select("trigger", "context", F.struct("doc", "pos").alias("f"))
-    copies = seen.join(one, ["trigger", "context"]).where(F.struct("doc", "pos") != F.col("f"))
-    start, width = F.col("pos") - F.shiftright("reach", 8), F.shiftright("reach", 8) - F.col("reach").bitwiseAND(F.lit(255)) + length
-    whole = cut(copies.select("doc", *_apart(start, width)))
+    sides = cut(_sides(_with_texts(keyed, entries), length))
+    drop(words, several, entries)
     release(spark)
-    several = cut(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1"))
-    reps = dictionary.join(several.select("trigger"), "trigger", "left_semi").select(F.xxhash64("doc", "pos").alias("h"))
-    entries = cut(_occurrences(docs, length, firsts, _bits(several, "trigger"), _bits(reps, "h")))
-    many = cut(several.where(F.col("k") > SORTED).select("trigger"))
+    parsed = cut(_ordered(sides, "right", "left", "rights", length).where("rights > 0"))
     release(spark)
-    later = cut(_later(entries, many, length).unionByName(_later_of_many(entries, many, length)))
+    both = _ordered(parsed, "left", "right", "lefts", length).where("lefts > 0")
+    windows = cut(_windows(both, length))
+    drop(sides, parsed)
     release(spark)
-    spans = copied.unionByName(whole).unionByName(later)
-    marks = cut(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    later = _later(windows, ["w1", "w2"], ["g", "s1", "s2"]).select("g", F.col("s1").alias("start"), (F.col("s2") + length).alias("end"))
+    spans = copied.unionByName(later).unionByName(copies.where(F.col("n") >= length).select("g", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+    marks = cut(spans.groupBy("g").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(ids.select("g", "k", "t2"), "g").select("k", "t2", "spans"))
+    drop(windows, copied)
     release(spark)
     return marks
 
@@ -372,45 +385,38 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (bytes) and spans of each whole document.
 
-    A byte goes if it lies in a string of `length` bytes that also starts earlier: in a document of smaller doc_id, or
-    earlier in the same one; strings are judged on the input and may overlap. A null text is empty. Null doc_ids come last;
-    rows of one doc_id and one text are one document, whose result each of them gets; texts of one doc_id are ordered by a
-    hash. An empty table gives none; other columns are left out.
-
-    Prefix-free parsing, cut to the depth that is asked: a trigger is a place whose rolling hash is the least of a window of
-    `length` bytes; triggers part texts into phrases, and every window belongs to one trigger. The parse of a text, in blocks
-    of about eight phrases, is looked at first: of equal blocks all but the first in the corpus are repeats as a whole, and
-    hold no first window. In first blocks, triggers that stand once hold no repeat. Of the others, equal contexts (a phrase and what stands around it, as far as windows reach) are one entry of
-    the dictionary, of whose occurrences all but the first in the corpus are repeats as a whole; different contexts of one
-    trigger are compared in suffix order.
+    A byte goes if it lies in a string of `length` bytes that also starts earlier: in a document of smaller
+    doc_id, or earlier in the same one; strings are judged on the input and may overlap. A null text is empty. Null doc_ids
+    come last; rows of one doc_id and one text are one document, whose result each of them gets; texts of one doc_id are
+    ordered by a hash. An empty table gives none; other columns are left out.
+
+    Prefix-free parsing, to the depth of `length` bytes. A trigger is a place whose rolling hash is the least of a window;
+    triggers part texts into phrases, and every window hangs on one trigger, by its bytes alone. (1) Of documents alike all
+    but the first go as a whole. (2) Triggers whose hash stands once in the corpus hold no repeat. (3) The dictionary: a
+    phrase with what its windows reach is an entry, and all its occurrences but the first in the corpus go as a whole.
+    (4) Entries that share a trigger with another are put into two suffix orders, that of the phrases (read from the trigger
+    back) and that of the parse (read from the trigger on), with the common prefixes of neighbours. In each order a window's
+    side belongs to one node, the run of entries that share it; two nodes, one of each order, name a set of entries that
+    share a run of windows, and of these the first in the order of the corpus stays. Sets are named by 128 bits of a hash of
+    their bytes: for a collision to be likely a corpus must have some 10^18 phrases.
     """
-    picked = _picked(docs, doc_id, text)
-    marks = repeated_spans(picked, length)
-    held = docs.sparkSession.sparkContext.broadcast(_bits(marks.select(F.xxhash64("doc", "th").alias("h")), "h"))
-
-    @F.pandas_udf("boolean")
-    def marked(h: pd.Series) -> pd.Series:
-        return pd.Series(_passes(held.value, h.to_numpy(np.int64).view(np.uint64)))
-
-    keyed = picked.withColumn("_hit", marked(F.xxhash64("doc", "th")))  # documents without marks stay where they are
-    found = marks.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    rows = keyed.where("_hit").join(found, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", "raw", "_spans")
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans")
-    rows = rows.unionByName(keyed.where("NOT _hit").select("doc", "raw", none))
+    if not 2 <= length <= 1 << 14:
+        raise ValueError("length must be 2 to 16384")
+    keyed = _keyed(docs, doc_id, text)
+    marks = repeated_spans(keyed, length)
+    rows = keyed.select("doc", "raw", "k", "t2").join(marks, ["k", "t2"], "left").select("doc", "raw", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * with_text]
-    pair = pa.list_(pa.list_(pa.int64()))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pair]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for doc, raw, found in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist()):
+            for doc, raw, found in zip(*[c.to_pylist() for c in batch.columns]):
                 gone = merged([(s["start"], s["end"]) for s in found or ()])
                 edges = [0, *[x for s in gone for x in s], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else raw
-                doc = None if doc == (1 << 63) - 1 else doc
                 for c, v in zip(cols, (doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, gone)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text)
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +25,35 @@ _folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where the driver found it by its own sys.path."""
+    """Let Python workers import this package, also where the driver found it by its own sys.path, and keep batches small.
+
+    This stays with the session: PYTHONPATH of its workers, which take their memory from malloc (so `lean` can give it back),
+    and Arrow batches of 500 rows and 4 MB, unless its own settings differ from Spark's defaults; whole texts are long.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10000):  # the default; whole texts are long
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+        env.setdefault("MALLOC_ARENA_MAX", "1")
+    for key, default, own in (("maxRecordsPerBatch", "10000", "500"), ("maxBytesPerBatch", "67108864", "4194304")):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, default) in (default, "67108864b", "64MB"):
+            spark.conf.set(name, own)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow that gives the worker's free memory back when a task ends: workers wait for tasks of other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a libc without it
+            pass
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,7 +96,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there and lost executors cost nothing before it."""
     spark, folder = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(folder)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(folder)
+    out._cut_folder = folder
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete what `cut` wrote for these frames; nothing that is read later may hang on them."""
+    for df in cuts:
+        drop_folder(df.sparkSession, df._cut_folder)
 
 
 def words_count(text: Column) -> Column:

@@ -32,10 +32,8 @@ def corpus():
     return out
 
 
-@pytest.mark.parametrize("length,small", [(100, False), (100, True), (40, False)])
-def test_against_brute_force(spark, monkeypatch, length, small):
-    if small:  # every trigger of three contexts or more goes the way of those of very many
-        monkeypatch.setattr(repeats, "SORTED", 2)
+@pytest.mark.parametrize("length", [100, 40, 7])
+def test_against_brute_force(spark, length):
     texts = corpus()
     got = {r.doc_id: r for r in repeats.remove_repeats(docs(spark, [(3 * i, t) for i, t in enumerate(texts)]), length).collect()}
     for i, want in enumerate(brute([(i, t.encode()) for i, t in enumerate(texts)], length)):
@@ -63,13 +61,58 @@ def test_triggers_hang_on_the_window_alone(monkeypatch):
     assert (alone[3][:-1] + 1 == alone[2][1:]).all() and alone[2][0] == 0 and alone[3][-1] == len(text) - 100
 
 
-def test_places_hash_as_spark_does(spark):
-    row = spark.sql("SELECT xxhash64(-5L, 12345678901L) AS h").first()
-    assert repeats._place_hash(-5, 12345678901) == row.h % 2**64
+def test_near_copies_with_edits(spark):
+    """Windows that lie between two edits, and groups whose members share their left or their right side only."""
+    rng = random.Random(3)
+    base = prose(120, 50)
+    texts = [base]
+    for k in range(60):
+        words = base.split(" ")
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "edited", "other words here", ""])
+        texts.append(" ".join(words))
+    texts += [prose(2, 900 + k) + " a line that very many texts hold, of some sixty bytes or so " + prose(2 + k % 5, 700 + k % 7) for k in range(80)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs(spark, list(enumerate(texts))).repartition(5)).collect()}
+    for i, want in enumerate(brute([(i, t.encode()) for i, t in enumerate(texts)], 100)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
 
 
-def test_texts_beyond_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK", 500)
-    texts = corpus()[:12]
-    got = [(len(x[1]), x[0]) for x in repeats._chunks([t.encode() for t in texts], 100)]
-    assert sum(n for n, _ in got) == sum(len(t.encode()) for t in texts)
+def test_texts_beyond_a_piece(spark, monkeypatch):
+    import numpy as np
+
+    text = (prose(400, 6) + "a" * 700 + prose(300, 8)).encode()
+    whole = repeats.triggers(np.frombuffer(text, np.uint8), np.array([len(text)]), 100)
+    monkeypatch.setattr(repeats, "PLACE", 11)
+    got = []
+    for _, raw, ends, shift, low, end in repeats._pieces([b"short", text, text[:150]], 100):
+        h, x, lo, hi = repeats.triggers(raw, ends, 100)
+        of = np.searchsorted(ends, lo, "right")
+        add = (shift - np.concatenate([[0], ends[:-1]]))[of]
+        keep = (x + add >= low[of]) & (x + add < end[of])
+        got += zip((x + add)[keep].tolist(), (lo + add)[keep].tolist(), (hi + add)[keep].tolist())
+    starts = [s for _, a, b in got[: len(got)] for s in range(a, b + 1)]
+    assert sorted(starts) == sorted([*range(len(text) - 99), *range(51)])
+    assert all(0 <= x - b <= x - a <= 60 for x, a, b in got) and len(whole[0])
+
+
+def test_orders_carry_over_partitions(spark):
+    """Masks of a sorted column are those of one sequence, however it is cut into partitions."""
+    rng = random.Random(4)
+    wide = repeats.gram(100)
+    strings = sorted({(b"t" * wide + bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 12)))) for _ in range(400)})
+    rows = spark.createDataFrame([(s, b"", i, 0) for i, s in enumerate(strings)], "right binary, left binary, g long, place long")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {bytes(r["right"]): r["m"] for r in repeats._ordered(rows, "right", "left", "m", 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for i, s in enumerate(strings):
+        want, low = 0, 99
+        for j in range(i + 1, len(strings)):
+            low = min(low, int(repeats.common([strings[j - 1], strings[j]], 100)[1]) - wide)
+            want |= 1 << low
+        low = 99
+        for j in range(i, 0, -1):
+            low = min(low, int(repeats.common([strings[j - 1], strings[j]], 100)[1]) - wide)
+            want |= 1 << low
+        assert got[s] == want
