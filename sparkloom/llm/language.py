@@ -56,7 +56,7 @@ def train(docs: DataFrame, text: Column, lang: Column, per_language: int = 2000,
 
     table = np.full((CELLS, len(names)), alpha)
     place = {l: k for k, l in enumerate(names)}
-    for r in sample.mapInArrow(tally, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in sample.mapInArrow(lean(tally), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
         np.add.at(table, (r.column(1).to_numpy(), [place[x] for x in r.column(0).to_pylist()]), r.column(2).to_numpy())
     return names, np.log(table / table.sum(0)).astype(np.float32)
 

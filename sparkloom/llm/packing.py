@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cell_ranks, cut
+from .runtime import cell_ranks, cut, lean
 from .tokens import encoder
 
 
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, path: str, ranks: str | None, capacity: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return picked.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def _exact(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -165,7 +165,7 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in kept], *made], names=[*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name != "place")
-    return placed.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return placed.mapInArrow(lean(run), f"{fields}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, ranks: str | None, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import lean
+
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 
 #: From so many bytes on: the least and the greatest ratio of compressed to plain bytes of a whole document. Short texts
@@ -91,4 +93,4 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "least_chunk", "greatest_chunk", "outside", "band_failed", "kept"]
     kinds = ["long"] * 6 + ["boolean"] + ["double"] * 4 + ["boolean"] * 2
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return picked.mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))
+    return picked.mapInArrow(lean(run), ", ".join(map(" ".join, zip(names, kinds))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut
+from .runtime import cut, lean
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "th", "fp"])
 
     own = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("th"), own.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("th"), own.alias("text")).mapInArrow(lean(run), "doc_id long, th long, fp long")
 
 
 def _half(fp: Column, k: int) -> Column:

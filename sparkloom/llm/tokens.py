@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from itertools import chain
@@ -12,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import lean
+
 #: Characters on which the two libraries split alike for certain; other texts go through `tokenizers` itself.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-ɏ]*")
 #: A space beside white space: such texts aren't cut at spaces.
 _RUNS = re.compile(r" \s|\s ")
 #: Words kept by a worker's cache, and characters whose words are held at once.
-CACHE, PART = 400_000, 4_000_000
+CACHE, PART = 200_000, 1_000_000
 
 
 class Encoder:
@@ -29,19 +32,19 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.whole = Tokenizer.from_file(path)
-        vocab = self.whole.get_vocab(with_added_tokens=False)
-        unicode_of = _byte_letters()
-        self.byte_len = np.zeros(max([*vocab.values(), *self.whole.get_added_tokens_decoder()], default=0) + 1, np.int64)
+        self.path, self._whole, self.cache, self.fast = path, None, {}, None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        unicode_of, vocab = _byte_letters(), model["model"]["vocab"]
+        added = {t["id"]: t["content"] for t in model["added_tokens"]}
+        self.byte_len = np.zeros(max([*vocab.values(), *added], default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.byte_len[i] = len(token) if all(c in unicode_of for c in token) else len(token.encode())
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        for i, t in self.whole.get_added_tokens_decoder().items():
-            self.byte_len[i] = len(t.content.encode())
-        self.fast, self.cache = None, {}
+        self.special = list(added.values())
+        for i, content in added.items():
+            self.byte_len[i] = len(content.encode())
+        #: ids are stored in so many bytes, by the vocabulary.
+        self.kind = "<u2" if len(self.byte_len) <= 1 << 16 else "<u4"
         if ranks and os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
@@ -50,13 +53,23 @@ class Encoder:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    @property
+    def whole(self):
+        """The tokenizer itself, loaded once a text asks for it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """uint16 ids of " " + word, for many words in one call; their ends are found by the tokens' lengths."""
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(words)), "<u2")
+        """Stored ids of " " + word, for many words in one call; their ends are found by the tokens' lengths."""
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(words)), self.kind)
         ends = np.cumsum(self.byte_len[ids])
         stops = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in words])) + 1
-        raw = ids.tobytes()
-        return {w: raw[2 * a : 2 * b] for w, a, b in zip(words, [0, *stops[:-1].tolist()], stops.tolist())}
+        raw, size = ids.tobytes(), ids.itemsize
+        return {w: raw[size * a : size * b] for w, a, b in zip(words, [0, *stops[:-1].tolist()], stops.tolist())}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; words are held for about PART characters at a time."""
@@ -84,9 +97,9 @@ class Encoder:
             known = self.cache.__getitem__
             for i, parts in cut.items():
                 last = parts.pop() if not parts[-1] and len(parts) > 1 else None  # a space at the end is a token of its own
-                head = np.array(self.fast.encode_ordinary(parts[0]), "<u2").tobytes() if parts[0] else b""
-                tail = np.array(self.fast.encode_ordinary(" "), "<u2").tobytes() if last is not None else b""
-                out[i] = np.frombuffer(head + b"".join(map(known, parts[1:])) + tail, "<u2").astype(np.uint32)
+                head = np.array(self.fast.encode_ordinary(parts[0]), self.kind).tobytes() if parts[0] else b""
+                tail = np.array(self.fast.encode_ordinary(" "), self.kind).tobytes() if last is not None else b""
+                out[i] = np.frombuffer(head + b"".join(map(known, parts[1:])) + tail, self.kind).astype(np.uint32)
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, self.whole.encode_batch([texts[i] for i in rest], add_special_tokens=False) if rest else []):
             out[i] = np.array(e.ids, np.uint32)
@@ -158,7 +171,7 @@ def attribute_tokens(docs: DataFrame, path: str, ranks: str | None, fields: list
                     column += values
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "field", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"])
 
-    return picked.mapInArrow(run, "doc_id long, field string, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+    return picked.mapInArrow(lean(run), "doc_id long, field string, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
 
 
 def _dealt(ids: np.ndarray, byte_len: np.ndarray, text: str, edges: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
