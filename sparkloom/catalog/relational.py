@@ -89,10 +89,10 @@ def shipped_within(t):
     return J.within_interval(t("lineitem"), spans, ["l_orderkey"], "l_shipdate", "a", "b").select("l_orderkey", "l_linenumber", "within")
 
 
-@query("JN6", """SELECT event_id, p_partkey FROM events JOIN (SELECT p_partkey, round(p_retailprice / 10)::INT AS a, round(p_retailprice / 10)::INT + p_size AS b FROM part WHERE p_partkey < 100) ON event_id BETWEEN a AND b""")
+@query("JN6", """SELECT event_id, p_partkey FROM events JOIN (SELECT p_partkey, round(p_retailprice / 10)::INT AS a, round(p_retailprice / 10)::INT + p_size AS b FROM part) ON event_id BETWEEN a AND b""")
 def range_pairs(t):
     """A range join without an equal key, by cells."""
-    spans = t("part").where("p_partkey < 100").select("p_partkey", F.round(F.col("p_retailprice") / 10).cast("int").alias("a")).join(t("part").select("p_partkey", "p_size"), "p_partkey").withColumn("b", F.col("a") + F.col("p_size"))
+    spans = t("part").select("p_partkey", "p_size", F.round(F.col("p_retailprice") / 10).cast("int").alias("a")).withColumn("b", F.col("a") + F.col("p_size"))
     return J.range_join(t("events").select("event_id"), spans, "event_id", "a", "b", 64).select("event_id", "p_partkey")
 
 

@@ -20,25 +20,25 @@ def url_functions(t):
         X.strip_trailing_digits(host, {"example": "sample"}).alias("cleaned"), g["scheme"].alias("scheme"), g["number"].alias("number"))
 
 
-@query("SF8 SF9 SF10 SF28 SF29 SF30 SF31 SF38", r"""WITH d AS (SELECT doc_id, substr(text, 1, 400) AS s, lang FROM documents WHERE text IS NOT NULL)
+@query("SF8 SF9 SF10 SF28 SF29 SF30 SF31 SF38", r"""WITH d AS (SELECT doc_id, text AS s, lang FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, 'passage: ' || trim(regexp_replace(s, '\s+', ' ', 'g')) AS passage, CASE WHEN length(s) <= 60 THEN s ELSE rtrim(substr(s, 1, 57), ' ') || '...' END AS brief, format('{} in {}', lang, doc_id) AS said,
 regexp_matches(s, '(?i)stupid|trash|http') AS leaks, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '```[a-z]*', '', 'g'), '^\s*(?i:caption|description)\s*:\s*', ''), '["`]', '', 'g'), '\s+', ' ', 'g')) AS caption,
 coalesce(nullif(regexp_extract(upper(s), '[ABCD]', 0), ''), '?') AS letter, CASE WHEN regexp_matches(lower(trim(s)), '^(yes|y|true)') THEN 'yes' WHEN regexp_matches(lower(trim(s)), '^(no|n|false)') THEN 'no' ELSE '?' END AS answer,
 trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS norm FROM d""")
 def text_functions(t):
-    d = t("documents").where("text IS NOT NULL").select("doc_id", F.substring("text", 1, 400).alias("s"), "lang")
+    d = t("documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("s"), "lang")
     return d.select(
         "doc_id", X.prefixed("s", "passage").alias("passage"), X.ellipsis("s", 60).alias("brief"), X.template("%s in %d", "lang", "doc_id").alias("said"), X.leaks("s", ["stupid", "trash", "http"]).alias("leaks"),
         X.clean_caption("s").alias("caption"), X.choice_letter("s").alias("letter"), X.yes_no("s").alias("answer"), X.norm("s").alias("norm"))
 
 
-@query("SF24 SF26 SF27 SF40 SF41", r"""WITH d AS (SELECT doc_id, source, substr(text, 1, 1000) AS s FROM documents WHERE text IS NOT NULL), w AS (SELECT *, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM d),
+@query("SF24 SF26 SF27 SF40 SF41", r"""WITH d AS (SELECT doc_id, source, text AS s FROM documents WHERE text IS NOT NULL), w AS (SELECT *, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM d),
 g AS (SELECT *, CASE WHEN len(w) < 4 THEN [] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END AS g FROM w)
 SELECT doc_id, round(CASE WHEN len(g) = 0 THEN 0 ELSE 1 - len(list_distinct(g)) * 1.0 / len(g) END, 6) AS repeats,
 len(list_filter(regexp_split_to_array(s, '[.;!?]'), lambda x: regexp_matches(x, '(?i)(thing)') AND NOT regexp_matches(x, '(?i)\b(no|not|without|never)\b(\W+\w+){0,5}\W+(thing)') AND NOT regexp_matches(x, '(?i)(thing)(\W+\w+){0,4}\W+\b(no|not|without|never)\b'))) > 0 AS affirmed,
 CASE WHEN contains(s, 'http') THEN 'link' WHEN contains(s, '@') THEN 'contact' ELSE 'prose' END AS intent, CASE WHEN starts_with(source, 'src1') THEN 'one' WHEN starts_with(source, 'src') THEN 'other' ELSE 'none' END AS family FROM g""")
 def text_rules(t):
-    d = t("documents").where("text IS NOT NULL").select("doc_id", "source", F.substring("text", 1, 1000).alias("s"))
+    d = t("documents").where("text IS NOT NULL").select("doc_id", "source", F.col("text").alias("s"))
     return d.select(
         "doc_id", F.round(X.repeated_ngrams("s"), 6).alias("repeats"), X.affirmed("s", "thing").alias("affirmed"),
         X.first_rule("s", [("http", "link"), ("@", "contact")], "prose").alias("intent"), X.first_rule("source", [("src1", "one"), ("src", "other")], "none", "prefix").alias("family"))

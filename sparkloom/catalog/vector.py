@@ -1,4 +1,5 @@
-"""Vector retrieval: plans, metrics and audits over the table embeddings. Query vectors are vec_id < 20; a clip is four frames."""
+"""Vector retrieval: plans, metrics and audits over the table embeddings. Query vectors are those whose vec_id
+is divisible by 20; a clip is four frames."""
 
 from __future__ import annotations
 
@@ -19,16 +20,16 @@ def items(t):
     return t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
 
 
-def asked(t, n=20):
-    return items(t).where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "vector", "label")
+def asked(t):
+    return items(t).where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "vector", "label")
 
 
-def judged(t, n=20):
-    return asked(t, n).select("query_id", "label").join(items(t).select("item_id", "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
+def judged(t):
+    return asked(t).select("query_id", "label").join(items(t).select("item_id", "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
 
 
 PAIRS = """
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS qlabel FROM embeddings WHERE vec_id < 20),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS qlabel FROM embeddings WHERE vec_id % 20 = 0),
 pairs AS (SELECT query_id, vec_id AS item_id, round(list_dot_product(qv, embedding::DOUBLE[]), 6) AS score, label, qlabel FROM q, embeddings WHERE query_id <> vec_id)"""
 RANKED = PAIRS + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs),
@@ -100,7 +101,7 @@ def vector_self_excluded_top(t):
     return R.exact_search(items(t), asked(t), 1).select("query_id", "item_id", "score")
 
 
-_KNN = """WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 200),
+_KNN = """WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM s) WHERE r <= 16),
 l AS (SELECT a.label AS la, b.label AS lb FROM e JOIN embeddings a ON a.vec_id = e.src JOIN embeddings b ON b.vec_id = e.dst)"""
 
@@ -109,8 +110,8 @@ l AS (SELECT a.label AS la, b.label AS lb FROM e JOIN embeddings a ON a.vec_id =
 round((count(*) FILTER (la = v.label AND lb <> v.label) + count(*) FILTER (la <> v.label AND lb = v.label)) * 1.0 / least(2 * count(*) FILTER (la = v.label AND lb = v.label) + count(*) FILTER ((la = v.label) <> (lb = v.label)), 2 * count(*) FILTER (la <> v.label AND lb <> v.label) + count(*) FILTER ((la = v.label) <> (lb = v.label))), 6) AS conductance
 FROM l, (SELECT DISTINCT label FROM embeddings) v GROUP BY v.label""")
 def knn_conductance(t):
-    """How many edges of the 16-nearest graph of 200 query vectors leave a label, over the lesser side's volume."""
-    e = R.knn_graph(items(t), asked(t, 200), 16)
+    """How many edges of the 16-nearest graph of the query vectors leave a label, over the lesser side's volume."""
+    e = R.knn_graph(items(t), asked(t), 16)
     ends = e.join(items(t).select(F.col("item_id").alias("src"), F.col("label").alias("la")), "src").join(items(t).select(F.col("item_id").alias("dst"), F.col("label").alias("lb")), "dst")
     cells = ends.groupBy("la", "lb").agg(F.count("*").alias("n"))
     rows = cells.crossJoin(F.broadcast(items(t).select("label").distinct()))  # labels squared times labels
@@ -162,7 +163,7 @@ def ivf_lists(t):
 @query("VEC10", f"""WITH {_PROTO}, sub AS (SELECT unnest([0, 1, 2, 3]) AS b), c AS (SELECT label AS code, b, list_slice(pv, b * 16 + 1, b * 16 + 16) AS cv FROM proto, sub),
 e AS (SELECT vec_id, b, list_slice(embedding::DOUBLE[], b * 16 + 1, b * 16 + 16) AS ev FROM embeddings, sub),
 codes AS (SELECT vec_id, b, code FROM (SELECT e.vec_id, e.b, c.code, row_number() OVER (PARTITION BY e.vec_id, e.b ORDER BY round(list_dot_product(ev, ev) + list_dot_product(cv, cv) - 2 * list_dot_product(ev, cv), 6), c.code) AS k FROM e JOIN c USING (b)) WHERE k = 1),
-s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(sum(list_dot_product(q.ev, c.cv)), 6) AS score FROM e q JOIN codes i ON i.b = q.b AND i.vec_id <> q.vec_id JOIN c ON c.b = i.b AND c.code = i.code WHERE q.vec_id < 20 GROUP BY ALL)
+s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(sum(list_dot_product(q.ev, c.cv)), 6) AS score FROM e q JOIN codes i ON i.b = q.b AND i.vec_id <> q.vec_id JOIN c ON c.b = i.b AND c.code = i.code WHERE q.vec_id % 20 = 0 GROUP BY ALL)
 SELECT {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10""")
 def product_quantized(t):
     """Four sub-spaces of ten codes, the label means' parts; scores from tables of query parts and codes."""

@@ -13,10 +13,10 @@ from ..operators import windows as W
 from ..operators import workload as K
 
 
-@query("WKL1 WKL2 SET1", f"""WITH {LONG}, d AS (SELECT doc_id || '_text' AS doc_id, doc_id AS clip_id, 'text' AS doc_type, substr(text, 1, 50) AS text FROM documents WHERE text IS NOT NULL UNION ALL SELECT item_id || '_' || facet, item_id, 'facet', facet || ' is ' || value FROM long WHERE facet IN ('lang', 'size'))
+@query("WKL1 WKL2 SET1", f"""WITH {LONG}, d AS (SELECT doc_id || '_text' AS doc_id, doc_id AS clip_id, 'text' AS doc_type, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT item_id || '_' || facet, item_id, 'facet', facet || ' is ' || value FROM long WHERE facet IN ('lang', 'size'))
 SELECT doc_id, clip_id, doc_type, text FROM d""")
 def built_documents(t):
-    d = facet_items(t).select(F.col("item_id").alias("doc_id"), "lang", "size").join(t("documents").select("doc_id", F.substring("text", 1, 50).alias("body")), "doc_id")
+    d = facet_items(t).select(F.col("item_id").alias("doc_id"), "lang", "size").join(t("documents").select("doc_id", F.col("text").alias("body")), "doc_id")
     return K.facet_documents(d.withColumnRenamed("doc_id", "item"), "item", "body", ["lang", "size"])
 
 
@@ -76,16 +76,8 @@ def corpus_gates(t):
 
 @query("AUD6", """SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def leaked_passages(t):
-    """Documents that hold a benchmark passage: passages are found by their first words' place, then compared whole.
-
-    A passage is a fixed, small table; each document is joined with those whose rarest start it holds, by its word windows.
-    """
-    words = F.split("text", " ")
-    b = t("benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("key"))
-    d = t("documents").where("text IS NOT NULL").select("doc_id", "text", words.alias("w"))
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " ")))).alias("key"))
-    hits = keys.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return hits.join(b.select("item_id", "passage"), "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    """Documents that hold a benchmark passage, as whole strings of any length, wherever they stand."""
+    return K.containing(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query("VEC25 VEC26 VEC27 SF40", """WITH c AS (SELECT p_brand AS predicate, CASE WHEN p_partkey % 2 = 0 THEN 'global' ELSE 'partial' END AS strategy, round(avg(p_size / 50.0), 6) AS recall, round(avg(p_retailprice), 6) AS p50_ms, round(sum(p_size) / 100.0, 6) AS build_s FROM part GROUP BY ALL),

@@ -130,10 +130,12 @@ def word_count(c: Column | str) -> Column:
 
 
 def repeated_ngrams(c: Column | str, n: int = 4) -> Column:
-    """1 - distinct / all of a text's word n-grams; 0 where it has none."""
-    w = words(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return F.when(F.size(w) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    """1 - distinct / all of a text's word n-grams; 0 where it has none. Lambdas bind words and n-grams: as plain columns they
+    would be formed again for each n-gram."""
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    share = lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)
+    of = lambda w: F.when(F.size(w) < n, F.lit(0.0)).otherwise(F.get(F.transform(F.array(grams(w)), share), F.lit(0)))
+    return F.get(F.transform(F.array(words(c)), of), F.lit(0))
 
 
 def affirmed(c: Column | str, concept: str, negation: str = "(no|not|without|never)") -> Column:

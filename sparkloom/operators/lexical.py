@@ -23,14 +23,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """query_id, item_id, score of documents that hold a query's term. Others score 0, and `with_zeros` adds them.
 
     idf is ln(N - df + 0.5) - ln(df + 0.5), and a negative one is replaced by epsilon times the mean of all idfs as they
-    were. Term statistics join the queries' terms, so only postings of asked terms are dealt out by term.
+    were. How many documents hold a term is counted from each text's distinct words, summed before rows are dealt out;
+    postings are made of asked terms alone, so words of texts are never dealt out.
     """
-    posts = postings(docs)
-    size = docs.select(F.size(words("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    asked = query_terms(queries)
+    split = docs.select("item_id", words("text").alias("w"))
+    size = split.select(F.size("w").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    df = split.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    named = split.select("item_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = named.groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
     idf = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of totals
     mean = idf.agg(F.avg("raw").alias("floor"))
-    asked = query_terms(queries)
     idf = idf.join(asked.select("term").distinct(), "term").join(F.broadcast(mean))  # one row
     idf = idf.select("term", "mean", F.when(F.col("raw") < 0, epsilon * F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     met = posts.join(idf, "term").join(asked, "term")
@@ -51,12 +54,17 @@ def padded(top: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataF
     return top_items(top.select("query_id", "item_id", "score").unionByName(zeros.select("query_id", "item_id", F.lit(0.0).alias("score"))), k)
 
 
+def _pairs(w):
+    """Neighbouring words of two words or more, joined by a blank."""
+    last = F.size(w) - 1
+    return F.zip_with(F.slice(w, F.lit(1), last), F.slice(w, F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def tfidf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, item_id, score: cosines of sublinear TF-IDF over words and pairs of words; idf is ln((1 + N) / (1 + df)) + 1."""
     def terms(df: DataFrame, ident: str, text: str) -> DataFrame:
         w = F.col("w")
-        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, F.lit(2)), " "))
-        grams = F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+        grams = F.when(F.size(w) > 1, F.concat(w, _pairs(w))).otherwise(w)
         rows = df.select(ident, words(text).alias("w")).select(ident, F.explode(grams).alias("term"))
         return rows.groupBy(ident, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
 
@@ -75,17 +83,19 @@ def match_all(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, item_id, score of documents that hold all of a query's terms; the score is their summed frequency."""
     asked = query_terms(queries)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    met = postings(docs).join(asked, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("have"), F.sum("tf").cast("double").alias("score"))
+    rows = docs.select("item_id", F.explode(words("text")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = rows.groupBy("item_id", "term").agg(F.count("*").alias("tf"))  # of asked terms alone
+    met = posts.join(asked, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("have"), F.sum("tf").cast("double").alias("score"))
     return met.join(need, "query_id").where("have = need").select("query_id", "item_id", "score")
 
 
 def hashed_terms(docs: DataFrame, buckets: int = 256) -> DataFrame:
     """item_id, bucket, weight: hashed words and pairs of words, signed, of length 1 for each document."""
     w = F.col("w")
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, F.lit(2)), " "))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size(w) > 1, _pairs(w)).otherwise(F.array().cast("array<string>"))
     rows = docs.select("item_id", words("text").alias("w")).select("item_id", F.explode(F.concat(w, pairs)).alias("t"))
-    h = F.xxhash64("t")
-    rows = rows.groupBy("item_id", F.pmod(h, F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum(F.when(h < 0, -1.0).otherwise(1.0)).alias("x"))
+    h = F.md5("t")  # the first seven hex digits for the bucket, the eighth for the sign
+    rows = rows.groupBy("item_id", F.pmod(F.conv(F.substring(h, 1, 7), 16, 10).cast("bigint"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum(F.when(F.substring(h, 8, 1) >= "8", -1.0).otherwise(1.0)).alias("x"))
     from pyspark.sql.window import Window
 
     return rows.select("item_id", "bucket", (F.col("x") / F.greatest(F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy("item_id"))), F.lit(1e-12))).alias("weight"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,12 +90,20 @@ def wilcoxon(pairs: DataFrame, diff: str, by: list[str], least: int = 3, when_fe
     ranked = rows.withColumn("_r", average_rank(F.col("_abs"), *by))
     t = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"))
     z = (F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24)
+    return t.withColumn("z", z).select(*by, "n", "w_plus", F.round(F.when(F.col("n") >= least, erfc(F.abs("z") / math.sqrt(2))).otherwise(F.lit(when_few)), 6).alias("p"))
 
-    @F.pandas_udf("double")
-    def two_sided(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
 
-    return t.withColumn("z", z).select(*by, "n", "w_plus", F.round(F.when(F.col("n") >= least, two_sided("z")).otherwise(F.lit(when_few)), 6).alias("p"))
+# The coefficients of a Chebyshev fit to the complementary error function, from the constant term on.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, to a relative error of 1.2e-7, in built-in functions."""
+    t = 1 / (1 + x / 2)
+    power = F.lit(0.0)
+    for c in reversed(ERFC):
+        power = power * t + F.lit(c)
+    return t * F.exp(power - x * x)
 
 
 def wilcoxon_exact(n: int, w: float) -> float:
@@ -132,9 +139,28 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
 
 
 def wasserstein(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Mean distance of the two columns' sorted values, place by place."""
-    side = lambda c: df.where(F.col(c).isNotNull()).select(F.row_number().over(Window.orderBy(c)).alias("i"), F.col(c).cast("double").alias(c))
-    return side(a).join(side(b), "i").agg(F.round(F.avg(F.abs(F.col(a) - F.col(b))), 6).alias("w1"))
+    """The area between the two columns' distribution functions, whatever the numbers of their values; nulls are left out.
+
+    Values are put in 64 ranges by their quantiles. A range is summed up in a task of its own, from the counts before it,
+    of which one row for each range comes to the driver.
+    """
+    side = lambda c, x, y: df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), F.lit(x).alias("na"), F.lit(y).alias("nb"))
+    rows = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    edges = sorted(set(rows.approxQuantile("x", [k / 64 for k in range(1, 64)], 0.005)))
+    cell = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("x"))) if edges else F.lit(0)
+    rows = rows.withColumn("cell", cell)
+    heads = sorted(rows.groupBy("cell").agg(F.sum("na"), F.sum("nb"), F.min("x")).collect())
+    before, a_sum, b_sum = {}, 0, 0
+    for k, (c, na, nb, _) in enumerate(heads):
+        before[c] = (a_sum, b_sum, heads[k + 1][3] if k + 1 < len(heads) else None)
+        a_sum, b_sum = a_sum + na, b_sum + nb
+    if not a_sum or not b_sum:
+        return df.sparkSession.createDataFrame([(None,)], "w1 double")
+    known = df.sparkSession.createDataFrame([(c, *map(float, v[:2]), v[2]) for c, v in before.items()], "cell int, a0 double, b0 double, next double")
+    w = Window.partitionBy("cell").orderBy("x")
+    steps = rows.join(F.broadcast(known), "cell").select(  # 64 rows
+        ((F.col("a0") + F.sum("na").over(w)) / a_sum - (F.col("b0") + F.sum("nb").over(w)) / b_sum).alias("gap"), (F.coalesce(F.lead("x").over(w), F.col("next")) - F.col("x")).alias("wide"))
+    return steps.agg(F.round(F.coalesce(F.sum(F.abs("gap") * F.col("wide")), F.lit(0.0)), 6).alias("w1"))
 
 
 def icc1(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .facets import seeded
@@ -74,13 +77,76 @@ def merge_shards(shards: list[DataFrame], ident: str, value: str) -> tuple[DataF
     return rows.groupBy(ident).agg(F.max_by(value, "_n").alias(value)), conflicts
 
 
+def first_share(rows: DataFrame, share: float, order: list[str]) -> DataFrame:
+    """The first floor(share n) of rows (_h: a hash in hex) in an order that begins with the hash.
+
+    Rows are counted by the hash's first four digits, 65,536 cells of near equal size whose counts come to the driver; all
+    cells before the one in which the share ends are taken whole, and only that one is put in order.
+    """
+    cell = F.substring("_h", 1, 4)
+    counts = sorted((r["c"], r["n"]) for r in rows.groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect())
+    left, last = int(share * sum(n for _, n in counts)), None
+    for c, n in counts:
+        if n > left:
+            last = c
+            break
+        left -= n
+    if last is None:
+        return rows
+    return rows.where(cell < last).unionByName(rows.where(cell == last).orderBy(*order).limit(left))
+
+
 def inject(docs: DataFrame, dose: float, phrase: Column, seed: str, item: str = "item_id", text: str = "text") -> DataFrame:
     """docs where floor(dose n) documents, first by hash, have a phrase at their end: larger doses hold smaller ones."""
-    n = docs.count()
-    cut = docs.select(item, seeded(seed, item).alias("_h")).orderBy("_h", item).limit(int(dose * n)).select(item, F.lit(True).alias("_in"))
+    cut = first_share(docs.select(item, seeded(seed, item).alias("_h")), dose, ["_h", item]).select(item, F.lit(True).alias("_in"))
     return docs.join(cut, item, "left").withColumn(text, F.when(F.col("_in"), F.concat(F.col(text), F.lit(" "), phrase)).otherwise(F.col(text))).withColumn("injected", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
+def containing(docs: DataFrame, passages: DataFrame, doc_id: str, text: str, item_id: str, passage: str, block: int = 4 << 20) -> DataFrame:
+    """doc_id, item_id of each document and each passage that stands in its text as a string.
+
+    The passages are a stated set of queries. They come to the driver in blocks of about `block` characters; each block is an
+    automaton that reads every text once, so the work is one scan for a block, and no window of a text is dealt out. Null
+    texts and passages hold nothing; an empty passage stands in every text; equal passages are all found; repeated rows of
+    docs give repeated rows.
+    """
+    spark = docs.sparkSession
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", passages.schema[item_id].dataType)])
+    own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def scan(ids: dict[str, list]) -> DataFrame:
+        def run(batches):
+            import ahocorasick
+
+            known = ahocorasick.Automaton()
+            for p, items in ids.items():
+                if p:
+                    known.add_word(p, items)
+            known.make_automaton()
+            always = ids.get("", [])
+            for batch in batches:
+                rows, found = [], []
+                for i, t in enumerate(batch.column(1)):
+                    hit = {id(x): x for _, x in known.iter(t.as_py())} if len(known) else {}
+                    for item in [*always, *(y for x in hit.values() for y in x)]:
+                        rows.append(i)
+                        found.append(item)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, out_type)], names=["doc_id", "item_id"])
+
+        out_type = to_arrow_type(schema["item_id"].dataType)
+        return own.mapInArrow(run, schema)
+
+    blocks, ids, size = None, {}, 0
+    for r in passages.where(F.col(passage).isNotNull()).select(F.col(item_id), F.col(passage).alias("_p")).toLocalIterator():
+        if size + len(r["_p"]) > block and ids:
+            blocks, ids, size = scan(ids) if blocks is None else blocks.unionByName(scan(ids)), {}, 0
+        ids.setdefault(r["_p"], []).append(r[0])
+        size += len(r["_p"])
+    if ids:
+        blocks = scan(ids) if blocks is None else blocks.unionByName(scan(ids))
+    return spark.createDataFrame([], schema) if blocks is None else blocks
+
+
 def gate(df: DataFrame, **tests: Column) -> DataFrame:
     """gate, failures, passed: how many rows fail each test (null fails), in one pass."""
     counts = df.agg(F.count("*").alias("_n"), *[F.count_if(~F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])

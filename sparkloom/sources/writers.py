@@ -23,10 +23,14 @@ def guard(df: DataFrame, path: str, overwrite: bool) -> None:
 
 def write_text(df: DataFrame, path: str, text: str) -> None:
     """A small text file through Hadoop's file systems, so that any store takes it."""
+    write_bytes(df, path, text.encode())
+
+
+def write_bytes(df: DataFrame, path: str, raw: bytes) -> None:
     p, fs = _fs(df, path)
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(raw))
     finally:
         out.close()
 
