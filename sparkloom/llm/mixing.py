@@ -85,25 +85,36 @@ def balance(docs: DataFrame, targets: DataFrame, max_copies: int = 2, rounds: in
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, max_copies: int = 2, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix of whole documents: doc_id, source, size (words), source_size, target, rate, copies and taken (copies x size).
+    """The mix of whole documents: doc_id, source, size (words), source_size, target, rate, copies, taken (copies x size) and
+    text_hash.
 
     Null texts have size 0; a null source is a source of its own, and comes last; documents of size 0 are taken by their
     rate and add nothing. Rows alike share out their copies; an empty table gives none; other columns are left out.
     """
-    sized = cut(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), words_count(F.col(f"`{text}`")).alias("size")).withColumn("key", source_key(F.col("source"))))
+    sized = cut(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), words_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash")).withColumn("key", source_key(F.col("source"))))
     sources = sized.groupBy("key").agg(F.sum("size").alias("total")).withColumn("source", F.when(F.col("key") != "0", F.expr("substring(key, 2)")))
     targets = cut(shared_targets(sources, weights, share, most))
-    copies = balance(sized.select("doc_id", "key", "size"), targets, max_copies)
+    copies = balance(sized.select("doc_id", "key", "size", "text_hash"), targets, max_copies)
     out = copies.join(targets.select("key", "source", F.col("total").alias("source_size"), "target"), "key")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
 
 
-def repeat_rows(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs with each row as often as copies (doc_id, copies) says. Rows that share a doc_id share out its copies evenly.
+def repeat_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with each row as often as the mix (of these docs) takes it.
 
-    Copies of a doc_id are summed; each of its rows gets the sum over its number of rows, rounded to nearest. For that,
-    a null doc_id is one doc_id.
+    Rows are told apart by doc_id, source and text, nulls included. Rows alike in all three share out the sum of their copies
+    as evenly as whole numbers can, in an order of all their columns; so the words taken are those of the mix.
     """
-    per = copies.groupBy(F.col("doc_id").alias("_k")).agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("_copies"))
-    rows = docs.join(cut(per), F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_k")))
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), source_key(F.col("source")))
+    per = cut(mixed.groupBy(key.alias("_k"), F.col("text_hash").alias("_t")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
+    own = F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("long").cast("string"), F.lit("-")), source_key(F.col(f"`{source}`")))
+    rows = docs.join(per, (own == F.col("_k")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_t")))
+    times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("_copy")
+    out = rows.where("_rows = 1").select(*columns, times(F.col("_copies")))
+    if per.where("_rows > 1").limit(1).count():
+        alike = cut(rows.where("_rows > 1").select(F.struct(*columns).alias("_row"), "_k", "_t", "_copies", "_rows"))
+        placed = cell_ranks(alike, ["_k", "_t"], F.to_json(F.struct("_row")), "_place")
+        share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") < F.pmod("_copies", "_rows")).cast("long")
+        out = out.unionByName(placed.withColumn("_n", share).where("_n > 0").select("_row.*", times(F.col("_n"))))
+    return out.select(*columns)

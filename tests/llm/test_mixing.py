@@ -2,7 +2,7 @@ import random
 
 from sparkloom.llm import mixing
 
-from .helpers import docs
+from .helpers import docs, prose
 
 
 def rows():
@@ -54,10 +54,24 @@ def test_rates_are_an_exponential_tilt(spark):
 
 
 def test_rows_repeat_as_they_are_taken(spark):
-    df = docs(spark, [(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d")])
-    copies = spark.createDataFrame([(1, 0), (2, 2), (2, 2), (3, 1), (None, 2)], "doc_id long, copies int")
-    assert sorted(str(r.doc_id) for r in mixing.repeat_rows(df, copies).collect()) == sorted(map(str, [2, 2, 2, 2, 3, None, None]))
-    assert mixing.repeat_rows(df, copies).columns == df.columns
+    df = docs(spark, [(1, "a"), (2, "b"), (2, "b"), (2, "c"), (3, "c"), (None, "d"), (4, None), (4, None), (4, None)])
+    mixed = [(1, "a", 0), (2, "b", 2), (2, "b", 1), (2, "c", 0), (3, "c", 1), (None, "d", 2), (4, None, 0), (4, None, 1), (4, None, 0)]
+    copies = spark.createDataFrame([(i, "src0", t, n) for i, t, n in mixed], "doc_id long, source string, text string, copies int").selectExpr("*", "xxhash64(text) AS text_hash")
+    got = mixing.repeat_rows(df, copies)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("2", "b")] * 3 + [("3", "c")] + [("None", "d")] * 2 + [("4", "None")])
+
+
+def test_the_repeated_rows_hold_the_words_of_the_mix(spark):
+    """One doc_id with texts of very different sizes, and rows alike."""
+    data = [(i % 7, prose(1 + 40 * (i % 5), i % 11), "en", "ab"[i % 2]) for i in range(120)]
+    df = docs(spark, data)
+    mixed = mixing.cut(mixing.mix(df, [3.0, 1.0, 2.0]))
+    want = mixed.groupBy("source").sum("taken").collect()
+    got = {}
+    for r in mixing.repeat_rows(df, mixed).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == {r[0]: r[1] for r in want}
 
 
 def test_empty_and_wordless_tables(spark):
