@@ -21,6 +21,11 @@ _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: What may be an identifier of some kind: a run with a digit or @, and groups of digits that go on after a blank.
 CANDIDATE = r"(?<![^\s,;:=#])[^\s,;:=#0-9@]*+[0-9@][^\s,;:=#]*+(?:\x20[0-9()-]++(?![^\s,;:=#]))*+"
 
+#: A word of a context with the marks that end it, so that "ip=" is one whatever follows; code points of a word of a pattern
+#: at most, and of the text beside a value that holds its words.
+TOKEN, LONGEST = r"[^\s,;:=#]+[,;:=#]*", 40
+REACH = 2 * LONGEST + 2
+
 
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
@@ -52,8 +57,8 @@ def _could_be(kind: str, v: Column) -> Column:
 
 
 def _located(df: DataFrame, regex: str, hint: Column | None, out: str) -> DataFrame:
-    """df (with _text) with `out`: array of start, end, value, before of all matches; before: the 80 code points that stand
-    between the match and the one before it, or fewer.
+    """df (with _text) with `out`: array of start, end, value, before, after of all matches; before and after: the REACH code
+    points beside the match, or fewer where another match is nearer.
 
     Places are sums of the lengths of matches and of what lies between them, in blocks of about sqrt(matches), so a text of
     very many matches isn't summed over and over.
@@ -73,22 +78,31 @@ def _located(df: DataFrame, regex: str, hint: Column | None, out: str) -> DataFr
     def span(v: Column, i: Column) -> Column:
         k = F.floor(i / F.col(b)).cast("int")
         at = add(F.slice(pre, F.lit(1), k)) + total(F.slice(n, k * F.col(b) + 1, i - k * F.col(b))) + F.get(n, i)["gap"]
-        return F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"), F.right(F.get(g, i), F.lit(80)).alias("before"))
+        return F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"), F.right(F.get(g, i), F.lit(REACH)).alias("before"), F.left(F.get(g, i + 1), F.lit(REACH)).alias("after"))
 
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
     return df.withColumn(out, F.when(some, F.transform(m, span)).otherwise(empty)).drop(m, g, n, b, pre)
 
 
-def _context(before: Column) -> Column:
-    """The one or two words that stand before, in lower case, digits as 0; "" if there is none."""
-    words = F.regexp_extract(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"(\S{1,40}\s+\S{1,40}|\S{1,40})\s*$", 1)
-    return F.regexp_replace(words, r"\s+", " ")
+def _plain(c: Column) -> Column:
+    """Lower case, digits as 0: what patterns are compared in."""
+    return F.regexp_replace(F.lower(c), "[0-9]", "0")
+
+
+def _patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of a value: "LL " and the two words before it, "L " and the one, "R " and the word after it."""
+    left = F.regexp_extract_all(_plain(before), F.lit(TOKEN), F.lit(0))
+    right = F.regexp_extract(_plain(after), rf"^[\s,;:=#]*({TOKEN})", 1)
+    one, two = F.get(left, F.size(left) - 1), F.get(left, F.size(left) - 2)
+    fits = lambda w: F.length(w).between(1, LONGEST)
+    found = F.array(F.when(fits(one) & fits(two), F.concat(F.lit("LL "), two, F.lit(" "), one)), F.when(fits(one), F.concat(F.lit("L "), one)), F.when(fits(right), F.concat(F.lit("R "), right)))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def _of_kind(located: Column, k: int, test) -> Column:
     """The located matches that pass the test for kind k, as spans of that kind."""
     kept = F.filter(located, lambda s: test(list(KINDS)[k], s["value"]))
-    return F.transform(kept, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _context(s["before"]).alias("context")))
+    return F.transform(kept, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _patterns(s["before"], s["after"]).alias("patterns")))
 
 
 def _count(spans_: Column, k: int) -> Column:
@@ -97,7 +111,7 @@ def _count(spans_: Column, k: int) -> Column:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _base and _maybe: base spans, and candidates that touch none of them, each kind, start, end, value and
-    context (the words before it)."""
+    patterns (of the words beside it)."""
     df = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     parts = []
     for k, (kind, regex) in enumerate(KINDS.items()):
@@ -111,40 +125,44 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_maybe", F.concat(*shaped)).drop("_text", "_c", "_free")
 
 
-def _context_counts(docs: DataFrame, text: str, contexts: DataFrame) -> DataFrame:
-    """context, total: how often the words of each context stand in all texts, whatever follows them."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), "[0-9]", "0"), r"\s+"), lambda w: w != "")
-    rows = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.concat_ws(" ", F.when(i > 0, F.get("w", i - 1)), x))).alias("context"))
-    return rows.join(contexts.select("context").distinct(), "context").groupBy("context").agg(F.count("*").alias("total"))
+def _pattern_counts(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how often the words of each pattern stand in all texts, whatever stands beside them."""
+    words = F.regexp_extract_all(_plain(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    singles = docs.select(words.alias("w")).select(F.explode("w").alias("w"), F.lit(None).cast("string").alias("p"))
+    pairs = docs.select(words.alias("w")).select(F.explode(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("w"), F.get("w", i).alias("p")))).alias("s")).select("s.w", "s.p")
+    asked = patterns.select("pattern").distinct().select("pattern", F.substring_index("pattern", " ", 1).alias("side"), F.expr("substring(pattern, instr(pattern, ' ') + 1)").alias("words"))
+    one = singles.groupBy(F.col("w").alias("words")).agg(F.count("*").alias("total")).join(asked.where("side <> 'LL'"), "words")
+    two = pairs.groupBy(F.concat("p", F.lit(" "), "w").alias("words")).agg(F.count("*").alias("total")).join(asked.where("side = 'LL'"), "words")
+    return one.unionByName(two).select("pattern", "total")
 
 
-def bootstrap(found: DataFrame, docs: DataFrame, text: str = "text", rounds: int = 3, support: int = 3, least: float = 0.8) -> DataFrame | None:
-    """kind, value of unseen identifiers: those that high-confidence contexts of known ones discover; None if there is none.
+def bootstrap(found: DataFrame, docs: DataFrame, text: str = "text", rounds: int = 6, support: int = 3, least: float = 0.8) -> DataFrame | None:
+    """kind, value of unseen identifiers: those that high-confidence patterns of known ones discover; None if there is none.
 
-    Seeds are the values of base spans. Patterns are the words before a value, by kind, that stand before `support`
-    different seeds at least. In a graph of patterns and the values that they hold, a pattern's confidence is the sum of its
-    occurrences' scores over all occurrences of its words in the corpus, with one more; a value's score is 1 for a seed, else
-    1 minus the product of what its patterns lack in confidence. After `rounds` rounds, values of a score of `least` are
-    taken. Patterns and values meet in joins and sums; no group is gathered.
+    Seeds are the values of base spans. A pattern is a word after a value, or one or two words before it, by kind. In each
+    round patterns are induced anew from what is known by then, seeds and candidates with a score of `least`, of which
+    `support` different ones must hold a pattern; its confidence is the sum of the scores of all values that it holds, over
+    all occurrences of its words in the corpus and one more. A candidate's score joins the best pattern before it (two words,
+    or one where two aren't induced) and the best after it, 1 - (1 - a)(1 - b). So what one round finds induces patterns
+    that find more in the next. Patterns and values meet in joins and sums; no group is gathered.
     """
-    flat = lambda c: found.select(F.explode(c).alias("s")).select("s.kind", "s.context", "s.value").where("context <> ''")
-    seeds = cut(flat("_base").groupBy("kind", "context", "value").agg(F.count("*").alias("n")))
-    patterns = cut(seeds.groupBy("kind", "context").agg(F.count("*").alias("seeds"), F.sum("n").alias("known")).where(F.col("seeds") >= support))
-    maybe = cut(flat("_maybe").join(patterns.select("kind", "context"), ["kind", "context"]).groupBy("kind", "context", "value").agg(F.count("*").alias("n")))
-    if not maybe.limit(1).count():
+    flat = lambda c, seed: found.select(F.explode(c).alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"), F.lit(seed).alias("seed"))
+    graph = cut(flat("_base", 1).unionByName(flat("_maybe", 0)).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
+    live = graph.groupBy("kind", "pattern").agg(F.count("*").alias("values"), F.sum("n").alias("held"), F.min("seed").alias("all_seeds")).where((F.col("values") >= support) & (F.col("all_seeds") == 0))
+    live = cut(live.select("kind", "pattern", "held"))  # patterns that could be induced and have something to find
+    if not live.limit(1).count():
         return None
-    live = cut(patterns.join(maybe.select("kind", "context").distinct(), ["kind", "context"]))
-    totals = cut(_context_counts(docs, text, live))
-    graph = cut(live.join(totals, "context", "left").withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), F.col("known"))))
+    totals = live.join(_pattern_counts(docs, text, live), "pattern", "left").select("kind", "pattern", F.greatest(F.coalesce("total", F.lit(0)), F.col("held")).alias("total"))
+    totals = cut(totals)
+    graph = cut(graph.join(live.select("kind", "pattern"), ["kind", "pattern"]))
     scores = None
     for _ in range(rounds):
-        if scores is None:
-            gained = graph.withColumn("more", F.lit(0.0))
-        else:
-            more = maybe.join(scores, ["kind", "value"]).groupBy("kind", "context").agg(F.sum(F.col("n") * F.col("score")).alias("more"))
-            gained = graph.join(more, ["kind", "context"], "left").na.fill(0.0, ["more"])
-        sure = gained.select("kind", "context", ((F.col("known") + F.col("more")) / (F.greatest("total", F.col("known") + F.col("more")) + 1)).alias("sure"))
-        scores = cut(maybe.join(sure, ["kind", "context"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))))).alias("score")))
+        held = graph.withColumn("score", F.col("seed").cast("double")) if scores is None else graph.join(scores, ["kind", "value"], "left").withColumn("score", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))))
+        induced = held.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("sum"), F.count_if(F.col("score") >= least).alias("known")).where(F.col("known") >= support)
+        sure = induced.join(totals, ["kind", "pattern"]).select("kind", "pattern", (F.col("sum") / (F.col("total") + 1)).alias("sure"))
+        best = lambda side: F.max(F.when(F.substring_index("pattern", " ", 1) == side, F.col("sure")))
+        each = graph.where("seed = 0").join(sure, ["kind", "pattern"]).groupBy("kind", "value").agg(best("LL").alias("two"), best("L").alias("one"), best("R").alias("after"))
+        scores = cut(each.select("kind", "value", (1 - (1 - F.coalesce("two", "one", F.lit(0.0))) * (1 - F.coalesce("after", F.lit(0.0)))).alias("score")))
     return scores.where(F.col("score") >= least).select("kind", "value")
 
 
@@ -154,7 +172,7 @@ def added_spans(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
     if new is None:
         return None
     rows = found.select("_id", "_hash", F.explode("_maybe").alias("s")).select("_id", "_hash", "s.kind", "s.start", "s.end", "s.value")
-    hit = rows.join(new, ["kind", "value"]).select("_id", "_hash", F.struct("kind", "start", "end", "value", F.lit("").alias("context")).alias("s")).distinct()
+    hit = rows.join(new, ["kind", "value"]).select("_id", "_hash", F.struct("kind", "start", "end").alias("s")).distinct()
     return cut(hit.groupBy("_id", "_hash").agg(F.collect_list("s").alias("_added")))  # a text's spans are bounded by the text
 
 
@@ -190,10 +208,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and lists of `spans`."""
+    """Counts and lists of `spans`; n_spans counts base and added ones."""
     of = [_count(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     plain = F.array_sort(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return found.select("doc_id", *of, F.sha2(_listed(plain), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *of, F.sha2(_listed(plain), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def _reach(spans_: Column) -> Column:

@@ -64,6 +64,22 @@ def test_contexts_discover_unseen_identifiers_and_leave_others(spark):
     assert all(got[200 + i].spans == "" for i in range(5))
 
 
+def test_a_second_round_finds_what_the_first_cannot(spark):
+    """"please dial" is learnt from seeds and finds local numbers; those teach "extension:", which finds others."""
+    rows = [(i, f"{prose(4, i)} please dial +1 (555) 555-{1000 + i} {prose(4, i + 99)}") for i in range(30)]
+    rows += [(100 + i, f"{prose(4, i)} please dial 030 12345{60 + i} {prose(4, i + 50)}") for i in range(12)]
+    rows += [(200 + i, f"{prose(4, i + 3)} extension:030 12345{60 + i} {prose(4, i + 70)}") for i in range(12)]
+    rows += [(300 + i, f"{prose(4, i + 5)} extension:030 77755{10 + i} {prose(4, i + 20)}") for i in range(2)]
+    rows += [(400, "order 030 9988776 was sent, order 030 9988775 too, and order 030 9988774 as well")]
+    df = docs(spark, rows)
+    found = pii.cut(pii.find(pii._keyed(df.select("doc_id", "text"), "doc_id", "text")))
+    one, all_ = (({r.value for r in got.collect()} if (got := pii.bootstrap(found, df, rounds=k)) is not None else set()) for k in (2, 6))
+    first = {f"030 12345{60 + i}" for i in range(12)}
+    assert one <= first and all_ == first | {"030 7775510", "030 7775511"}
+    got = {r.doc_id: r for r in pii.digest(pii.spans(df)).collect()}
+    assert got[300].n_spans == 1 and got[300].spans.startswith("phone:") and got[400].n_spans == 0
+
+
 def test_redaction_keeps_columns_and_hides_all(spark):
     rows = planted() + [(401, "a.b@c.de and 4111111111111111"), (401, "a.b@c.de and 4111111111111111"), (402, None), (403, ""), (None, "x@y.zz é 1.2.3.4"), (404, "+1.2.3.4.5.6.7.8.9 x")]
     df = docs(spark, rows)
