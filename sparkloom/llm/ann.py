@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import cut
+from .runtime import cut, lean
 
 #: Most vectors that the fit reads; most lists; candidates and queries that meet in one task.
 SAMPLE, LISTS, BLOCK, ASKS = 16384, 4096, 8192, 2048
@@ -118,9 +118,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     """query_id, rank (from 1), vec_id, score of the `k` vectors of greatest inner product found for each query row.
 
     `is_query` is a condition on the column id. Vectors that are null, empty, zero or hold null or non-finite values take no
-    part, nor do null ids, nor vectors of other than the most frequent length. Every other row is a candidate of every
-    query but itself; rows of one id and one vector count once. Scores are in double precision, ties go to the smaller id.
-    All candidates are returned if there are at most k. An empty table gives none; other columns are left out.
+    part, nor do null ids. Vectors of different lengths have no inner product, so each length is searched for itself. Every
+    other row is a candidate of every query but those of its own id; an id that stands with several vectors is one neighbour,
+    by its greatest score, and as a query it has one ranking, of the best that any of its vectors finds. Scores are in double
+    precision, ties go to the smaller id. All candidates are returned if there are at most k. An empty table gives none; other
+    columns are left out.
 
     Equal vectors are one entry of the index. A sample of at most SAMPLE entries fits centres, as many as the root of the
     entries, and the number of lists to probe; every entry is put in its centre's list. Lists and their queries meet in
@@ -129,13 +131,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL").where(_valid(F.col("v")))
     rows = cut(rows.distinct())
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
+    sizes = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())  # one, but for odd tables
     if not sizes:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == sizes[0]["n"])
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pairs = _pairs(rows.where(F.size("v") == sizes[0]), is_query, k)
+    for n in sizes[1:]:
+        pairs = pairs.unionByName(_pairs(rows.where(F.size("v") == n), is_query, k))
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _pairs(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """query_id, vec_id, score: what the index finds for the queries among rows (id, v; distinct, of one length), k others of
+    each query's vector at least if there are so many."""
+    spark = rows.sparkSession
     entries = cut(_distinct(rows, k + 1))
+    lone = not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()  # no id has two vectors
     n, bound = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     share = F.lit(min(1.0, SAMPLE / n) * (1 << 30))
     sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v").toArrow()
@@ -148,7 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             of = _nearest(held.value.lifted(_matrix(batch.column(2))), held.value.centres, 1)[:, 0] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int32())], names=["rep", "ids", "v", "list"])
 
-    listed = cut(entries.select("rep", "ids", "v").mapInArrow(to_list, "rep long, ids array<long>, v array<double>, list int"))
+    listed = cut(entries.select("rep", "ids", "v").mapInArrow(lean(to_list), "rep long, ids array<long>, v array<double>, list int"))
     held_by = {r["list"]: (r["n"], r["lone"]) for r in listed.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("lone")).collect()}  # LISTS rows at most
     asks = rows.where(is_query)
     known = cut(asks.join(entries.select("v", "rep"), "v").select("rep", F.col("id").alias("query_id")))
@@ -170,17 +182,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a)), batch.column(1).take(pa.array(a)), pa.array(lists.astype(np.int32)), pa.array(within[a])], names=["q", "qv", "list", "within"])
 
     distinct_asks = cut(known.select("rep").distinct().join(entries.select("rep", "v"), "rep").select(F.col("rep").alias("q"), F.col("v").alias("qv")))
-    probes = cut(distinct_asks.mapInArrow(probe, "q long, qv array<double>, list int, within double"))
+    probes = cut(distinct_asks.mapInArrow(lean(probe), "q long, qv array<double>, list int, within double"))
 
     def listing(names: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
-        """The k + 1 best entries of each query i, as rows for all their ids."""
+        """The ids of the best entries of each query i: k + 1 entries, or as many as k + 1 different ids take."""
         order = np.lexsort((np.array([ids[x][0] for x in j.tolist()], np.int64), -score, i))
         i, j, score = i[order], j[order], score[order]
-        top = np.arange(len(i)) - np.searchsorted(i, i, "left") <= k
-        i, j, score = i[top], j[top], score[top]
+        if lone:
+            top = np.arange(len(i)) - np.searchsorted(i, i, "left") <= k
+            i, j, score = i[top], j[top], score[top]
         n = [len(ids[x]) for x in j.tolist()]
         every = np.array([y for x in j.tolist() for y in ids[x]], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i], n)), pa.array(every), pa.array(np.repeat(score, n))], names=["q", "id", "score"])
+        i, score = np.repeat(i, n), np.repeat(score, n)
+        if not lone and len(i):
+            order = np.lexsort((-score, every, i))
+            best = order[np.concatenate([[True], (i[order][1:] != i[order][:-1]) | (every[order][1:] != every[order][:-1])])]
+            best = best[np.lexsort((every[best], -score[best], i[best]))]
+            i, every, score = i[best], every[best], score[best]
+            top = np.arange(len(i)) - np.searchsorted(i, i, "left") <= k
+            i, every, score = i[top], every[top], score[top]
+        return pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(every), pa.array(score)], names=["q", "id", "score"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -212,6 +233,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     again = cut(probes.where("within < double('infinity')").join(short, "q").withColumn("within", F.lit(float("inf"))))
     if again.limit(1).count():
         top = cut(top.join(again.select("q").distinct(), "q", "left_anti").unionByName(best(again)))
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = known.join(top, known["rep"] == top["q"]).where(F.col("query_id") != F.col("id")).select("query_id", F.col("id").alias("vec_id"), "score")
-    return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return known.join(top, known["rep"] == top["q"]).where(F.col("query_id") != F.col("id")).select("query_id", F.col("id").alias("vec_id"), "score")

@@ -111,3 +111,24 @@ def test_queries_left_with_too_few_scan_again_without_a_bound(spark, monkeypatch
     rng = np.random.default_rng(6)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 40)))]
     assert recall(spark, rows, exact(rows, 20), 20) >= 0.9
+
+
+def test_ids_with_several_vectors_and_vectors_of_other_lengths(spark):
+    """An id is one neighbour by its best vector, and one query; each length is searched for itself."""
+    rng = np.random.default_rng(31)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(60) for _ in range(1 + (i % 3 == 0))]
+    rows += [(100 + i, rng.standard_normal(4).tolist()) for i in range(12)] + [(0, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if i == q and j != q and len(v) == len(w):
+                    best[j] = max(best.get(j, -1e9), float(np.dot(v, w)))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and len({m[1] for m in mine}) == 5
+        assert sum(m[1] == w[0] for m, w in zip(mine, want)) >= 4 and all(abs(best[m[1]] - m[2]) < 1e-9 for m in mine)
