@@ -18,8 +18,13 @@ _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 #: From so many bytes on: the least and the greatest ratio of compressed to plain bytes of a whole document. Short texts
 #: compress badly and vary much, so their bands are wide; prose of any language lies well within at each length.
 BANDS = ((0, 0.20, 1.60), (128, 0.28, 1.20), (256, 0.36, 0.95), (1024, 0.32, 0.80), (4096, 0.26, 0.74), (16384, 0.22, 0.72))
-#: The same for a chunk of CHUNK bytes; a document fails if over OUTSIDE of the bytes in its whole chunks lie outside.
-CHUNK, CHUNK_BAND, OUTSIDE = 4096, (0.26, 0.74), 0.25
+#: Bytes of a chunk, whose band is that of its length; a document fails if over OUTSIDE of its bytes are in chunks outside.
+CHUNK, OUTSIDE = 4096, 0.25
+
+
+def band(size: int) -> tuple[float, float]:
+    """The least and the greatest ratio for so many bytes."""
+    return next((low, high) for at, low, high in reversed(BANDS) if size >= at)
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -58,21 +63,24 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def ratios(raw: bytes, zip_) -> tuple[float | None, float | None, float | None, float]:
-    """Whole ratio, least and greatest ratio of its whole chunks, and the share of their bytes outside CHUNK_BAND."""
+    """Whole ratio, least and greatest ratio of its chunks, the last of which may be shorter, and the share of its bytes in
+    chunks whose ratio lies outside the band for their length."""
     if not raw:
         return None, None, None, 0.0
-    chunks = [len(zip_(raw[at : at + CHUNK])) / CHUNK for at in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
-    outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks) / len(chunks) if chunks else 0.0
-    return len(zip_(raw)) / len(raw), min(chunks, default=None), max(chunks, default=None), outside
+    whole = len(zip_(raw)) / len(raw)
+    chunks = [raw[at : at + CHUNK] for at in range(0, len(raw), CHUNK)]
+    each = [len(zip_(c)) / len(c) for c in chunks] if len(chunks) > 1 else [whole]
+    outside = sum(len(c) for c, r in zip(chunks, each) if not band(len(c))[0] <= r <= band(len(c))[1]) / len(raw)
+    return whole, min(each), max(each), outside
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level: int = 3, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """Of each whole document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio,
-    least_chunk, greatest_chunk, outside (share of chunk bytes outside their band), band_failed and kept.
+    least_chunk, greatest_chunk, outside (share of bytes in chunks outside their band), band_failed and kept.
 
     base_failed: fewer than `least_words` words, or over `most_repeated` percent of them in repeated windows. band_failed:
-    the whole text's zstandard ratio lies outside the band for its length, or over a quarter of its chunks lie outside
-    theirs. kept: neither. A null text has no words, so it fails; repeated rows are repeated; other columns are left out.
+    the whole text's zstandard ratio lies outside the band for its length, or over a quarter of its bytes are in chunks that lie
+    outside theirs. kept: neither. A null text has no words, so it fails; repeated rows are repeated; other columns are left out.
     """
 
     def run(batches):
@@ -84,9 +92,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level:
                 raw = s.encode("utf-8", "surrogatepass")
                 counts, (whole, low, high, outside) = base_counts(s), ratios(raw, zip_)
                 base = counts[0] < least_words or 100 * counts[4] > most_repeated * counts[0]
-                _, least, most = next(b for b in reversed(BANDS) if len(raw) >= b[0])
-                band = whole is not None and not least <= whole <= most or outside > OUTSIDE
-                rows.append((*counts, base, whole, low, high, outside, band, not base and not band))
+                least, most = band(len(raw))
+                failed = whole is not None and not least <= whole <= most or outside > OUTSIDE
+                rows.append((*counts, base, whole, low, high, outside, failed, not base and not failed))
             types = [*[pa.int64()] * 5, pa.bool_(), *[pa.float64()] * 4, pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]], names=names)
 

@@ -45,6 +45,15 @@ def test_bands_reject_repeats_and_noise_and_keep_prose(spark):
     assert got[:4] == [False] * 4 and got[5:] == [True] * 3
 
 
+def test_a_last_chunk_counts_and_so_do_texts_of_two_chunks(spark):
+    rng = random.Random(6)
+    words = [("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))) for _ in range(4000)]
+    clean = " ".join(rng.choice(words) for _ in range(3000))
+    texts = [clean[:4096] + "z" * 2500, clean[:6596], clean[:4096] + "z" * 700]
+    got = [(r.outside, r.band_failed) for r in quality.quality(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == [(2500 / 6596, True), (0.0, False), (700 / 4796, False)]
+
+
 def test_repeats_nulls_and_empty_table(spark):
     got = quality.quality(docs(spark, [(1, prose(50)), (1, prose(50)), (None, None)])).collect()
     assert len(got) == 3 and sum(r.kept for r in got) == 2
