@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, lean
 
 #: Hashed byte n-grams of a model, and the evidence that a text gives at most, in n-grams: neighbours depend on each other.
 CELLS, MOST = 1 << 16, 200.0
@@ -96,21 +96,22 @@ def url_host(url: Column) -> Column:
 
 def markup_language(html: Column) -> Column:
     """The first part of the html element's lang attribute, lower-cased."""
-    return F.nullif(F.lower(F.regexp_extract(html.cast("string"), r"(?i)<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(html.cast("string"), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
 
 
 def _best(scores: Column, names: list[str]) -> Column:
-    """The first language of the greatest score; null scores: null."""
-    return F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(scores, F.array_max(scores)).cast("int"))
+    """The first language of the greatest score; null scores: null (Spark holds that an element of a list isn't, so ask)."""
+    return F.when(scores.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(scores, F.array_max(scores)).cast("int")))
 
 
 def identify(docs: DataFrame, evidence: DataFrame, names: list[str], declared: Column, host: Column, weight: float = 10.0, trust: float = 50.0, least: float = 0.5) -> DataFrame:
     """evidence (a frame with _ll and the columns behind `declared` and `host`) with language, confidence and rejected.
 
     Counts over all rows, by groups: how often each declared language meets each language that texts alone suggest, and
-    how often hosts, their domains, their suffixes and all hosts do. A host's prior is its counts and `weight` times the
-    prior of its domain, which leans on its suffix's, and that on the counts of all. A declaration's likelihood is its share
-    among rows of a language, with `trust` rows of belief that it is right. Log prior, log likelihood of the declaration
+    how often hosts, their domains, their suffixes and all hosts do. Of all counts a row's own is taken away, so that no text
+    says the same thing twice and a host of one page doesn't confirm itself. A host's prior is its counts and `weight` times
+    the prior of its domain, which leans on its suffix's, and that on the counts of all. A declaration's likelihood is its
+    share among rows of a language, with `trust` rows of belief that it is right. Log prior, log likelihood of the declaration
     and that of the text add up to the posterior. Rejected: a text without letters; one that is likelier to be in no
     language; a posterior under `least`. `docs` is what the counts are taken over: the evidence, cut where it is narrow.
     """
@@ -123,37 +124,41 @@ def identify(docs: DataFrame, evidence: DataFrame, names: list[str], declared: C
     seen = docs.select(known.alias("d"), suffix.alias("s"), domain.alias("o"), name.alias("h"), text_only.alias("l")).where("l IS NOT NULL")
     counts = cut(seen.groupBy("h", "o", "s", "d", "l").agg(F.count("*").alias("c")))
     told = {(r["d"], r["l"]): r["c"] for r in counts.groupBy("d", "l").agg(F.sum("c").alias("c")).collect()}  # languages squared at most
-    totals = {x: sum(c for (_, l), c in told.items() if l == x) for x in names}
-    all_ = sum(totals.values())
-    base = [math.log((totals[x] + 1.0) / (all_ + n)) for x in names]
-
-    def says(d: str, x: str) -> float:
-        belief = 1.0 if d == none else (0.9 if d == x else 0.1 / max(1, n - 1))
-        share = (told.get((d, x), 0) + trust * belief) / (totals[x] + trust)
-        return math.log(min(1.0, max(share, 1e-6)))
-
-    likelihood = evidence.sparkSession.createDataFrame([(d, [says(d, x) for x in names]) for d in [*names, none]], "_d string, _told array<double>")
+    totals = [float(sum(c for (_, l), c in told.items() if l == x)) for x in names]
+    belief = lambda d: [1.0 if d == none else 0.9 if d == x else 0.1 / max(1, n - 1) for x in names]
+    schema = "_d string, _told array<double>, _belief array<double>"
+    declarations = evidence.sparkSession.createDataFrame([(d, [float(told.get((d, x), 0)) for x in names], belief(d)) for d in [*names, none]], schema)
     sums = [F.sum(F.when(F.col("l") == x, F.col("c")).otherwise(0)).cast("double").alias(f"n{k}") for k, x in enumerate(names)]
     level = lambda by, key: counts.groupBy(*by).agg(F.array(*sums).alias(key))
-
-    def lean(own: str, above: Column) -> Column:
-        rows = F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(F.col(own), above, lambda c, p: (c + weight * p) / (rows + weight))
-
-    prior = F.array(*[F.lit(math.exp(b)) for b in base])
-    hosts = level(["h", "o", "s"], "ch").join(level(["o", "s"], "co"), ["o", "s"]).join(level(["s"], "cs"), "s")
-    hosts = hosts.withColumn("ps", lean("cs", prior)).withColumn("po", lean("co", F.col("ps"))).withColumn("ph", lean("ch", F.col("po")))
-    hosts = cut(hosts.select(F.col("h").alias("_h"), F.transform("ph", lambda p: F.log(p)).alias("_prior")))
+    hosts = level(["h", "o", "s"], "_ch").join(level(["o", "s"], "_co"), ["o", "s"]).join(level(["s"], "_cs"), "s")
+    hosts = cut(hosts.select(F.col("h").alias("_h"), "_ch", "_co", "_cs"))
+    zeros = F.array(*[F.lit(0.0)] * n)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a lambda's variable is formed once, a column in a lambda again and again
+    less = lambda c, own: F.zip_with(F.coalesce(c, zeros), own, lambda x, o: F.greatest(x - o, F.lit(0.0)))
+
+    def leaned(own: Column, above: Column) -> Column:
+        of = lambda c, rows: F.zip_with(c, above, lambda x, p: (x + weight * p) / (rows + weight))
+        return let(own, lambda c: let(F.aggregate(c, F.lit(0.0), lambda x, y: x + y), lambda rows: of(c, rows)))
+
+    def posterior(own: Column, every: Column) -> Column:
+        prior = leaned(every, F.array(*[F.lit(1.0 / n)] * n))
+        for key in ("_cs", "_co", "_ch"):
+            prior = leaned(less(F.col(key), own), prior)
+        says = F.zip_with(F.zip_with(less(F.col("_told"), own), F.col("_belief"), lambda x, y: x + trust * y), every, lambda x, c: F.log(F.greatest(x / (c + trust), F.lit(1e-6))))
+        texts = F.coalesce(F.slice("_ll", 1, n), zeros)
+        return F.zip_with(F.zip_with(prior, says, lambda x, y: F.log(F.greatest(x, F.lit(1e-300))) + y), texts, lambda x, y: x + y)
+
+    guess = F.coalesce(F.array_position(F.slice("_ll", 1, n), F.array_max(F.slice("_ll", 1, n))).cast("int"), F.lit(0))
+    own = let(guess, lambda g: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i == g).cast("double")))
     joined = evidence.withColumn("_host", name).join(hosts, F.col("_host") == F.col("_h"), "left")
-    start = F.coalesce("_prior", F.array(*[F.lit(b) for b in base]))
-    joined = joined.withColumn("_known", known).join(F.broadcast(likelihood), F.col("_known") == F.col("_d"), "left").withColumn("_start", start)  # languages and one more, as rows
-    post = F.transform(F.arrays_zip(F.col("_start").alias("a"), F.col("_told").alias("b"), F.coalesce(F.slice("_ll", 1, n), F.array_repeat(F.lit(0.0), n)).alias("c")), lambda x: x["a"] + x["b"] + x["c"])
+    joined = joined.withColumn("_known", known).join(F.broadcast(declarations), F.col("_known") == F.col("_d"), "left")  # languages and one more, as rows
+    post = let(own, lambda o: let(less(F.array(*[F.lit(x) for x in totals]), o), lambda every: posterior(o, every)))
     joined = joined.withColumn("_post", post).withColumn("_top", F.array_max("_post"))
     share = 1.0 / F.aggregate(F.transform("_post", lambda p: F.exp(p - F.col("_top"))), F.lit(0.0), lambda a, b: a + b)
     noise = F.element_at("_ll", n + 1) > F.array_max(F.slice("_ll", 1, n))
     out = joined.withColumn("language", _best(F.col("_post"), names)).withColumn("confidence", share)
     out = out.withColumn("rejected", F.col("_ll").isNull() | F.coalesce(noise, F.lit(True)) | (F.col("confidence") < least))
-    return out.drop("_ll", "_host", "_h", "_prior", "_known", "_d", "_told", "_start", "_post", "_top")
+    return out.drop("_ll", "_host", "_h", "_ch", "_co", "_cs", "_known", "_d", "_told", "_belief", "_post", "_top")
 
 
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -39,6 +40,57 @@ def test_a_host_decides_where_the_text_is_silent(spark):
     assert got[5000].language == "de" and got[5001].language == "fr"
 
 
+def brute_posterior(rows, names, weight=10.0, trust=50.0):
+    """rows: (ll, declared, host); (language, confidence) of each by plain loops, a row's own counts left out."""
+    n = len(names)
+    best = lambda v: names[max(range(n), key=lambda k: (v[k], -k))]
+    guess = [None if ll is None else best(ll[:n]) for ll, _, _ in rows]
+    parts = [((h or "").lower().split(".")) for _, _, h in rows]
+    levels = [[".".join(p[-k:]) for k in (1, 2, len(p))] for p in parts]
+    out = []
+    for i, (ll, d, _) in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i and guess[j] is not None]
+        share = lambda rows_, above: [(sum(guess[j] == x for j in rows_) + weight * a) / (len(rows_) + weight) for x, a in zip(names, above)]
+        prior = share(others, [1 / n] * n)
+        for k in range(3):
+            prior = share([j for j in others if levels[j][k] == levels[i][k] and levels[j][:k] == levels[i][:k]], prior)
+        known = d if d in names else "-"
+        post = []
+        for k, x in enumerate(names):
+            of = [j for j in others if guess[j] == x]
+            same = sum((rows[j][1] if rows[j][1] in names else "-") == known for j in of)
+            belief = 1.0 if known == "-" else 0.9 if known == x else 0.1 / max(1, n - 1)
+            post.append(math.log(prior[k]) + math.log(max((same + trust * belief) / (len(of) + trust), 1e-6)) + (ll[k] if ll else 0.0))
+        top = max(post)
+        out.append((best(post), 1 / sum(math.exp(p - top) for p in post)))
+    return out
+
+
+def test_posterior_against_brute_force(spark):
+    rng = random.Random(5)
+    hosts = ["a.de", "b.de", "x.b.de", "c.org", "C.org", None, "localhost", "y.c.org"]
+    rows = [(i, text(l := rng.choice(list(PARTS)), rng.randrange(0, 12), i), rng.choice([l, l, "en", None, "zz"]), rng.choice(hosts)) for i in range(150)] + [(200, None, "de", "a.de"), (201, "", None, None), (7, "the the", "en", "a.de"), (7, "the the", "en", "a.de")]
+    df = docs(spark, rows)
+    model = language.train(df, F.col("text"), F.col("lang"))
+    lls = {(r.doc_id, r.text): r._ll for r in language.text_evidence(df.select("doc_id", "text"), F.col("text"), model).collect()}
+    want = brute_posterior([(lls[i, t], l, h) for i, t, l, h in rows], model[0])
+    got = language.identify_documents(df).collect()
+    key = lambda i, l, h: (i, str(l), str(h))
+    mine = sorted((key(i, l, h), w) for (i, _, l, h), w in zip(rows, want))
+    theirs = sorted((key(r.doc_id, r.declared, r.host), (r.language, r.confidence)) for r in got)
+    assert [k for k, _ in mine] == [k for k, _ in theirs]
+    for (_, (lang, sure)), (_, (l, c)) in zip(mine, theirs):
+        assert abs(sure - c) < 1e-6 and (lang == l or sure < 0.5 + 1e-6), [(k, a, b) for (k, a), (_, b) in zip(mine, theirs) if abs(a[1] - b[1]) > 1e-6]
+
+
+def test_a_host_of_one_page_does_not_confirm_itself(spark):
+    rows = corpus() + [(5000, text("de", 30, 1), None, "alone.example.net")]
+    got = {r.doc_id: r for r in language.identify_documents(docs(spark, rows)).collect()}
+    assert got[5000].language == "de"
+    counts = brute_posterior([([0.0, 0.0, 0.0], None, "one.net"), ([9.0, 0.0, 0.0], None, "two.net")], ["de", "en", "fr"])
+    assert abs(counts[1][1] - math.exp(9) * (1 / 3 * 10 + 1) / 11 / (math.exp(9) * (1 / 3 * 10 + 1) / 11 + 2 * (10 / 3) / 11)) < 0.1
+
+
 def test_keep_identified_keeps_rows_and_columns(spark):
     df = docs(spark, corpus() + [(1, corpus()[1][1], "de", "x"), (1, corpus()[1][1], "de", "x"), (2, None), (3, "...")])
     got = language.keep_identified(df)
@@ -53,6 +105,15 @@ def test_pages(spark):
     assert len(got) == len(rows) and all(r.language == r.declared for r in got if r.page_id < 30) and all(r.rejected for r in got if r.page_id >= 90)
 
 
+def test_pages_with_repeats_clashing_columns_and_none(spark):
+    schema = "page_id long, url string, html string, _ll string, host string, declared string, text string, l string"
+    one = (5, "https://x.org/", f"<HTML data-x=1 lang='de-AT'><p>{text('de', 60, 3)}</p>", "a", "b", "c", "d", "e")
+    got = language.identify_pages(spark.createDataFrame([one, one, (6, None, "<html lang=de>" + text("de", 50, 4), *"abcde"), (None, "", "", *"abcde")], schema)).collect()
+    assert [r.declared for r in got if r.page_id == 5] == ["de", "de"] and len(got) == 4
+    assert len({(r.language, r.confidence, r.rejected) for r in got if r.page_id == 5}) == 1 and [r.rejected for r in got if r.page_id is None] == [True]
+    assert language.identify_pages(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_parts_of_addresses(spark):
     row = spark.createDataFrame([("https://u@Blog.Example.co.uk:80/x?y",)], "u string").select(language.url_host(F.col("u")).alias("h"))
     got = row.select(*[c.alias(n) for n, c in zip("sdh", language.address_parts(F.col("h")))]).first()
