@@ -307,6 +307,6 @@ def table_equality(t):
     return o.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.lit(same).alias("same"))
 
 
-@query("SRC6 SRC7 SRC8 SRC9", r"""SELECT page_id, nullif(lower(regexp_extract(html, '<html lang="([a-z]{2})"', 1)), '') AS lang, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs, len(regexp_extract_all(html, '<a href='))::INT AS links FROM pages""")
+@query("SRC7", r"""SELECT page_id, nullif(lower(regexp_extract(html, '<html lang="([a-z]{2})"', 1)), '') AS lang, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs, len(regexp_extract_all(html, '<a href='))::INT AS links FROM pages""")
 def markup_counts(t):
     return t("pages").select("page_id", F.nullif(F.lower(F.regexp_extract("html", '<html lang="([a-z]{2})"', 1)), F.lit("")).alias("lang"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"), F.regexp_count("html", F.lit("<a href=")).alias("links"))

@@ -31,7 +31,49 @@ def bootstrap_mean(t):
     return S.bootstrap(t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", ["s_nationkey"])
 
 
-@query("ST4 ST5 ST6", """WITH c AS (SELECT l_returnflag, l_suppkey AS k, sum(l_quantity) AS s, count(*) AS z FROM lineitem GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM c),
+@query("ST7", f"""WITH {_DRAWS.rsplit("m AS", 1)[0].rstrip().rstrip(",")}, j AS (SELECT p.s_nationkey, p.draw, v.s_acctbal AS x FROM p JOIN v ON v.s_nationkey = p.s_nationkey AND v.i = p.i),
+m AS (SELECT s_nationkey, draw, 0.5 AS quantile, quantile_cont(x, 0.5) AS m FROM j GROUP BY ALL UNION ALL SELECT s_nationkey, draw, 0.95, quantile_cont(x, 0.95) FROM j GROUP BY ALL),
+o AS (SELECT s_nationkey, 0.5 AS quantile, quantile_cont(s_acctbal, 0.5) AS own FROM supplier GROUP BY 1 UNION ALL SELECT s_nationkey, 0.95, quantile_cont(s_acctbal, 0.95) FROM supplier GROUP BY 1)
+SELECT s_nationkey, quantile::DOUBLE AS quantile, round(own, 6) AS own, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m JOIN o USING (s_nationkey, quantile) GROUP BY ALL""")
+def bootstrap_quantile(t):
+    """Intervals of the median and the 95th percentile."""
+    return S.bootstrap_quantiles(t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", ["s_nationkey"])
+
+
+@query("ST28", f"""WITH {_DRAWS}, o AS (SELECT s_nationkey, round(avg(s_acctbal), 6) AS mean FROM supplier GROUP BY s_nationkey), b AS (SELECT s_nationkey, mean, round(quantile_cont(m, 0.05), 6) AS lo, round(quantile_cont(m, 0.95), 6) AS hi FROM m JOIN o USING (s_nationkey) GROUP BY ALL)
+SELECT *, lo > -6000 AND hi < 6000 AS equivalent FROM b""")
+def equivalence(t):
+    """Two one-sided tests: the 90 % interval lies within +-6000."""
+    return S.equivalence(t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", ["s_nationkey"], 6000.0)
+
+
+@query("ST14", """WITH v AS (SELECT p_brand, p_size AS c, avg(p_retailprice - 1400.0) AS x FROM part GROUP BY ALL), d AS (SELECT unnest(range(200)) AS draw), f AS (SELECT p_brand, draw, round(abs(avg(CASE WHEN ('0x' || substr(sha256('11:' || draw || ':' || c), 1, 1))::INT < 8 THEN x ELSE -x END)), 9) AS m FROM v, d GROUP BY ALL),
+o AS (SELECT p_brand, round(abs(avg(x)), 9) AS own FROM v GROUP BY p_brand) SELECT p_brand, round((count(*) FILTER (m >= own) + 1) / 201.0, 9) AS p FROM f JOIN o USING (p_brand) GROUP BY p_brand""")
+def cluster_flips(t):
+    """Means of clusters are flipped whole."""
+    return S.cluster_sign_flip(t("part").select("p_brand", "p_size", (F.col("p_retailprice") - 1400.0).alias("x")), "p_size", "x", ["p_brand"])
+
+
+_CLUSTERS = """v AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM c),
+p AS (SELECT l_returnflag, d.draw, ('0x' || substr(sha256('7:' || d.draw || ':' || i), 1, 15))::BIGINT % n AS i FROM v, (SELECT unnest(range(200)) AS draw) d), m AS (SELECT p.l_returnflag, p.draw, round(sum(s) / sum(z), 9) AS m FROM p JOIN v USING (l_returnflag, i) GROUP BY ALL)"""
+
+
+@query("ST5", f"""WITH c AS (SELECT l_returnflag, l_suppkey AS k, sum(l_quantity - 25.5) AS s, count(*) AS z FROM lineitem GROUP BY ALL), {_CLUSTERS}, q AS (SELECT l_returnflag, least(1.0, 2.0 * least(count(*) FILTER (m <= 0), count(*) FILTER (m >= 0)) / 200)::DOUBLE AS p FROM m GROUP BY 1)
+SELECT l_returnflag, round(sum(s) / sum(z), 6) AS mean, count(*) FILTER (s > 0) AS wins, count(*) FILTER (s = 0) AS ties, count(*) FILTER (s < 0) AS losses, p FROM c JOIN q USING (l_returnflag) GROUP BY l_returnflag, p""")
+def cluster_wins(t):
+    """Clusters weighted by size: mean, p of a bootstrap of whole clusters, and how many are over, at and under 0."""
+    return S.cluster_summary(t("lineitem").select("l_returnflag", "l_suppkey", (F.col("l_quantity") - 25.5).alias("x")), "l_suppkey", "x", ["l_returnflag"])
+
+
+@query("ST6", f"""WITH c AS (SELECT l_returnflag, l_suppkey AS k, avg(l_quantity) AS s, 1 AS z FROM lineitem GROUP BY ALL), {_CLUSTERS}, o AS (SELECT l_returnflag, round(avg(s), 6) AS mean FROM c GROUP BY 1)
+SELECT l_returnflag, mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m JOIN o USING (l_returnflag) GROUP BY ALL""")
+def bootstrap_cluster_means(t):
+    """Clusters of one weight each."""
+    c = t("lineitem").groupBy("l_returnflag", F.col("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("s"))
+    return S.bootstrap(c, "k", "s", ["l_returnflag"])
+
+
+@query("ST4", """WITH c AS (SELECT l_returnflag, l_suppkey AS k, sum(l_quantity) AS s, count(*) AS z FROM lineitem GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM c),
 p AS (SELECT l_returnflag, d.draw, ('0x' || substr(sha256('7:' || d.draw || ':' || i), 1, 15))::BIGINT % n AS i FROM v, (SELECT unnest(range(200)) AS draw) d), m AS (SELECT p.l_returnflag, p.draw, sum(s) / sum(z) AS m FROM p JOIN v USING (l_returnflag, i) GROUP BY ALL),
 o AS (SELECT l_returnflag, round(sum(s) / sum(z), 6) AS mean FROM c GROUP BY l_returnflag) SELECT l_returnflag, mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m JOIN o USING (l_returnflag) GROUP BY ALL""")
 def bootstrap_clusters(t):

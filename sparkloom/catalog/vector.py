@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators import windows as W
 from ..operators.facets import clustered_mask, random_mask
-from ..operators.vector_index import ivf_search, pq_search, prototypes
+from ..operators.vector_index import escalated, ivf_filtered, ivf_search, lloyd, pq_search, prototypes
 
 K = 10
 
@@ -160,6 +160,32 @@ def ivf_lists(t):
     return ivf_search(items(t), asked(t), K, 3)
 
 
+def _lloyd_sql(n: int, rounds: int) -> str:
+    out = f"s0 AS (SELECT r - 1 AS label, pv FROM (SELECT row_number() OVER (ORDER BY sha256('17:' || vec_id)) AS r, embedding::DOUBLE[] AS pv FROM embeddings) WHERE r <= {n})"
+    for k in range(rounds):
+        out += f""", a{k} AS (SELECT vec_id, ev, label FROM (SELECT e.vec_id, e.embedding::DOUBLE[] AS ev, s.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], s.pv), 6) DESC, s.label) AS k FROM embeddings e, s{k} s) WHERE k = 1),
+s{k + 1} AS (SELECT label, list(m ORDER BY i) AS pv FROM (SELECT label, i, avg(ev[i]) AS m FROM a{k}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY label)"""
+    return out + f", near AS (SELECT e.vec_id, p.label AS list, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.pv), 6) DESC, p.label) AS k FROM embeddings e, s{rounds} p)"
+
+
+@query("VEC9", f"""WITH {_lloyd_sql(12, 3)}, {PAIRS}, f AS (SELECT p.query_id, p.item_id, p.score FROM pairs p JOIN near i ON i.vec_id = p.item_id AND i.k = 1 JOIN near a ON a.vec_id = p.query_id AND a.k <= 4 AND a.list = i.list)
+SELECT {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""")
+def ivf_trained(t):
+    """Inverted lists of trained centres, twelve by three rounds; each query probes its four nearest."""
+    return ivf_search(items(t), asked(t), K, 4, lloyd(items(t), 12, 3))
+
+
+@query("VEC7", f"""WITH {_lloyd_sql(12, 3)}, {RANKED}, f AS (SELECT p.query_id, p.item_id, p.score, a.k FROM pairs p JOIN near i ON i.vec_id = p.item_id AND i.k = 1 JOIN near a ON a.vec_id = p.query_id AND a.k <= 8 AND a.list = i.list WHERE p.label = p.qlabel),
+l AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f WHERE k <= 2 QUALIFY rank <= 10), h AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 10),
+x AS (SELECT query_id, item_id FROM pre WHERE prank <= 10), m AS (SELECT x.query_id, count(l.item_id) < 0.9 * count(*) AS more FROM x LEFT JOIN l ON l.query_id = x.query_id AND l.item_id = x.item_id GROUP BY x.query_id)
+SELECT query_id, rank::INT AS rank, item_id, score, more FROM l JOIN m USING (query_id) WHERE NOT more UNION ALL SELECT query_id, rank::INT, item_id, score, more FROM h JOIN m USING (query_id) WHERE more""")
+def ivf_escalated(t):
+    """A filtered search of two lists; queries that find under nine tenths of the exact result probe eight."""
+    centres, every, q = lloyd(items(t), 12, 3), items(t), asked(t)
+    low, high = (ivf_filtered(every, q, K, n, centres, ["label"]) for n in (2, 8))
+    return escalated(low, high, R.prefilter_search(every, q, K, ["label"]), q, K).select("query_id", "rank", "item_id", "score", "more")
+
+
 @query("VEC10", f"""WITH {_PROTO}, sub AS (SELECT unnest([0, 1, 2, 3]) AS b), c AS (SELECT label AS code, b, list_slice(pv, b * 16 + 1, b * 16 + 16) AS cv FROM proto, sub),
 e AS (SELECT vec_id, b, list_slice(embedding::DOUBLE[], b * 16 + 1, b * 16 + 16) AS ev FROM embeddings, sub),
 codes AS (SELECT vec_id, b, code FROM (SELECT e.vec_id, e.b, c.code, row_number() OVER (PARTITION BY e.vec_id, e.b ORDER BY round(list_dot_product(ev, ev) + list_dot_product(cv, cv) - 2 * list_dot_product(ev, cv), 6), c.code) AS k FROM e JOIN c USING (b)) WHERE k = 1),

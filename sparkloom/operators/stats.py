@@ -75,6 +75,16 @@ def cluster_sign_flip(values: DataFrame, cluster: str, value: str, by: list[str]
     return sign_flip(values.groupBy(*by, cluster).agg(F.avg(value).alias(value)), cluster, value, by, n, seed)
 
 
+def cluster_summary(values: DataFrame, cluster: str, value: str, by: list[str], n: int = 200, seed: str = "7") -> DataFrame:
+    """by, mean, p, wins, ties, losses of clusters weighted by their sizes: p is twice the lesser share of bootstrap draws of
+    whole clusters at or below, or at or above, 0; wins are clusters whose mean is over 0."""
+    c = values.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_z"))
+    m = draws(c, cluster, n, seed, by).groupBy(*by, "draw").agg(F.round(F.sum(F.col("_s") * F.col("weight")) / F.sum(F.col("_z") * F.col("weight")), 9).alias("m"))
+    p = m.groupBy(*by).agg(F.least(F.lit(1.0), 2.0 * F.least(F.count_if(F.col("m") <= 0), F.count_if(F.col("m") >= 0)) / n).alias("p"))
+    own = c.groupBy(*by).agg(F.round(F.sum("_s") / F.sum("_z"), 6).alias("mean"), F.count_if(F.col("_s") > 0).alias("wins"), F.count_if(F.col("_s") == 0).alias("ties"), F.count_if(F.col("_s") < 0).alias("losses"))
+    return own.join(p, by)
+
+
 def sign_flip(values: DataFrame, ident: str, value: str, by: list[str], n: int = 200, seed: str = "11") -> DataFrame:
     """by, p: (draws whose flipped mean is at least as far from 0, plus 1) / (n + 1)."""
     rows = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .retrieval import PLACES, dot, rank_by, top_items
 
@@ -31,6 +32,34 @@ def nearest_lists(items: DataFrame, centres: DataFrame, ident: str, n: int) -> D
     return scored.select(ident, F.posexplode(F.slice(F.array_sort("s"), 1, n)).alias("k", "x")).select(ident, "x.list", (F.col("k") + 1).alias("k"))
 
 
+def lloyd(items: DataFrame, lists: int, rounds: int, seed: str = "17", ident: str = "item_id", vector: str = "vector") -> DataFrame:
+    """label, centre of spherical k-means over all items: the first centres are the items first by hash, and in each round a
+    list's centre becomes the mean of the items whose greatest product it has. Lists are a fixed few."""
+    first = items.select(vector, F.sha2(F.concat_ws(":", F.lit(seed), F.col(ident).cast("string")), 256).alias("_h")).orderBy("_h").limit(lists)
+    centres = first.withColumn("label", F.row_number().over(Window.orderBy("_h")) - 1).select("label", F.transform(vector, lambda x: x.cast("double")).alias("centre"))
+    for _ in range(rounds):
+        of = nearest_lists(items.withColumnRenamed(vector, "vector"), centres, ident, 1).select(ident, F.col("list").alias("label"))
+        centres = means(items.select(ident, F.col(vector).alias("vector")).join(of, ident))
+    return centres
+
+
+def ivf_filtered(items: DataFrame, queries: DataFrame, k: int, probes: int, centres: DataFrame, on: list[str]) -> DataFrame:
+    """ivf_search for queries with a condition each: only items that are equal in the columns `on` are scored."""
+    own = items.join(nearest_lists(items, centres, "item_id", 1).select("item_id", "list"), "item_id")
+    probed = queries.join(nearest_lists(queries, centres, "query_id", probes), "query_id").select("query_id", F.col("vector").alias("_q"), "list", *on)
+    met = own.join(probed, ["list", *on]).where("query_id <> item_id")
+    return top_items(met.select("query_id", "item_id", F.round(dot("vector", "_q"), PLACES).alias("score")), k)
+
+
+def escalated(low: DataFrame, high: DataFrame, exact: DataFrame, queries: DataFrame, k: int, least: float = 0.9) -> DataFrame:
+    """low's ranking of each query whose recall of the exact one is `least` or more, else high's; `more` says which."""
+    hits = low.join(exact.select("query_id", "item_id"), ["query_id", "item_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
+    want = exact.groupBy("query_id").agg(F.count("*").alias("want"))
+    more = queries.select("query_id").join(want, "query_id").join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) < F.lit(least) * F.col("want")).alias("more"))
+    pick = lambda r, flag: r.join(more.where(F.col("more") == flag), "query_id")
+    return pick(low, False).unionByName(pick(high, True))
+
+
 def ivf_search(items: DataFrame, queries: DataFrame, k: int, probes: int, centres: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """Inverted lists: items stand in their nearest centre's list, queries join the lists that they probe.
 
