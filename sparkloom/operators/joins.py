@@ -60,21 +60,24 @@ def fallback_match(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     """left_id, right_id, level: for each left row a right row that agrees with it on the first level of columns that any
     right row does, the least by a hash of both ids.
 
-    Each level is an equi-join of what earlier levels left over. An empty level takes the least hash of all, of which only a
-    bounded number, by a hash of the right id alone, is compared.
+    Each level is an equi-join of what earlier levels left over. An empty level meets the right rows in blocks, by a hash of
+    the right id alone: the first block is small, and only left rows that find none there meet the next, four times as large.
     """
     from .facets import seeded
 
     rest, parts = left, []
     for n, on in enumerate(levels):
         own = right.select(F.col(right_id).alias("_right"), *[F.col(c) for c in on])
-        if not on:
-            own = own.orderBy(seeded(seed, "_right"), "_right").limit(16)
-        met = rest.select(F.col(left_id), *on).join(own, on) if on else rest.select(left_id).crossJoin(F.broadcast(own))  # 16 rows
-        met = met.where(F.col(left_id) != F.col("_right") if differ is None else differ)
-        best = met.groupBy(left_id).agg(F.min(F.struct(seeded(seed, left_id, "_right").alias("h"), F.col("_right").alias("r"))).alias("b"))
-        parts.append(best.select(left_id, F.col("b.r").alias(right_id), F.lit(n).alias("level")))
-        rest = rest.join(parts[-1].select(left_id), left_id, "left_anti")
+        ordered, start, size, total = own.orderBy(seeded(seed, "_right"), "_right"), 0, 16, 0 if on else own.count()
+        while True:
+            met = rest.select(F.col(left_id), *on).join(own, on) if on else rest.select(left_id).crossJoin(ordered.offset(start).limit(size))
+            met = met.where(F.col(left_id) != F.col("_right") if differ is None else differ)
+            best = met.groupBy(left_id).agg(F.min(F.struct(seeded(seed, left_id, "_right").alias("h"), F.col("_right").alias("r"))).alias("b"))
+            parts.append(best.select(left_id, F.col("b.r").alias(right_id), F.lit(n).alias("level")))
+            rest = rest.join(parts[-1].select(left_id), left_id, "left_anti")
+            start, size = start + size, 4 * size
+            if on or start >= total or not rest.limit(1).count():
+                break
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -216,3 +216,52 @@ def test_sign_flips_of_clusters_against_a_loop(spark):
     hits = sum(round(abs(sum(sign(d, c) * m for c, m in means.items()) / 12), 9) >= own for d in range(200))
     got = S.cluster_sign_flip(spark.createDataFrame(values, "g string, c int, x double"), "c", "x", ["g"]).first()
     assert got.p == pytest.approx((hits + 1) / 201, abs=1e-9)
+
+
+def test_fallback_goes_on_where_a_first_block_offers_nothing(spark):
+    from sparkloom.operators import joins as J
+
+    left = spark.createDataFrame([(i, "x") for i in range(5)], "a int, g string")
+    right = spark.createDataFrame([(100 + i, "y") for i in range(300)], "b int, g string")
+    for wanted in ({100 + i for i in range(300)}, {317}, set()):
+        got = J.fallback_match(left, right, "a", "b", [["g"], []], "3", F.col("_right").isin(*wanted) if wanted else F.lit(False)).collect()
+        assert {r.a for r in got} == (set(range(5)) if wanted else set()) and all(r.b in wanted and r.level == 1 for r in got)
+
+
+def test_wasserstein_of_samples_of_different_sizes(spark):
+    import random
+
+    from sparkloom.operators import stats as S
+
+    rng = random.Random(2)
+    a, b = [rng.choice([1.0, 2.5, rng.random() * 9]) for _ in range(137)], [rng.random() * 12 - 2 for _ in range(41)]
+    rows = [(x, None) for x in a] + [(None, x) for x in b]
+    got = S.wasserstein(spark.createDataFrame(rows, "a double, b double").repartition(7), "a", "b").first().w1
+    xs = sorted(set(a + b))
+    want = sum(abs(sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) * (y - x) for x, y in zip(xs, xs[1:]))
+    assert abs(got - want) < 1e-6
+    assert S.wasserstein(spark.createDataFrame([(1.0, None)], "a double, b double"), "a", "b").first().w1 is None
+
+
+def test_passages_of_any_length_are_found(spark):
+    from sparkloom.operators import workload as K
+
+    texts = {1: "aa red fox bb", 2: "one two three four fivesix", 3: None, 4: "", 5: "x é日 y", 6: "aa red fox bb"}
+    passages = {10: "red fox", 11: "one two three four five", 12: "é日", 13: "", 14: None, 15: "red fox", 16: "missing"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame(list(passages.items()), "item_id int, p string")
+    want = sorted((i, k) for i, t in texts.items() for k, p in passages.items() if t is not None and p is not None and p in t)
+    for block in (4 << 20, 8):
+        got = K.containing(docs, asked, "doc_id", "text", "item_id", "p", block)
+        assert sorted(map(tuple, got.collect())) == want and got.columns == ["doc_id", "item_id"]
+    assert K.containing(docs, asked.limit(0), "doc_id", "text", "item_id", "p").count() == 0
+
+
+def test_first_share_is_the_head_of_the_order(spark):
+    from sparkloom.operators import workload as K
+    from sparkloom.operators.facets import seeded
+
+    rows = spark.range(500).select("id", seeded("5", "id").alias("_h"))
+    order = [r.id for r in rows.orderBy("_h", "id").collect()]
+    for share in (0.0, 0.1, 0.333, 1.0):
+        assert {r.id for r in K.first_share(rows, share, ["_h", "id"]).collect()} == set(order[: int(share * 500)])

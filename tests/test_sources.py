@@ -105,4 +105,6 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     want = {r.user_id: r.m for r in events.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert {r.doc_id: r.version for r in spark.table("published_of_test").collect()} == want
-    spark.sql("DROP TABLE published_of_test")
+    spark.sql("DROP VIEW published_of_test")
+    for side in "ab":
+        spark.sql(f"DROP TABLE IF EXISTS published_of_test_{side}")
