@@ -54,6 +54,14 @@ def match_all(t):
     return L.match_all(docs(t), asked(t))
 
 
+@query("LEX5", f"""WITH {_BM25}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), met AS (SELECT query_id, item_id, count(*) AS have FROM post JOIN qt USING (term) GROUP BY ALL)
+SELECT query_id, item_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM sc s JOIN met USING (query_id, item_id) JOIN need USING (query_id) WHERE have = need) WHERE r = 1""")
+def best_match(t):
+    """Of the documents that hold all of a query's terms, the best by BM25."""
+    met = L.match_all(docs(t), asked(t)).select("query_id", "item_id")
+    return R.top_items(L.bm25(docs(t), asked(t)).join(met, ["query_id", "item_id"], "left_semi"), 1).select("query_id", "item_id", "score")
+
+
 _GRAMS = """own AS (SELECT item_id, w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g FROM tok)"""
 
 

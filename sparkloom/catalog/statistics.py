@@ -82,7 +82,13 @@ def bootstrap_clusters(t):
     return S.bootstrap(c, "k", "s", ["l_returnflag"], size="z")
 
 
-@query("ST13 ST16", """WITH v AS (SELECT p_brand, p_partkey, p_size - 25.0 AS x FROM part), d AS (SELECT unnest(range(200)) AS draw), f AS (SELECT p_brand, draw, round(abs(avg(CASE WHEN ('0x' || substr(sha256('11:' || draw || ':' || p_partkey), 1, 1))::INT < 8 THEN x ELSE -x END)), 9) AS m FROM v, d GROUP BY ALL),
+@query("ST16", """WITH v AS (SELECT p_brand, p_partkey, p_size - 25.0 AS x FROM part), d AS (SELECT unnest(range(200)) AS draw), f AS (SELECT p_brand, draw, round(avg(CASE WHEN ('0x' || substr(sha256('11:' || draw || ':' || p_partkey), 1, 1))::INT < 8 THEN x ELSE -x END), 9) AS m FROM v, d GROUP BY ALL),
+o AS (SELECT p_brand, round(avg(x), 9) AS mean FROM v GROUP BY p_brand) SELECT p_brand, mean, round((count(*) FILTER (m >= mean) + 1) / 201.0, 9) AS p, round((mean - avg(m)) / stddev_samp(m), 5) AS z FROM f JOIN o USING (p_brand) GROUP BY p_brand, mean""")
+def shuffle_null(t):
+    return S.shuffle_null(t("part").select("p_brand", "p_partkey", (F.col("p_size") - 25.0).alias("x")), "p_partkey", "x", ["p_brand"])
+
+
+@query("ST13", """WITH v AS (SELECT p_brand, p_partkey, p_size - 25.0 AS x FROM part), d AS (SELECT unnest(range(200)) AS draw), f AS (SELECT p_brand, draw, round(abs(avg(CASE WHEN ('0x' || substr(sha256('11:' || draw || ':' || p_partkey), 1, 1))::INT < 8 THEN x ELSE -x END)), 9) AS m FROM v, d GROUP BY ALL),
 o AS (SELECT p_brand, round(abs(avg(x)), 9) AS own FROM v GROUP BY p_brand) SELECT p_brand, round((count(*) FILTER (m >= own) + 1) / 201.0, 9) AS p FROM f JOIN o USING (p_brand) GROUP BY p_brand""")
 def sign_flips(t):
     v = t("part").select("p_brand", "p_partkey", (F.col("p_size") - 25.0).alias("x"))

@@ -10,8 +10,8 @@ from . import query
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators import windows as W
-from ..operators.facets import clustered_mask, random_mask
-from ..operators.vector_index import escalated, ivf_filtered, ivf_search, lloyd, pq_search, prototypes
+from ..operators.facets import clustered_mask, random_mask, seeded
+from ..operators.vector_index import escalated, ivf_filtered, ivf_search, lloyd, nearest_lists, pq_search, prototypes, two_views
 
 K = 10
 
@@ -152,6 +152,13 @@ def prototype_class(t):
     return prototypes(items(t))
 
 
+@query("VEC20 FUS5", f"""WITH {_PROTO}, p AS (SELECT a.vec_id // 2 AS pair, a.label AS gold, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] + z[2]) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+s AS (SELECT pair, gold, label AS pred, round(list_dot_product(list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-12)), pv), 6) AS mean, greatest(round(list_dot_product(a, pv), 6), round(list_dot_product(b, pv), 6)) AS max FROM p, proto)
+SELECT pair, gold, first(pred ORDER BY mean DESC, pred) AS by_mean, first(pred ORDER BY max DESC, pred) AS by_max FROM s GROUP BY pair, gold""")
+def prototype_views(t):
+    return two_views(items(t), F.col("item_id"))
+
+
 @query("VEC27", f"""WITH {_PROTO}, {PAIRS}, near AS (SELECT e.vec_id, p.label AS list, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.pv), 6) DESC, p.label) AS k FROM embeddings e, proto p),
 f AS (SELECT p.query_id, p.item_id, p.score FROM pairs p JOIN near i ON i.vec_id = p.item_id AND i.k = 1 JOIN near a ON a.vec_id = p.query_id AND a.k <= 3 AND a.list = i.list)
 SELECT {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""")
@@ -175,6 +182,20 @@ def ivf_trained(t):
     return ivf_search(items(t), asked(t), K, 4, lloyd(items(t), 12, 3))
 
 
+@query("VEC27", f"""WITH {_lloyd_sql(12, 3)}, {RANKED}, n AS (SELECT unnest([1, 2, 4, 8]) AS probes), f AS (SELECT p.query_id, n.probes, p.item_id, row_number() OVER (PARTITION BY p.query_id, n.probes ORDER BY p.score DESC, p.item_id) AS r, p.rank FROM ranked p JOIN near i ON i.vec_id = p.item_id AND i.k = 1 JOIN near a ON a.vec_id = p.query_id AND a.list = i.list JOIN n ON a.k <= n.probes)
+SELECT probes::INT AS probes, count(*) AS found, round(count(*) FILTER (rank <= 10) / (10.0 * (SELECT count(*) FROM q)), 6) AS recall FROM f WHERE r <= 10 GROUP BY probes""")
+def probe_sweep(t):
+    """Recall at ten of twelve trained lists, by the number of lists that a query probes."""
+    centres, every, q = lloyd(items(t), 12, 3), items(t), asked(t)
+    exact = R.exact_search(every, q, K).select("query_id", "item_id", F.lit(1).alias("hit"))
+    n = q.count()
+    own = every.join(nearest_lists(every, centres, "item_id", 1).select("item_id", "list"), "item_id").select("item_id", "vector", "list")
+    near = q.join(nearest_lists(q, centres, "query_id", 8), "query_id").select("query_id", F.col("vector").alias("_q"), "list", F.explode(F.filter(F.array(*[F.lit(p) for p in (1, 2, 4, 8)]), lambda p: F.col("k") <= p)).alias("probes"))
+    met = own.join(near, "list").where("query_id <> item_id").withColumn("score", F.round(R.dot("vector", "_q"), R.PLACES))
+    top = R.rank_by(met.select("query_id", "probes", "item_id", "score"), ["query_id", "probes"], F.desc("score"), F.asc("item_id"), k=K)
+    return top.join(exact, ["query_id", "item_id"], "left").groupBy("probes").agg(F.count("*").alias("found"), F.round(F.count("hit") / F.lit(10.0 * n), 6).alias("recall"))
+
+
 @query("VEC7", f"""WITH {_lloyd_sql(12, 3)}, {RANKED}, f AS (SELECT p.query_id, p.item_id, p.score, a.k FROM pairs p JOIN near i ON i.vec_id = p.item_id AND i.k = 1 JOIN near a ON a.vec_id = p.query_id AND a.k <= 8 AND a.list = i.list WHERE p.label = p.qlabel),
 l AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f WHERE k <= 2 QUALIFY rank <= 10), h AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 10),
 x AS (SELECT query_id, item_id FROM pre WHERE prank <= 10), m AS (SELECT x.query_id, count(l.item_id) < 0.9 * count(*) AS more FROM x LEFT JOIN l ON l.query_id = x.query_id AND l.item_id = x.item_id GROUP BY x.query_id)
@@ -346,7 +367,29 @@ def grounding_rates(t):
         F.bool_or("ok").cast("int").alias("hit"), F.round(F.count_if("ok") / 10.0, 6).alias("precision"), F.countDistinct(F.when(F.col("ok"), F.col("item_id") % 4)).alias("views"), F.round(F.sum(F.when(F.col("ok"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)), 6).alias("dcg"))
 
 
-@query("FIL12 AUD2", """WITH m AS (SELECT label, count(*) // 2 AS m FROM embeddings GROUP BY label), r AS (SELECT vec_id AS item_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('5:' || label || ':' || vec_id), vec_id) AS k FROM embeddings)
+@query("AUD2", f"""WITH {PAIRS}, n AS (SELECT label AS qlabel, count(*) / (SELECT count(*) FROM embeddings)::DOUBLE AS share FROM embeddings GROUP BY label), d AS (SELECT unnest(range(5)) AS draw),
+k AS (SELECT vec_id AS item_id, draw, ('0x' || substr(sha256('5:' || draw || ':' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM embeddings, d),
+r AS (SELECT query_id, qlabel, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r, row_number() OVER (PARTITION BY query_id, label = qlabel ORDER BY score DESC, item_id) AS ro FROM pairs),
+c AS (SELECT query_id, qlabel, count(*) FILTER (r <= 10 AND label = qlabel) / 10.0::DOUBLE AS clean, count(*) FILTER (label = qlabel AND ro <= 10) / 10.0::DOUBLE AS oracle FROM r GROUP BY ALL),
+m AS (SELECT p.query_id, draw, label = p.qlabel AS hit, row_number() OVER (PARTITION BY p.query_id, draw ORDER BY score DESC, item_id) AS r FROM pairs p JOIN k USING (item_id) JOIN n ON n.qlabel = p.qlabel WHERE u < share),
+x AS (SELECT query_id, draw, count(*) FILTER (hit) / 10.0::DOUBLE AS p FROM m WHERE r <= 10 GROUP BY ALL), y AS (SELECT qlabel, draw, avg(p) AS p FROM x JOIN q USING (query_id) GROUP BY ALL), z AS (SELECT qlabel, avg(p) AS mean, stddev_samp(p) AS sd FROM y GROUP BY qlabel)
+SELECT qlabel AS label, round(avg(clean), 6) AS clean, round(avg(oracle), 6) AS oracle, round(any_value(mean), 6) AS random, round(any_value(sd), 6) AS random_sd FROM c JOIN z USING (qlabel) GROUP BY qlabel""")
+def mask_replicates(t):
+    """Precision of ten without a filter, with the judgments themselves as filter, and with five random masks of that share."""
+    every, q = items(t), asked(t)
+    total = every.count()
+    share = every.groupBy(F.col("label").alias("ql")).agg((F.count("*") / F.lit(total)).alias("share"))
+    scored = R.exact_scores(every, q, None).join(every.select("item_id", "label"), "item_id").join(q.select("query_id", F.col("label").alias("ql")), "query_id").withColumn("hit", F.col("label") == F.col("ql"))
+    top = lambda df, by: R.rank_by(df, by, F.desc("score"), F.asc("item_id"), k=K).groupBy(*by, "ql").agg((F.count_if("hit") / 10.0).alias("p"))
+    clean, oracle = top(scored, ["query_id"]), top(scored.where("hit"), ["query_id"])
+    unit = lambda d: F.conv(F.substring(seeded("5", F.lit(d), "item_id"), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    drawn = scored.join(share, "ql").withColumn("draw", F.explode(F.filter(F.array(*[F.when(unit(d) < F.col("share"), F.lit(d)) for d in range(5)]), lambda x: x.isNotNull())))
+    random = top(drawn, ["query_id", "draw"]).groupBy("ql", "draw").agg(F.avg("p").alias("p")).groupBy("ql").agg(F.round(F.avg("p"), 6).alias("random"), F.round(F.stddev_samp("p"), 6).alias("random_sd"))
+    of = lambda df, name: df.groupBy("ql").agg(F.round(F.avg("p"), 6).alias(name))
+    return of(clean, "clean").join(of(oracle, "oracle"), "ql").join(random, "ql").withColumnRenamed("ql", "label")
+
+
+@query("FIL12", """WITH m AS (SELECT label, count(*) // 2 AS m FROM embeddings GROUP BY label), r AS (SELECT vec_id AS item_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('5:' || label || ':' || vec_id), vec_id) AS k FROM embeddings)
 SELECT item_id, label FROM r JOIN m USING (label) WHERE k <= m""")
 def random_masks(t):
     m = items(t).groupBy("label").agg(F.floor(F.count("*") / 2).alias("m"))

@@ -80,6 +80,26 @@ def leaked_passages(t):
     return K.containing(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@query("AUD11", """SELECT a.p_brand, b.p_size FROM (SELECT DISTINCT p_brand FROM part) a CROSS JOIN (SELECT DISTINCT p_size FROM part) b WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = a.p_brand AND p.p_size = b.p_size AND p.p_retailprice > 1400) """)
+def grid_gaps(t):
+    """Cells of a grid of treatments and sizes that no row of the kind fills."""
+    grid = t("part").select("p_brand").distinct().crossJoin(F.broadcast(t("part").select("p_size").distinct()))  # 50 sizes
+    return grid.join(t("part").where("p_retailprice > 1400").select("p_brand", "p_size").distinct(), ["p_brand", "p_size"], "left_anti")
+
+
+_SAID = r"regexp_matches(x, '(?i)(' || e || ')') AND NOT regexp_matches(x, '(?i)\b(no|not|without|never)\b(\W+\w+){0,5}\W+(' || e || ')') AND NOT regexp_matches(x, '(?i)(' || e || ')(\W+\w+){0,4}\W+\b(no|not|without|never)\b')"
+
+
+@query("AUD7", """WITH w AS (SELECT doc_id, e AS entity, coalesce(text, '') AS s, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS g FROM documents, (VALUES ('stupid'), ('idiot'), ('trash'), ('absentword')) v(e)),
+f AS (SELECT entity, g, regexp_matches(s, '(?i)(' || entity || ')') AS n, CASE entity WHEN 'stupid' THEN len(list_filter(regexp_split_to_array(s, '[.;!?]'), lambda x: """ + _SAID.replace("' || e || '", "stupid") + """)) > 0 WHEN 'idiot' THEN len(list_filter(regexp_split_to_array(s, '[.;!?]'), lambda x: """ + _SAID.replace("' || e || '", "idiot") + """)) > 0 WHEN 'trash' THEN len(list_filter(regexp_split_to_array(s, '[.;!?]'), lambda x: """ + _SAID.replace("' || e || '", "trash") + """)) > 0 ELSE false END AS a FROM w),
+c AS (SELECT entity, count(*)::DOUBLE AS n, count(*) FILTER (g) AS gold, count(*) FILTER (f.n) AS naive, count(*) FILTER (a) AS aff, count(*) FILTER (f.n AND g) AS ng, count(*) FILTER (a AND g) AS ag FROM f GROUP BY entity)
+SELECT entity, round(naive / n, 6) AS degree_naive, round(aff / n, 6) AS degree_affirmed, round(CASE WHEN naive > 0 THEN 1 - aff::DOUBLE / naive END, 6) AS negated_share, round(gold / n, 6) AS base_rate, round(CASE WHEN naive > 0 AND gold > 0 THEN ng::DOUBLE / naive - gold / n END, 6) AS lift_naive,
+round(CASE WHEN aff > 0 AND gold > 0 THEN ag::DOUBLE / aff - gold / n END, 6) AS lift_affirmed, round(CASE WHEN gold > 0 THEN ag::DOUBLE / gold END, 6) AS recall FROM c""")
+def channel_lift(t):
+    """Degree of lexicon words, and what their mentions tell of toxic documents."""
+    return K.channel_lift(t("documents"), t("labels").where("toxic = 1"), ["stupid", "idiot", "trash", "absentword"])
+
+
 @query("VEC25 VEC26 VEC27 SF40", """WITH c AS (SELECT p_brand AS predicate, CASE WHEN p_partkey % 2 = 0 THEN 'global' ELSE 'partial' END AS strategy, round(avg(p_size / 50.0), 6) AS recall, round(avg(p_retailprice), 6) AS p50_ms, round(sum(p_size) / 100.0, 6) AS build_s FROM part GROUP BY ALL),
 w AS (SELECT predicate, max(recall) FILTER (strategy = 'global') AS rg, max(p50_ms) FILTER (strategy = 'global') AS lg, max(p50_ms) FILTER (strategy = 'partial') AS lp, max(build_s) FILTER (strategy = 'partial') AS build FROM c GROUP BY predicate)
 SELECT predicate, round(lg - lp, 6) AS latency_gain_ms, CASE WHEN lg - lp > 0 THEN round(1000 * build / (lg - lp), 1) END AS breakeven_queries, rg < 0.5 AS quality_forced, CASE WHEN rg < 0.5 THEN 'local' WHEN lg - lp > 0 THEN 'local_if_hot' ELSE 'global' END AS policy FROM w""")

@@ -94,6 +94,17 @@ def sign_flip(values: DataFrame, ident: str, value: str, by: list[str], n: int =
     return flipped.join(own, by).groupBy(*by).agg(F.round((F.count_if(F.col("m") >= F.col("own")) + 1) / F.lit(n + 1.0), 9).alias("p"))
 
 
+def shuffle_null(values: DataFrame, ident: str, value: str, by: list[str], n: int = 200, seed: str = "11") -> DataFrame:
+    """by, mean, p, z: the mean against those of n random sign flips; p has one added to both counts, z is the distance from
+    their mean in their standard deviations."""
+    rows = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sign = F.when(F.conv(F.substring(seeded(seed, "draw", ident), 1, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    flipped = rows.groupBy(*by, "draw").agg(F.round(F.avg(F.col(value) * sign), 9).alias("m"))
+    own = values.groupBy(*by).agg(F.round(F.avg(value), 9).alias("mean"))
+    every = flipped.join(own, by).groupBy(*by, "mean")
+    return every.agg(F.round((F.count_if(F.col("m") >= F.col("mean")) + 1) / F.lit(n + 1.0), 9).alias("p"), F.round((F.col("mean") - F.avg("m")) / F.stddev_samp("m"), 5).alias("z"))
+
+
 def wilcoxon(pairs: DataFrame, diff: str, by: list[str], least: int = 3, when_few: float | None = None) -> DataFrame:
     """by, n, w_plus, p: signed ranks by the normal approximation, without corrections; under `least` differences p is when_few."""
     rows = pairs.where(F.col(diff) != 0).withColumn("_abs", F.abs(F.col(diff)))

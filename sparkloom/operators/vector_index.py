@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .retrieval import PLACES, dot, rank_by, top_items
+from .retrieval import PLACES, dot, normalize, rank_by, top_items
 
 
 def means(items: DataFrame, by: str = "label", vector: str = "vector") -> DataFrame:
@@ -94,6 +94,18 @@ def prototypes(items: DataFrame) -> DataFrame:
     return rank_by(scored, ["item_id"], F.desc("score"), F.asc("pred"), out="_r", k=1).drop("_r")
 
 
+def two_views(items: DataFrame, view: Column) -> DataFrame:
+    """pair, gold, by_mean, by_max: the class of two views of a thing, items 2 n and 2 n + 1, by the mean vector's products
+    with the class means and by the greater of the views' own; ties go to the lesser class."""
+    small = means(items).withColumnRenamed("label", "pred")
+    side = lambda k, v: items.where(F.pmod(view, F.lit(2)) == k).select(F.floor(view / 2).alias("pair"), F.col("vector").alias(v), F.col("label").alias(f"l{k}"))
+    both = side(0, "a").join(side(1, "b"), "pair").withColumn("m", normalize(F.zip_with("a", "b", lambda x, y: x.cast("double") + y.cast("double"))))
+    product = lambda v: F.round(dot(v, "centre"), PLACES)
+    scored = both.crossJoin(F.broadcast(small)).select("pair", "l0", "pred", product("m").alias("mean"), F.greatest(product("a"), product("b")).alias("max"))  # classes
+    best = lambda c: F.max(F.struct(c, (-F.col("pred")).alias("p"))).alias(c)
+    return scored.groupBy("pair", F.col("l0").alias("gold")).agg(best("mean"), best("max")).select("pair", "gold", (-F.col("mean.p")).alias("by_mean"), (-F.col("max.p")).alias("by_max"))
+
+
 def hot_cold(costs: DataFrame, quality: float = 0.95) -> DataFrame:
     """predicate, latency_gain_ms, breakeven_queries, quality_forced, policy from costs of a partial and a global index
     (predicate, strategy, recall, p50_ms, build_s).

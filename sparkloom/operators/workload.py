@@ -147,6 +147,25 @@ def containing(docs: DataFrame, passages: DataFrame, doc_id: str, text: str, ite
     return spark.createDataFrame([], schema) if blocks is None else blocks
 
 
+def channel_lift(docs: DataFrame, gold: DataFrame, entities: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each entity of a short lexicon, from one pass: its degree, the share of documents that mention it (`naive`) or do so
+    without a negation (`affirmed`); the negated share of mentions; and by how much either channel lifts the share of gold
+    documents above that of all; recall is that of the affirmed channel. Shares of nothing are null."""
+    from ..functions.text import affirmed
+
+    flags = [F.struct(F.lit(e).alias("entity"), F.col("_t").rlike(f"(?i)({e})").alias("n"), affirmed("_t", e).alias("a")) for e in entities]
+    rows = docs.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t")).select("_d", F.explode(F.array(*flags)).alias("x"))
+    known = gold.select(F.col(doc_id).alias("_d")).distinct().withColumn("_g", F.lit(True))
+    rows = rows.select("_d", "x.*").join(known, "_d", "left").withColumn("g", F.coalesce("_g", F.lit(False)))
+    n, g = F.count("*"), F.count_if("g")
+    c = rows.groupBy("entity").agg(n.alias("n"), g.alias("gold"), *[F.count_if(w).alias(k) for k, w in (("naive", F.col("n")), ("aff", F.col("a")), ("ng", F.col("n") & F.col("g")), ("ag", F.col("a") & F.col("g")))])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    base = F.col("gold") / F.col("n")
+    lift = lambda a, b: F.when(F.col("gold") > 0, share(a, b) - base)
+    out = {"degree_naive": F.col("naive") / F.col("n"), "degree_affirmed": F.col("aff") / F.col("n"), "negated_share": 1 - share("aff", "naive"), "base_rate": base, "lift_naive": lift("ng", "naive"), "lift_affirmed": lift("ag", "aff"), "recall": share("ag", "gold")}
+    return c.select("entity", *[F.round(v, 6).alias(k) for k, v in out.items()])
+
+
 def gate(df: DataFrame, **tests: Column) -> DataFrame:
     """gate, failures, passed: how many rows fail each test (null fails), in one pass."""
     counts = df.agg(F.count("*").alias("_n"), *[F.count_if(~F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])
