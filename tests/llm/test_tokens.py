@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -61,3 +63,33 @@ def test_empty_table_and_bad_rule(spark):
     assert tokens.attribute_tokens(empty, **tokens.public_paths(), fields=["text"]).count() == 0
     with pytest.raises(ValueError):
         tokens.attribute_tokens(empty, **tokens.public_paths(), fields=["text"], rule="none")
+
+
+def test_each_token_goes_where_the_tokenizer_says_that_it_lies():
+    """Against the offsets that the tokenizer itself reports, with its trimmed blanks given back."""
+
+    enc = tokens.encoder(**tokens.public_paths())
+    rng = random.Random(12)
+    pieces = ["alpha beta", "né 日本", "x\ty  z", "", "12,345.67 it's", "🙂 ok", " lead", "trail "]
+    for _ in range(60):
+        parts = [rng.choice(pieces) for _ in range(rng.randrange(1, 7))]
+        text = "\n".join(parts)
+        size = [len(p) + 1 for p in parts]
+        size[-1] -= 1
+        edges = np.concatenate([[0], np.cumsum(size)])
+        e = enc.whole.encode(text, add_special_tokens=False)
+        assert enc.encode([text])[0].tolist() == e.ids
+        want = {rule: [0] * len(parts) for rule in tokens.RULES}
+        of = lambda at: max(k for k in range(len(parts)) if edges[k] <= at)
+        for (a, b), token in zip(e.offsets, e.tokens):
+            lead = len(token) - len(token.lstrip("Ġ"))
+            while lead and a and text[a - 1] == " " and text[a:b].lstrip(" ") == text[a:b]:
+                a, lead = a - 1, lead - 1
+            a, b = (a, max(b, a + 1))
+            held = [min(b, int(edges[k + 1])) - max(a, int(edges[k])) for k in range(len(parts))]
+            want["first"][of(a)] += 1
+            want["last"][of(b - 1)] += 1
+            want["most"][held.index(max(held))] += 1
+        for rule in tokens.RULES:
+            got, _ = tokens._dealt(enc.encode([text])[0], enc.byte_len, text, edges, rule)
+            assert got.tolist() == want[rule], (text, rule, e.tokens, e.offsets)
