@@ -116,3 +116,17 @@ def test_orders_carry_over_partitions(spark):
             low = min(low, int(repeats.common([strings[j - 1], strings[j]], 100)[1]) - wide)
             want |= 1 << low
         assert got[s] == want
+
+
+def test_many_null_ids_are_told_apart_and_come_last(spark):
+    """In the order of their texts' hashes; the greatest long is an id like others."""
+    passage = prose(20, 77)
+    texts = [prose(8, 100 + i) + passage + prose(8, 300 + i) for i in range(70)]
+    rows = [(None, t) for t in texts] + [((1 << 63) - 1, passage), (None, texts[0])]
+    df = docs(spark, rows)
+    keyed = {bytes(r.raw).decode(): (r.t1, r.t2) for r in repeats._keyed(df, "doc_id", "text").collect()}
+    order = [passage, *sorted(texts, key=keyed.__getitem__)]
+    want = {t: w for t, w in zip(order, brute([(None, t.encode()) for t in order], 100))}
+    got = repeats.remove_repeats(df, with_text=False).collect()
+    assert sorted(((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)) == sorted([*want.values(), want[texts[0]]])
+    assert [r.n_removed for r in got if r.doc_id == (1 << 63) - 1] == [0] and sum(r.doc_id is None for r in got) == 71
