@@ -130,10 +130,10 @@ def _pattern_counts(docs: DataFrame, text: str, patterns: DataFrame) -> DataFram
     words = F.regexp_extract_all(_plain(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0))
     singles = docs.select(words.alias("w")).select(F.explode("w").alias("w"), F.lit(None).cast("string").alias("p"))
     pairs = docs.select(words.alias("w")).select(F.explode(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("w"), F.get("w", i).alias("p")))).alias("s")).select("s.w", "s.p")
-    asked = patterns.select("pattern").distinct().select("pattern", F.substring_index("pattern", " ", 1).alias("side"), F.expr("substring(pattern, instr(pattern, ' ') + 1)").alias("words"))
-    one = singles.groupBy(F.col("w").alias("words")).agg(F.count("*").alias("total")).join(asked.where("side <> 'LL'"), "words")
-    two = pairs.groupBy(F.concat("p", F.lit(" "), "w").alias("words")).agg(F.count("*").alias("total")).join(asked.where("side = 'LL'"), "words")
-    return one.unionByName(two).select("pattern", "total")
+    asked = cut(patterns.select("pattern").distinct().select("pattern", F.substring_index("pattern", " ", 1).alias("side"), F.expr("substring(pattern, instr(pattern, ' ') + 1)").alias("words")))
+    met = lambda words, ask: words.join(ask.select("words", "pattern"), "words").groupBy("pattern").agg(F.count("*").alias("total"))  # noqa: E731  words that nobody asks for go no further
+    one = met(singles.select(F.col("w").alias("words")), asked.where("side <> 'LL'"))
+    return one.unionByName(met(pairs.select(F.concat("p", F.lit(" "), "w").alias("words")), asked.where("side = 'LL'")))
 
 
 def bootstrap(found: DataFrame, docs: DataFrame, text: str = "text", rounds: int = 6, support: int = 3, least: float = 0.8) -> DataFrame | None:
