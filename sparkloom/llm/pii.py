@@ -132,7 +132,8 @@ def _pattern_counts(docs: DataFrame, text: str, patterns: DataFrame) -> DataFram
     pairs = docs.select(words.alias("w")).select(F.explode(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("w"), F.get("w", i).alias("p")))).alias("s")).select("s.w", "s.p")
     asked = cut(patterns.select("pattern").distinct().select("pattern", F.substring_index("pattern", " ", 1).alias("side"), F.expr("substring(pattern, instr(pattern, ' ') + 1)").alias("words")))
     met = lambda words, ask: words.join(ask.select("words", "pattern"), "words").groupBy("pattern").agg(F.count("*").alias("total"))  # noqa: E731  words that nobody asks for go no further
-    one = met(singles.select(F.col("w").alias("words")), asked.where("side <> 'LL'"))
+    counted = singles.groupBy(F.col("w").alias("words")).agg(F.count("*").alias("total"))  # a common word would be joined as often as it stands
+    one = counted.join(asked.where("side <> 'LL'").select("words", "pattern"), "words").select("pattern", "total")
     return one.unionByName(met(pairs.select(F.concat("p", F.lit(" "), "w").alias("words")), asked.where("side = 'LL'")))
 
 
