@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language, mixing, packing, pii, quality, repeats, simhash, tokens
+from . import ann, chat, language, mixing, packing, patterns, pii, quality, repeats, simhash, tokens
 from .runtime import ship
 
 
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.match_rows(_table(spark, sf_dir, "clicks")).withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
