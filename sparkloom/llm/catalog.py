@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language, mixing, packing, patterns, pii, quality, repeats, simhash, tokens
-from .runtime import ship
+from . import ann, chat, language, mixing, packing, patterns, pii, quality, repair, repeats, simhash, tokens
+from .runtime import cut, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    damaged = repair.damage(rows)
+    return repair.digest(rows, damaged, cut(repair.edits(damaged)))
+
+
 def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.match_rows(_table(spark, sf_dir, "clicks")).withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
 
