@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language, mixing, packing, patterns, pii, quality, repair, repeats, simhash, tokens
+from . import ann, chat, jaccard, language, mixing, packing, patterns, pii, quality, repair, repeats, simhash, tokens
 from .runtime import cut, ship
 
 
@@ -70,9 +70,13 @@ def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.match_rows(_table(spark, sf_dir, "clicks")).withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), percent=85, words_in=4)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.SQL}
+    return {"op6_chat": chat.SQL, "op12_row_patterns": patterns.SQL, "op13_jaccard": jaccard.SQL}

@@ -378,3 +378,27 @@ def match_rows(
     counts = found.groupBy("client_id", "part").agg(F.count("*").alias("_n")).select("client_id", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("client_id", "part").orderBy("at"))
     return found.withColumn("_in", within).join(counts, ["client_id", "part"]).select("client_id", (F.col("_before") + F.col("_in")).alias("match_no"), "first_id", "last_id", "n_rows", "sum_cents", "labels")
+
+
+#: The same rows of a table `clicks`, with labels hashed: each start's first end, then the chain of matches from the left.
+SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST, cents NULLS FIRST) AS i, lag(ts) OVER k AS ts_b, lag(cents) OVER k AS cents_b
+  FROM (SELECT DISTINCT client_id, ts, click_id, kind, value, arrived_at, props, CASE WHEN isfinite(value) THEN floor(100.0 * value + 0.5)::BIGINT END AS cents FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)
+  WINDOW k AS (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST, cents NULLS FIRST)
+), f AS (
+  SELECT *, near AND kind <> 'error' AND cents <> cents_b AS step, near AND kind = 'purchase' AS goal
+  FROM (SELECT *, coalesce(cents IS NOT NULL AND cents_b IS NOT NULL AND ts - ts_b <= INTERVAL 10 MINUTE, false) AS near FROM r)
+), g AS (
+  SELECT *, max(CASE WHEN step THEN NULL ELSE i END) OVER (PARTITION BY client_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_i FROM f
+), m AS (
+  SELECT a.client_id, a.i AS s, min(p.i) AS e FROM g p JOIN g a ON p.client_id = a.client_id AND a.i < p.i AND a.i >= p.from_i AND a.cents <= p.cents WHERE p.goal GROUP BY 1, 2
+), chain AS (
+  SELECT client_id, s, e, 1 AS match_no FROM m QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY s) = 1
+  UNION ALL
+  (SELECT m.client_id, m.s, m.e, c.match_no + 1 FROM chain c JOIN m ON m.client_id = c.client_id AND m.s > c.e QUALIFY row_number() OVER (PARTITION BY m.client_id ORDER BY m.s) = 1)
+)
+SELECT c.client_id, c.match_no::BIGINT AS match_no, any_value(g.click_id) FILTER (g.i = c.s) AS first_id, any_value(g.click_id) FILTER (g.i = c.e) AS last_id, count(*) AS n_rows, sum(g.cents)::BIGINT AS sum_cents,
+  sha256(string_agg(CASE WHEN g.i = c.s THEN 'A' WHEN g.i = c.e THEN 'P' WHEN g.cents < g.cents_b THEN 'D' ELSE 'U' END, '' ORDER BY g.i)) AS labels_sha256
+FROM chain c JOIN g ON g.client_id = c.client_id AND g.i BETWEEN c.s AND c.e GROUP BY c.client_id, c.match_no
+"""
