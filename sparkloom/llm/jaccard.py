@@ -9,17 +9,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
-from .runtime import cut, drop, lean
+from .runtime import cut, drop, lean, release
 from .shingles import shingle_set
 
-#: Bits of a signature: a power of two of at least twice the set's size within these bounds. Wider ones are folded to meet narrower ones.
-LEAST_BITS, MOST_BITS = 512, 8192
+#: Bits of a signature: a power of two of at least half the set's size within these bounds. Wider ones are folded to meet narrower ones.
+LEAST_BITS, MOST_BITS = 256, 8192
 #: Most frequent shingles that stand last in the order of all shingles: 8 MB to each worker at most.
 MOST_FREQUENT = 1 << 20
-#: A shingle that more sets than this name among their first ones is a frequent one.
-FREQUENT = 64
+#: Texts among which frequent shingles are looked for: one of so many, by hash. What is frequent decides the cost, never the result.
+SAMPLE = 16
+#: A shingle that so many texts of the sample hold is a frequent one.
+FREQUENT = 4
 #: Rows of a tile that meet in one task; larger tiles are cut into blocks whose pairs are dealt out.
 BLOCK = 2048
 #: Shingles of each set whose tiles are searched first, its most shared ones, to group near copies before the rest meet.
@@ -28,7 +31,7 @@ FIRST = 2
 
 def signature(hashes: np.ndarray) -> bytes:
     """Bit b is set if an odd number of shingles falls on b: two signatures differ in no more bits than the sets in shingles."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (2 * len(hashes) - 1)).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(hashes) // 2 - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -59,8 +62,8 @@ def _longs(a: np.ndarray) -> list[int]:
     return a.view("<i8").tolist()
 
 
-def _signed(docs: DataFrame, words_in: int, percent: int) -> DataFrame:
-    """doc_id, th, n, node (a hash of the set), first (its first shingles by hash) and sig of each row."""
+def _signed(docs: DataFrame, words_in: int, percent: int, last: np.ndarray) -> DataFrame:
+    """doc_id, th, n, node (a hash of the set), first (its first shingles) and sig of each row."""
 
     def run(batches):
         for b in batches:
@@ -68,32 +71,44 @@ def _signed(docs: DataFrame, words_in: int, percent: int) -> DataFrame:
             for t in b.column(2):
                 s = shingle_set(t.as_py(), words_in)
                 n.append(len(s))
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                first.append(_longs(s[: prefix_size(len(s), percent)]))
+                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                first.append(_longs(prefix(s, percent, last)))
                 sigs.append(signature(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "th", "n", "node", "first", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(first, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "th", "n", "node", "first", "sig"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, th long, n long, node binary, first array<long>, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, th long, n long, node long, first array<long>, sig binary")
 
 
-def _texts(picked: DataFrame, asked: DataFrame) -> DataFrame:
-    """node and text of the nodes asked for: one row's text each."""
-    found = picked.join(asked.select("node", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    return found.select("node", "text").dropDuplicates(["node"])
+def _gathered(picked: DataFrame, asked: DataFrame, words_in: int) -> DataFrame:
+    """node and its set, ascending, of the nodes asked for (node, d, t: a row's doc_id and hash of text)."""
 
+    def gather(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_longs(shingle_set(t.as_py(), words_in)) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "set"])
+
+    found = picked.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
+    return found.dropDuplicates(["node"]).mapInArrow(lean(gather), "node long, set array<long>")
+
+
+def _frequent(picked: DataFrame, words_in: int) -> np.ndarray:
+    """Frequent shingles of the sample, ascending: all, or those above the next power of two that leaves MOST_FREQUENT."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_longs(shingle_set(t.as_py(), words_in)) for t in b.column(0)], pa.list_(pa.int64()))], names=["set"])
 
-def _frequent(counts: DataFrame) -> np.ndarray:
-    """The most frequent shingles, ascending: all above FREQUENT, or above the next power of two that leaves MOST_FREQUENT."""
-    sizes = {r["k"]: r["c"] for r in counts.where(F.col("c") > FREQUENT).groupBy(F.floor(F.log2("c")).cast("int").alias("k")).agg(F.count("*").alias("c")).collect()}
+    sample = picked.where(F.pmod("th", F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text")
+    counts = cut(sample.mapInArrow(lean(run), "set array<long>").select(F.explode("set").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT))
+    power = F.floor(F.log2("c")).cast("int")
+    sizes = {r["k"]: r["n"] for r in counts.groupBy(power.alias("k")).agg(F.count("*").alias("n")).collect()}
     least, total = 64, 0
     for k in sorted(sizes, reverse=True):
         if total + sizes[k] > MOST_FREQUENT:
             break
         total, least = total + sizes[k], k
-    if not total:
-        return np.zeros(0, "<u8")
-    rows = counts.where((F.col("c") > FREQUENT) & (F.floor(F.log2("c")) >= least)).select("tok").toArrow()
-    return np.sort(rows.column("tok").combine_chunks().to_numpy().view("<u8"))
+    found = counts.where(power >= least).select("tok").toArrow() if total else None
+    drop(counts)
+    return np.sort(found.column("tok").combine_chunks().to_numpy().view("<u8")) if total else np.zeros(0, "<u8")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -174,8 +189,8 @@ def _candidates(tiles: DataFrame, nodes: DataFrame, percent: int, every: bool, b
     placed = tiles.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("guest", F.col("band") < F.col("own"))
     sizes = placed.groupBy("tok", "band").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("guest").alias("all_guests")).where("lo <> hi and not all_guests").select("tok", "band", F.ceil(F.col("c") / block).cast("int").alias("g"))
     met = placed.join(sizes, ["tok", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = met.select("tok", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "node", "root").join(nodes.select("node", "n", "sig", "rare"), "node").withColumn("every", F.lit(every))
-    sortable = dealt.repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j", F.desc("rare"), "node")
+    dealt = met.select("tok", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "node", "root").join(nodes.select("node", "n", "sig", "shared"), "node").withColumn("every", F.lit(every))
+    sortable = dealt.repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j", F.desc("shared"), "node")
     return sortable.mapInArrow(lean(_prune(percent)), "a long, b long").distinct()
 
 
@@ -209,56 +224,51 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, do
 
     All shingles stand in one order: by hash, the most frequent ones last. Linked sets share one of their first shingles in
     that order, so these name the tiles, and nothing is lost by any choice of what is frequent. Tiles of near copies make few
-    pairs: nodes already tied by links don't meet again.
+    pairs: the first two rounds keep a forest of what signatures let link, exact intersection judges it, and only sets that are
+    still apart then meet in all pairs that signatures let link. Sets are told apart by 64 bits of a hash.
     """
     own = F.col(f"`{text}`").cast("string")
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("th"), own.alias("text"))
-    rows = cut(_signed(picked, words_in, percent))
-    sets_of = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("first").alias("first"))
-    named = cut(sets_of.withColumn("key", F.monotonically_increasing_id()).withColumnsRenamed({"node": "set_id", "key": "node"}))
-    first = named.select("node", F.explode("first").alias("tok"))
-    counts = first.groupBy("tok").agg(F.count("*").alias("c"))
-    again = cut(counts.where("c > 1"))
-    known = cut(first.join(again, "tok"))  # only shingles that two sets name at least
-    last = _frequent(again)
-    if len(last):  # sets that name frequent shingles name others before them instead
-        held = known.where(F.col("c") > FREQUENT).select("node").distinct()
-        asked = named.join(held, "node", "left_semi").select("node", "one")
-
-        def renamed(batches):
-            for b in batches:
-                names = [_longs(prefix(shingle_set(t.as_py(), words_in), percent, last)) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.int64()))], names=["node", "first"])
-
-        other = cut(_texts(picked, asked).mapInArrow(lean(renamed), "node long, first array<long>"))
-        first = first.join(other.select("node"), "node", "left_anti").unionByName(other.select("node", F.explode("first").alias("tok")))
-        again = first.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
-        drop(known)
-        known = cut(first.join(again, "tok"))
-    known = known.join(named.select("node", "n"), "node")
-    nodes = cut(named.select("node", "one", "n", "sig").join(known.groupBy("node").agg(F.count("*").alias("rare"), F.sort_array(F.collect_list(F.struct("c", "tok")), asc=False).alias("toks")), "node"))
-    tiles = cut(nodes.select("node", "n", F.posexplode(F.transform("toks", lambda x: x["tok"])).alias("pos", "tok")))
-
-    def gather(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_longs(shingle_set(t.as_py(), words_in)) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "set"])
-
-    sets = cut(_texts(picked, nodes).mapInArrow(lean(gather), "node long, set array<long>"))
-    tried, reach = None, None
-    for every, some in ((False, F.col("pos") < FIRST), (False, F.lit(True)), (True, F.lit(True))):
-        at = tiles.where(some)
-        at = at.withColumn("root", F.col("node")) if reach is None else at.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = _candidates(at.drop("pos"), nodes, percent, every, block)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = _verified(pairs, sets, percent)
-        tried = new if tried is None else tried.unionByName(new)
-        reach = cut(components(tried.where("linked")))
-    drop(sets, tiles)
-    # a set's id stands for its rows; roots are nodes
-    grouped = named.select("set_id", "node", "least").join(reach, "node", "left").select("set_id", "least", F.coalesce("root", "node").alias("root"))
+    spark = docs.sparkSession
+    last = _frequent(picked, words_in)
+    rows = cut(_signed(picked, words_in, percent, last).withColumn("row", F.monotonically_increasing_id()))
+    named = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
+    heads = cut(rows.join(named.select("row"), "row", "left_semi").select("node", "n", "sig", F.col("doc_id").alias("d"), F.col("th").alias("t"), "first"))
+    slim = cut(rows.select("doc_id", "n", "node"))
+    drop(rows)
+    release(spark)
+    first = heads.select("node", F.explode("first").alias("tok"))
+    again = first.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")  # shingles that two sets name at least
+    known = cut(first.join(again, "tok"))
+    nodes = cut(heads.drop("first").join(known.groupBy("node").agg(F.count("*").alias("shared")), "node"))
+    drop(heads)
+    release(spark)
+    order = Window.partitionBy("node").orderBy(F.desc("c"), "tok")  # a set's own first shingles
+    tiles = cut(known.withColumn("pos", F.row_number().over(order)).join(nodes.select("node", "n"), "node"))
+    drop(known)
+
+    def at(some: Column, roots: DataFrame | None) -> DataFrame:
+        part = tiles.where(some).select("tok", "node", "n")
+        return part.withColumn("root", F.col("node")) if roots is None else part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # what may link, as a forest over all sets that have any such partner; then the sets, and what is left
+    likely = cut(_candidates(at(F.col("pos") <= FIRST, None), nodes, percent, False, block))
+    more = cut(_candidates(at(F.lit(True), cut(components(likely))), nodes, percent, False, block))
+    release(spark)
+    tried = likely.unionByName(more)
+    asked = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    sets = cut(_gathered(picked, nodes.join(asked, "node").select("node", "d", "t"), words_in))
+    links = _verified(tried, sets, percent)
+    reach = cut(components(links.where("linked")))
+    rest = cut(_candidates(at(F.lit(True), reach), nodes, percent, True, block).join(links, ["a", "b"], "left_anti"))
+    release(spark)
+    links = links.unionByName(_verified(rest, sets, percent))
+    reach = cut(components(links.where("linked")))
+    drop(sets, tiles, nodes)
+    grouped = named.select("node", "least").join(reach, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = grouped.join(firsts, "root").select(F.col("set_id").alias("node"), "component_id")
-    out = rows.select("doc_id", "n", "node").join(of, "node", "left")
+    of = grouped.join(firsts, "root").select("node", "component_id")
+    out = slim.join(of, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

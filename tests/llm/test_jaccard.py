@@ -67,6 +67,7 @@ def test_components_equal_brute_force(spark):
 
 
 def test_small_blocks_and_frequent_shingles_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     texts = corpus()
     ids = list(range(len(texts)))
@@ -89,7 +90,7 @@ def test_signatures_bound_overlap():
         words = min(x.shape[1], y.shape[1])
         apart = int(np.bitwise_count(jaccard.fold(x, words) ^ jaccard.fold(y, words)).sum())
         true = len(np.setxor1d(a, b))
-        assert apart <= true and (apart - true) % 2 == 0 and apart >= 0.6 * true
+        assert apart <= true and (apart - true) % 2 == 0 and apart >= 0.4 * true
 
 
 def test_every_linked_pair_shares_a_first_shingle():
