@@ -32,6 +32,6 @@ def query(ids: str, sql: str | None = None):
 
 
 def load() -> dict[str, Query]:
-    from . import exchange, lexical, relational, scalar, statistics, vector, versioned, workloads  # noqa: F401
+    from . import exchange, indexes, lexical, relational, scalar, statistics, vector, versioned, workloads  # noqa: F401
 
     return QUERIES

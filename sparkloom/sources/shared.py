@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _local.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
         base = _local[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name: str = "step"):
+    """df written to a new shared folder and read back: what follows doesn't run it again, nor does a lost executor."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
