@@ -116,11 +116,14 @@ def landed_edits(t):
     return S.landed_revisions(o.sparkSession, folder)
 
 
-@query("SRC20", """SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS old_sha256, sha256(text || chr(10) || 'more') AS new_sha256 FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '---') AND NOT contains(text, chr(13))""")
+@query("SRC20", r"""WITH p AS (SELECT doc_id, text AS old, '---' || chr(13) || chr(10) || 'lang: ' || coalesce(lang, '') || chr(13) || chr(10) || '---' || chr(13) || chr(10) || replace(text, chr(10), chr(13) || chr(10)) || chr(10) || 'more' AS new FROM documents),
+n AS (SELECT doc_id, trim(regexp_replace(replace(old, chr(13) || chr(10), chr(10)), '(?s)^---\n.*?\n---\n', '')) AS old, trim(regexp_replace(replace(new, chr(13) || chr(10), chr(10)), '(?s)^---\n.*?\n---\n', '')) AS new FROM p)
+SELECT doc_id::VARCHAR AS doc_id, sha256(old) AS old_sha256, sha256(new) AS new_sha256 FROM n""")
 def landed_revision_pairs(t):
-    """Old and new texts of revisions with their hashes, of landed JSON lines."""
-    d = t("documents").where("text IS NOT NULL AND NOT startswith(text, '---') AND NOT contains(text, '\\r')")
-    rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("c").alias("commit"), F.col("text").alias("old"), F.concat("text", F.lit("\nmore")).alias("new"))
+    """Old and new texts of revisions with their hashes, of landed JSON lines; the new ones come with front matter and CRLF."""
+    end = F.lit("\r\n")
+    new = F.concat(F.lit("---\r\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\r\n---\r\n"), F.replace(F.col("text"), F.lit("\n"), end), F.lit("\nmore"))
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("c").alias("commit"), F.col("text").alias("old"), new.alias("new"))
     folder = _folder(rows, "pairs")
     rows.write.json(folder)
     return S.landed_pairs(rows.sparkSession, folder).select("doc_id", "old_sha256", "new_sha256")

@@ -48,18 +48,33 @@ def bm25_filtered(t):
     return R.top_items(L.bm25(docs(t), asked(t)).join(docs(t).where("lang = 'en'").select("item_id"), "item_id", "left_semi"), 10)
 
 
-@query("LEX4", f"""WITH {_TOKENS}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), met AS (SELECT query_id, item_id, count(*) AS have, sum(tf)::DOUBLE AS score FROM post JOIN qt USING (term) GROUP BY ALL)
-SELECT query_id, item_id, score FROM met JOIN need USING (query_id) WHERE have = need""")
+def short(t):
+    """Queries of three words: the longest of each document whose doc_id is divisible by 20, ties to the lesser word."""
+    w = t("documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_distinct(words(F.coalesce("text", F.lit("")))).alias("w")).where(F.size("w") > 0)
+    longest = F.slice(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 3)
+    return w.select("query_id", F.concat_ws(" ", F.transform(longest, lambda s: s["x"])).alias("query_text"))
+
+
+_SHORT = _TOKENS[: _TOKENS.index("qt AS")] + "qt AS (SELECT query_id, term, 1 AS qtf FROM (SELECT item_id AS query_id, unnest(list_distinct(w)) AS term FROM tok WHERE item_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) <= 3)"
+_NEED = "need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), met AS (SELECT query_id, item_id, count(*) AS have, max(tf) AS tf FROM post JOIN qt USING (term) GROUP BY ALL)"
+
+
+@query("LEX4", f"""WITH {_SHORT}, {_NEED}, held AS (SELECT * FROM met JOIN need USING (query_id) WHERE have = need),
+pos AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS p FROM tok), ap AS (SELECT pos.* FROM pos SEMI JOIN qt USING (term)),
+n AS (SELECT h.query_id, h.item_id, 1 - exp(sum(ln(1 - 0.1::DOUBLE / sqrt(1.005::DOUBLE + 0.05::DOUBLE * exp(abs(x.p - y.p) / 1.5::DOUBLE - 2))))) AS near FROM held h JOIN qt a ON a.query_id = h.query_id JOIN qt b ON b.query_id = h.query_id AND a.term < b.term
+  JOIN ap x ON x.item_id = h.item_id AND x.term = a.term JOIN ap y ON y.item_id = h.item_id AND y.term = b.term AND abs(x.p - y.p) <= 100 GROUP BY ALL)
+SELECT query_id, item_id, round(CASE WHEN need = 1 THEN list_sum(list_transform(range(1, tf + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685::DOUBLE ELSE coalesce(near, 0) END, 6)::DOUBLE AS score FROM held LEFT JOIN n USING (query_id, item_id)""")
 def match_all(t):
-    return L.match_all(docs(t), asked(t))
+    """All-words search with a rank from the words' places."""
+    return L.match_ranked(docs(t), short(t))
 
 
-@query("LEX5", f"""WITH {_BM25}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), met AS (SELECT query_id, item_id, count(*) AS have FROM post JOIN qt USING (term) GROUP BY ALL)
+@query("LEX5", f"""WITH {_SHORT}{_BM25[len(_TOKENS):]}, {_NEED}
 SELECT query_id, item_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM sc s JOIN met USING (query_id, item_id) JOIN need USING (query_id) WHERE have = need) WHERE r = 1""")
 def best_match(t):
     """Of the documents that hold all of a query's terms, the best by BM25."""
-    met = L.match_all(docs(t), asked(t)).select("query_id", "item_id")
-    return R.top_items(L.bm25(docs(t), asked(t)).join(met, ["query_id", "item_id"], "left_semi"), 1).select("query_id", "item_id", "score")
+    met = L.match_all(docs(t), short(t)).select("query_id", "item_id")
+    return R.top_items(L.bm25(docs(t), short(t)).join(met, ["query_id", "item_id"], "left_semi"), 1).select("query_id", "item_id", "score")
 
 
 _GRAMS = """own AS (SELECT item_id, w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g FROM tok)"""

@@ -298,13 +298,34 @@ def missing_and_extra(t):
     return missing_extra(t("documents").where("doc_id % 2 = 0"), t("labels"), "doc_id")
 
 
-@query("SET7 SNK4", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, true AS same FROM orders")
+@query("SET7", """WITH o AS (SELECT * FROM orders), b AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 100 = 1),
+x AS (SELECT o_orderstatus AS status, count(*) FILTER (o_orderkey % 100 = 1) AS doubled, count(*) FILTER (o_orderkey % 100 = 2) AS changed, count(*) AS n FROM orders GROUP BY 1)
+SELECT status, n, true AS moved, doubled = 0 AS doubled, changed = 0 AS changed FROM x""")
 def table_equality(t):
-    from ..operators.workload import same_rows
+    """Whether orders equal a copy whose columns and rows were moved, one with some rows doubled, one with a changed cell in
+    some rows, by status."""
+    from ..operators.workload import same_by
 
     o = t("orders")
-    same = same_rows(o.groupBy("o_orderstatus").count(), o.select("*").orderBy("o_orderkey").groupBy("o_orderstatus").count())
-    return o.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.lit(same).alias("same"))
+    moved = o.select(*reversed(o.columns)).repartition(7, "o_custkey").unionByName(o.limit(0))
+    doubled = o.unionByName(o.where("o_orderkey % 100 = 1"))
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 2, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice")))
+    out = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    for name, other in (("moved", moved), ("doubled", doubled), ("changed", changed)):
+        out = out.join(same_by(o, other, "o_orderstatus", name).withColumnRenamed("o_orderstatus", "status"), "status")
+    return out
+
+
+_HEX = "sum(('0x' || substr(h, {0}, 15))::HUGEINT)"
+
+
+@query("SNK4", f"""WITH r AS (SELECT source, sha256(array_to_string([coalesce(doc_id::VARCHAR, chr(1)), coalesce(lang, chr(1)), coalesce(n_chars::VARCHAR, chr(1)), coalesce(source, chr(1)), coalesce(text, chr(1))], chr(31))) AS h FROM documents)
+SELECT source, count(*) AS n, sha256(concat_ws(':', count(*), {', '.join(_HEX.format(k) for k in (1, 16, 31, 46))})) AS receipt FROM r GROUP BY source""")
+def table_receipts(t):
+    """A hash of each source's documents that doesn't depend on their order."""
+    from ..sources.writers import receipts
+
+    return receipts(t("documents"), ["source"])
 
 
 @query("SRC7", r"""SELECT page_id, nullif(lower(regexp_extract(html, '<html lang="([a-z]{2})"', 1)), '') AS lang, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs, len(regexp_extract_all(html, '<a href='))::INT AS links FROM pages""")

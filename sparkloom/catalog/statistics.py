@@ -95,7 +95,7 @@ def sign_flips(t):
     return S.sign_flip(v, "p_partkey", "x", ["p_brand"])
 
 
-@query("ST8 ST9 ST10", """WITH v AS (SELECT p_brand, p_size - 25.0 AS x FROM part WHERE p_size <> 25), r AS (SELECT p_brand, x, rank() OVER (PARTITION BY p_brand ORDER BY abs(x)) + (count(*) OVER (PARTITION BY p_brand, abs(x)) - 1) / 2.0 AS r FROM v),
+@query("ST8 ST9", """WITH v AS (SELECT p_brand, p_size - 25.0 AS x FROM part WHERE p_size <> 25), r AS (SELECT p_brand, x, rank() OVER (PARTITION BY p_brand ORDER BY abs(x)) + (count(*) OVER (PARTITION BY p_brand, abs(x)) - 1) / 2.0 AS r FROM v),
 t AS (SELECT p_brand, count(*) AS n, sum(CASE WHEN x > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus FROM r GROUP BY p_brand), z AS (SELECT *, abs(w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) / sqrt(2.0::DOUBLE) AS x FROM t), u AS (SELECT *, 1 / (1 + x / 2) AS t FROM z)
 SELECT p_brand, n, w_plus, round(CASE WHEN n >= 3 THEN t * exp(-x * x - 1.26551223::DOUBLE + t * (1.00002368::DOUBLE + t * (0.37409196::DOUBLE + t * (0.09678418::DOUBLE + t * (-0.18628806::DOUBLE + t * (0.27886807::DOUBLE + t * (-1.13520398::DOUBLE + t * (1.48851587::DOUBLE + t * (-0.82215223::DOUBLE + t * 0.17087277::DOUBLE))))))))) END, 6) AS p FROM u""")
 def signed_ranks(t):
@@ -162,3 +162,31 @@ def confusion_rates(t):
 m AS (SELECT (b - s * s / n) / (k - 1) AS bt, (s - b) / (n - k) AS w, (n - n2 / n) / (k - 1) AS n0 FROM t) SELECT round((bt - w) / (bt + (n0 - 1) * w), 6) AS icc FROM m""")
 def intraclass(t):
     return S.icc1(t("lineitem").select("l_suppkey", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("x")), "l_suppkey", "x")
+
+
+_ERFC = "t * exp(-x * x - 1.26551223::DOUBLE + t * (1.00002368::DOUBLE + t * (0.37409196::DOUBLE + t * (0.09678418::DOUBLE + t * (-0.18628806::DOUBLE + t * (0.27886807::DOUBLE + t * (-1.13520398::DOUBLE + t * (1.48851587::DOUBLE + t * (-0.82215223::DOUBLE + t * 0.17087277::DOUBLE)))))))))"
+
+
+@query("ST10", f"""WITH RECURSIVE v AS (SELECT p_brand, p_size % 5 AS g, round(p_retailprice - 1400, 2) AS x FROM part WHERE round(p_retailprice - 1400, 2) <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY p_brand, g ORDER BY abs(x)) + (count(*) OVER (PARTITION BY p_brand, g, abs(x)) - 1) / 2.0 AS r FROM v),
+s AS (SELECT p_brand, g, count(*) AS n, sum(CASE WHEN x > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, count(*) <= 50 AND count(*) = count(DISTINCT abs(x)) AS exact FROM r GROUP BY ALL),
+ways AS (SELECT 0 AS n, 0 AS w, 1::DOUBLE AS c UNION ALL SELECT n + 1, w + d.d * (n + 1), sum(c) FROM ways, (VALUES (0), (1)) d(d) WHERE n < 50 GROUP BY ALL),
+e AS (SELECT p_brand, g, least(1, 2 * sum(c) / pow(2.0::DOUBLE, any_value(s.n))) AS p FROM s JOIN ways ON s.exact AND ways.n = s.n AND ways.w <= least(w_plus, s.n * (s.n + 1) / 2.0 - w_plus) GROUP BY ALL),
+z AS (SELECT *, abs(w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) / sqrt(2.0::DOUBLE) AS x FROM s), u AS (SELECT *, 1 / (1 + x / 2) AS t FROM z)
+SELECT u.p_brand, u.g, u.n, u.w_plus, u.exact, round(CASE WHEN u.exact THEN e.p ELSE {_ERFC} END, 6) AS p FROM u LEFT JOIN e USING (p_brand, g)""")
+def exact_signed_ranks(t):
+    """Wilcoxon's exact p for small samples without ties, the normal one for others."""
+    v = t("part").select("p_brand", F.pmod("p_size", F.lit(5)).alias("g"), F.round(F.col("p_retailprice") - 1400, 2).alias("x"))
+    return S.wilcoxon_exact(v, "x", ["p_brand", "g"])
+
+
+@query("ST26", f"""WITH RECURSIVE o AS (SELECT o_orderpriority AS stratum, l_orderkey, max(CASE WHEN l_linenumber = 1 THEN (l_discount < 0.05)::INT END) AS a, max(CASE WHEN l_linenumber = 2 THEN (l_discount < 0.05)::INT END) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber IN (1, 2) GROUP BY ALL),
+s AS (SELECT stratum, count(*) AS n, avg(a) AS first, avg(b) AS second, count(*) FILTER (a = 0 AND b = 1) AS gained, count(*) FILTER (a = 1 AND b = 0) AS lost FROM o WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+c AS (SELECT stratum, 0 AS i, pow(2.0::DOUBLE, -(gained + lost)) AS term, gained + lost AS m, least(gained, lost) AS k FROM s UNION ALL SELECT stratum, i + 1, term * (m - i) / (i + 1), m, k FROM c WHERE i < k AND m <= 1000),
+e AS (SELECT stratum, least(1, 2 * sum(term)) AS p FROM c GROUP BY 1), u AS (SELECT *, 1 / (1 + x / 2) AS t FROM (SELECT *, greatest(abs(gained - lost) - 1, 0) / sqrt(gained + lost) / sqrt(2.0::DOUBLE) AS x FROM s))
+SELECT stratum, n, round(first, 9) AS first, round(second, 9) AS second, round(second - first, 9) AS diff, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1 WHEN gained + lost <= 1000 THEN e.p ELSE {_ERFC} END, 6) AS p FROM u JOIN e USING (stratum)""")
+def paired_accuracy(t):
+    """Two conditions (an order's first and second line) on the same items, by stratum (the order's priority)."""
+    orders = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("stratum"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") < 0.05, 1).otherwise(0).alias("hit")).join(orders, "l_orderkey")
+    return S.paired_accuracy(rows, "l_orderkey", "l_linenumber", "hit", 1, 2, ["stratum"])

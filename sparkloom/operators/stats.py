@@ -127,14 +127,53 @@ def erfc(x: Column) -> Column:
     return t * F.exp(power - x * x)
 
 
-def wilcoxon_exact(n: int, w: float) -> float:
-    """The exact two-sided p of a signed-rank sum w of n differences without ties, by counting subsets of ranks."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for r in range(1, n + 1):
-        for s in range(len(ways) - 1, r - 1, -1):
-            ways[s] += ways[s - r]
-    low = sum(ways[: int(min(w, n * (n + 1) / 2 - w)) + 1])
-    return min(1.0, 2 * low / 2**n)
+#: Differences up to which the exact distribution of signed ranks is used; its counts are below 2^50 and exact in a double.
+EXACT = 50
+
+
+def signed_rank_table(sizes: DataFrame) -> DataFrame:
+    """n, below: for each n (EXACT at most) the number of subsets of the ranks 1 to n whose sum is at most s, for s from 0.
+
+    Rank by rank, counts are added to themselves moved up by the rank: a fold over arrays within the plan.
+    """
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.array(F.lit(1.0)), lambda acc, r: F.zip_with(F.concat(acc, zeros(r)), F.concat(zeros(r), acc), lambda x, y: x + y))
+    run = lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
+    return sizes.select("n", ways.alias("w")).select("n", F.aggregate("w", F.array().cast("array<double>"), run).alias("below"))
+
+
+def wilcoxon_exact(pairs: DataFrame, diff: str, by: list[str]) -> DataFrame:
+    """by, n, w_plus, exact, p: signed ranks of differences other than 0; two-sided p of the exact distribution where there are
+    EXACT differences at most and no ties among them, of the normal approximation else."""
+    rows = pairs.where(F.col(diff) != 0)
+    ties = rows.groupBy(*by).agg((F.count("*") == F.count_distinct(F.abs(F.col(diff)))).alias("free"))
+    t = wilcoxon(pairs, diff, by, least=1).join(ties, by)
+    small = (F.col("n") <= EXACT) & F.col("free")
+    table = signed_rank_table(t.where(small).select("n").distinct()).withColumnRenamed("n", "_n")  # a row for each n
+    both = t.withColumn("exact", small).join(F.broadcast(table), (F.col("n") == F.col("_n")) & F.col("exact"), "left")
+    low = F.least("w_plus", F.col("n") * (F.col("n") + 1) / 2 - F.col("w_plus")).cast("int")
+    p = F.least(F.lit(1.0), 2 * F.element_at("below", low + 1) / F.pow(F.lit(2.0), F.col("n")))
+    return both.select(*by, "n", "w_plus", "exact", F.round(F.when(F.col("exact"), p).otherwise(F.col("p")), 6).alias("p"))
+
+
+def paired_accuracy(outcomes: DataFrame, item: str, condition: str, hit: str, first: str, second: str, by: list[str]) -> DataFrame:
+    """by, n, first, second, diff, gained, lost, p: accuracies of two conditions on the items that have both, by stratum.
+
+    hit is 0 or 1; gained (lost) counts items that only the second (the first) has right, and p is the exact two-sided sign
+    test of these: 2 P(X <= min) of a fair coin tossed gained + lost times, for
+    1,000 tosses at most, and its normal approximation with a correction of one half each way beyond.
+    """
+    side = lambda c, name: F.max(F.when(F.col(condition) == c, F.col(hit))).alias(name)
+    wide = outcomes.where(F.col(condition).isin(first, second)).groupBy(*by, item).agg(side(first, "a"), side(second, "b")).where("a IS NOT NULL AND b IS NOT NULL")
+    sums = wide.groupBy(*by).agg(F.count("*").alias("n"), F.avg("a").alias("first"), F.avg("b").alias("second"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("gained"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("lost"))
+    m, k = F.col("gained") + F.col("lost"), F.least("gained", "lost")
+    # terms of the binomial from the first on, each from the one before: C(m, i + 1) = C(m, i) (m - i) / (i + 1)
+    start = F.struct(F.pow(F.lit(2.0), -m).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda acc, i: F.struct((acc["term"] * (m - i) / (i + 1)).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, step)["sum"]
+    normal = erfc(F.greatest(F.abs(F.col("gained") - F.col("lost")) - 1, F.lit(0)) / F.sqrt(m) / math.sqrt(2))
+    p = F.when(m == 0, 1.0).when(m <= 1000, F.least(F.lit(1.0), 2 * tail)).otherwise(normal)
+    return sums.select(*by, "n", F.round("first", 9).alias("first"), F.round("second", 9).alias("second"), F.round(F.col("second") - F.col("first"), 9).alias("diff"), "gained", "lost", F.round(p, 6).alias("p"))
 
 
 def holm(df: DataFrame, p: str, by: list[str], ident: str) -> DataFrame:

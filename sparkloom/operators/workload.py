@@ -183,6 +183,16 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
 
+def same_by(a: DataFrame, b: DataFrame, by: str, out: str) -> DataFrame:
+    """by, out: whether both tables hold the same rows as often, in any order of rows and columns; null cells are alike."""
+    cols = sorted(a.columns)
+    if cols != sorted(b.columns):
+        raise ValueError("the tables' columns differ")
+    side = lambda df, n: df.select(*cols, F.lit(n).alias("_n"))
+    counts = side(a, 1).unionByName(side(b, -1)).groupBy(*cols).agg(F.sum("_n").alias("_n"))
+    return counts.groupBy(by).agg((F.count_if(F.col("_n") != 0) == 0).alias(out))
+
+
 def complete_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Combinations of the keys' values (few of each) that don't occur."""
     grid = None

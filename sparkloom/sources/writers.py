@@ -47,12 +47,21 @@ def write_results(df: DataFrame, folder: str, overwrite: bool = False, manifest:
     write_text(df, f"{folder}/README.md", "\n".join(["| column | type |", "|---|---|", *[f"| {c} | {t} |" for c, t in back.dtypes], "", f"{facts['rows']} rows"]) + "\n")
 
 
+def receipts(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, receipt: a hash of each group's rows as a multiset, from sums of the rows' hashes.
+
+    Sums are made in each partition before anything is dealt out, so neither order nor partitions matter, no row is sorted,
+    and a receipt of a whole table (by nothing) costs one row a task. A null isn't any text.
+    """
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x01")) for c in sorted(df.columns)]), 256)
+    part = lambda i: F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+    sums = df.select(*by, row.alias("_h")).groupBy(*by).agg(F.count("*").alias("n"), *[part(i).alias(f"p{i}") for i in range(4)])
+    return sums.select(*by, "n", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "p0", "p1", "p2", "p3")]), 256).alias("receipt"))
+
+
 def receipt(df: DataFrame) -> str:
-    """A hash of the rows as a multiset: the sum of the rows' hashes, so order and partitions don't matter."""
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)]), 256)
-    part = lambda i: F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
-    sums = df.agg(F.count("*").alias("n"), *[part(i).alias(f"p{i}") for i in range(4)])
-    return sums.select(F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in sums.columns]), 256)).first()[0]
+    """The receipt of a whole table."""
+    return receipts(df, []).first()["receipt"]
 
 
 def write_vectors(df: DataFrame, folder: str, ident: str, vector: str, payload: list[str]) -> None:
