@@ -213,14 +213,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(met.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, linked boolean"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row: two rows link where 100 |A and B| >= percent |A or B| of their sets of
-    word shingles, and a component is what links reach; component_id is its smallest doc_id.
-
-    Texts without words, null ones too, have no shingles and link with nothing, not even alike ones; with fewer words than
-    words_in the whole sequence is one shingle. Equal sets are one node, so copies make no pairs. Null doc_ids are carried and
-    are component_id only in a component without others. Repeated rows are repeated; an empty table gives none; other
-    columns are left out.
+def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, th, n, node of each row (equal sets are one node); node, least of each set with words; node, root of sets that
+    have links.
 
     All shingles stand in one order: by hash, the most frequent ones last. Linked sets share one of their first shingles in
     that order, so these name the tiles, and nothing is lost by any choice of what is frequent. Tiles of near copies make few
@@ -234,7 +229,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, do
     rows = cut(_signed(picked, words_in, percent, last).withColumn("row", F.monotonically_increasing_id()))
     named = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
     heads = cut(rows.join(named.select("row"), "row", "left_semi").select("node", "n", "sig", F.col("doc_id").alias("d"), F.col("th").alias("t"), "first"))
-    slim = cut(rows.select("doc_id", "n", "node"))
+    slim = cut(rows.select("doc_id", "th", "n", "node"))
     drop(rows)
     release(spark)
     first = heads.select("node", F.explode("first").alias("tok"))
@@ -265,6 +260,19 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, do
     links = links.unionByName(_verified(rest, sets, percent))
     reach = cut(components(links.where("linked")))
     drop(sets, tiles, nodes)
+    return slim, named, reach
+
+
+def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row: two rows link where 100 |A and B| >= percent |A or B| of their sets of
+    word shingles, and a component is what links reach; component_id is its smallest doc_id.
+
+    Texts without words, null ones too, have no shingles and link with nothing, not even alike ones; with fewer words than
+    words_in the whole sequence is one shingle. Equal sets are one node, so copies make no pairs. Null doc_ids are carried and
+    are component_id only in a component without others. Repeated rows are repeated; an empty table gives none; other
+    columns are left out.
+    """
+    slim, named, reach = _linked(docs, percent, words_in, doc_id, text, block)
     grouped = named.select("node", "least").join(reach, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of = grouped.join(firsts, "root").select("node", "component_id")
@@ -272,6 +280,17 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, do
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, percent: int = 80, words_in: int = 5, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, group (a set's id), component_id (the group's smallest doc_id) and text_hash of each row, linked as by
+    `jaccard_components`, but that texts without words are one group."""
+    slim, _, reach = _linked(docs, percent, words_in, doc_id, text, block)
+    nodes = slim.groupBy("node").agg(F.min("doc_id").alias("least"))
+    grouped = cut(nodes.join(reach, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group")))
+    firsts = cut(grouped.groupBy("group").agg(F.min("least").alias("component_id")))
+    of = grouped.select("node", "group").join(firsts, "group")
+    return slim.join(of, "node").select("doc_id", "group", "component_id", F.col("th").alias("text_hash"))
+
+
 #: The same rows of a table `documents`.
 SQL = r"""
 WITH RECURSIVE w AS (

@@ -105,16 +105,17 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", sourc
     Rows are told apart by doc_id, source and text, nulls included. Rows alike in all three share out the sum of their copies
     as evenly as whole numbers can, in an order of all their columns; so the words taken are those of the mix.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name of docs clashes
+    at = F.col("_row")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), source_key(F.col("source")))
     per = cut(mixed.groupBy(key.alias("_k"), F.col("text_hash").alias("_t")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
-    own = F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("long").cast("string"), F.lit("-")), source_key(F.col(f"`{source}`")))
-    rows = docs.join(per, (own == F.col("_k")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_t")))
+    same = F.xxhash64(F.coalesce(at[doc_id].cast("long").cast("string"), F.lit("-")), source_key(at[source]))
+    rows = own.join(per, (same == F.col("_k")) & (F.xxhash64(at[text].cast("string")) == F.col("_t")))
     times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("_copy")
-    out = rows.where("_rows = 1").select(*columns, times(F.col("_copies")))
+    out = rows.where("_rows = 1").select("_row", times(F.col("_copies")))
     if per.where("_rows > 1").limit(1).count():
-        alike = cut(rows.where("_rows > 1").select(F.struct(*columns).alias("_row"), "_k", "_t", "_copies", "_rows"))
+        alike = cut(rows.where("_rows > 1").select("_row", "_k", "_t", "_copies", "_rows"))
         placed = cell_ranks(alike, ["_k", "_t"], F.to_json(F.struct("_row")), "_place")
         share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") < F.pmod("_copies", "_rows")).cast("long")
-        out = out.unionByName(placed.withColumn("_n", share).where("_n > 0").select("_row.*", times(F.col("_n"))))
-    return out.select(*columns)
+        out = out.unionByName(placed.withColumn("_n", share).where("_n > 0").select("_row", times(F.col("_n"))))
+    return out.select("_row.*")

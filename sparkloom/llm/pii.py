@@ -137,15 +137,17 @@ def _pattern_counts(docs: DataFrame, text: str, patterns: DataFrame) -> DataFram
     return one.unionByName(met(pairs.select(F.concat("p", F.lit(" "), "w").alias("words")), asked.where("side = 'LL'")))
 
 
-def bootstrap(found: DataFrame, docs: DataFrame, text: str = "text", rounds: int = 6, support: int = 3, least: float = 0.8) -> DataFrame | None:
+def bootstrap(found: DataFrame, docs: DataFrame, text: str = "text", support: int = 3, least: float = 0.8) -> DataFrame | None:
     """kind, value of unseen identifiers: those that high-confidence patterns of known ones discover; None if there is none.
 
     Seeds are the values of base spans. A pattern is a word after a value, or one or two words before it, by kind. In each
-    round patterns are induced anew from what is known by then, seeds and candidates with a score of `least`, of which
-    `support` different ones must hold a pattern; its confidence is the sum of the scores of all values that it holds, over
-    all occurrences of its words in the corpus and one more. A candidate's score joins the best pattern before it (two words,
-    or one where two aren't induced) and the best after it, 1 - (1 - a)(1 - b). So what one round finds induces patterns
-    that find more in the next. Patterns and values meet in joins and sums; no group is gathered.
+    round patterns are induced anew from what is known by then: seeds, and candidates accepted in earlier rounds, but for those
+    that the pattern itself brought in. `support` different known values must hold a pattern, and its confidence is their
+    number of occurrences over all occurrences of its words in the corpus; so candidates that aren't accepted
+    count against it. A candidate's score joins the best pattern before it (two words, or one where two aren't induced) and
+    the best after it, 1 - (1 - a)(1 - b); it is accepted at `least`, once and for all, by those patterns. What is accepted
+    only grows, so rounds go on until one accepts nothing: as many as the longest chain of patterns has links. Patterns
+    and values meet in joins and sums; no group is gathered.
     """
     flat = lambda c, seed: found.select(F.explode(c).alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"), F.lit(seed).alias("seed"))
     graph = cut(flat("_base", 1).unionByName(flat("_maybe", 0)).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
@@ -156,15 +158,23 @@ def bootstrap(found: DataFrame, docs: DataFrame, text: str = "text", rounds: int
     totals = live.join(_pattern_counts(docs, text, live), "pattern", "left").select("kind", "pattern", F.greatest(F.coalesce("total", F.lit(0)), F.col("held")).alias("total"))
     totals = cut(totals)
     graph = cut(graph.join(live.select("kind", "pattern"), ["kind", "pattern"]))
-    scores = None
-    for _ in range(rounds):
-        held = graph.withColumn("score", F.col("seed").cast("double")) if scores is None else graph.join(scores, ["kind", "value"], "left").withColumn("score", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))))
-        induced = held.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("sum"), F.count_if(F.col("score") >= least).alias("known")).where(F.col("known") >= support)
-        sure = induced.join(totals, ["kind", "pattern"]).select("kind", "pattern", (F.col("sum") / (F.col("total") + 1)).alias("sure"))
-        best = lambda side: F.max(F.when(F.substring_index("pattern", " ", 1) == side, F.col("sure")))
-        each = graph.where("seed = 0").join(sure, ["kind", "pattern"]).groupBy("kind", "value").agg(best("LL").alias("two"), best("L").alias("one"), best("R").alias("after"))
-        scores = cut(each.select("kind", "value", (1 - (1 - F.coalesce("two", "one", F.lit(0.0))) * (1 - F.coalesce("after", F.lit(0.0)))).alias("score")))
-    return scores.where(F.col("score") >= least).select("kind", "value")
+    seeds = graph.groupBy("kind", "value").agg(F.max("seed").alias("seed")).where("seed = 1")
+    known = seeds.select("kind", "value", F.array().cast("array<string>").alias("via"))
+    accepted = None
+    while True:
+        held = graph.join(known, ["kind", "value"]).where(~F.array_contains("via", F.col("pattern")))
+        induced = held.groupBy("kind", "pattern").agg(F.sum("n").alias("hits"), F.count("*").alias("known")).where(F.col("known") >= support)
+        sure = induced.join(totals, ["kind", "pattern"]).select("kind", "pattern", (F.col("hits") / F.col("total")).alias("sure"))
+        best = lambda side: F.max(F.when(F.substring_index("pattern", " ", 1) == side, F.struct("sure", "pattern")))
+        open_ = graph.where("seed = 0").join(known.select("kind", "value"), ["kind", "value"], "left_anti")
+        each = open_.join(sure, ["kind", "pattern"]).groupBy("kind", "value").agg(F.coalesce(best("LL"), best("L")).alias("before"), best("R").alias("after"))
+        miss = lambda side: 1 - F.coalesce(F.col(f"{side}.sure"), F.lit(0.0))
+        via = F.filter(F.array("before.pattern", "after.pattern"), lambda p: p.isNotNull())
+        new = cut(each.where(1 - miss("before") * miss("after") >= least).select("kind", "value", via.alias("via")))
+        if not new.limit(1).count():
+            return accepted
+        accepted = new.select("kind", "value") if accepted is None else accepted.unionByName(new.select("kind", "value"))
+        known = cut(known.unionByName(new))
 
 
 def added_spans(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame | None:
@@ -234,18 +244,20 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: s
     """docs with each span of personal data replaced by its kind in brackets; all columns stay, `chars` (if there) is set to
     the new length where the text changed. Overlapping spans are replaced as one, by the kind of the first. A null text
     stays null."""
-    keyed = _keyed(docs, doc_id, text)
-    own = keyed.select("_id", "_hash", F.col(f"`{text}`").cast("string").alias("_own")).where("_own IS NOT NULL")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name of docs clashes
+    given = F.col("_row")[text].cast("string")
+    keyed = rows.select("_row", F.col("_row")[doc_id].cast("string").alias("_id"), F.xxhash64(given).alias("_hash"))
+    own = keyed.select("_id", "_hash", given.alias("_own")).where("_own IS NOT NULL")
     narrow = cut(find(own, "_own").drop("_own")).where("size(_base) > 0 OR size(_maybe) > 0")  # a filter before the cut would repeat the search
     new = added_spans(narrow, docs, text)
     whole = _with_added(narrow, new).select(F.col("_id").alias("_d"), F.col("_hash").alias("_t"), F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_s"))
     one = cut(whole.where("size(_s) > 0").groupBy("_d", "_t").agg(F.min("_s").alias("_s")))
     joined = keyed.join(one, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left")
-    own = F.col(f"`{text}`").cast("string")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     joined = joined.withColumn("_reach", _reach(F.col("_s")))
-    piece = lambda s, i: F.when(s["start"] < F.coalesce(F.get("_reach", i), F.lit(0)), F.lit("")).otherwise(F.concat(F.substring(own, (F.coalesce(F.get("_reach", i), F.lit(0)) + 1).cast("int"), (s["start"] - F.coalesce(F.get("_reach", i), F.lit(0))).cast("int")), F.get(names, s["kind"])))
+    piece = lambda s, i: F.when(s["start"] < F.coalesce(F.get("_reach", i), F.lit(0)), F.lit("")).otherwise(F.concat(F.substring(given, (F.coalesce(F.get("_reach", i), F.lit(0)) + 1).cast("int"), (s["start"] - F.coalesce(F.get("_reach", i), F.lit(0))).cast("int")), F.get(names, s["kind"])))
     last = F.coalesce(F.array_max(F.transform("_s", lambda s: s["end"])), F.lit(0))
-    clean = F.concat(F.array_join(F.transform("_s", piece), ""), F.substring(own, (last + 1).cast("int"), F.length(own)))
-    out = joined.withColumn("_clean", F.when(F.col("_s").isNotNull(), clean).otherwise(own))
-    return out.select(*[F.col("_clean").alias(c) if c == text else F.when(F.col("_s").isNotNull(), F.length("_clean").cast(t)).otherwise(F.col(f"`{c}`")).alias(c) if c == chars else F.col(f"`{c}`") for c, t in docs.dtypes])
+    clean = F.concat(F.array_join(F.transform("_s", piece), ""), F.substring(given, (last + 1).cast("int"), F.length(given)))
+    out = joined.withColumn("_clean", F.when(F.col("_s").isNotNull(), clean).otherwise(given))
+    kept = lambda c: F.col("_row")[c].alias(c)
+    return out.select(*[F.col("_clean").alias(c) if c == text else F.when(F.col("_s").isNotNull(), F.length("_clean").cast(t)).otherwise(F.col("_row")[c]).alias(c) if c == chars else kept(c) for c, t in docs.dtypes])

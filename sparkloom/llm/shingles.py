@@ -1,20 +1,11 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, whole shingle sets verify them."""
+"""Sets of word shingles."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .components import components
-from .runtime import cut, drop, lean
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Bands and hashes in each: a pair of similarity 0.8 shares a band with chance 1 - (1 - 0.8^5)^20 = 0.9996.
-BANDS, ROWS = 20, 5
-_MIX = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64)
 
 
 def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
@@ -24,69 +15,3 @@ def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
         return np.zeros(0, "<u8")
     each = map(b" ".join, zip(*[words[i:] for i in range(words_in)])) if len(words) >= words_in else [b" ".join(words)]
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, each), "<u8"))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS hashes of ROWS least values each; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, "<i8")
-    least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        part = hashes[at : at + (1 << 12)]
-        least = np.minimum(least, ((part[:, None] ^ _MIX[:, 0]) * (_MIX[:, 1] | np.uint64(1))).min(0))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], "<u8").view("<i8")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs a, b whose sets have that similarity."""
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return cut(met.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, group, component_id (the group's smallest doc_id) and text_hash of each row.
-
-    Rows link where their sets of shingles have at least that similarity, and groups are what links reach. Equal sets are
-    one node, so copies make no pairs; texts without words are one group. In each bucket of a band all nodes meet the least
-    one first; then only nodes of one bucket that are still in different groups meet each other, so a large group of near
-    copies makes no pairs among itself. Shingle sets are formed again for nodes that meet others, for one text of each.
-    """
-    own = F.col(f"`{text}`").cast("string")
-
-    def sign(batches):
-        for batch in batches:
-            nodes, rows = [], []
-            for t in batch.column(2):
-                s = shingle_set(t.as_py(), words_in)
-                nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
-                rows.append(bands(s).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "bands"])
-
-    def gather(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words_in).view("<i8").tolist() for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "set"])
-
-    picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("th"), own.alias("text"))
-    rows = cut(picked.mapInArrow(lean(sign), "doc_id long, th long, node long, bands array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.min("bands").alias("bands")))
-    buckets = nodes.select("node", F.posexplode("bands").alias("k", "band"))
-    shared = buckets.groupBy("k", "band").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    met = cut(buckets.join(shared.drop("n"), ["k", "band"]))  # node, k, band, rep of buckets of two nodes at least
-    asked = nodes.join(met.select("node").distinct(), "node").select("node", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"))
-    texts = picked.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("node", "text")
-    sets = cut(texts.dropDuplicates(["node"]).mapInArrow(lean(gather), "node long, set array<long>"))
-    links = _verified(met.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity)
-    reach = cut(components(links))
-    held = met.join(reach, "node", "left").select("k", "band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("k", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "band")
-    held = cut(held.join(mixed, ["k", "band"]))
-    left, right = held.select("k", "band", F.col("node").alias("a"), F.col("root").alias("ra")), held.select("k", "band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = _verified(left.join(right, ["k", "band"]).where("ra < rb").select("a", "b").distinct(), sets, similarity)
-    if more.limit(1).count():
-        reach = cut(components(links.unionByName(more)))
-    grouped = cut(nodes.join(reach, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group")))
-    drop(nodes, met, sets)
-    firsts = cut(grouped.groupBy("group").agg(F.min("least").alias("component_id")))
-    of = grouped.select("node", "group").join(firsts, "group")
-    return rows.select("doc_id", "th", "node").join(of, "node").select("doc_id", "group", "component_id", F.col("th").alias("text_hash"))

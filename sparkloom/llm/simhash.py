@@ -91,8 +91,9 @@ def keep_one(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str
     rows = found.groupBy("group", "doc_id", "component_id", "text_hash").agg(F.count("*").alias("n"))
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("p"))
     picks = cut(first.select(F.col("p.doc_id").alias("_pick"), F.col("p.text_hash").alias("_pick_hash"), F.col("p.n").alias("_rows")))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_pick")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_pick_hash"))
-    once = docs.join(picks.where("_rows = 1"), same, "left_semi")
-    again = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).join(picks.where("_rows > 1"), same)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name of docs clashes
+    same = F.col("_row")[doc_id].cast("long").eqNullSafe(F.col("_pick")) & (F.xxhash64(F.col("_row")[text].cast("string")) == F.col("_pick_hash"))
+    once = rows.join(picks.where("_rows = 1"), same, "left_semi")
+    again = rows.join(picks.where("_rows > 1"), same)
     one = again.groupBy("_pick", "_pick_hash").agg(F.min_by("_row", F.xxhash64(F.to_json(F.struct("_row")))).alias("_row"))
-    return once.unionByName(one.select("_row.*"))
+    return once.unionByName(one.select("_row")).select("_row.*")

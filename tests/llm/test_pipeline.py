@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from sparkloom.llm import catalog, pii, simhash
 
-from .helpers import prose
+from .helpers import docs, prose
 from .test_language import text
 
 
@@ -52,3 +52,20 @@ def test_every_operator_has_a_query():
     names = catalog.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixing", "packing"]
+
+
+def test_no_name_of_a_column_clashes(spark):
+    """Rows keep columns of any name where copies are dealt out and where one of each group stays."""
+    from sparkloom.llm import jaccard, mixing, simhash
+
+    names = ["_k", "_t", "_copies", "_rows", "_copy", "_pick", "_pick_hash", "_row", "_place", "key", "size", "node", "group", "component_id", "text_hash"]
+    rows = [(k // 2, prose(30 + 20 * (k // 2), k // 2), "en", f"s{k % 2}") for k in range(12)] + [(0, prose(30, 0), "en", "s0")]
+    df = docs(spark, rows).select("doc_id", "text", "source").selectExpr("*", *[f"concat('v', doc_id, '{n}') AS `{n}`" for n in names])
+    mixed = mixing.mix(df, weights=[3.0, 1.0], share=1.5, most=2.0, max_copies=2)
+    repeated = mixing.repeat_rows(df, mixed)
+    assert repeated.columns == df.columns and repeated.count() == mixed.selectExpr("sum(copies)").first()[0]
+    assert all(r[n] == f"v{r.doc_id}{n}" for r in repeated.collect() for n in names)
+    for grouped in (None, jaccard.near_duplicates(df)):
+        kept = simhash.keep_one(df, grouped=grouped)
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(6))
+        assert all(r[n] == f"v{r.doc_id}{n}" for r in kept.collect() for n in names)

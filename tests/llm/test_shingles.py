@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from sparkloom.llm import shingles
+from sparkloom.llm import jaccard
 
 from .helpers import docs, prose
 
@@ -51,9 +51,9 @@ def test_groups_against_brute_force(spark):
     for k, (i, _) in enumerate(rows):
         groups.setdefault(find(k), []).append(i)
     want = sorted((str(i), str(min(x for x in g if x is not None))) for g in groups.values() for i in g)
-    got = shingles.near_duplicates(docs(spark, rows)).collect()
+    got = jaccard.near_duplicates(docs(spark, rows)).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want and len(pairs) > 100
-    assert shingles.near_duplicates(docs(spark, [])).count() == 0
+    assert jaccard.near_duplicates(docs(spark, [])).count() == 0
 
 
 def test_stage_drops_edited_copies(spark, tmp_path):
