@@ -137,3 +137,22 @@ def exposure(daily: DataFrame, seconds: float) -> DataFrame:
     rows = daily.withColumn("unsafe", F.col("edits") * F.col("views") / 86400.0 * F.lit(float(seconds)))
     sets = rows.groupingSets([[F.col("page"), F.col("day")], [F.col("page")]], F.col("page"), F.col("day"))
     return sets.agg(F.sum("edits").alias("edits"), F.sum("views").alias("views"), F.round(F.sum("unsafe"), 6).alias("unsafe"))
+
+
+def break_even(updates: DataFrame, rates: list[float], gate: float) -> DataFrame:
+    """domain, protocol, qps, updates_per_day, error_seconds, exposed, break_even_qps, errors_per_day, applicable of updates
+    (domain, ts, protocol, seconds, error): one row for each stated rate of queries.
+
+    An update leaves mean seconds x error rate of wrong answers behind; with so many updates a day, the break-even rate gives
+    one wrong answer a day (null where there are none), and a protocol is applicable where that rate is at most the gate.
+    A domain's rate is its updates over the days between the first and the last; without such a span it has no rows.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    c = updates.groupBy("domain", "protocol").agg(F.count("*").alias("_n"), F.min(micros).alias("_a"), F.max(micros).alias("_z"), F.avg("seconds").alias("_s"), F.avg(F.col("error").cast("int")).alias("_e"))
+    d = c.groupBy("domain").agg(F.sum("_n").alias("_n"), ((F.max("_z") - F.min("_a")) / 86400e6).alias("_days")).where("_days > 0")
+    r = c.select("domain", "protocol", (F.col("_s") * F.col("_e")).alias("_u")).join(d.select("domain", (F.col("_n") / F.col("_days")).alias("_d")), "domain")
+    even = F.when(F.col("_u") > 0, 1 / (F.col("_d") * F.col("_u")))
+    out = r.select("*", F.explode(F.array(*[F.lit(float(x)) for x in rates])).alias("qps"))
+    return out.select(
+        "domain", "protocol", "qps", F.round("_d", 6).alias("updates_per_day"), F.round("_u", 9).alias("error_seconds"), F.round(F.col("_d") * F.col("_u") / 86400, 12).alias("exposed"),
+        F.round(even, 6).alias("break_even_qps"), F.round(F.col("_d") * F.col("_u") * F.col("qps"), 6).alias("errors_per_day"), F.coalesce(even <= gate, F.lit(False)).alias("applicable"))
