@@ -32,6 +32,6 @@ def query(ids: str, sql: str | None = None):
 
 
 def load() -> dict[str, Query]:
-    from . import exchange, indexes, lexical, publication, relational, scalar, statistics, vector, versioned, workloads, worlds  # noqa: F401
+    from . import exchange, indexes, lexical, publication, relational, scalar, statistics, validation, vector, versioned, workloads, worlds  # noqa: F401
 
     return QUERIES

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Places to which scores are rounded before they are ordered, and queries that one block of a scan compares with.
-PLACES, QUERY_BLOCK = 6, 1024
+#: Places to which scores are rounded before they are ordered, and the most queries and items of one block of a scan.
+PLACES, QUERY_BLOCK, ITEM_BLOCK = 6, 512, 4096
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -51,28 +51,64 @@ def collapse(scores: DataFrame, item: Column) -> DataFrame:
     return scores.withColumn("item_id", item).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: str = "item_id", vector: str = "vector", exclude_self: bool = True, places: int = PLACES) -> DataFrame:
-    """query_id, item_id, score: inner products of a stated query set (query_id, vector) and all vectors.
+def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int) -> DataFrame:
+    """key, ids, matrix: rows of one key in blocks of at most `size`, each a row with its vectors as bytes.
 
-    Queries go in blocks of QUERY_BLOCK to every partition, which multiplies matrices and, with k, leaves only each batch's
-    k best of a query; so what is dealt out grows with queries and batches, not with pairs. Without k all pairs come.
+    The key holds the values of `on` (rows with a null there go), or is empty. Rows stay where they are; those without a
+    vector go.
     """
-    asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    out, block = None, []
-
-    def scored(ids: list, matrix: np.ndarray) -> DataFrame:
-        held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches):
-            ids, q = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                items = batch.column(0).to_numpy(zero_copy_only=False)
+    rows = rows.where(F.col(vector).isNotNull())
+    if on:
+        rows = rows.dropna(subset=on)
+    key = F.to_json(F.struct(*[F.col(c) for c in on])) if on else F.lit("")
+
+    def run(batches):
+        held: dict[str, list] = {}  # parts of unfinished blocks; together no more than two batches
+        count = 0
+
+        def made(k, parts):
+            ids, m = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            for i in range(0, len(ids), size):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([ids[i : i + size].tolist()], pa.list_(pa.int64())), pa.array([m[i : i + size].tobytes()])], names=["key", "ids", "matrix"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            m = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            code = batch.column(0).dictionary_encode()
+            order = np.argsort(code.indices.to_numpy(), kind="stable")
+            ends = np.cumsum(np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary)))
+            for k, at in zip(code.dictionary.to_pylist(), np.split(order, ends[:-1])):
+                held.setdefault(k, []).append((ids[at], m[at]))
+            count += batch.num_rows
+            if count >= size:
+                for k, parts in held.items():
+                    yield from made(k, parts)
+                held, count = {}, 0
+        for k, parts in held.items():
+            yield from made(k, parts)
+
+    return rows.select(key.alias("key"), F.col(ident).cast("long").alias("ids"), F.col(vector).alias("matrix")).mapInArrow(run, "key string, ids array<long>, matrix binary")
+
+
+def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: str = "item_id", vector: str = "vector", exclude_self: bool = True, places: int = PLACES, on: list[str] | None = None) -> DataFrame:
+    """query_id, item_id, score: inner products of a stated query set (query_id, vector) and all vectors, or with `on` those
+    that are equal in these columns (a null equals nothing).
+
+    Both sides are packed where they lie into blocks of at most QUERY_BLOCK and ITEM_BLOCK rows, and each two blocks (of one
+    key) are a product of matrices that sends on only its k best of a query; so what is dealt out grows with queries and
+    blocks, not with pairs, a hot key is many rows, and no vector passes the driver. Without k all pairs come.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for q_ids, q_matrix, own_ids, matrix in zip(*batch.columns):
+                ids, items = (x.values.to_numpy(zero_copy_only=False) for x in (q_ids, own_ids))
+                q, v = (np.frombuffer(x.as_buffer()).reshape(len(n), -1) for x, n in ((q_matrix, ids), (matrix, items)))
                 s = np.round(q @ v.T, places)
                 if exclude_self:
-                    s[np.asarray(ids)[:, None] == items] = -np.inf
+                    s[ids[:, None] == items] = -np.inf
                 if k is None:
                     i, j = np.nonzero(np.isfinite(s))
                 else:
@@ -80,22 +116,13 @@ def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: st
                     i, j = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
                     keep = np.isfinite(s[i, j])
                     i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[i]), pa.array(items[j]), pa.array(s[i, j])], names=["query_id", "item_id", "score"])
-
-        return vectors.select(F.col(item).cast("long").alias("item_id"), F.col(vector).alias("vector")).mapInArrow(run, "query_id long, item_id long, score double")
-
-    def add() -> None:
-        nonlocal out, block
-        if block:
-            made = scored([r["query_id"] for r in block], np.array([r["vector"] for r in block], np.float64))
-            out, block = made if out is None else out.unionByName(made), []
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(items[j]), pa.array(s[i, j])], names=["query_id", "item_id", "score"])
 
-    for row in asked:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            add()
-    add()
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, item_id long, score double")
+    on = on or []
+    own = _blocks(vectors, item, vector, on, ITEM_BLOCK)
+    asked = _blocks(queries, "query_id", "vector", on, QUERY_BLOCK).select("key", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    met = own.join(asked, "key") if on else own.drop("key").crossJoin(asked.drop("key"))  # a stated query set and all rows, in blocks
+    return met.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "query_id long, item_id long, score double")
 
 
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int, **kw) -> DataFrame:
@@ -103,9 +130,8 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, **kw) -> DataFr
 
 
 def prefilter_search(vectors: DataFrame, queries: DataFrame, k: int | None, on: list[str], places: int = PLACES) -> DataFrame:
-    """Queries rank only the items that share their filter columns: an equi-join, then the score."""
-    met = vectors.join(queries.select("query_id", F.col("vector").alias("_q"), *on), on).where("query_id <> item_id")
-    return top_items(met.select("query_id", "item_id", F.round(dot("vector", "_q"), places).alias("score")), k)
+    """Queries rank only the items that share their filter columns."""
+    return top_items(exact_scores(vectors, queries, k, places=places, on=on), k)
 
 
 def postfilter_search(vectors: DataFrame, queries: DataFrame, depth: int, k: int, on: list[str]) -> DataFrame:
