@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.shared import stored
 
 
 def postings(docs: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -61,21 +62,24 @@ def _pairs(w):
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, item_id, score: cosines of sublinear TF-IDF over words and pairs of words; idf is ln((1 + N) / (1 + df)) + 1."""
+    """query_id, item_id, score: cosines of sublinear TF-IDF over words and pairs of words; idf is ln((1 + N) / (1 + df)) + 1.
+
+    Texts are exploded once, into stored counts. All of them meet their idf for the documents' lengths alone; queries meet
+    only the terms that they ask for.
+    """
     def terms(df: DataFrame, ident: str, text: str) -> DataFrame:
         w = F.col("w")
         grams = F.when(F.size(w) > 1, F.concat(w, _pairs(w))).otherwise(w)
         rows = df.select(ident, words(text).alias("w")).select(ident, F.explode(grams).alias("term"))
         return rows.groupBy(ident, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
 
-    own, asked = terms(docs, "item_id", "text"), terms(queries, "query_id", "query_text")
+    own, asked = stored(terms(docs, "item_id", "text"), "terms"), terms(queries, "query_id", "query_text")
     n = docs.agg(F.count("*").alias("n"))
     idf = own.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    own = own.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     asked = asked.join(idf, "term").withColumn("v", F.col("tf") * F.col("idf"))
-    length = own.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("dn"))
+    length = own.join(idf, "term").groupBy("item_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("dn"))
     q_length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("qn"))
-    met = own.select("item_id", "term", "w").join(asked.select("query_id", "term", "v"), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    met = own.join(asked.select("query_id", "term", "v", "idf"), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("v")).alias("s"))
     return met.join(length, "item_id").join(q_length, "query_id").select("query_id", "item_id", F.round(F.col("s") / (F.col("dn") * F.col("qn")), 6).alias("score"))
 
 
