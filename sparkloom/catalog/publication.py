@@ -18,13 +18,13 @@ def worlds(t) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
 
     def made(side: str, version: int) -> dict[str, DataFrame]:
         kind, value = F.col(f"{side}.event_type"), F.col(f"{side}.value")
-        payloads = {"dense": F.round(value, 2).cast("string"), "sparse": kind, "graph": F.concat(F.lit("source:"), F.col("doc_id").cast("string"), F.lit("->answer:"), kind), "cache": F.to_json(F.struct(kind.alias("answer")))}
+        payloads = {"dense": F.coalesce(F.floor(value * 100).cast("string"), F.lit("none")), "sparse": kind, "graph": F.concat(F.lit("source:"), F.col("doc_id").cast("string"), F.lit("->answer:"), kind), "cache": F.to_json(F.struct(kind.alias("answer")))}
         return {a: u.select("doc_id", F.lit(version).alias("version"), p.alias("payload")) for a, p in payloads.items()}
 
     return made("old", 1), made("new", 2)
 
 
-_LAST = """u AS (SELECT user_id AS doc_id, arg_min(event_type, (ts, event_id)) AS old, arg_max(event_type, (ts, event_id)) AS new FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"""
+_LAST = """u AS (SELECT user_id AS doc_id, arg_min(event_type, (ts, event_id)) AS old, arg_max(event_type, (ts, event_id)) AS new, arg_min(struct_pack(v := floor(value * 100)::BIGINT), (ts, event_id)).v AS cents FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"""
 
 
 def _target(t) -> P.Publication:
@@ -32,8 +32,8 @@ def _target(t) -> P.Publication:
     return P.Publication(spark, shared_folder(spark, "publication"))
 
 
-@query("VER14 SRC18", f"""WITH {_LAST}, p AS (SELECT doc_id, unnest(['sparse', 'graph', 'cache']) AS artifact, old FROM u)
-SELECT doc_id, artifact, 1::BIGINT AS version, CASE artifact WHEN 'sparse' THEN old WHEN 'graph' THEN 'source:' || doc_id || '->answer:' || old ELSE '{{"answer":"' || old || '"}}' END AS payload FROM p""")
+@query("VER14 SRC18", f"""WITH {_LAST}, p AS (SELECT doc_id, unnest(['dense', 'sparse', 'graph', 'cache']) AS artifact, old, cents FROM u)
+SELECT doc_id, artifact, 1::BIGINT AS version, CASE artifact WHEN 'dense' THEN coalesce(cents::VARCHAR, 'none') WHEN 'sparse' THEN old WHEN 'graph' THEN 'source:' || doc_id || '->answer:' || old ELSE '{{"answer":"' || old || '"}}' END AS payload FROM p""")
 def half_published(t):
     """Reads while a second version is half there: three artifacts are staged, and a manifest is written whose commit is missing."""
     old, new = worlds(t)
@@ -45,7 +45,7 @@ def half_published(t):
         target.stage(2, a, new[a])
     target.write_manifest(2, new["dense"])
     snapshot, out = target.manifest(), None
-    for a in ("sparse", "graph", "cache"):
+    for a in target.artifacts:
         part = target.read(a, snapshot).select("doc_id", F.lit(a).alias("artifact"), "version", "payload")
         out = part if out is None else out.unionByName(part)
     return out
