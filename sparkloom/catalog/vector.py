@@ -24,6 +24,10 @@ def asked(t):
     return items(t).where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "vector", "label")
 
 
+def clips(t):
+    return items(t).withColumn("clip", F.floor(F.col("item_id") / 4))
+
+
 def judged(t):
     return asked(t).select("query_id", "label").join(items(t).select("item_id", "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
 
@@ -66,16 +70,17 @@ per AS (SELECT q.query_id, q.qlabel AS label, c.mult, c.depth, c.depth >= 0.9 *
 SELECT label, mult::INT AS mult, depth::BIGINT AS depth, bool_or(degenerate) AS degenerate, count(*) AS queries, round(avg(hits / 10.0), 6) AS recall, round(avg(CASE WHEN found < 10 THEN 1.0 ELSE 0.0 END), 6) AS short
 FROM per GROUP BY label, mult, depth""")
 def vector_overfetch(t):
-    """Post-filter with depth K' = ceil(K / selectivity) x mult, against the exact filtered result."""
+    """Post-filter with depth K' = ceil(K / selectivity) x mult, against the exact filtered result.
+
+    What a post-filter returns are the first of the filtered ranking that lie within its depth, so only their places among
+    all items are asked for.
+    """
     total = t("embeddings").count()
     sel = items(t).groupBy("label").agg((F.count("*") / F.lit(total)).alias("s"))
     cfg = sel.withColumn("mult", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))).withColumn("depth", F.least(F.lit(total), F.ceil(F.lit(K) / F.col("s")) * F.col("mult")))
-    ranked = R.top_items(R.exact_scores(items(t), asked(t), total))
-    met = ranked.join(asked(t).select("query_id", "label"), "query_id").join(items(t).select("item_id", F.col("label").alias("own")), "item_id").where("label = own")
-    met = met.join(cfg, "label").where("rank <= depth")
-    got = R.rank_by(met.select("query_id", "mult", "item_id", F.col("rank").alias("_g")), ["query_id", "mult"], F.asc("_g"), k=K)
-    exact = R.prefilter_search(items(t), asked(t), K, ["label"]).select("query_id", "item_id", F.lit(1).alias("hit"))
-    per = got.join(exact, ["query_id", "item_id"], "left").groupBy("query_id", "mult").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
+    exact = R.prefilter_search(items(t), asked(t), K, ["label"])
+    placed = R.global_depth(items(t), asked(t), exact).join(asked(t).select("query_id", "label"), "query_id").join(cfg, "label").where("before < depth")
+    per = placed.groupBy("query_id", "mult").agg(F.count("*").alias("found"), F.count("*").alias("hits"))
     every = asked(t).select("query_id", "label").join(cfg, "label").join(per, ["query_id", "mult"], "left").na.fill(0, ["found", "hits"])
     return every.groupBy("label", "mult", "depth").agg(
         F.bool_or(F.col("depth") >= 0.9 * total).alias("degenerate"), F.count("*").alias("queries"), F.round(F.avg(F.col("hits") / K), 6).alias("recall"), F.round(F.avg((F.col("found") < K).cast("double")), 6).alias("short"))
@@ -85,15 +90,13 @@ def vector_overfetch(t):
 SELECT query_id, rank::INT AS rank, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM c) WHERE rank <= 10""")
 def vector_clips(t):
     """The best frame stands for its clip."""
-    return R.top_items(R.collapse(R.exact_scores(items(t), asked(t), None), F.floor(F.col("item_id") / 4)), K)
+    return R.group_search(clips(t), asked(t), K, "clip").select("query_id", "rank", F.col("group_id").alias("item_id"), "score")
 
 
 @query("TOP3 VEC13 WIN8", f"""WITH {PAIRS}, f AS (SELECT query_id, item_id // 4 AS clip_id, item_id AS frame_id, score, row_number() OVER (PARTITION BY query_id, item_id // 4 ORDER BY score DESC, item_id) AS r FROM pairs)
 SELECT query_id, rank::INT AS rank, clip_id, frame_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clip_id) AS rank FROM f WHERE r = 1) WHERE rank <= 10""")
 def vector_best_frame(t):
-    s = R.exact_scores(items(t), asked(t), None).withColumn("clip_id", F.floor(F.col("item_id") / 4))
-    best = s.groupBy("query_id", "clip_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("neg"))).alias("b")).select("query_id", "clip_id", (-F.col("b.neg")).alias("frame_id"), "b.score")
-    return R.rank_by(best, ["query_id"], F.desc("score"), F.asc("clip_id"), k=K).select("query_id", "rank", "clip_id", "frame_id", "score")
+    return R.group_search(clips(t), asked(t), K, "clip").select("query_id", "rank", F.col("group_id").alias("clip_id"), F.col("item_id").alias("frame_id"), "score")
 
 
 @query("VEC14", f"WITH {RANKED} SELECT query_id, item_id, score FROM ranked WHERE rank = 1")
@@ -125,9 +128,8 @@ def knn_conductance(t):
 SELECT qlabel AS label, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM d JOIN q USING (query_id) GROUP BY qlabel""")
 def ground_truth_depth(t):
     """How deep the filtered result lies in the full ranking: mean rank from 0 (1000 past that), the median over queries."""
-    full = R.top_items(R.exact_scores(items(t), asked(t), None)).select("query_id", "item_id", (F.col("rank") - 1).alias("g"))
-    gt = R.prefilter_search(items(t), asked(t), K, ["label"]).select("query_id", "item_id")
-    per = gt.join(full, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.avg(F.when(F.col("g") < 1000, F.col("g")).otherwise(1000)).alias("depth"))
+    gt = R.global_depth(items(t), asked(t), R.prefilter_search(items(t), asked(t), K, ["label"]))
+    per = gt.groupBy("query_id").agg(F.avg(F.least("before", F.lit(1000))).alias("depth"))
     return per.join(asked(t).select("query_id", "label"), "query_id").groupBy("label").agg(F.round(F.percentile("depth", F.lit(0.5)), 6).alias("median_depth"))
 
 
@@ -136,10 +138,8 @@ m AS (SELECT query_id, qlabel, quantile_cont(above, 0.5) AS kq FROM k WHERE labe
 SELECT qlabel AS label, round(quantile_cont(kq, 0.5), 6) AS kappa FROM m GROUP BY qlabel""")
 def filter_kappa(t):
     """Items strictly above a query's ten best of its own label: the median over them, then over queries."""
-    s = R.exact_scores(items(t), asked(t), None).join(asked(t).select("query_id", "label"), "query_id").join(items(t).select("item_id", F.col("label").alias("own")), "item_id")
-    s = s.withColumn("above", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"))) - 1).where("label = own")
-    top = R.rank_by(s, ["query_id"], F.desc("score"), F.asc("item_id"), k=K)
-    per = top.groupBy("query_id", "label").agg(F.percentile("above", F.lit(0.5)).alias("m"))
+    top = R.global_depth(items(t), asked(t), R.prefilter_search(items(t), asked(t), K, ["label"]))
+    per = top.join(asked(t).select("query_id", "label"), "query_id").groupBy("query_id", "label").agg(F.percentile("above", F.lit(0.5)).alias("m"))
     return per.groupBy("label").agg(F.round(F.percentile("m", F.lit(0.5)), 6).alias("kappa"))
 
 

@@ -51,16 +51,19 @@ def collapse(scores: DataFrame, item: Column) -> DataFrame:
     return scores.withColumn("item_id", item).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int) -> DataFrame:
-    """key, ids, matrix: rows of one key in blocks of at most `size`, each a row with its vectors as bytes.
+def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int, more: list[str] | None = None) -> DataFrame:
+    """key, ids, matrix: rows of one key in blocks of at most `size`, each a row with its vectors as bytes, and an array of
+    each column of `more`.
 
     The key holds the values of `on` (rows with a null there go), or is empty. Rows stay where they are; those without a
     vector go.
     """
-    rows = rows.where(F.col(vector).isNotNull())
+    rows, more = rows.where(F.col(vector).isNotNull()), more or []
     if on:
         rows = rows.dropna(subset=on)
     key = F.to_json(F.struct(*[F.col(c) for c in on])) if on else F.lit("")
+    picked = rows.select(key.alias("key"), F.col(ident).cast("long").alias("ids"), F.col(vector).alias("matrix"), *more)
+    names = ["key", "ids", "matrix", *more]
 
     def run(batches):
         held: dict[str, list] = {}  # parts of unfinished blocks; together no more than two batches
@@ -68,8 +71,12 @@ def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int)
 
         def made(k, parts):
             ids, m = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            rest = [pa.concat_arrays([p[2][j] for p in parts]) for j in range(len(more))]
             for i in range(0, len(ids), size):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([ids[i : i + size].tolist()], pa.list_(pa.int64())), pa.array([m[i : i + size].tobytes()])], names=["key", "ids", "matrix"])
+                part = ids[i : i + size]
+                ends = pa.array([0, len(part)], pa.int32())
+                cells = [pa.ListArray.from_arrays(ends, pa.concat_arrays([x.slice(i, size)])) for x in rest]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tolist()], pa.list_(pa.int64())), pa.array([m[i : i + size].tobytes()]), *cells], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -80,7 +87,7 @@ def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int)
             order = np.argsort(code.indices.to_numpy(), kind="stable")
             ends = np.cumsum(np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary)))
             for k, at in zip(code.dictionary.to_pylist(), np.split(order, ends[:-1])):
-                held.setdefault(k, []).append((ids[at], m[at]))
+                held.setdefault(k, []).append((ids[at], m[at], [batch.column(3 + j).take(pa.array(at)) for j in range(len(more))]))
             count += batch.num_rows
             if count >= size:
                 for k, parts in held.items():
@@ -89,7 +96,8 @@ def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int)
         for k, parts in held.items():
             yield from made(k, parts)
 
-    return rows.select(key.alias("key"), F.col(ident).cast("long").alias("ids"), F.col(vector).alias("matrix")).mapInArrow(run, "key string, ids array<long>, matrix binary")
+    kinds = "".join(f", `{f.name}` array<{f.dataType.simpleString()}>" for f in picked.schema.fields[3:])
+    return picked.mapInArrow(run, "key string, ids array<long>, matrix binary" + kinds)
 
 
 def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: str = "item_id", vector: str = "vector", exclude_self: bool = True, places: int = PLACES, on: list[str] | None = None) -> DataFrame:
@@ -125,6 +133,85 @@ def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: st
     return met.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "query_id long, item_id long, score double")
 
 
+def _met(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each block of items beside each block of a stated query set, whose columns begin with q_."""
+    return own.drop("key").crossJoin(asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns if c != "key"]))
+
+
+def _products(ids, matrix, q_ids, q_matrix, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, item ids and the rounded products of two blocks, those of an item with itself at -inf."""
+    qi, vi = (x.values.to_numpy(zero_copy_only=False) for x in (q_ids, ids))
+    q, v = (np.frombuffer(x.as_buffer()).reshape(len(n), -1) for x, n in ((q_matrix, qi), (matrix, vi)))
+    s = np.round(q @ v.T, places)
+    s[qi[:, None] == vi] = -np.inf
+    return qi, vi, s
+
+
+def group_search(vectors: DataFrame, queries: DataFrame, k: int, group: str, item: str = "item_id", vector: str = "vector", places: int = PLACES) -> DataFrame:
+    """query_id, rank, group_id, item_id, score: each query's k best groups (an integer column), each by its best item; ties
+    go by the smaller item, then by the smaller group.
+
+    A block sends on its own k best groups only: a group that is among the k best of all is among those of the block that
+    holds its best item, as k others would else be better there. A query isn't its own item; a null group is none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for ids, matrix, groups, q_ids, q_matrix in zip(*batch.columns):
+                qi, vi, s = _products(ids, matrix, q_ids, q_matrix, places)
+                g = groups.values.to_numpy(zero_copy_only=False)
+                order = np.lexsort((vi, g))
+                g, vi, s = g[order], vi[order], s[:, order]
+                starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                best = np.maximum.reduceat(s, starts, axis=1)
+                at = np.where(s == np.repeat(best, np.diff(np.append(starts, len(g))), axis=1), np.arange(len(g)), len(g))
+                first = np.minimum.reduceat(at, starts, axis=1)
+                top = np.lexsort((np.broadcast_to(g[starts], best.shape), -best), axis=1)[:, :k]
+                i, j = np.repeat(np.arange(len(qi)), top.shape[1]), top.ravel()
+                keep = np.isfinite(best[i, j])
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(g[starts][j]), pa.array(vi[first[i, j]]), pa.array(best[i, j])], names=["query_id", "group_id", "item_id", "score"])
+
+    rows = vectors.select(item, vector, F.col(group).cast("long").alias("_group")).where("_group IS NOT NULL")
+    met = _met(_blocks(rows, item, vector, [], ITEM_BLOCK, ["_group"]), _blocks(queries, "query_id", "vector", [], QUERY_BLOCK))
+    found = met.select("ids", "matrix", "_group", "q_ids", "q_matrix").mapInArrow(run, "query_id long, group_id long, item_id long, score double")
+    best = found.groupBy("query_id", "group_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("neg"))).alias("_b"))
+    rows = best.select("query_id", "group_id", (-F.col("_b.neg")).alias("item_id"), F.col("_b.score").alias("score"))
+    return rank_by(rows, ["query_id"], F.desc("score"), F.asc("group_id"), k=k).select("query_id", "rank", "group_id", "item_id", "score")
+
+
+def global_depth(vectors: DataFrame, queries: DataFrame, targets: DataFrame, item: str = "item_id", vector: str = "vector", places: int = PLACES) -> DataFrame:
+    """query_id, item_id, score, above, before of targets (query_id, item_id, score): how many items of all score more for the
+    query, and how many come before the target in its full ranking (ties by the smaller item).
+
+    The full ranking is never made: each block of items counts against the few targets of each query (a bounded number, as
+    of a ranking's head; they ride in the query's block), and counts are summed. A query isn't its own item.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for ids, matrix, q_ids, q_matrix, q_targets in zip(*batch.columns):
+                qi, vi, s = _products(ids, matrix, q_ids, q_matrix, places)
+                lists = q_targets.values
+                cut = lists.offsets.to_numpy()
+                flat = lists.values
+                t_score, t_item = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("score", "item_id"))
+                of = np.repeat(np.arange(len(qi)), np.diff(cut))
+                t_score, t_item = t_score[cut[0] : cut[-1]], t_item[cut[0] : cut[-1]]
+                above, before = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+                for q in range(len(qi)):
+                    own = slice(cut[q] - cut[0], cut[q + 1] - cut[0])
+                    above[own] = (s[q] > t_score[own, None]).sum(1)
+                    before[own] = above[own] + ((s[q] == t_score[own, None]) & (vi < t_item[own, None])).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[of]), pa.array(t_item), pa.array(t_score), pa.array(above), pa.array(before)], names=["query_id", "item_id", "score", "above", "before"])
+
+    few = targets.groupBy("query_id").agg(F.collect_list(F.struct(F.col("score").cast("double").alias("score"), F.col("item_id").cast("long").alias("item_id"))).alias("targets"))
+    asked = _blocks(queries.select("query_id", "vector").join(few, "query_id"), "query_id", "vector", [], QUERY_BLOCK, ["targets"])
+    met = _met(_blocks(vectors, item, vector, [], ITEM_BLOCK), asked).select("ids", "matrix", "q_ids", "q_matrix", "q_targets")
+    counted = met.mapInArrow(run, "query_id long, item_id long, score double, above long, before long")
+    return counted.groupBy("query_id", "item_id", "score").agg(F.sum("above").alias("above"), F.sum("before").alias("before"))
+
+
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int, **kw) -> DataFrame:
     return top_items(exact_scores(vectors, queries, k, **kw), k)
 
