@@ -75,7 +75,7 @@ def zipped_members(t):
     return csv.unionByName(records.select("member", F.col("record.id").cast("string").alias("id"), "record.name", F.size("record.tags").alias("n_tags")))
 
 
-@query("SRC7 SRC8 SRC9", """SELECT l_orderkey AS id, l_linenumber % 3 AS frame, l_linestatus AS label, count(*) AS n, max(total) AS boxes FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) WHERE l_returnflag <> 'R' GROUP BY l_orderkey, l_linenumber % 3, l_linestatus""")
+@query("SRC7 SRC8", """SELECT l_orderkey AS id, l_linenumber % 3 AS frame, l_linestatus AS label, count(*) AS n, max(total) AS boxes FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) WHERE l_returnflag <> 'R' GROUP BY l_orderkey, l_linenumber % 3, l_linestatus""")
 def markup_frames(t):
     """Labels in XML, one text for each order: boxes counted by frame and label, those marked incorrect left out."""
     box = F.format_string('<box frame="%d" kind="%s" is_correct="%s"/>', (F.col("l_linenumber") % 3).cast("int"), "l_linestatus", F.when(F.col("l_returnflag") == "R", "False").otherwise("True"))
@@ -87,6 +87,19 @@ def markup_frames(t):
     return counts.join(raw.select("id", S.xml_count("raw", "//box").cast("long").alias("boxes")), "id")
 
 
+@query("SRC9", """WITH b AS (SELECT o_orderpriority AS category, l_orderkey AS id, l_linenumber % 3 AS frame, l_linestatus AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+g AS (SELECT category, frame, label, count(*) AS n, count(DISTINCT id) AS files FROM b GROUP BY ALL) SELECT *, max(n) OVER (PARTITION BY category, label) AS most FROM g""")
+def folder_categories(t):
+    """Labels in XML that lies in a folder for each category: the category is read from the path, not from the rows."""
+    box = F.format_string('<box frame="%d" kind="%s"/>', (F.col("l_linenumber") % 3).cast("int"), "l_linestatus")
+    rows = t("lineitem").join(t("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    texts = rows.groupBy("o_orderkey", "o_orderpriority").agg(F.concat(F.format_string('<annotations id="%d">', F.first("l_orderkey")), F.array_join(F.collect_list(box), ""), F.lit("</annotations>")).alias("value"))  # an order has few lines
+    folder = _folder(texts, "categories")
+    texts.select("value", F.col("o_orderpriority").alias("category")).write.partitionBy("category").text(folder)
+    raw = S.read_by_folder(t("orders").sparkSession, folder)
+    return S.category_counts(raw.withColumn("id", S.xml_text("value", "/annotations/@id")), "category", "value", "id", "//box", "frame", "kind")
+
+
 @query("SRC10", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'u' || user_id ELSE 'flat' END AS activity FROM events""")
 def activity_records(t):
     """Names in nested records: act2, else act3, else the flat one, in flow style or JSON."""

@@ -143,12 +143,14 @@ def wasserstein(t):
     return S.wasserstein(both, "a", "b")
 
 
-@query("ST21", """WITH g AS (SELECT r.x AS rate, d.x AS delta, e.x AS design FROM (VALUES (0.1), (0.3)) r(x), (VALUES (0.05), (0.1)) d(x), (VALUES (1.0), (1.5)) e(x)) SELECT rate::DOUBLE AS rate, delta::DOUBLE AS delta, design::DOUBLE AS design, ceil(pow(1.959963984540054::DOUBLE * sqrt(rate::DOUBLE) + 0.8416212335729143::DOUBLE * sqrt(rate::DOUBLE - delta::DOUBLE * delta::DOUBLE), 2) / (delta::DOUBLE * delta::DOUBLE) * design::DOUBLE)::BIGINT AS n FROM g""")
+@query("ST21", """WITH p AS (SELECT l_returnflag, l_orderkey, (l_discount > 0.05)::INT AS a, (l_tax > 0.04)::INT AS b FROM lineitem), c AS (SELECT l_returnflag, l_orderkey, count(*) AS m, sum((a <> b)::INT) AS x, sum(a - b) AS y FROM p GROUP BY ALL),
+g AS (SELECT l_returnflag, sum(m)::BIGINT AS pairs, sum(x)::DOUBLE / sum(m) AS rate, abs(sum(y))::DOUBLE / sum(m) AS delta, sum(m * m)::DOUBLE / sum(m) AS size FROM c GROUP BY 1), d AS (SELECT *, 1 + (size - 1) * 0.1::DOUBLE AS design FROM g)
+SELECT l_returnflag, pairs, round(rate, 9) AS rate, round(delta, 9) AS delta, round(design, 9) AS design, ceil(pow(1.959963984540054::DOUBLE * sqrt(rate) + 0.8416212335729143::DOUBLE * sqrt(rate - delta * delta), 2) / (delta * delta) * design)::BIGINT AS n FROM d WHERE delta > 0""")
 def sample_sizes(t):
-    one = t("region").limit(1)
-    arr = lambda *x: F.explode(F.array(*[F.lit(v) for v in x]))
-    g = one.select(arr(0.1, 0.3).alias("rate")).withColumn("delta", arr(0.05, 0.1)).withColumn("design", arr(1.0, 1.5))
-    return g.withColumn("n", S.paired_sample_size(F.col("rate"), F.col("delta"), F.col("design")))
+    """How many pairs a test of two outcomes would take in each stratum to show the difference seen there: from the share of
+    pairs that disagree, the difference, and the design effect of clusters (orders, with a correlation of 0.1 within)."""
+    a, b = (F.col("l_discount") > 0.05).cast("int"), (F.col("l_tax") > 0.04).cast("int")
+    return S.observed_sample_size(t("lineitem").select("l_returnflag", "l_orderkey", a.alias("a"), b.alias("b")), "l_returnflag", "l_orderkey", "a", "b", 0.1)
 
 
 @query("AGG19 ST25", """WITH b AS (SELECT l_returnflag, l_discount > 0.05 AS g, l_tax > 0.04 AS p FROM lineitem), c AS (SELECT l_returnflag, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM b GROUP BY 1)

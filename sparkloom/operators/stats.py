@@ -237,3 +237,18 @@ def paired_sample_size(rate: Column, delta: Column, design: Column, alpha_z: flo
     """Items for a paired test of proportions: discordance `rate`, difference `delta`, times the design effect."""
     n = (alpha_z * F.sqrt(rate) + power_z * F.sqrt(rate - delta * delta)) ** 2 / (delta * delta)
     return F.ceil(n * design).cast("bigint")
+
+
+def observed_sample_size(pairs: DataFrame, stratum: str, cluster: str, a: str, b: str, within: float) -> DataFrame:
+    """stratum, pairs, rate, delta, design, n of paired 0/1 outcomes a and b: pairs that a later test needs to show delta.
+
+    rate: the share of pairs that disagree; delta: the difference of both shares; design: 1 + (size - 1) x within, where size
+    is the mean cluster size that a pair sees. Clusters are summed up first, so a stratum of any size is a partial aggregate.
+    A stratum without a difference has no row; pairs with a null outcome don't count.
+    """
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    c = rows.groupBy(stratum, cluster).agg(F.count("*").alias("_m"), F.sum((F.col(a) != F.col(b)).cast("int")).alias("_x"), F.sum(F.col(a) - F.col(b)).alias("_y"))
+    n = F.sum("_m")
+    g = c.groupBy(stratum).agg(n.alias("pairs"), (F.sum("_x") / n).alias("rate"), (F.abs(F.sum("_y")) / n).alias("delta"), (1 + (F.sum(F.col("_m") * F.col("_m")) / n - 1) * within).alias("design"))
+    size = paired_sample_size(F.col("rate"), F.col("delta"), F.col("design"))
+    return g.where("delta > 0").select(stratum, "pairs", *[F.round(x, 9).alias(x) for x in ("rate", "delta", "design")], size.alias("n"))

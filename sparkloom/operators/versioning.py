@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import stored
 
 
 def upsert(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -102,21 +106,25 @@ def journal_state(events: DataFrame, needed: list[str]) -> DataFrame:
     return got.select("id", F.when(F.size(F.array_except(need, F.col("ready"))) == 0, "published").otherwise("staged").alias("status"), "ready")
 
 
-def reachable(spark: SparkSession, start: tuple, step: "callable", schema: T.StructType, most: int = 1000) -> DataFrame:
-    """All states that transitions reach from a start, each with its depth and path: breadth first, a frame for each level.
+def reachable(starts: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All states that transitions reach from each start, with the least depth and the least of the paths of that depth.
 
-    step maps a frame of states to (the same columns, action) of their successors. States seen before go by an anti-join.
+    A state is a row; what tells machines apart (a document, a batch) is part of it, so machines of all documents are explored
+    at once. step maps states, depth and path to (the same columns, action) of their successors. Each level is one plan over
+    the states found in the level before, stored in the shared folder; a state seen before goes by an anti-join, and the
+    levels end when one adds nothing, as they do for a finite machine. No state passes the driver. Equal starts are one.
     """
-    cols = schema.fieldNames()
-    seen = front = spark.createDataFrame([start], schema).withColumn("depth", F.lit(0)).withColumn("path", F.array().cast("array<string>"))
-    for depth in range(1, most):
-        after = step(front).withColumn("path", F.concat("path", F.array("action"))).drop("action", "depth")
-        new = after.groupBy(*cols).agg(F.min("path").alias("path")).join(seen.select(*cols), cols, "left_anti").withColumn("depth", F.lit(depth)).select(*seen.columns)
-        rows = new.collect()  # a level of a finite model
-        if not rows:
-            break
-        front = spark.createDataFrame(rows, seen.schema)
-        seen = spark.createDataFrame(seen.collect() + rows, seen.schema)
+    cols = starts.columns
+    front = seen = stored(starts.distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array().cast("array<string>")), "states")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        after = step(front).withColumn("path", F.concat("path", F.array("action")))
+        new = after.groupBy(*cols).agg(F.min("path").alias("path"))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]
+        fresh = new.alias("a").join(seen.alias("b"), reduce(lambda x, y: x & y, same), "left_anti")
+        front = stored(fresh.select(*cols, F.lit(depth).alias("depth"), "path"), "states")
+        seen = seen.unionByName(front)
     return seen
 
 

@@ -49,19 +49,36 @@ def sample_per_group(df: DataFrame, by: list[str], n: int, ident: str, seed: str
     return first_n(df, by, n, seeded(seed, ident), F.col(ident))
 
 
+def hash_places(df: DataFrame, ident: str, seed: str, by: list[str], out: str = "_r") -> DataFrame:
+    """df with `out`, each row's place from 1 by a hash of `ident` in its group of `by` (none: among all rows), and `_n`, the
+    group's rows.
+
+    A group of any size is dealt out by the first three digits of the hash: 4,096 cells at most, whose counts give the
+    offsets, so that no group is sorted in one task. Rows with one ident lie in one cell; their order is open.
+    """
+    rows = df.withColumn("_h", seeded(seed, ident)).withColumn("_c", F.substring("_h", 1, 3))
+    cells = rows.groupBy(*by, "_c").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*by)
+    above = F.coalesce(F.sum("_k").over(w.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_c").alias("_cell"), above.alias("_above"), F.sum("_k").over(w).alias("_n"))
+    same = F.col("_c") == F.col("_cell")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_c").orderBy("_h", ident))
+    placed = rows.withColumn(out, place).join(cells, same).withColumn(out, F.col(out) + F.col("_above"))
+    return placed.drop("_h", "_c", "_cell", "_above", *[f"_by{i}" for i in range(len(by))])
+
+
 def folds(df: DataFrame, value: str, k: int, seed: str, *by: str) -> DataFrame:
     """value, fold of the distinct values: their places by a hash, modulo k, so folds are even and runs agree."""
-    w = Window.partitionBy(*by).orderBy(seeded(seed, value), value)
-    return df.select(*by, value).distinct().withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    placed = hash_places(df.select(*by, value).distinct(), value, seed, list(by))
+    return placed.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r", "_n")
 
 
 def split(df: DataFrame, ident: str, by: list[str], share: float, seed: str) -> DataFrame:
     """Each group's first share (rounded down, one at least, and one left for the rest) by hash as "dev", the rest "holdout"."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    r = F.row_number().over(w.orderBy(seeded(seed, ident), ident))
-    take = F.greatest(F.lit(1), F.least(F.floor(n * share), n - 1))
-    return df.withColumn("split", F.when(r <= take, "dev").otherwise("holdout"))
+    take = F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * share), F.col("_n") - 1))
+    return hash_places(df, ident, seed, by).withColumn("split", F.when(F.col("_r") <= take, "dev").otherwise("holdout")).drop("_r", "_n")
 
 
 def gaps(df: DataFrame, by: list[str], time: str) -> DataFrame:

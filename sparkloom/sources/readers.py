@@ -111,6 +111,26 @@ def frame_counts(labels: DataFrame, raw: str, ident: str, element: str, frame: s
     return rows.select(ident, F.explode("z").alias("x")).groupBy(ident, F.col("x.frame").cast("int").alias("frame"), F.col("x.label").alias("label")).agg(F.count("*").alias("n"))
 
 
+def read_by_folder(spark: SparkSession, path: str) -> DataFrame:
+    """value, category, source_path: lines of all text files below a path; the category is the name of a file's own folder
+    (after "name=", where the folder is a partition's), with escapes undone."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("source_path", F.col("_metadata.file_path"))
+    name = r"^[A-Za-z_][A-Za-z0-9_]*="
+    plain = lambda c: F.try_url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    own = plain(F.regexp_extract("source_path", r"([^/]+)/[^/]*$", 1))  # an address is escaped, and a partition's name once more
+    return rows.withColumn("category", F.when(own.rlike(name), plain(F.regexp_replace(own, name, ""))).otherwise(own))
+
+
+def category_counts(labels: DataFrame, category: str, raw: str, ident: str, element: str, frame: str, label: str, dropped: str | None = None) -> DataFrame:
+    """category, frame, label, n, files, most: labels of all files of a category by frame, how many files hold them, and the
+    most of a label in any frame of the category."""
+    of = labels.select(F.struct(category, ident).alias("_of"), raw)
+    counts = frame_counts(of, raw, "_of", element, frame, label, dropped)
+    rows = counts.groupBy(F.col(f"_of.{category}").alias("category"), "frame", "label").agg(F.sum("n").alias("n"), F.countDistinct(f"_of.{ident}").alias("files"))
+    most = rows.groupBy("category", "label").agg(F.max("n").alias("most"))
+    return rows.join(most, ["category", "label"]).select("category", "frame", "label", "n", "files", "most")
+
+
 ACTIVITY = "struct<activity:string,act2:map<string,double>,act3:map<string,double>>"
 
 
