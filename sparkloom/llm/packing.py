@@ -45,37 +45,67 @@ def token_pieces(docs: DataFrame, path: str, ranks: str | None, capacity: int =
     return picked.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def _exact(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Bins that are filled without a gap by two to four lengths, and how many; c, the number of each length, is used up."""
-    bins = []
-
-    def pair(total: int, top: int) -> tuple[int, int] | None:
-        a = np.arange(min(top, total - 1), (total + 1) // 2 - 1, -1)
-        hit = np.flatnonzero((c[a] > 0) & (c[total - a] > (2 * a == total)))
-        return (int(a[hit[0]]), total - int(a[hit[0]])) if len(hit) else None
-
-    def fill(gap: int, top: int) -> tuple[int, ...] | None:
-        if gap <= top and c[gap] > 0:
-            return (gap,)
-        if two := pair(gap, top):
-            return two
-        for a in np.flatnonzero(c[: min(top, gap - 2) + 1])[::-1].tolist():
-            if 3 * a < gap:
+class SumIndex:
+    """Sums of one, two and three lengths, to the combinations that give them and are still there.
+
+    Singles are the counts themselves. Pairs lie in one array in order of their sum (capacity squared / 4 at most), the
+    greater length first. Triples of a sum are a third length with a pair of the rest, so they aren't spelled out. Counts
+    only fall, so a combination that is used up never comes back: a cursor for each sum passes it once and for good. One
+    that is only held by the bin in the making (`held`) is passed for the moment.
+    """
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.c = counts
+        there = np.flatnonzero(counts[:capacity])
+        there = there[there > 0]
+        i, j = np.tril_indices(len(there))
+        a, total = there[i], there[i] + there[j]
+        a, total = a[total < capacity], total[total < capacity]
+        order = np.lexsort((-a, total))
+        self.greater = a[order].tolist()
+        self.ends = np.cumsum(np.bincount(total, minlength=capacity + 1)).tolist()
+        self.pair_at = [0, *self.ends[:-1]]
+        self.thirds = there[::-1].tolist()
+        self.third_at = [0] * (capacity + 1)
+
+    def _free(self, lengths: tuple[int, ...], held: tuple[int, ...] = ()) -> bool:
+        return all(self.c[x] >= lengths.count(x) + held.count(x) for x in lengths)
+
+    def pair(self, total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        at = self.pair_at[total]
+        while at < self.ends[total]:
+            found = (self.greater[at], total - self.greater[at])
+            if self._free(found, held):
+                return found
+            if at == self.pair_at[total] and not self._free(found):
+                self.pair_at[total] += 1
+            at += 1
+        return None
+
+    def triple(self, total: int, held: tuple[int, ...]) -> tuple[int, int, int] | None:
+        at = self.third_at[total]
+        while at < len(self.thirds):
+            third = self.thirds[at]
+            if 3 * third < total:
                 break
-            c[a] -= 1
-            two = pair(gap - a, a)
-            c[a] += 1
-            if two:
-                return (a, *two)
+            rest = total - third
+            if rest > 1 and self._free((third,), held) and (two := self.pair(rest, (*held, third))):
+                return (third, *two)
+            if at == self.third_at[total] and (rest < 2 or not self.c[third] or self.pair_at[rest] == self.ends[rest]):
+                self.third_at[total] += 1
+            at += 1
         return None
 
+    def fill(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The fewest lengths that fill the gap exactly, beside those held."""
+        return (gap,) if self._free((gap,), held) else self.pair(gap, held) or self.triple(gap, held)
+
+
+def _exact(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Bins that are filled without a gap by two to four lengths, and how many; c, the number of each length, is used up."""
+    bins, index = [], SumIndex(c, capacity)
     for length in range(capacity - 1, 0, -1):
-        while c[length] > 0:
-            c[length] -= 1
-            rest = fill(capacity - length, length)
-            c[length] += 1
-            if not rest:
-                break
+        while c[length] > 0 and (rest := index.fill(capacity - length, (length,))):
             need = Counter([length, *rest])
             m = min(int(c[x]) // k for x, k in need.items())
             for x, k in need.items():

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -33,6 +34,36 @@ def test_exact_complements_come_first():
     assert sorted((tuple(sorted(i)), m) for i, m in plan) == [((1, 3, 6), 1), ((4, 6), 1)]
 
 
+def test_index_of_sums_against_all_combinations():
+    """Combinations are asked for and used up at random; the index finds one as long as any is left, and none that isn't."""
+    rng = random.Random(3)
+    for _ in range(30):
+        capacity = rng.choice([5, 12, 24])
+        c = np.zeros(capacity + 1, np.int64)
+        for _ in range(rng.choice([2, 6, 30])):
+            c[rng.randint(1, capacity - 1)] += 1
+        index = packing.SumIndex(c, capacity)
+        for _ in range(60):
+            total = rng.randint(1, capacity - 1)
+            own = [x for x in range(1, capacity) if c[x]]
+            held = (rng.choice(own),) if own and rng.random() < 0.7 else ()
+            left = Counter({x: int(c[x]) for x in own}) - Counter(held)
+            some = {n: [x for x in itertools.combinations_with_replacement(sorted(left), n) if sum(x) == total and not Counter(x) - left] for n in (1, 2, 3)}
+            want = next((n for n in (1, 2, 3) if some[n]), None)
+            got = index.fill(total, held)
+            assert (got and len(got)) == want and (got is None or tuple(sorted(got)) in some[want])
+            if got and rng.random() < 0.6:
+                for x in got:
+                    c[x] -= 1
+
+
+def test_sequences_are_few_at_production_capacity():
+    rng = random.Random(4)
+    counts = Counter(min(2048, int(rng.lognormvariate(5.7, 0.9)) + 1) for _ in range(50000))
+    bins, total = sum(m for _, m in packing.pack_plan(counts, 2048)), sum(k * v for k, v in counts.items())
+    assert -(-total // 2048) <= bins <= 1.002 * -(-total // 2048) + 1
+
+
 def test_piece_bounds():
     assert packing.piece_bounds(1, 4) == [(0, 1)] and packing.piece_bounds(4, 4) == [(0, 4)]
     assert packing.piece_bounds(5, 4) == [(0, 1), (1, 4)] and packing.piece_bounds(8, 4) == [(0, 4), (4, 4)]
