@@ -10,14 +10,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .runtime import lean
+from .runtime import cut, lean
 
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 
 #: From so many bytes on: the least and the greatest ratio of compressed to plain bytes of a whole document. Short texts
 #: compress badly and vary much, so their bands are wide; prose of any language lies well within at each length.
 BANDS = ((0, 0.20, 1.60), (128, 0.28, 1.20), (256, 0.36, 0.95), (1024, 0.32, 0.80), (4096, 0.26, 0.74), (16384, 0.22, 0.72))
+#: From FITTED bytes on, the least ratio is fitted to the corpus too where a class has SUPPORT texts: FAR times the quartiles'
+#: distance below the lower quartile, the usual bound of what lies far out. It only ever narrows a band.
+FITTED, SUPPORT, FAR = 128, 200, 3.0
+_HIGH = bytes(range(0x80, 0x100))
 #: Bytes of a chunk, whose band is that of its length; a document fails if over OUTSIDE of its bytes are in chunks outside.
 CHUNK, OUTSIDE = 4096, 0.25
 
@@ -74,14 +79,10 @@ def ratios(raw: bytes, zip_) -> tuple[float | None, float | None, float | None,
     return whole, min(each), max(each), outside
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level: int = 3, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
-    """Of each whole document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio,
-    least_chunk, greatest_chunk, outside (share of bytes in chunks outside their band), band_failed and kept.
-
-    base_failed: fewer than `least_words` words, or over `most_repeated` percent of them in repeated windows. band_failed:
-    the whole text's zstandard ratio lies outside the band for its length, or over a quarter of its bytes are in chunks that lie
-    outside theirs. kept: neither. A null text has no words, so it fails; repeated rows are repeated; other columns are left out.
-    """
+def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level: int = 3, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
+    """Of each whole document: doc_id, the base counts and base_failed, ratio, least_chunk, greatest_chunk, outside, the stated
+    band for its length (least, most), and its class: size (whole binary logarithm of its bytes) and script (0, 1, 2: under a
+    tenth, under half, more of its bytes are beyond ASCII)."""
 
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
@@ -90,15 +91,47 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level:
             for text_ in batch.column(1):
                 s = text_.as_py() or ""
                 raw = s.encode("utf-8", "surrogatepass")
-                counts, (whole, low, high, outside) = base_counts(s), ratios(raw, zip_)
+                counts = base_counts(s)
                 base = counts[0] < least_words or 100 * counts[4] > most_repeated * counts[0]
-                least, most = band(len(raw))
-                failed = whole is not None and not least <= whole <= most or outside > OUTSIDE
-                rows.append((*counts, base, whole, low, high, outside, failed, not base and not failed))
-            types = [*[pa.int64()] * 5, pa.bool_(), *[pa.float64()] * 4, pa.bool_(), pa.bool_()]
+                beyond = len(raw) - len(raw.translate(None, _HIGH))
+                rows.append((*counts, base, *ratios(raw, zip_), *band(len(raw)), len(raw).bit_length() - 1, (10 * beyond >= len(raw)) + (2 * beyond >= len(raw))))
+            types = [*[pa.int64()] * 5, pa.bool_(), *[pa.float64()] * 6, pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]], names=names)
 
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "least_chunk", "greatest_chunk", "outside", "band_failed", "kept"]
-    kinds = ["long"] * 6 + ["boolean"] + ["double"] * 4 + ["boolean"] * 2
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "least_chunk", "greatest_chunk", "outside", "least", "most", "size", "script"]
+    kinds = ["long"] * 6 + ["boolean"] + ["double"] * 6 + ["int"] * 2
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return picked.mapInArrow(lean(run), ", ".join(map(" ".join, zip(names, kinds))))
+
+
+def fences(measured: DataFrame, far: float = FAR, support: int = SUPPORT) -> DataFrame:
+    """size, script, fence: the least ratio of each class of length and script that has `support` texts: the lower quartile less
+    `far` times the quartiles' distance.
+
+    All texts count. Quartiles are those of ratios in thousandths (4 at most), so a class is a bounded number of cells that are
+    counted where rows lie, and reruns agree. If over a quarter of a class is repetitive, its quartiles part and the fence falls.
+    """
+    cells = measured.where((F.col("ratio").isNotNull()) & (F.col("size") >= FITTED.bit_length() - 1)).groupBy("size", "script", F.least(F.floor(F.col("ratio") * 1000), F.lit(4000)).alias("cell")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("size", "script")
+    sums = cells.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
+    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("cell"))) / 1000
+    q = sums.where(F.col("all") >= support).groupBy("size", "script").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+    return q.select("size", "script", (F.col("q1") - far * (F.col("q3") - F.col("q1"))).alias("fence"))
+
+
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level: int = 3, least_words: int = 20, most_repeated: int = 30, far: float = FAR, support: int = SUPPORT) -> DataFrame:
+    """Of each whole document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio,
+    least_chunk, greatest_chunk, outside (share of bytes in chunks outside their band), least, most (the limits of its ratio),
+    band_failed and kept.
+
+    base_failed: fewer than `least_words` words, or over `most_repeated` percent of them in repeated windows. band_failed:
+    the whole text's zstandard ratio lies outside its limits, or over a quarter of its bytes are in chunks that lie outside the
+    stated band for their length. The limits are those of the stated band for the text's length; the lower one is raised to the
+    corpus's own fence for texts of its length and script, if that is higher. kept: neither. A null text has no words, so it
+    fails; repeated rows are repeated; an empty table gives none; other columns are left out.
+    """
+    measured = cut(measures(docs, doc_id, text, level, least_words, most_repeated))
+    limits = F.broadcast(fences(measured, far, support))  # a row for each binary logarithm of a length and script: 93 at most
+    found = measured.join(limits, ["size", "script"], "left").withColumn("least", F.greatest("least", "fence"))
+    failed = F.coalesce(~F.col("ratio").between(F.col("least"), F.col("most")), F.lit(False)) | (F.col("outside") > OUTSIDE)
+    return found.withColumn("band_failed", failed).withColumn("kept", ~F.col("base_failed") & ~failed).drop("size", "script", "fence")

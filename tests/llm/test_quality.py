@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -58,3 +59,29 @@ def test_repeats_nulls_and_empty_table(spark):
     got = quality.quality(docs(spark, [(1, prose(50)), (1, prose(50)), (None, None)])).collect()
     assert len(got) == 3 and sum(r.kept for r in got) == 2
     assert quality.quality(docs(spark, [])).count() == 0
+
+
+def test_fences_are_quartiles_of_classes(spark):
+    """1,000 texts of one class and 150 of another: the first class's fence alone, and never below the stated band."""
+    rng = random.Random(8)
+    rows = [(10, 0, rng.gauss(0.5, 0.01)) for _ in range(990)] + [(10, 0, 0.05)] * 10 + [(12, 2, 0.4)] * 150 + [(3, 0, 1.5)] * 500 + [(11, 1, 0.3)] * 100 + [(11, 1, 0.6)] * 300
+    got = {(r["size"], r.script): r.fence for r in quality.fences(spark.createDataFrame(rows, "size int, script int, ratio double")).collect()}
+    own = sorted(math.floor(1000 * r) for s, _, r in rows if s == 10)
+    q1, q3 = (own[math.ceil(len(own) * k / 4) - 1] / 1000 for k in (1, 3))
+    assert set(got) == {(10, 0), (11, 1)}
+    assert abs(got[10, 0] - (q1 - 3 * (q3 - q1))) < 1e-9 and abs(got[11, 1] - (0.3 - 3 * 0.3)) < 1e-9
+
+
+def test_corpus_raises_the_lower_limit_for_its_own_lengths_and_scripts(spark):
+    """Half repeated texts that the stated band lets pass fall beside 300 of prose; prose of another script stays."""
+    rng = random.Random(9)
+    latin, greek = (["".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(3000)] for a in ("etaoinshrdlu", "αβγδεζηθικλμ"))
+    some = lambda words, n: [rng.choice(words) for _ in range(n)]
+    half = [" ".join((some(latin, 12) * 4 + some(latin, 150))[:n] + some(latin, 1)) for n in (190, 198)]
+    texts = [" ".join(some(latin, rng.randrange(190, 300))) for _ in range(300)] + [" ".join(some(greek, 150)) for _ in range(5)]
+    rows = list(enumerate([*texts, *half, " ".join(some(latin, 20) * 2 + some(latin, 160))]))
+    got = [r for r in quality.quality(docs(spark, rows), far=1.0).orderBy("doc_id").collect()]
+    plain = [r for r in quality.quality(docs(spark, rows), support=10**6).orderBy("doc_id").collect()]
+    assert not any(r.band_failed for r in plain)
+    assert all(g.least >= p.least for g, p in zip(got, plain)) and {g.least for g in got[300:305]} == {p.least for p in plain[300:305]}
+    assert all(r.band_failed for r in got[305:307]) and not any(r.band_failed for r in got[300:305])
