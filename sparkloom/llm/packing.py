@@ -54,10 +54,9 @@ class SumIndex:
     that is only held by the bin in the making (`held`) is passed for the moment.
     """
 
-    def __init__(self, counts: np.ndarray, capacity: int):
+    def __init__(self, counts: list[int], capacity: int):
         self.c = counts
-        there = np.flatnonzero(counts[:capacity])
-        there = there[there > 0]
+        there = np.flatnonzero(counts[:capacity])  # no length is 0
         i, j = np.tril_indices(len(there))
         a, total = there[i], there[i] + there[j]
         a, total = a[total < capacity], total[total < capacity]
@@ -72,14 +71,14 @@ class SumIndex:
         return all(self.c[x] >= lengths.count(x) + held.count(x) for x in lengths)
 
     def pair(self, total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
-        at = self.pair_at[total]
-        while at < self.ends[total]:
-            found = (self.greater[at], total - self.greater[at])
-            if self._free(found, held):
-                return found
-            if at == self.pair_at[total] and not self._free(found):
+        c, end = self.c, self.ends[total]
+        for at in range(self.pair_at[total], end):
+            a = self.greater[at]
+            if c[a] and c[total - a] > (2 * a == total):  # else used up
+                if self._free((a, total - a), held):
+                    return a, total - a
+            elif at == self.pair_at[total]:
                 self.pair_at[total] += 1
-            at += 1
         return None
 
     def triple(self, total: int, held: tuple[int, ...]) -> tuple[int, int, int] | None:
@@ -101,20 +100,20 @@ class SumIndex:
         return (gap,) if self._free((gap,), held) else self.pair(gap, held) or self.triple(gap, held)
 
 
-def _exact(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+def _exact(c: list[int], capacity: int) -> list[tuple[list[int], int]]:
     """Bins that are filled without a gap by two to four lengths, and how many; c, the number of each length, is used up."""
     bins, index = [], SumIndex(c, capacity)
     for length in range(capacity - 1, 0, -1):
         while c[length] > 0 and (rest := index.fill(capacity - length, (length,))):
             need = Counter([length, *rest])
-            m = min(int(c[x]) // k for x, k in need.items())
+            m = min(c[x] // k for x, k in need.items())
             for x, k in need.items():
                 c[x] -= k * m
             bins.append(([length, *rest], m))
     return bins
 
 
-def _best_fit(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+def _best_fit(c: list[int], capacity: int) -> list[tuple[list[int], int]]:
     """Bins for the numbers of lengths c: from long to short, each goes to the fullest bin that takes it, or to a new one."""
     open_, gaps = {}, []  # gap -> bins of that gap, as (lengths, number)
 
@@ -126,7 +125,7 @@ def _best_fit(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
             open_[gap].append((items, m))
 
     for length in range(capacity, 0, -1):
-        n = int(c[length])
+        n = c[length]
         while n:
             k = bisect_left(gaps, length)
             if k < len(gaps):
@@ -150,10 +149,10 @@ def _best_fit(c: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
 
 def pack_plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Bins as (lengths, number of such bins) for pieces of 1 to `capacity` tokens; it grows with lengths, not with pieces."""
-    c = np.zeros(capacity + 1, np.int64)
+    c = [0] * (capacity + 1)
     for length, n in counts.items():
         c[length] = n
-    full = [([capacity], int(c[capacity]))] if c[capacity] else []
+    full = [([capacity], c[capacity])] if c[capacity] else []
     c[capacity] = 0
     return full + _exact(c, capacity) + _best_fit(c, capacity)
 
