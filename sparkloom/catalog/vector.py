@@ -12,6 +12,7 @@ from ..operators import retrieval as R
 from ..operators import windows as W
 from ..operators.facets import clustered_mask, random_mask, seeded
 from ..operators.vector_index import escalated, ivf_filtered, ivf_search, lloyd, nearest_lists, pq_search, prototypes, two_views
+from ..plans import filtered_strategies
 
 K = 10
 
@@ -251,10 +252,7 @@ met AS (SELECT strategy, query_id, n_pos, round(found * 1.0 / n_pos, 9) AS recal
 
 
 def lanes(t):
-    cutoff = 50
-    pre = R.prefilter_search(items(t), asked(t), cutoff, ["label"])
-    meta = R.metadata_ranking(asked(t), items(t), ["label"], cutoff)
-    return R.strategies({"B0": meta, "B2": R.exact_search(items(t), asked(t), cutoff), "B3": R.postfilter_search(items(t), asked(t), 50, cutoff, ["label"]), "B4": pre, "B5": R.rrf([(meta, 1.0), (pre, 1.0)])})
+    return filtered_strategies(items(t), asked(t), ["label"], 50, 50)
 
 
 def strict(t):

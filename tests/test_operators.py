@@ -112,7 +112,9 @@ def test_signed_ranks(spark):
     got = {r.g: r for r in S.wilcoxon(df, "d", ["g"]).collect()}
     z = (8 - 5) / math.sqrt(4 * 5 * 9 / 24)
     assert got["g"].n == 4 and got["g"].w_plus == 8 and abs(got["g"].p - math.erfc(z / math.sqrt(2))) < 1e-6 and got["few"].p is None
-    assert S.wilcoxon_exact(3, 6) == 0.25 and S.wilcoxon_exact(5, 15) == 0.0625 and S.wilcoxon_exact(4, 5) == 1.0
+    few = spark.createDataFrame([(n, float(d)) for n, ds in ((3, (1, 2, 3)), (5, (1, 2, 3, 4, 5)), (4, (1, -2, -3, 4))) for d in ds], "n int, d double")
+    exact = {r.k: (r.w_plus, r.exact, r.p) for r in S.wilcoxon_exact(few.withColumnRenamed("n", "k"), "d", ["k"]).collect()}
+    assert exact == {3: (6.0, True, 0.25), 5: (15.0, True, 0.0625), 4: (5.0, True, 1.0)}
 
 
 def test_terciles_and_splits(spark):
