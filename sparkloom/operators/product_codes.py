@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
-from .retrieval import PLACES, dot, rank_by, top_items
+from .retrieval import ITEM_BLOCK, PLACES, QUERY_BLOCK, _Best, _blocks, _met, dot, rank_by, top_items
 
 #: Vectors, first by hash, on which codebooks and lists are fitted.
 SAMPLE = 16_384
 #: Codes of 6 bits that one long holds.
 IN_LONG = 10
-#: Items of a list that one task scores against a query; longer lists are dealt to more.
-BLOCK = 4096
+#: Rows whose distances to all centres are held at once.
+STEP = 2048
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -23,7 +23,7 @@ def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[np.sort(rng.permutation(len(x))[:k])].astype(np.float64)
     for _ in range(rounds):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
+        near = np.concatenate([((c * c).sum(1) - 2 * x[a : a + STEP] @ c.T).argmin(1) for a in range(0, len(x), STEP)])
         n = np.bincount(near, minlength=len(c))
         for d in range(x.shape[1]):
             s = np.bincount(near, x[:, d], minlength=len(c))
@@ -79,6 +79,11 @@ def code_at(packed: Column, part: Column) -> Column:
     return F.call_function("shiftright", word, (F.pmod(part, F.lit(IN_LONG)) * 6).cast("int")).bitwiseAND(F.lit(63)).cast("int")
 
 
+def unpack(packed: np.ndarray, parts: int) -> np.ndarray:
+    """parts x rows: the codes of packed rows."""
+    return np.stack([(packed[:, b // IN_LONG] >> (6 * (b % IN_LONG))) & 63 for b in range(parts)])
+
+
 def encode(items: DataFrame, books: np.ndarray, lists: np.ndarray) -> DataFrame:
     """item_id, list, codes of every item: the list of its nearest centre, each part's nearest code, packed."""
     held = items.sparkSession.sparkContext.broadcast((books, lists))  # fixed by parts, bits and lists
@@ -96,26 +101,6 @@ def encode(items: DataFrame, books: np.ndarray, lists: np.ndarray) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "vector").mapInArrow(run, "item_id long, list int, codes array<long>")
 
 
-def tables(queries: DataFrame, books: np.ndarray, lists: np.ndarray, probes: int) -> DataFrame:
-    """query_id, list, products: for each list that a query probes, its parts' products with all codes, part by part."""
-    held = queries.sparkSession.sparkContext.broadcast((books, lists))
-
-    def run(batches):
-        books, lists = held.value
-        for b in batches:
-            ids, probed, rows = [], [], []
-            for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.asarray(v, np.float64)
-                flat = np.concatenate([c @ v[p * c.shape[1] : (p + 1) * c.shape[1]] for p, c in enumerate(books)]).tolist()
-                for near in np.argsort((lists * lists).sum(1) - 2 * lists @ v, kind="stable")[:probes].tolist():
-                    ids.append(q)
-                    probed.append(near)
-                    rows.append(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(probed, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["query_id", "list", "products"])
-
-    return queries.select("query_id", "vector").mapInArrow(run, "query_id long, list int, products array<double>")
-
-
 def enough_probes(items: DataFrame, lists: np.ndarray, k: int = 10, share: float = 0.95, rows: int = 2048, seed: int = 3) -> int:
     """The fewest probed lists that hold that share of the k nearest of each of a few sampled items among the sample."""
     v = np.array([r["vector"] for r in items.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(rows).select("vector").collect()], np.float64)
@@ -140,16 +125,40 @@ def build(items: DataFrame, parts: int = 32, bits: int = 6, lists: int | None =
 def search(items: DataFrame, queries: DataFrame, index: tuple[DataFrame, np.ndarray, np.ndarray], k: int, probes: int, rerank: int = 100) -> DataFrame:
     """The k best items of each query by true products among the `rerank` best by codes in the probed lists.
 
-    A list's items are dealt to blocks of about BLOCK, and a query meets each block of its lists, so no list is one task;
-    scores by codes are sums of looked-up products within the plan.
+    Codes are sorted by list over range partitions and packed into blocks of ITEM_BLOCK items at most, queries into blocks of
+    vectors. Where two blocks meet, the task makes the queries' tables of products, which are never rows, sums looked-up
+    products for the lists that a query probes, and sends on its `rerank` best of a query.
     """
     codes, books, centres = index
-    parts, width = books.shape[0], books.shape[1]
-    sizes = codes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = codes.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int")).drop("blocks")  # a row for each list
-    asked = tables(queries, books, centres, probes).join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    near = F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0.0), lambda s, b: s + F.get("products", b * width + code_at(F.col("codes"), b)))
-    met = own.join(asked, ["list", "block"]).where("query_id <> item_id").select("query_id", "item_id", F.round(near, PLACES).alias("score"))
-    best = rank_by(met, ["query_id"], F.desc("score"), F.asc("item_id"), k=rerank).select("query_id", "item_id")
+    held = items.sparkSession.sparkContext.broadcast((books, centres))  # fixed by parts, bits and lists
+
+    def run(batches):
+        books, lists = held.value
+        width, best = books.shape[2], _Best(rerank)
+        for batch in batches:
+            for ids, packed, of, q_ids, q_matrix in zip(*batch.columns):
+                vi, own, qi = (x.values.to_numpy(zero_copy_only=False) for x in (ids, of, q_ids))
+                q = np.frombuffer(q_matrix.as_buffer()).reshape(len(qi), -1)
+                near = np.argsort((lists * lists).sum(1) - 2 * q @ lists.T, axis=1, kind="stable")[:, :probes]
+                probed = np.zeros((len(qi), len(lists)), bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                tables = np.stack([q[:, p * width : (p + 1) * width] @ c.T for p, c in enumerate(books)])
+                each = unpack(np.frombuffer(packed.as_buffer(), np.int64).reshape(len(vi), -1), len(books))
+                s = np.full((len(qi), len(vi)), -np.inf)
+                starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+                for x, y in zip(starts, [*starts[1:], len(own)]):
+                    rows = np.flatnonzero(probed[:, own[x]])
+                    if len(rows):
+                        s[rows, x:y] = np.round(sum(t[rows][:, each[p, x:y]] for p, t in enumerate(tables)), PLACES)
+                s[qi[:, None] == vi] = -np.inf
+                best.add(qi, s, vi)
+                if best.full():
+                    yield from best.rows()
+        yield from best.rows()
+
+    rows = codes.select("item_id", F.col("list").cast("long").alias("list"), "codes").repartitionByRange("list", "item_id").sortWithinPartitions("list", "item_id")
+    met = _met(_blocks(rows, "item_id", "codes", [], ITEM_BLOCK, ["list"], np.int64), _blocks(queries, "query_id", "vector", [], QUERY_BLOCK))
+    found = met.select("ids", "matrix", "list", "q_ids", "q_matrix").mapInArrow(run, "query_id long, item_id long, score double")
+    best = rank_by(found, ["query_id"], F.desc("score"), F.asc("item_id"), k=rerank).select("query_id", "item_id")
     true = best.join(items.select("item_id", "vector"), "item_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
     return top_items(true.select("query_id", "item_id", F.round(dot("vector", "_q"), PLACES).alias("score")), k)

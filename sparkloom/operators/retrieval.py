@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Places to which scores are rounded before they are ordered, and the most queries and items of one block of a scan.
 PLACES, QUERY_BLOCK, ITEM_BLOCK = 6, 512, 4096
+#: Parts that a key's blocks of items are dealt to, and entries that a task holds of its queries' best before it sends them on.
+DEAL, HELD = 8, 1 << 21
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -51,12 +53,12 @@ def collapse(scores: DataFrame, item: Column) -> DataFrame:
     return scores.withColumn("item_id", item).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int, more: list[str] | None = None) -> DataFrame:
+def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int, more: list[str] | None = None, kind: type = np.float64) -> DataFrame:
     """key, ids, matrix: rows of one key in blocks of at most `size`, each a row with its vectors as bytes, and an array of
     each column of `more`.
 
-    The key holds the values of `on` (rows with a null there go), or is empty. Rows stay where they are; those without a
-    vector go.
+    The key holds the values of `on` (rows with a null there go), or is empty. Rows stay where they are, in their order if
+    there is one key; those without a vector go.
     """
     rows, more = rows.where(F.col(vector).isNotNull()), more or []
     if on:
@@ -82,7 +84,7 @@ def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int,
             if not batch.num_rows:
                 continue
             ids = batch.column(1).to_numpy(zero_copy_only=False)
-            m = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            m = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(kind)
             code = batch.column(0).dictionary_encode()
             order = np.argsort(code.indices.to_numpy(), kind="stable")
             ends = np.cumsum(np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary)))
@@ -100,16 +102,62 @@ def _blocks(rows: DataFrame, ident: str, vector: str, on: list[str], size: int,
     return picked.mapInArrow(run, "key string, ids array<long>, matrix binary" + kinds)
 
 
+def _first(i: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries (query, item, score) of each query i, best first; ties to the smaller item."""
+    by = np.lexsort((item, -score, i))
+    i, item, score = i[by], item[by], score[by]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], item[keep], score[keep]
+
+
+def _heads(s: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_first` of a matrix of queries and items, of its finite scores."""
+    s = np.where(np.isfinite(s), s, -np.inf)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
+    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    return _first(i, item[j], s[i, j], k)
+
+
+class _Best:
+    """The k best entries so far of each query of the blocks that a task meets, so that a task sends k on, not each block.
+
+    What is held is bounded: past HELD entries all are sent on, and the ranking that follows sees to the rest.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.held, self.count = k, {}, 0
+
+    def add(self, q_ids: np.ndarray, s: np.ndarray, items: np.ndarray, tag: int = 0) -> None:
+        new, key = _heads(s, items, self.k), (q_ids.tobytes(), tag)
+        old = self.held.get(key)
+        if old is not None:
+            self.count -= len(old[1][0])
+            new = _first(*(np.concatenate(x) for x in zip(old[1], new)), self.k)
+        self.held[key] = (q_ids, new)
+        self.count += len(new[0])
+
+    def full(self) -> bool:
+        return self.count > HELD
+
+    def rows(self, tagged: bool = False):
+        for (_, tag), (q_ids, (i, items, score)) in self.held.items():
+            cells, names = [pa.array(q_ids[i]), pa.array(items), pa.array(score)], ["query_id", "item_id", "score"]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(np.full(len(i), tag, np.int32))] if tagged else cells, names=[*names, "tag"] if tagged else names)
+        self.held, self.count = {}, 0
+
+
 def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: str = "item_id", vector: str = "vector", exclude_self: bool = True, places: int = PLACES, on: list[str] | None = None) -> DataFrame:
     """query_id, item_id, score: inner products of a stated query set (query_id, vector) and all vectors, or with `on` those
     that are equal in these columns (a null equals nothing).
 
     Both sides are packed where they lie into blocks of at most QUERY_BLOCK and ITEM_BLOCK rows, and each two blocks (of one
-    key) are a product of matrices that sends on only its k best of a query; so what is dealt out grows with queries and
-    blocks, not with pairs, a hot key is many rows, and no vector passes the driver. Without k all pairs come.
+    key) are a product of matrices; a task sends on only its k best of a query and key. So what is dealt out grows with
+    queries and blocks, not with pairs, a hot key is many rows in DEAL parts, and no vector passes the driver. Without k all
+    pairs come.
     """
 
     def run(batches):
+        best = _Best(k or 0)
         for batch in batches:
             for q_ids, q_matrix, own_ids, matrix in zip(*batch.columns):
                 ids, items = (x.values.to_numpy(zero_copy_only=False) for x in (q_ids, own_ids))
@@ -119,20 +167,47 @@ def exact_scores(vectors: DataFrame, queries: DataFrame, k: int | None, item: st
                     s[ids[:, None] == items] = -np.inf
                 if k is None:
                     i, j = np.nonzero(np.isfinite(s))
-                else:
-                    order = np.lexsort((np.broadcast_to(items, s.shape), -s), axis=1)[:, :k]
-                    i, j = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
-                    keep = np.isfinite(s[i, j])
-                    i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(items[j]), pa.array(s[i, j])], names=["query_id", "item_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(items[j]), pa.array(s[i, j])], names=["query_id", "item_id", "score"])
+                    continue
+                best.add(ids, s, items)
+                if best.full():
+                    yield from best.rows()
+        yield from best.rows()
 
     on = on or []
     own = _blocks(vectors, item, vector, on, ITEM_BLOCK)
     asked = _blocks(queries, "query_id", "vector", on, QUERY_BLOCK).select("key", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    met = own.join(asked, "key") if on else own.drop("key").crossJoin(asked.drop("key"))  # a stated query set and all rows, in blocks
+    if on:
+        deal = F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))
+        met = own.withColumn("_part", F.pmod(F.xxhash64("ids"), F.lit(DEAL)).cast("int")).join(asked.withColumn("_part", deal), ["key", "_part"])
+    else:
+        met = own.drop("key").crossJoin(asked.drop("key"))  # a stated query set and all rows, in blocks
     return met.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "query_id long, item_id long, score double")
 
 
+def masked_search(vectors: DataFrame, queries: DataFrame, k: int, draws: str, share: str, places: int = PLACES) -> DataFrame:
+    """query_id, draw, rank, item_id, score: each query's k best items in each draw, of those whose number for the draw (an
+    array `draws` of an item's, as many for each) is below the query's `share`. Pairs stay within their blocks."""
+
+    def run(batches):
+        best = _Best(k)
+        for batch in batches:
+            for ids, matrix, drawn, q_ids, q_matrix, q_share in zip(*batch.columns):
+                qi, vi, s = _products(ids, matrix, q_ids, q_matrix, places)
+                u = drawn.values.flatten().to_numpy(zero_copy_only=False).reshape(len(vi), -1)
+                least = q_share.values.to_numpy(zero_copy_only=False)
+                for d in range(u.shape[1]):
+                    best.add(qi, np.where(u[:, d] < least[:, None], s, -np.inf), vi, d)
+                if best.full():
+                    yield from best.rows(True)
+        yield from best.rows(True)
+
+    asked = _blocks(queries, "query_id", "vector", [], QUERY_BLOCK, [share])
+    met = _met(_blocks(vectors, "item_id", "vector", [], ITEM_BLOCK, [draws]), asked).select("ids", "matrix", draws, "q_ids", "q_matrix", f"q_{share}")
+    found = met.mapInArrow(run, "query_id long, item_id long, score double, draw int")
+    return rank_by(found, ["query_id", "draw"], F.desc("score"), F.asc("item_id"), k=k).select("query_id", "draw", "rank", "item_id", "score")
+
+
 def _met(own: DataFrame, asked: DataFrame) -> DataFrame:
     """Each block of items beside each block of a stated query set, whose columns begin with q_."""
     return own.drop("key").crossJoin(asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns if c != "key"]))
@@ -180,6 +255,44 @@ def group_search(vectors: DataFrame, queries: DataFrame, k: int, group: str, ite
     return rank_by(rows, ["query_id"], F.desc("score"), F.asc("group_id"), k=k).select("query_id", "rank", "group_id", "item_id", "score")
 
 
+def group_means(vectors: DataFrame, queries: DataFrame, k: int, group: str, item: str = "item_id", vector: str = "vector", places: int = PLACES) -> DataFrame:
+    """query_id, rank, group_id, score: each query's k best groups (an integer column) by the mean, to 8 places, of their items'
+    rounded scores; ties go by the smaller group. A query isn't its own item; a null group is none.
+
+    Rows are sorted by group over range partitions, so a block holds whole groups but for its first and last. It sends on its
+    k best whole ones, and sums and counts of those two for each query, which are added up; no group has to fit a task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for ids, matrix, groups, q_ids, q_matrix in zip(*batch.columns):
+                qi, vi, s = _products(ids, matrix, q_ids, q_matrix, places)
+                g = groups.values.to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                there = np.isfinite(s)
+                n = np.add.reduceat(there.astype(np.int64), starts, axis=1)
+                sums = np.add.reduceat(np.where(there, s, 0.0), starts, axis=1)
+                own = g[starts]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    means = np.where(n > 0, np.round(sums / n, 8), -np.inf)
+                ends = sorted({0, len(starts) - 1})
+                whole = means.copy()
+                whole[:, ends] = -np.inf
+                i, found, _ = _heads(whole, np.arange(len(own)), k)
+                pi, pj = (x.ravel() for x in np.meshgrid(np.arange(len(qi)), ends, indexing="ij"))
+                i, j = np.concatenate([i, pi]), np.concatenate([found, pj])
+                keep = n[i, j] > 0
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(own[j]), pa.array(sums[i, j]), pa.array(n[i, j])], names=["query_id", "group_id", "s", "n"])
+
+    rows = vectors.select(item, vector, F.col(group).cast("long").alias("_group")).where("_group IS NOT NULL")
+    rows = rows.repartitionByRange("_group", item).sortWithinPartitions("_group", item)
+    met = _met(_blocks(rows, item, vector, [], ITEM_BLOCK, ["_group"]), _blocks(queries, "query_id", "vector", [], QUERY_BLOCK))
+    found = met.select("ids", "matrix", "_group", "q_ids", "q_matrix").mapInArrow(run, "query_id long, group_id long, s double, n long")
+    means = found.groupBy("query_id", "group_id").agg(F.round(F.sum("s") / F.sum("n"), 8).alias("score"))
+    return rank_by(means, ["query_id"], F.desc("score"), F.asc("group_id"), k=k).select("query_id", "rank", "group_id", "score")
+
+
 def global_depth(vectors: DataFrame, queries: DataFrame, targets: DataFrame, item: str = "item_id", vector: str = "vector", places: int = PLACES) -> DataFrame:
     """query_id, item_id, score, above, before of targets (query_id, item_id, score): how many items of all score more for the
     query, and how many come before the target in its full ranking (ties by the smaller item).
@@ -262,8 +375,10 @@ def rerank(base: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
 
 
 def metadata_ranking(queries: DataFrame, items: DataFrame, on: list[str], k: int) -> DataFrame:
-    """Items that pass the filter, in the order of id, score 1."""
-    met = items.select("item_id", *on).join(queries.select("query_id", *on), on).where("query_id <> item_id")
+    """Items that pass the filter, in the order of id, score 1. Only the first k + 1 of each value can be needed (a query isn't
+    its own item), so no more of them meet the queries."""
+    first = rank_by(items.select("item_id", *on).dropna(subset=on), on, F.asc("item_id"), out="_place", k=k + 1).drop("_place")
+    met = first.join(queries.select("query_id", *on), on).where("query_id <> item_id")
     return top_items(met.select("query_id", "item_id", F.lit(1.0).alias("score")), k)
 
 
