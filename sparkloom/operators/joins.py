@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+
 
 def nearest_asof(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, time: str = "ts") -> DataFrame:
     """left with right_id and gap_sec of the nearest row of right in time, either way; ties go to the earlier time, then the
@@ -56,6 +58,27 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
     return left.join(right, on, how)
 
 
+def _first_by_hash(left: DataFrame, own: DataFrame, on: list[str], left_id: str, seed: str, differ: Column | None, expect: int = 32) -> DataFrame:
+    """left_id, b: of the right rows that agree in `on`, the least (hash, id) of each left row.
+
+    Every pair is hashed, but only hashes so small that a left row has about `expect` of them are rows that are dealt out;
+    left rows without any such meet their group again without the bound.
+    """
+    from .facets import seeded
+
+    sizes = own.groupBy(*on).agg(F.count("*").alias("_n"))
+    least = F.when(F.col("_n") > expect, F.lpad(F.lower(F.hex(F.floor(F.lit(float(expect * 16**15)) / F.col("_n")).cast("long"))), 15, "0")).otherwise("g")
+    wide = left.join(sizes, on).withColumn("_least", least).drop("_n")
+    met = wide.join(own, on).where(F.col(left_id) != F.col("_right") if differ is None else differ)
+    h = seeded(seed, left_id, "_right")
+    first = lambda pairs: pairs.groupBy(left_id).agg(F.min(F.struct(h.alias("h"), F.col("_right").alias("r"))).alias("b"))
+    some = stored(first(met.where(h < F.col("_least"))), "hashes")
+    short = wide.where(F.col("_least") < "g").join(some.select(left_id), left_id, "left_anti").drop("_least")
+    if not short.limit(1).count():
+        return some
+    return some.unionByName(first(short.join(own, on).where(F.col(left_id) != F.col("_right") if differ is None else differ)))
+
+
 def fallback_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, levels: list[list[str]], seed: str, differ: Column | None = None) -> DataFrame:
     """left_id, right_id, level: for each left row a right row that agrees with it on the first level of columns that any
     right row does, the least by a hash of both ids.
@@ -73,6 +96,8 @@ def fallback_match(left: DataFrame, right: DataFrame, left_id: str, right_id: st
             met = rest.select(F.col(left_id), *on).join(own, on) if on else rest.select(left_id).crossJoin(ordered.offset(start).limit(size))
             met = met.where(F.col(left_id) != F.col("_right") if differ is None else differ)
             best = met.groupBy(left_id).agg(F.min(F.struct(seeded(seed, left_id, "_right").alias("h"), F.col("_right").alias("r"))).alias("b"))
+            if on:
+                best = stored(_first_by_hash(rest.select(F.col(left_id), *on), own, on, left_id, seed, differ), "level")
             parts.append(best.select(left_id, F.col("b.r").alias(right_id), F.lit(n).alias("level")))
             rest = rest.join(parts[-1].select(left_id), left_id, "left_anti")
             start, size = start + size, 4 * size

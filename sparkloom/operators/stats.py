@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .facets import seeded
-from .windows import average_rank
+from .windows import average_rank, range_places, with_cells
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -35,13 +36,14 @@ def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 def draws(values: DataFrame, ident: str, n: int, seed: str, by: list[str]) -> DataFrame:
     """by, draw and weight of each value in n bootstrap draws of a group: each of its places picks a place by hash.
 
-    A draw's weights are counts of picks, so a draw is a weighted sum and no draw is gathered.
+    Each pick is a row of weight 1, so a draw is a sum and no draw is gathered: counts of picks would be about as many as
+    the picks, in a table that a task has to hold.
     """
-    w = Window.partitionBy(*by)
-    placed = values.withColumn("_i", F.row_number().over(w.orderBy(ident)) - 1).withColumn("_n", F.count("*").over(w))
-    number = F.conv(F.substring(seeded(seed, "draw", "_i"), 1, 15), 16, 10).cast("bigint")
-    picks = placed.select(*by, "_i", "_n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    picks = picks.withColumn("_i", F.pmod(number, F.col("_n"))).groupBy(*by, "draw", "_i").agg(F.count("*").alias("weight"))
+    placed = range_places(values, by, ident, out="_i").withColumn("_i", F.col("_i") - 1).drop("_p")
+    hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col("_i").cast("string")), 256)
+    number = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
+    picks = placed.select(*by, "_i", "_n").repartition(*by, "_i").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    picks = picks.select(*by, "draw", F.pmod(number, F.col("_n")).alias("_i"), F.lit(1).alias("weight"))
     return picks.join(placed, [*by, "_i"]).drop("_i", "_n")
 
 
@@ -87,8 +89,8 @@ def cluster_summary(values: DataFrame, cluster: str, value: str, by: list[str],
 
 def sign_flip(values: DataFrame, ident: str, value: str, by: list[str], n: int = 200, seed: str = "11") -> DataFrame:
     """by, p: (draws whose flipped mean is at least as far from 0, plus 1) / (n + 1)."""
-    rows = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    sign = F.when(F.conv(F.substring(seeded(seed, "draw", ident), 1, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    rows = values.repartition(ident).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sign = F.when(seeded(seed, "draw", ident) < "8", 1.0).otherwise(-1.0)  # by its first digit
     flipped = rows.groupBy(*by, "draw").agg(F.round(F.abs(F.avg(F.col(value) * sign)), 9).alias("m"))
     own = values.groupBy(*by).agg(F.round(F.abs(F.avg(value)), 9).alias("own"))
     return flipped.join(own, by).groupBy(*by).agg(F.round((F.count_if(F.col("m") >= F.col("own")) + 1) / F.lit(n + 1.0), 9).alias("p"))
@@ -97,8 +99,8 @@ def sign_flip(values: DataFrame, ident: str, value: str, by: list[str], n: int =
 def shuffle_null(values: DataFrame, ident: str, value: str, by: list[str], n: int = 200, seed: str = "11") -> DataFrame:
     """by, mean, p, z: the mean against those of n random sign flips; p has one added to both counts, z is the distance from
     their mean in their standard deviations."""
-    rows = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    sign = F.when(F.conv(F.substring(seeded(seed, "draw", ident), 1, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    rows = values.repartition(ident).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sign = F.when(seeded(seed, "draw", ident) < "8", 1.0).otherwise(-1.0)  # by its first digit
     flipped = rows.groupBy(*by, "draw").agg(F.round(F.avg(F.col(value) * sign), 9).alias("m"))
     own = values.groupBy(*by).agg(F.round(F.avg(value), 9).alias("mean"))
     every = flipped.join(own, by).groupBy(*by, "mean")
@@ -178,18 +180,24 @@ def paired_accuracy(outcomes: DataFrame, item: str, condition: str, hit: str, fi
 
 def holm(df: DataFrame, p: str, by: list[str], ident: str) -> DataFrame:
     """df with p_holm: step-down, the greatest so far of (m - i + 1) p, at most 1."""
-    w = Window.partitionBy(*by).orderBy(p, ident)
-    m = F.count("*").over(Window.partitionBy(*by))
-    rows = df.withColumn("_x", (m - F.row_number().over(w) + 1) * F.col(p))
-    return rows.withColumn("p_holm", F.round(F.least(F.lit(1.0), F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))), 9)).drop("_x")
+    rows = range_places(df, by, p, ident).withColumn("_x", (F.col("_n") - F.col("_r") + 1) * F.col(p))
+    return _so_far(rows, by, F.max, F.col("_r"), F.col("_p")).withColumn("p_holm", F.round(F.least(F.lit(1.0), "_y"), 9)).drop("_x", "_y", "_r", "_n", "_p")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str], ident: str) -> DataFrame:
     """df with p_bh: step-up, the least from here on of m p / i, at most 1."""
-    w = Window.partitionBy(*by).orderBy(p, ident)
-    m = F.count("*").over(Window.partitionBy(*by))
-    rows = df.withColumn("_x", m * F.col(p) / F.row_number().over(w))
-    return rows.withColumn("p_bh", F.round(F.least(F.lit(1.0), F.min("_x").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))), 9)).drop("_x")
+    rows = range_places(df, by, p, ident).withColumn("_x", F.col("_n") * F.col(p) / F.col("_r"))
+    return _so_far(rows, by, F.min, F.desc("_r"), F.desc("_p")).withColumn("p_bh", F.round(F.least(F.lit(1.0), "_y"), 9)).drop("_x", "_y", "_r", "_n", "_p")
+
+
+def _so_far(rows: DataFrame, by: list[str], best: Callable, place: Column, part: Column) -> DataFrame:
+    """rows with _y: the best _x up to here in the order of places, within ranges and over the ranges before; a frame that runs on
+    from the current row to the end would be summed up anew for each row."""
+    before = best("_b").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    cells = rows.groupBy(*by, "_p").agg(best("_x").alias("_b")).select(*by, "_p", before.alias("_b"))
+    own = best("_x").over(Window.partitionBy(*by, "_p").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    of = F.greatest if best is F.max else F.least
+    return with_cells(rows.withColumn("_y", own), cells, [*by, "_p"]).withColumn("_y", of("_y", "_b")).drop("_b")
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
 from .facets import seeded
 
 
@@ -69,6 +70,31 @@ def hash_places(df: DataFrame, ident: str, seed: str, by: list[str], out: str =
     return placed.drop("_h", "_c", "_cell", "_above", *[f"_by{i}" for i in range(len(by))])
 
 
+def range_places(df: DataFrame, by: list[str], *order: str, out: str = "_r") -> DataFrame:
+    """df with `out`, each row's place from 1 by the columns `order` in its group of `by`, `_n`, the group's rows, and `_p`, the
+    range it lies in: places rise with ranges.
+
+    Rows are dealt out by ranges of group and order, stored, and ranked within a range and group; counts of these give the
+    offsets, so a group of any size is sorted in many tasks.
+    """
+    rows = stored(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    cells = rows.groupBy(*by, "_p").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*by)
+    above = F.coalesce(F.sum("_k").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(*by, "_p", above.alias("_above"), F.sum("_k").over(w).alias("_n"))
+    placed = rows.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)))
+    return with_cells(placed, cells, [*by, "_p"]).withColumn(out, F.col(out) + F.col("_above")).drop("_above")
+
+
+def with_cells(df: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
+    """df with the other columns of its row of cells; nulls in `on` meet nulls."""
+    few = cells.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in cells.columns if c not in on])
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_on{i}"))
+    return df.join(few, same).drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def folds(df: DataFrame, value: str, k: int, seed: str, *by: str) -> DataFrame:
     """value, fold of the distinct values: their places by a hash, modulo k, so folds are even and runs agree."""
     placed = hash_places(df.select(*by, value).distinct(), value, seed, list(by))
