@@ -6,7 +6,10 @@ import csv
 import io
 import json
 import zipfile
+from collections import Counter
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,21 +97,60 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType)
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path).withColumn("source_path", F.col("_metadata.file_path"))
 
 
+def _under(text: str) -> ElementTree.Element:
+    """A text's root below another element, so that a path from the start finds it."""
+    above = ElementTree.Element("above")
+    above.append(ElementTree.fromstring(text))
+    return above
+
+
 def xml_text(c: Column | str, path: str) -> Column:
-    return F.xpath_string(c, F.lit(path))
+    """The text of the first element at a path of names, or of an attribute at its end ("/a/@b"); "" without one."""
+    of, _, attr = path.partition("/@")
+
+    def texts(raw: pd.Series) -> pd.Series:
+        def first(text):
+            if text is None:
+                return None
+            found = _under(text).findall(f".{of}")
+            values = (e.get(attr) for e in found) if attr else ("".join(e.itertext()) for e in found)
+            return next((v for v in values if v is not None), "")
+
+        return raw.map(first)
+
+    return F.pandas_udf(texts, "string")(c)
 
 
 def xml_count(c: Column | str, path: str) -> Column:
-    return F.xpath_number(c, F.lit(f"count({path})")).cast("int")
+    """The number of elements at a path of names."""
+    return F.pandas_udf(lambda raw: raw.map(lambda text: None if text is None else len(_under(text).findall(f".{path}"))).astype("Int32"), "int")(c)
+
+
+def _marks(labels: DataFrame, raw: str, element: str, frame: str, label: str, dropped: str | None) -> DataFrame:
+    """labels without `raw`, with a row for each frame and label of a text: frame, label and their number n. Each text is parsed
+    once, in batches; a null text or one without elements has no row, and one that isn't XML fails."""
+    path = f".{element}"
+    rest = [c for c in labels.columns if c != raw]
+
+    def counts(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            found: Counter = Counter()
+            if text is not None:
+                found.update((e.get(frame), e.get(label)) for e in _under(text).findall(path) if dropped is None or e.get(dropped) != "False")
+            out.append([{"frame": f, "label": x, "n": n} for (f, x), n in found.items()])
+        return pd.Series(out)
+
+    marks = F.pandas_udf(counts, "array<struct<frame:string,label:string,n:long>>")
+    rows = labels.select(*rest, F.explode(marks(F.col(raw))).alias("_x"))
+    return rows.select(*rest, F.col("_x.frame").cast("int").alias("frame"), F.col("_x.label").alias("label"), F.col("_x.n").alias("n"))
 
 
 def frame_counts(labels: DataFrame, raw: str, ident: str, element: str, frame: str, label: str, dropped: str | None = None) -> DataFrame:
-    """ident, frame, label, n of XML labels (element: a path; frame, label, dropped: attributes), elements whose `dropped`
-    attribute is "False" left out."""
-    pick = lambda attr: F.xpath(raw, F.lit(f"{element}/@{attr}"))
-    where = f"{element}[not(@{dropped}='False')]" if dropped else element
-    rows = labels.select(ident, F.arrays_zip(F.xpath(raw, F.lit(f"{where}/@{frame}")).alias("frame"), F.xpath(raw, F.lit(f"{where}/@{label}")).alias("label")).alias("z"))
-    return rows.select(ident, F.explode("z").alias("x")).groupBy(ident, F.col("x.frame").cast("int").alias("frame"), F.col("x.label").alias("label")).agg(F.count("*").alias("n"))
+    """ident, frame, label, n of XML labels (element: a path of names; frame, label, dropped: attributes), elements whose
+    `dropped` attribute is "False" left out."""
+    rows = _marks(labels.select(ident, raw), raw, element, frame, label, dropped)
+    return rows.groupBy(ident, "frame", "label").agg(F.sum("n").alias("n"))
 
 
 def read_by_folder(spark: SparkSession, path: str) -> DataFrame:
