@@ -213,14 +213,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(met.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, linked boolean"))
 
 
-def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _proposed(slim: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs a < b that `groups` (text_hash, group) proposes: each set of a group with the group's smallest, so no pairs of all."""
+    texts = groups.select(F.col("text_hash").alias("th"), "group").distinct()
+    own = cut(slim.where("n > 0").select("th", "node").distinct().join(texts, "th").join(nodes.select("node"), "node").select("group", "node").distinct())
+    heads = own.groupBy("group").agg(F.min("node").alias("head"))
+    return own.join(heads, "group").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str, block: int, proposed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, th, n, node of each row (equal sets are one node); node, least of each set with words; node, root of sets that
     have links.
 
     All shingles stand in one order: by hash, the most frequent ones last. Linked sets share one of their first shingles in
     that order, so these name the tiles, and nothing is lost by any choice of what is frequent. Tiles of near copies make few
     pairs: the first two rounds keep a forest of what signatures let link, exact intersection judges it, and only sets that are
-    still apart then meet in all pairs that signatures let link. Sets are told apart by 64 bits of a hash.
+    still apart then meet in all pairs that signatures let link. Sets are told apart by 64 bits of a hash. Groups that are
+    `proposed` come first: they are judged like the forest, so they save pairs and change no link.
     """
     own = F.col(f"`{text}`").cast("string")
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("th"), own.alias("text"))
@@ -247,7 +256,10 @@ def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str
         return part.withColumn("root", F.col("node")) if roots is None else part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # what may link, as a forest over all sets that have any such partner; then the sets, and what is left
-    likely = cut(_candidates(at(F.col("pos") <= FIRST, None), nodes, percent, False, block))
+    guessed = None if proposed is None else cut(_proposed(slim, nodes, proposed))
+    release(spark)
+    likely = cut(_candidates(at(F.col("pos") <= FIRST, None if guessed is None else cut(components(guessed))), nodes, percent, False, block))
+    likely = likely if guessed is None else guessed.unionByName(likely)
     more = cut(_candidates(at(F.lit(True), cut(components(likely))), nodes, percent, False, block))
     release(spark)
     tried = likely.unionByName(more)
@@ -280,10 +292,14 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words_in: int = 4, do
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words_in: int = 5, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words_in: int = 5, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, proposed: DataFrame | None = None) -> DataFrame:
     """doc_id, group (a set's id), component_id (the group's smallest doc_id) and text_hash of each row, linked as by
-    `jaccard_components`, but that texts without words are one group."""
-    slim, _, reach = _linked(docs, percent, words_in, doc_id, text, block)
+    `jaccard_components`, but that texts without words are one group.
+
+    `proposed` (text_hash, group) of the same rows, as by `simhash.near_duplicates`: groups whose links are verified before
+    any others are looked for. Wrong ones cost time only.
+    """
+    slim, _, reach = _linked(docs, percent, words_in, doc_id, text, block, proposed)
     nodes = slim.groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = cut(nodes.join(reach, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group")))
     firsts = cut(grouped.groupBy("group").agg(F.min("least").alias("component_id")))

@@ -63,3 +63,30 @@ def test_stage_drops_edited_copies(spark, tmp_path):
     assert all(alike(brute(a), brute(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
     kept = corpus_pipeline.remove_near_duplicates(spark, docs(spark, rows), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [2 * k for k in range(40)]
+
+
+def test_stage_takes_its_first_links_from_fingerprints(spark, tmp_path, monkeypatch):
+    """The stage's groups by multi-index hashing reach the verification, edits that they miss are found, wrong groups change nothing."""
+    import numpy as np
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import simhash
+    from sparkloom.llm.shingles import shingle_set
+
+    rng, seen = random.Random(14), []
+    rows = [(3 * k + c, t) for k in range(6) for base in [prose(400, k)] for c, t in enumerate((base, base + " end", edited(base, 8, rng)))]
+    judged = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: seen.append(pairs) or judged(pairs, *a))
+    table = docs(spark, rows)
+    kept = corpus_pipeline.remove_near_duplicates(spark, table, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [3 * k for k in range(6)]
+    node = {i: int(np.uint64(xxhash.xxh3_64_intdigest(shingle_set(t, 5).tobytes())).astype(np.int64)) for i, t in rows}
+    want = {}
+    for r in simhash.near_duplicates(table, words_in=5).collect():
+        want.setdefault(r.group, set()).add(node[r.doc_id])
+    pairs = {(r.a, r.b) for r in seen[0].collect()}
+    want = [g for g in want.values() if len(g) > 1]
+    assert want and all(tuple(sorted((min(g), n))) in pairs for g in want for n in g - {min(g)})
+    one = table.select(F.xxhash64("text").alias("text_hash"), F.lit(1).cast("long").alias("group"))
+    assert all(r.component_id == r.doc_id - r.doc_id % 3 for r in jaccard.near_duplicates(table, proposed=one).collect())
