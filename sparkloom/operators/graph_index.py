@@ -40,7 +40,7 @@ def _meet(k: int):
             ids, at = np.unique(ids, return_index=True)
             if len(ids) < 2:
                 continue
-            v = np.array(g.column(2).to_pylist(), np.float64)[at]
+            v = g.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(g.num_rows, -1)[at]  # numbers stay in their buffers
             s = np.round(v @ v.T, PLACES)
             np.fill_diagonal(s, -np.inf)
             best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : min(k, len(ids) - 1)]

@@ -108,3 +108,38 @@ def test_a_partial_index_reads_its_own_folders(items, asked):
         assert 0 < files.count() < index.select("_metadata.file_path").distinct().count()
         few, _ = X.pruned_search(index, asked, one, "label", label, 10, True)
         assert few.count() <= found.count()
+
+
+def test_vectors_of_a_group_stay_in_their_buffers(monkeypatch):
+    """Groups of rows meet without a Python object for each number, also where a key spans batches."""
+    import pyarrow as pa
+
+    v = np.random.default_rng(3).normal(size=(30, 8))
+    t = pa.table({"key": [0] * 10 + [1] * 20, "node": list(range(30)), "vector": pa.array(v.tolist(), pa.list_(pa.float64()))})
+
+    class Held:
+        """A column that refuses to become Python objects."""
+
+        def __init__(self, c):
+            self.c = c
+
+        def __getattr__(self, name):
+            assert name != "to_pylist"
+            return getattr(self.c, name)
+
+    class Rows:
+        def __init__(self, g):
+            self.g, self.num_rows = g, g.num_rows
+
+        def column(self, k):
+            return Held(self.g.column(k))
+
+    groups = G._groups
+    monkeypatch.setattr(G, "_groups", lambda b: (Rows(g) for g in groups(b)))
+    got = {(s, d): x for b in G._meet(3)(iter(t.to_batches(max_chunksize=7))) for s, d, x in zip(*(c.to_pylist() for c in b.columns))}
+    want = {}
+    for ids in (range(10), range(10, 30)):
+        for i in ids:
+            best = sorted((j for j in ids if j != i), key=lambda j: (-round(v[i] @ v[j], 6), j))[:3]
+            want |= {(i, j): v[i] @ v[j] for j in best}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
