@@ -25,6 +25,8 @@ SAMPLE = 16
 FREQUENT = 4
 #: Rows of a tile that meet in one task; larger tiles are cut into blocks whose pairs are dealt out.
 BLOCK = 2048
+#: Shingles of the sets of a block, where sets themselves meet: 32 MB.
+HELD = 1 << 22
 #: Shingles of each set whose tiles are searched first, its most shared ones, to group near copies before the rest meet.
 FIRST = 2
 
@@ -80,14 +82,14 @@ def _signed(docs: DataFrame, words_in: int, percent: int, last: np.ndarray) -> D
 
 
 def _gathered(picked: DataFrame, asked: DataFrame, words_in: int) -> DataFrame:
-    """node and its set, ascending, of the nodes asked for (node, d, t: a row's doc_id and hash of text)."""
+    """node and its set, ascending hashes as bytes, of the nodes asked for (node, d, t: a row's doc_id and hash of text)."""
 
     def gather(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_longs(shingle_set(t.as_py(), words_in)) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words_in).tobytes() for t in b.column(1)], pa.binary())], names=["node", "set"])
 
     found = picked.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
-    return found.dropDuplicates(["node"]).mapInArrow(lean(gather), "node long, set array<long>")
+    return found.dropDuplicates(["node"]).mapInArrow(lean(gather), "node long, set binary")
 
 
 def _frequent(picked: DataFrame, words_in: int) -> np.ndarray:
@@ -116,57 +118,127 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(-log(percent / 100) + 1e-12)).cast("int")
 
 
+def _cells(batches):
+    """Rows of each cell of tiles; they come sorted by tile, cell, then key."""
+    held, key = [], None
+    for b in batches:
+        for r in b.to_pylist():
+            k = (r["tok"], r["band"], r["i"], r["j"])
+            if k != key and held:
+                yield held
+                held = []
+            key = k
+            held.append(r)
+    if held:
+        yield held
+
+
+def _meeting(rows: list[dict], percent: int):
+    """root (a number for each row's root) of a cell's rows, and room(k): the rows after row k that aren't tied to it yet and
+    whose signatures leave room for a link with it. Who changes root changes what room gives."""
+    words = min(len(r["sig"]) for r in rows) // 8
+    sigs = np.stack([fold(np.frombuffer(r["sig"], "<u8")[None], words)[0] for r in rows])
+    cross = rows[0]["i"] != rows[0]["j"]
+    n, side, guest = (np.array([r[c] for r in rows]) for c in ("n", "block", "guest"))
+    _, root = np.unique([r["root"] for r in rows], return_inverse=True)
+
+    def room(k: int) -> np.ndarray:
+        rest = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
+        if cross:
+            rest = rest[side[rest] != side[k]]
+        if guest[k]:
+            rest = rest[~guest[rest]]
+        both = n[k] + n[rest]
+        apart = np.bitwise_count(sigs[rest] ^ sigs[k]).sum(1, dtype=np.int64)
+        # overlap <= (both - apart) / 2, and a link needs (100 + percent) overlap >= percent both
+        return rest[(100 + percent) * (both - apart) >= 2 * percent * both]
+
+    return root, room
+
+
 def _prune(percent: int):
-    """Candidates among the rows of each cell of tiles, for mapInArrow; rows come sorted by tile, cell, then key.
+    """Candidates among the rows of each cell of tiles, for mapInArrow.
 
     A row that opens a link first meets all others of the cell that aren't tied to it yet; a pair is kept if its signatures
-    leave room for enough overlap. With `every`, all pairs of different roots that have room are kept; else those only
-    that tie rows together, by way of what has been kept so far.
+    leave room for enough overlap and it ties rows together that what has been kept so far does not.
     """
 
-    def cells(batches):
-        held, key = [], None
-        for b in batches:
-            for r in b.to_pylist():
-                k = (r["tok"], r["band"], r["i"], r["j"])
-                if k != key and held:
-                    yield held
-                    held = []
-                key = k
-                held.append(r)
-        if held:
-            yield held
+    def run(batches):
+        a, b = [], []
+        for rows in _cells(batches):
+            root, room = _meeting(rows, percent)
+            for k in range(len(rows) - 1):
+                may = room(k)
+                for m in may[np.sort(np.unique(root[may], return_index=True)[1])].tolist():
+                    x, y = sorted((rows[k]["node"], rows[m]["node"]))
+                    a.append(x)
+                    b.append(y)
+                    root[root == root[m]] = root[k]
+            if len(a) > 4096:
+                yield _pairs(a, b)
+                a, b = [], []
+        yield _pairs(a, b)
+
+    return run
+
+
+def _roomy(percent: int):
+    """What of each cell's rows may link yet, for mapInArrow: (node, node) of a row that another root's row has room for, and
+    pairs a < b with room, a forest of each cell, that tie together all such rows. No more of either than rows come in."""
 
     def run(batches):
         a, b = [], []
-        for rows in cells(batches):
-            every, cross = rows[0]["every"], rows[0]["i"] != rows[0]["j"]
-            words = min(len(r["sig"]) for r in rows) // 8
-            sigs = np.stack([fold(np.frombuffer(r["sig"], "<u8")[None], words)[0] for r in rows])
-            n = np.array([r["n"] for r in rows])
-            side = np.array([r["block"] for r in rows])
-            guest = np.array([r["guest"] for r in rows])
-            _, root = np.unique([r["root"] for r in rows], return_inverse=True)
+        for rows in _cells(batches):
+            root, room = _meeting(rows, percent)
+            tied, hit = root.copy(), np.zeros(len(rows), bool)
             for k in range(len(rows) - 1):
-                rest = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
-                if cross:
-                    rest = rest[side[rest] != side[k]]
-                if guest[k]:
-                    rest = rest[~guest[rest]]
-                if not len(rest):
+                may = room(k)
+                if not len(may):
                     continue
-                both = n[k] + n[rest]
-                apart = np.bitwise_count(sigs[rest] ^ sigs[k]).sum(1, dtype=np.int64)
-                # overlap <= (both - apart) / 2, and a link needs (100 + percent) overlap >= percent both
-                room = rest[(100 + percent) * (both - apart) >= 2 * percent * both]
-                if not every:
-                    room = room[np.sort(np.unique(root[room], return_index=True)[1])]
-                for m in room.tolist():
+                hit[may] = hit[k] = True
+                may = may[tied[may] != tied[k]]
+                for m in may[np.unique(tied[may], return_index=True)[1]].tolist():
                     x, y = sorted((rows[k]["node"], rows[m]["node"]))
                     a.append(x)
                     b.append(y)
-                    if not every:
-                        root[root == root[m]] = root[k]
+                    tied[tied == tied[m]] = tied[k]
+            for k in np.flatnonzero(hit).tolist():
+                a.append(rows[k]["node"])
+                b.append(rows[k]["node"])
+            if len(a) > 4096:
+                yield _pairs(a, b)
+                a, b = [], []
+        yield _pairs(a, b)
+
+    return run
+
+
+def _tied(percent: int):
+    """Links among the rows of each cell, for mapInArrow, by intersection of their sets: a forest that ties all rows that links
+    of the cell tie, so fewer rows than come in, however many pairs have room."""
+
+    def run(batches):
+        a, b = [], []
+        for rows in _cells(batches):
+            sets = [np.frombuffer(r["set"], "<u8") for r in rows]
+            for r, s in zip(rows, sets):
+                r["sig"] = signature(s)
+            root, room = _meeting(rows, percent)
+            for k in range(len(rows) - 1):
+                may, own = room(k), sets[k]
+                while len(may):
+                    now, may = may[:64], may[64:]
+                    size = np.array([len(sets[m]) for m in now])
+                    met = np.concatenate([sets[m] for m in now])
+                    same = own[np.minimum(np.searchsorted(own, met), len(own) - 1)] == met
+                    both = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64)
+                    for m in now[100 * both >= percent * (len(own) + size - both)].tolist():
+                        if root[m] != root[k]:
+                            x, y = sorted((rows[k]["node"], rows[m]["node"]))
+                            a.append(x)
+                            b.append(y)
+                            root[root == root[m]] = root[k]
+                    may = may[root[may] != root[k]]
             if len(a) > 4096:
                 yield _pairs(a, b)
                 a, b = [], []
@@ -179,32 +251,52 @@ def _pairs(a, b):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _candidates(tiles: DataFrame, nodes: DataFrame, percent: int, every: bool, block: int) -> DataFrame:
-    """Pairs a < b of tiles' rows (tok, node, n, root) whose signatures leave room for a link.
+def _dealt(tiles: DataFrame, more: DataFrame, percent: int, block: int, held: int = 0) -> DataFrame:
+    """Tiles' rows (tok, node, n, root) with what `more` has of their nodes, dealt to cells and sorted within each.
 
     A tile is a shingle and a size band: sets of the band, and as guests those of the band above, which don't meet each other
-    there. Large tiles are cut into blocks by a hash, and each pair of blocks is a cell.
+    there. Large tiles are cut into blocks by a hash, and each pair of blocks is a cell. With `held`, a block's sets have
+    so many shingles at most, give or take the hash, down to 16 sets.
     """
     own = _band(F.col("n"), percent)
     placed = tiles.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("guest", F.col("band") < F.col("own"))
-    sizes = placed.groupBy("tok", "band").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("guest").alias("all_guests")).where("lo <> hi and not all_guests").select("tok", "band", F.ceil(F.col("c") / block).cast("int").alias("g"))
+    most = F.least(F.lit(float(block)), F.greatest(F.lit(16.0), F.lit(float(held)) / F.max("n"))) if held else F.lit(float(block))
+    sizes = placed.groupBy("tok", "band").agg(F.ceil(F.count("*") / most).cast("int").alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("guest").alias("all_guests")).where("lo <> hi and not all_guests").select("tok", "band", "g")
     met = placed.join(sizes, ["tok", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = met.select("tok", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "node", "root").join(nodes.select("node", "n", "sig", "shared"), "node").withColumn("every", F.lit(every))
-    sortable = dealt.repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j", F.desc("shared"), "node")
-    return sortable.mapInArrow(lean(_prune(percent)), "a long, b long").distinct()
+    dealt = met.select("tok", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "node", "n", "root").join(more, "node")
+    return dealt.repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j", F.desc("shared"), "node")
+
+
+def _candidates(tiles: DataFrame, nodes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs a < b of tiles' rows (tok, node, n, root) whose signatures leave room for a link: a forest of each cell."""
+    return _dealt(tiles, nodes.select("node", "sig", "shared"), percent, block).mapInArrow(lean(_prune(percent)), "a long, b long").distinct()
+
+
+def _ties(tiles: DataFrame, nodes: DataFrame, links: DataFrame, reach: DataFrame, picked: DataFrame, percent: int, words_in: int, block: int) -> DataFrame:
+    """Links a < b that tie all of the tiles' rows (tok, node, n, root) that any link between two roots ties.
+
+    Pairs with room fall within clusters of what `links` and the tiles' forests tie. The clusters' sets that have room then
+    meet as tiles do, each set once for a cluster instead of once for each shingle; pairs without a link arise in a task and
+    stay there.
+    """
+    may = cut(_dealt(tiles, nodes.select("node", "sig", "shared"), percent, block).mapInArrow(lean(_roomy(percent)), "a long, b long").distinct())
+    asked = nodes.join(may.where("a = b").select(F.col("a").alias("node")), "node").select("node", "d", "t", "n", "shared")
+    sets = cut(_gathered(picked, asked.select("node", "d", "t"), words_in).join(nodes.select("node", "shared"), "node"))
+    clusters = cut(components(links.unionByName(may.where("a < b"))))
+    left = asked.select("node", "n").join(clusters.withColumnRenamed("root", "tok"), "node").join(reach, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root"))
+    found = cut(_dealt(cut(left), sets, percent, block, HELD).mapInArrow(lean(_tied(percent)), "a long, b long").distinct())
+    drop(may, sets)
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs whose sets link, by intersection of sorted arrays."""
+    """Those of the pairs whose sets link, by intersection of their hashes."""
 
     def run(batches):
         for b in batches:
-            keep, flat = [], []
-            for k in (2, 3):
-                col = b.column(k)
-                flat.append((col.flatten().to_numpy().view("<u8"), np.diff(col.offsets.to_numpy()), col.offsets.to_numpy() - col.offsets[0].as_py()))
+            keep = []
             for m in range(b.num_rows):
-                x, y = (v[at[m] : at[m] + size[m]] for v, size, at in flat)
+                x, y = (np.frombuffer(b.column(k)[m].as_py(), "<u8") for k in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
@@ -228,7 +320,8 @@ def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str
     All shingles stand in one order: by hash, the most frequent ones last. Linked sets share one of their first shingles in
     that order, so these name the tiles, and nothing is lost by any choice of what is frequent. Tiles of near copies make few
     pairs: the first two rounds keep a forest of what signatures let link, exact intersection judges it, and only sets that are
-    still apart then meet in all pairs that signatures let link. Sets are told apart by 64 bits of a hash. Groups that are
+    still apart and that signatures let link then meet, where intersections are taken in the task and a forest of links alone
+    comes out. Sets are told apart by 64 bits of a hash. Groups that are
     `proposed` come first: they are judged like the forest, so they save pairs and change no link.
     """
     own = F.col(f"`{text}`").cast("string")
@@ -258,20 +351,21 @@ def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str
     # what may link, as a forest over all sets that have any such partner; then the sets, and what is left
     guessed = None if proposed is None else cut(_proposed(slim, nodes, proposed))
     release(spark)
-    likely = cut(_candidates(at(F.col("pos") <= FIRST, None if guessed is None else cut(components(guessed))), nodes, percent, False, block))
+    likely = cut(_candidates(at(F.col("pos") <= FIRST, None if guessed is None else cut(components(guessed))), nodes, percent, block))
     likely = likely if guessed is None else guessed.unionByName(likely)
-    more = cut(_candidates(at(F.lit(True), cut(components(likely))), nodes, percent, False, block))
+    more = cut(_candidates(at(F.lit(True), cut(components(likely))), nodes, percent, block))
     release(spark)
     tried = likely.unionByName(more)
     asked = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     sets = cut(_gathered(picked, nodes.join(asked, "node").select("node", "d", "t"), words_in))
     links = _verified(tried, sets, percent)
     reach = cut(components(links.where("linked")))
-    rest = cut(_candidates(at(F.lit(True), reach), nodes, percent, True, block).join(links, ["a", "b"], "left_anti"))
+    drop(sets)
+    links = links.where("linked").select("a", "b")
+    links = links.unionByName(_ties(at(F.lit(True), reach), nodes, links, reach, picked, percent, words_in, block))
+    reach = cut(components(links))
     release(spark)
-    links = links.unionByName(_verified(rest, sets, percent))
-    reach = cut(components(links.where("linked")))
-    drop(sets, tiles, nodes)
+    drop(tiles, nodes)
     return slim, named, reach
 
 
