@@ -89,7 +89,7 @@ s AS (SELECT query_id, item_id, sum(d.tf * q.tf * idf * idf) AS s FROM d JOIN q
 r AS (SELECT query_id, item_id, round(s / (dn * qn), 6) AS score FROM s JOIN dn USING (item_id) JOIN qn USING (query_id))
 SELECT query_id, rank::INT AS rank, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r) WHERE rank <= 10""")
 def tfidf(t):
-    return R.top_items(L.tfidf_cosine(docs(t), asked(t)), 10)
+    return R.top_items(L.tfidf_cosine(docs(t), asked(t), 10), 10)
 
 
 @query("VEC21", f"""WITH {_TOKENS}, {_GRAMS}, h AS (SELECT item_id, md5(term) AS h FROM (SELECT item_id, unnest(g) AS term FROM own)),
