@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, drop
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node it reaches) of every node that has a link, by alternating large and small stars.
 
     Each round ties a node's larger neighbours, then its smaller ones, to the smallest of them; rounds grow as the
-    logarithm of the longest path, and links never grow in number. Each round is cut, and one count comes to the driver.
+    logarithm of the longest path, and links never grow in number. Each round is cut, one count comes to the driver, and the round's files go.
     A node's neighbours meet as rows of a join and a minimum, never as one list.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
@@ -25,6 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = cut(small)
         changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
+        drop(edges, least, large)
         edges = after
         if not changed:
             break

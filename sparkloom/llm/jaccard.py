@@ -27,13 +27,19 @@ FREQUENT = 4
 BLOCK = 2048
 #: Shingles of the sets of a block, where sets themselves meet: 32 MB.
 HELD = 1 << 22
+#: So many times more shingles have the sets of a block whose wide signatures meet: 16 MB.
+WIDER = 8
 #: Shingles of each set whose tiles are searched first, its most shared ones, to group near copies before the rest meet.
 FIRST = 2
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """Bit b is set if an odd number of shingles falls on b: two signatures differ in no more bits than the sets in shingles."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(hashes) // 2 - 1).bit_length()))
+def signature(hashes: np.ndarray, wide: bool = False) -> bytes:
+    """Bit b is set if an odd number of shingles falls on b: two signatures differ in no more bits than the sets in shingles.
+
+    A wide one has two to four bits for each shingle, a sixteenth to a thirty-second of the set: it leaves room for few sets
+    that don't link.
+    """
+    bits = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if wide else min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(hashes) // 2 - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -82,14 +88,28 @@ def _signed(docs: DataFrame, words_in: int, percent: int, last: np.ndarray) -> D
 
 
 def _gathered(picked: DataFrame, asked: DataFrame, words_in: int) -> DataFrame:
-    """node and its set, ascending hashes as bytes, of the nodes asked for (node, d, t: a row's doc_id and hash of text)."""
+    """node, shared and the set, ascending hashes as bytes, of the nodes asked for (node, shared, d, t: a row's doc_id and hash
+    of text). Texts are dealt once: repeated rows meet where the join has put them."""
 
     def gather(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words_in).tobytes() for t in b.column(1)], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t.as_py(), words_in).tobytes() for t in b.column(2)], pa.binary())], names=["node", "shared", "set"])
+
+    texts = picked.select(F.struct("doc_id", "th").alias("key"), "text")  # structs are equal where both have null
+    keys = asked.select(F.struct(F.col("d").alias("doc_id"), F.col("t").alias("th")).alias("asked"), "node", "shared")
+    found = texts.join(keys, F.col("key") == F.col("asked")).dropDuplicates(["asked", "node"])
+    return found.select("node", "shared", "text").mapInArrow(lean(gather), "node long, shared long, set binary")
 
-    found = picked.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
-    return found.dropDuplicates(["node"]).mapInArrow(lean(gather), "node long, set binary")
+
+def _widened(sets: DataFrame) -> DataFrame:
+    """node, shared and the wide signature of each set."""
+
+    def run(batches):
+        for b in batches:
+            sigs = [signature(np.frombuffer(s.as_py(), "<u8"), wide=True) for s in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary())], names=["node", "shared", "sig"])
+
+    return sets.select("node", "shared", "set").mapInArrow(lean(run), "node long, shared long, sig binary")
 
 
 def _frequent(picked: DataFrame, words_in: int) -> np.ndarray:
@@ -272,20 +292,38 @@ def _candidates(tiles: DataFrame, nodes: DataFrame, percent: int, block: int) ->
     return _dealt(tiles, nodes.select("node", "sig", "shared"), percent, block).mapInArrow(lean(_prune(percent)), "a long, b long").distinct()
 
 
-def _ties(tiles: DataFrame, nodes: DataFrame, links: DataFrame, reach: DataFrame, picked: DataFrame, percent: int, words_in: int, block: int) -> DataFrame:
+def _clustered(may: DataFrame, owned: DataFrame) -> DataFrame:
+    """tok (a cluster), node, n, root of the nodes that `may`, of `_roomy`, has marked: what its pairs tie of roots is a cluster."""
+    x, y = (owned.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+    clusters = components(may.where("a < b").join(x, "a").join(y, "b"), "root_a", "root_b")
+    marked = owned.join(may.where("a = b").select(F.col("a").alias("node")), "node")
+    return marked.join(clusters.select(F.col("root").alias("tok"), F.col("node").alias("root")), "root").select("tok", "node", "n", "root")
+
+
+def _ties(tiles: DataFrame, nodes: DataFrame, reach: DataFrame, picked: DataFrame, percent: int, words_in: int, block: int) -> DataFrame:
     """Links a < b that tie all of the tiles' rows (tok, node, n, root) that any link between two roots ties.
 
-    Pairs with room fall within clusters of what `links` and the tiles' forests tie. The clusters' sets that have room then
-    meet as tiles do, each set once for a cluster instead of once for each shingle; pairs without a link arise in a task and
-    stay there.
+    Pairs with room fall within clusters of what the roots and the tiles' forests tie. The clusters' sets that have room then
+    meet as tiles do, each once for a cluster instead of once for each shingle: first wide signatures, which are small enough
+    for many to a block, then the sets that these leave room for, in the clusters that are left. A large cluster's sets
+    are thus not dealt once for each of its blocks; pairs without a link arise in a task and stay there.
     """
-    may = cut(_dealt(tiles, nodes.select("node", "sig", "shared"), percent, block).mapInArrow(lean(_roomy(percent)), "a long, b long").distinct())
-    asked = nodes.join(may.where("a = b").select(F.col("a").alias("node")), "node").select("node", "d", "t", "n", "shared")
-    sets = cut(_gathered(picked, asked.select("node", "d", "t"), words_in).join(nodes.select("node", "shared"), "node"))
-    clusters = cut(components(links.unionByName(may.where("a < b"))))
-    left = asked.select("node", "n").join(clusters.withColumnRenamed("root", "tok"), "node").join(reach, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root"))
-    found = cut(_dealt(cut(left), sets, percent, block, HELD).mapInArrow(lean(_tied(percent)), "a long, b long").distinct())
-    drop(may, sets)
+    spark = tiles.sparkSession
+
+    def roomy(rows: DataFrame, more: DataFrame, held: int = 0) -> DataFrame:
+        return cut(_dealt(rows, more, percent, block, held).mapInArrow(lean(_roomy(percent)), "a long, b long").distinct())
+
+    owned = cut(nodes.select("node", "n").join(reach, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+    may = roomy(tiles, nodes.select("node", "sig", "shared"))
+    left = cut(_clustered(may, owned))
+    release(spark)
+    sets = cut(_gathered(picked, nodes.join(left.select("node"), "node").select("node", "d", "t", "shared"), words_in))
+    release(spark)
+    fine = roomy(left, _widened(sets), WIDER * HELD)
+    near = cut(_clustered(fine, owned))
+    found = cut(_dealt(near, sets.join(near.select("node"), "node", "left_semi"), percent, block, HELD).mapInArrow(lean(_tied(percent)), "a long, b long").distinct())
+    release(spark)
+    drop(owned, may, left, sets, fine, near)
     return found
 
 
@@ -320,8 +358,8 @@ def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str
     All shingles stand in one order: by hash, the most frequent ones last. Linked sets share one of their first shingles in
     that order, so these name the tiles, and nothing is lost by any choice of what is frequent. Tiles of near copies make few
     pairs: the first two rounds keep a forest of what signatures let link, exact intersection judges it, and only sets that are
-    still apart and that signatures let link then meet, where intersections are taken in the task and a forest of links alone
-    comes out. Sets are told apart by 64 bits of a hash. Groups that are
+    still apart and that signatures, narrow and then wide ones, let link then meet, where intersections are taken in the task and
+    a forest of links alone comes out. Sets are told apart by 64 bits of a hash. Groups that are
     `proposed` come first: they are judged like the forest, so they save pairs and change no link.
     """
     own = F.col(f"`{text}`").cast("string")
@@ -337,6 +375,7 @@ def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str
     first = heads.select("node", F.explode("first").alias("tok"))
     again = first.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")  # shingles that two sets name at least
     known = cut(first.join(again, "tok"))
+    release(spark)
     nodes = cut(heads.drop("first").join(known.groupBy("node").agg(F.count("*").alias("shared")), "node"))
     drop(heads)
     release(spark)
@@ -357,12 +396,14 @@ def _linked(docs: DataFrame, percent: int, words_in: int, doc_id: str, text: str
     release(spark)
     tried = likely.unionByName(more)
     asked = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_gathered(picked, nodes.join(asked, "node").select("node", "d", "t"), words_in))
+    sets = cut(_gathered(picked, nodes.join(asked, "node").select("node", "d", "t", "shared"), words_in))
+    release(spark)
     links = _verified(tried, sets, percent)
+    release(spark)
     reach = cut(components(links.where("linked")))
     drop(sets)
     links = links.where("linked").select("a", "b")
-    links = links.unionByName(_ties(at(F.lit(True), reach), nodes, links, reach, picked, percent, words_in, block))
+    links = links.unionByName(_ties(at(F.lit(True), reach), nodes, reach, picked, percent, words_in, block))
     reach = cut(components(links))
     release(spark)
     drop(tiles, nodes)
