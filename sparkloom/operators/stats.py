@@ -37,14 +37,15 @@ def draws(values: DataFrame, ident: str, n: int, seed: str, by: list[str]) -> Da
     """by, draw and weight of each value in n bootstrap draws of a group: each of its places picks a place by hash.
 
     Each pick is a row of weight 1, so a draw is a sum and no draw is gathered: counts of picks would be about as many as
-    the picks, in a table that a task has to hold.
+    the picks, in a table that a task has to hold. Picks are n times as many rows as their size is taken for, so the join is told
+    to deal both sides out and to build the values' tables: else the picks might be broadcast, through the driver.
     """
     placed = range_places(values, by, ident, out="_i").withColumn("_i", F.col("_i") - 1).drop("_p")
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col("_i").cast("string")), 256)
     number = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
     picks = placed.select(*by, "_i", "_n").repartition(*by, "_i").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     picks = picks.select(*by, "draw", F.pmod(number, F.col("_n")).alias("_i"), F.lit(1).alias("weight"))
-    return picks.join(placed, [*by, "_i"]).drop("_i", "_n")
+    return picks.join(placed.hint("shuffle_hash"), [*by, "_i"]).drop("_i", "_n")
 
 
 def bootstrap(values: DataFrame, ident: str, value: str, by: list[str], n: int = 200, seed: str = "7", low: float = 0.025, high: float = 0.975, size: str | None = None) -> DataFrame:

@@ -62,3 +62,12 @@ def test_fallback_deals_out_small_hashes_only(spark):
     for expect in (1, 2, 32, 100):  # with few expected, some rows find none below the bound and meet all
         got = J._first_by_hash(left, own, ["g"], "a", "3", None, expect)
         assert {r.a: r.b.r for r in got.collect()} == want
+
+
+def test_picks_are_never_broadcast(spark):
+    """Picks are taken for as few bytes as the values that they are made of, so a join left open sends them all through the driver."""
+    df = spark.createDataFrame([(i % 3, i, float(i % 17)) for i in range(600)], "g int, i long, x double").repartition(3)
+    drawn = S.draws(df, "i", 40, "7", ["g"])
+    assert len(drawn.collect()) == 600 * 40
+    joins = [line for line in drawn._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_i#" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
