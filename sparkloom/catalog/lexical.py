@@ -73,8 +73,7 @@ def match_all(t):
 SELECT query_id, item_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM sc s JOIN met USING (query_id, item_id) JOIN need USING (query_id) WHERE have = need) WHERE r = 1""")
 def best_match(t):
     """Of the documents that hold all of a query's terms, the best by BM25."""
-    met = L.match_all(docs(t), short(t)).select("query_id", "item_id")
-    return R.top_items(L.bm25(docs(t), short(t), only=met), 1).select("query_id", "item_id", "score")
+    return L.best_match(docs(t), short(t))
 
 
 _GRAMS = """own AS (SELECT item_id, w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g FROM tok)"""
