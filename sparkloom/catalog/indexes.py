@@ -9,6 +9,7 @@ from ..operators import graph_index as G
 from ..operators import partial_index as X
 from ..operators import product_codes as P
 from ..operators import retrieval as R
+from ..sources.shared import stored
 from .vector import K, PAIRS, asked, items
 
 #: Lists and probes of the global and of each partial index, and rounds of their training.
@@ -58,7 +59,7 @@ def _indexes(t):
     for strategy, by, lists, probes in (("global", "whole", GLOBAL_LISTS, GLOBAL_PROBES), ("partial", "label", PARTIAL_LISTS, PARTIAL_PROBES)):
         centres = X.lists_by(every, by, lists, ROUNDS)
         index = X.write_index(every, centres, by, ["list"] if by == "whole" else ["label", "list"])
-        probed = X.nearest(q, centres, by, "query_id", probes).select("query_id", "list")
+        probed = stored(X.nearest(q, centres, by, "query_id", probes).select("query_id", "list"), "probed")  # for all labels at once
         for label in labels:
             yield strategy, label, *X.pruned_search(index, q, probed, "label", label, K, by == "label")
 

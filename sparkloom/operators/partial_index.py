@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import shared_folder, stored
-from .retrieval import PLACES, dot, top_items
+from .retrieval import PLACES, dot, exact_scores, top_items
 
 
 def lists_by(items: DataFrame, by: str, lists: int, rounds: int, seed: str = "17") -> DataFrame:
@@ -41,12 +41,13 @@ def pruned_search(index: DataFrame, queries: DataFrame, probed: DataFrame, by: s
     """The ranking of the queries that ask for by = value, and the files that it reads with their sizes.
 
     probed: query_id, list. Folders are pruned before the scan: a partial index's by predicate and probed lists, a global
-    one's by probed lists only, the predicate being a filter on rows. Lists are a fixed few.
+    one's by probed lists only, the predicate being a filter on rows. Lists are a fixed few. Items and queries of a list meet
+    in blocks, whose products send on each query's k best alone: pairs are never rows, and a list is many blocks.
     """
-    asked = queries.where(F.col(by) == value).select("query_id", F.col("vector").alias("_q")).join(probed, "query_id")
+    asked = queries.where(F.col(by) == value).select("query_id", "vector").join(probed, "query_id")
     lists = sorted(r["list"] for r in asked.select("list").distinct().collect())
     read = index.where(F.col("_list").isin(lists))
     read = read.where(F.col(f"_{by}") == value) if partial else read
     files = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
-    met = read.where(F.col(by) == value).select("item_id", "vector", F.col("_list").alias("list")).join(asked, "list").where("query_id <> item_id")
-    return top_items(met.select("query_id", "item_id", F.round(dot("vector", "_q"), PLACES).alias("score")), k), files
+    met = exact_scores(read.where(F.col(by) == value).select("item_id", "vector", F.col("_list").alias("list")), asked, k, on=["list"])
+    return top_items(met, k), files

@@ -143,3 +143,15 @@ def test_vectors_of_a_group_stay_in_their_buffers(monkeypatch):
             best = sorted((j for j in ids if j != i), key=lambda j: (-round(v[i] @ v[j], 6), j))[:3]
             want |= {(i, j): v[i] @ v[j] for j in best}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_items_and_queries_of_a_list_are_no_pairs(items, asked, monkeypatch):
+    """What a pruned search ranks are each block's best items of a query, not all that its lists hold."""
+    centres = X.lists_by(items, "label", 2, 1)
+    index = X.write_index(items, centres, "label", ["label", "list"])
+    every = X.nearest(asked, centres, "label", "query_id", 2).select("query_id", "list")
+    top, ranked = X.top_items, []
+    monkeypatch.setattr(X, "top_items", lambda scores, k: ranked.append(scores.count()) or top(scores, k))
+    found, _ = X.pruned_search(index, asked, every, "label", 0, 3, True)
+    queries, files = asked.where("label = 0").count(), index.where("label = 0").select("_metadata.file_path").distinct().count()
+    assert found.count() == 3 * queries and 3 * queries <= ranked[0] <= 3 * queries * files < queries * items.where("label = 0").count()
