@@ -128,7 +128,11 @@ class _Best:
         self.k, self.held, self.count = k, {}, 0
 
     def add(self, q_ids: np.ndarray, s: np.ndarray, items: np.ndarray, tag: int = 0) -> None:
-        new, key = _heads(s, items, self.k), (q_ids.tobytes(), tag)
+        self.merge(q_ids, _heads(s, items, self.k), tag)
+
+    def merge(self, q_ids: np.ndarray, new: tuple[np.ndarray, np.ndarray, np.ndarray], tag: int = 0) -> None:
+        """Takes in entries as `_heads` gives them."""
+        key = (q_ids.tobytes(), tag)
         old = self.held.get(key)
         if old is not None:
             self.count -= len(old[1][0])

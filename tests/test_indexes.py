@@ -155,3 +155,25 @@ def test_items_and_queries_of_a_list_are_no_pairs(items, asked, monkeypatch):
     found, _ = X.pruned_search(index, asked, every, "label", 0, 3, True)
     queries, files = asked.where("label = 0").count(), index.where("label = 0").select("_metadata.file_path").distinct().count()
     assert found.count() == 3 * queries and 3 * queries <= ranked[0] <= 3 * queries * files < queries * items.where("label = 0").count()
+
+
+def test_every_shard_is_asked(items, asked, exact, monkeypatch):
+    """Edges stay within shards; searches that begin at all items of a shard give the exact ranking, few gates nearly so."""
+    monkeypatch.setattr(G, "SHARD", 100)
+    monkeypatch.setattr(G, "STEP", 37)
+    monkeypatch.setattr(G, "ASKED", 7)
+    graph = G.neighbour_graph(items, k=6)
+    shard = {r.node: r.key for r in G._sharded(items)[0].collect()}
+    edges = graph.collect()
+    assert len(set(shard.values())) == 10 and len(edges) == 940 * 6 and all(shard[e.src] == shard[e.dst] for e in edges)
+    every = G.graph_search(items, asked, graph, 10, beam=20, entries=940)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    assert scores_recall(G.graph_search(items, asked, graph, 10, beam=20, entries=30), exact) >= 0.95
+
+
+def test_a_search_makes_no_rows_of_what_it_meets(items, asked, monkeypatch):
+    """What is ranked are k items of each query and task, not the items that a hop meets."""
+    top, ranked = G.top_items, []
+    monkeypatch.setattr(G, "top_items", lambda scores, k: ranked.append(scores.count()) or top(scores, k))
+    assert G.graph_search(items, asked, G.neighbour_graph(items, k=10), 3).count() == 3 * asked.count()
+    assert ranked == [3 * asked.count()]
